@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from . import oracles
 from .decontaminate import op1_benchmark_decontamination
+from .mixing import op8_source_mix
 from .quality_rules import op3_host_quality_rules
+from .sharding import op9_balanced_label_shards
+from .simhash import op6_simhash_near_duplicates
 
 _QUERIES = [
     op1_benchmark_decontamination,
     op3_host_quality_rules,
+    op6_simhash_near_duplicates,
+    op8_source_mix,
+    op9_balanced_label_shards,
 ]
 
 
