@@ -49,7 +49,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM rules JOIN verdicts ON rules.source IS NOT DISTINCT FROM verdicts.source
 """
 
+OP10 = f"""
+WITH d AS (SELECT doc_id, {SPACE} AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM d, unnest(range(1, len(w) - 48)) AS t(i)),
+first_of AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, p FROM windows JOIN first_of USING (g), unnest(range(i, i + 50)) AS t(p) WHERE first < doc_id),
+places AS (SELECT doc_id, w[p] AS word, p FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS words FROM places ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op1_benchmark_decontamination": OP1,
     "op3_host_quality_rules": OP3,
+    "op10_relative_lz_dedup": OP10,
 }

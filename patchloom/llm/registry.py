@@ -8,6 +8,7 @@ from .mixing import op8_source_mix
 from .quality_rules import op3_host_quality_rules
 from .sharding import op9_balanced_label_shards
 from .simhash import op6_simhash_near_duplicates
+from .substring_dedup import op10_relative_lz_dedup
 
 _QUERIES = [
     op1_benchmark_decontamination,
@@ -15,6 +16,7 @@ _QUERIES = [
     op6_simhash_near_duplicates,
     op8_source_mix,
     op9_balanced_label_shards,
+    op10_relative_lz_dedup,
 ]
 
 
