@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from . import oracles
 from .decontaminate import op1_benchmark_decontamination
+from .licenses import op7_license_templates
 from .mixing import op8_source_mix
+from .quality_model import op5_ftrl_quality
 from .quality_rules import op3_host_quality_rules
 from .sharding import op9_balanced_label_shards
 from .simhash import op6_simhash_near_duplicates
@@ -13,7 +15,9 @@ from .substring_dedup import op10_relative_lz_dedup
 _QUERIES = [
     op1_benchmark_decontamination,
     op3_host_quality_rules,
+    op5_ftrl_quality,
     op6_simhash_near_duplicates,
+    op7_license_templates,
     op8_source_mix,
     op9_balanced_label_shards,
     op10_relative_lz_dedup,
