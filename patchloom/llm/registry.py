@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import oracles
 from .decontaminate import op1_benchmark_decontamination
+from .language_model import op4_log_bilinear_scores
 from .licenses import op7_license_templates
 from .mixing import op8_source_mix
 from .quality_model import op5_ftrl_quality
@@ -11,10 +12,13 @@ from .quality_rules import op3_host_quality_rules
 from .sharding import op9_balanced_label_shards
 from .simhash import op6_simhash_near_duplicates
 from .substring_dedup import op10_relative_lz_dedup
+from .toxicity import op2_toxicity_chain
 
 _QUERIES = [
     op1_benchmark_decontamination,
+    op2_toxicity_chain,
     op3_host_quality_rules,
+    op4_log_bilinear_scores,
     op5_ftrl_quality,
     op6_simhash_near_duplicates,
     op7_license_templates,
