@@ -57,7 +57,8 @@ def propagate(labelled: DataFrame, shards: int, rounds: int) -> DataFrame:
         quota = rows / shards * (1 + SLACK)
         votes = state.where("linked").groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
         want = votes.groupBy("key").agg(F.max_by("label", F.struct("n", F.xxhash64("key", "label"))).alias("want"), F.sum("n").alias("members"))
-        wanting = state.join(want, "key", "left")
+        # written first: a join with an aggregate of its own key can't split a key that many documents share
+        wanting = state.join(materialize(want), "key", "left")
         wanting = materialize(wanting.withColumn("mover", F.col("linked") & (F.col("want") != F.col("label"))))
         flows = {(r["label"], r["want"]): r["n"] for r in wanting.where("mover").groupBy("label", "want").agg(F.count(F.lit(1)).alias("n")).collect()}  # shards squared at most
         if not flows:
@@ -85,7 +86,7 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         *[F.col(c).alias(f"__c_{c}") for c in carry],
     )
     rows = materialize(rows)
-    groups = rows.where("key is not null").groupBy("key").count().where("count > 1").select(F.col("key"), F.lit(True).alias("linked"))
+    groups = materialize(rows.where("key is not null").groupBy("key").count().where("count > 1").select(F.col("key"), F.lit(True).alias("linked")))
     start = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
     state = rows.select("uid", "doc_id", "size", "text_crc32", "key").join(groups, "key", "left")
     state = materialize(state.select("uid", "doc_id", "size", "text_crc32", "key", F.coalesce("linked", F.lit(False)).alias("linked"), start.alias("label")))
