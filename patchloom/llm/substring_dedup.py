@@ -135,7 +135,7 @@ def reference_matches(candidates: DataFrame, window: int, anchor: int) -> DataFr
 def _parse(places: list[int], references: list[int], window: int) -> list[dict]:
     """Factors of a document from its matched phrases."""
     out: list[dict] = []
-    for place, reference in sorted(zip(places, references, strict=True)):
+    for place, reference in sorted(set(zip(places, references, strict=True))):  # rows of one doc_id repeat them
         if out and out[-1]["reference"] == reference and out[-1]["start"] + out[-1]["n_words"] - window + 1 == place:
             out[-1]["n_words"] += 1
         else:
