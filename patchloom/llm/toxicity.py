@@ -43,8 +43,8 @@ STEMS = (5, 6, 7)
 #: A feature counts up to this often; each count is a weight of its own.
 TIMES = 3
 FOLDS = 4
-STEPS, RATE, L2 = 150, 0.3, 0.002
-THRESHOLD = 0.5
+STEPS, RATE, L2 = 150, 0.3, 0.0002
+THRESHOLD = 0.35
 
 
 @dataclass
@@ -71,7 +71,7 @@ def fit(rows: Rows, words: int, earlier: np.ndarray, label: np.ndarray, use: np.
         margin = np.bincount(doc, w[index], minlength=len(use)) + earlier @ w[words : words + k] + w[-1]
         error = np.where(use, sigmoid(margin) - label, 0.0) / n
         gradient = np.concatenate([np.bincount(index, error[doc], minlength=words), earlier.T @ error, [error.sum()]])
-        gradient[:-1] += L2 / 10 * w[:-1]
+        gradient[:-1] += L2 * w[:-1]
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         w -= RATE * (1 - step / (STEPS + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
