@@ -184,7 +184,7 @@ def test_substring_dedup_equals_brute_force(spark, docs):
 def test_factors_name_the_earliest_reference(spark):
     a, b = " ".join(f"a{i}" for i in range(70)), " ".join(f"b{i}" for i in range(55))
     rows = spark.createDataFrame([(1, a), (2, b), (3, f"x {b} y {a} z"), (4, f"x {b} y"), (None, a), (5, a), (5, a)], "doc_id long, text string")
-    got = {r["doc_id"]: [tuple(f) for f in r["factors"]] for r in substring_dedup.factors(rows).collect()}
+    got = {r["doc_id"]: [tuple(f) for f in r["factors"]] for r in substring_dedup.factors(rows, substring_dedup.whole_texts(rows))[0].collect()}
     assert got == {3: [(1, 55, 2), (57, 70, 1)], 4: [(0, 50, 3), (1, 55, 2), (7, 50, 3)], 5: [(0, 70, 1)]}
     digest = substring_dedup.dedup_digest(rows).collect()
     assert len(digest) == 7 and sorted(r["n_removed"] for r in digest) == [0, 0, 0, 57, 70, 70, 125]
