@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -9,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import findings as ff
 from ..functions import text as ft
-from ..operators import bookkeeping, diffs, indexing, prompts, retrieval, symbols, verify
+from ..operators import bookkeeping, diffs, indexing, prompts, retrieval, reviews, symbols, verify
 from ..sources import raw, writers
+from ..streaming import lifecycle
 from .fixtures import Tables, oracle
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -233,6 +236,27 @@ def chunk_files(t: Tables) -> DataFrame:
     return symbols.chunk_files(symbols.parse_symbols(_sources(t))).select("doc_id", "chunk_type", "symbol_name", "start_line", "end_line", "is_test")
 
 
+def _changed_sources(t: Tables) -> DataFrame:
+    """Changed files over the made sources: line 12 is new; a fifth of the files have no source."""
+    rows = _sources(t).select("doc_id", F.col("file_path").alias("filename"), F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("source"))
+    parsed = symbols.parse_symbols(rows.withColumn("review_id", F.col("doc_id") % 100))
+    files = parsed.select("review_id", F.col("doc_id").alias("file_pos"), "filename", F.concat(F.lit("@@ -11 +12 @@\n+new "), F.col("doc_id").cast("string")).alias("patch"))
+    return reviews.changed_file_rows(files, parsed)
+
+
+@query("""SELECT doc_id % 100 AS review_id, 'pkg/mod_' || doc_id || '.py' AS filename, 'python' AS language, CAST(1 AS INT) AS additions, CASE WHEN doc_id % 13 = 0 OR doc_id % 5 = 0 THEN '' ELSE 'C_' || doc_id || ',C_' || doc_id || '.m' END AS names FROM documents""")
+def changed_file_symbols(t: Tables) -> DataFrame:
+    return _changed_sources(t).select("review_id", "filename", "language", "additions", F.array_join("symbol_names", ",").alias("names"))
+
+
+@query("""WITH b AS (SELECT doc_id, 0 AS piece, 'new ' || doc_id AS text FROM documents WHERE doc_id % 5 = 0
+    UNION ALL SELECT doc_id, 0, 'class C_' || doc_id || ':' || chr(10) || '    x = 1' || chr(10) || chr(10) || '    def m(self):' || chr(10) || '        return os' || chr(10) || chr(10) || '    async def n(self):' || chr(10) || '        pass' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 13 <> 0
+    UNION ALL SELECT doc_id, 1, '    def m(self):' || chr(10) || '        return os' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 13 <> 0)
+    SELECT doc_id % 100 AS review_id, CAST(n - 1 AS INT) AS seq, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id, piece) AS n FROM b) x WHERE n <= 6""")
+def build_queries(t: Tables) -> DataFrame:
+    return reviews.build_queries(_changed_sources(t))
+
+
 # Index
 
 
@@ -643,6 +667,25 @@ def run_model(t: Tables) -> DataFrame:
     asked = t.findings.select("finding_id", F.col("finding_id").cast("string").alias("prompt"))
     return prompts.run_model(asked, "finding_id", lambda: lambda texts: [f"reply to {x}" for x in texts])
 
+# Streams
+
+
+def scratch(spark) -> str:
+    """A new folder below the one that driver and executors share."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='spark-')}/streams/{uuid.uuid4().hex}"
+
+
+@query("""SELECT review_id, arg_max(status, (ts, seq)) AS status, arg_max(stage, (ts, seq)) AS stage, min(ts) FILTER (status = 'running') AS started_at, max(ts) FILTER (status IN ('done', 'failed')) AS completed_at, arg_max(error, (ts, seq))[:2000] AS error FROM {lifecycle} GROUP BY review_id""")
+def stream_lifecycle(t: Tables) -> DataFrame:
+    folder = scratch(t.spark)
+    t.lifecycle.write.parquet(f"{folder}/log")
+    log = t.spark.readStream.schema(t.lifecycle.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    lifecycle.follow_lifecycle(log, f"{folder}/changes", f"{folder}/state").awaitTermination()
+    return lifecycle.current_state(t.spark.read.parquet(f"{folder}/changes"))
+
 
 def queries() -> dict:
     """Name -> callable taking (spark, sf_dir)."""

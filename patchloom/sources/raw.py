@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 from collections.abc import Iterator
 
@@ -52,10 +53,23 @@ def expand_archives(archives: DataFrame) -> DataFrame:
 def snapshot_files(spark: SparkSession, folder: str) -> DataFrame:
     """Python files below a folder with one directory a repository: (repository, path, size, source)."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(folder)
-    tail = F.regexp_extract("path", F.lit("^.*?" + folder.rstrip("/").split("/")[-1] + "/([^/]+)/(.*)$"), 2)
-    repo = F.regexp_extract("path", F.lit("^.*?" + folder.rstrip("/").split("/")[-1] + "/([^/]+)/(.*)$"), 1)
-    rows = read.select(repo.alias("repository"), F.concat(F.lit("x/"), tail).alias("path"), F.col("length").alias("size"), F.col("content").cast("string").alias("source"))
-    return usable_sources(rows)
+    below = "^.*/" + re.escape(folder.rstrip("/").split("/")[-1]) + "/([^/]+)/(.*)$"
+    repo, tail = F.regexp_extract("path", below, 1), F.regexp_extract("path", below, 2)
+    rows = read.select(repo.alias("repository"), F.concat(F.lit("x/"), tail).alias("path"), F.col("length").alias("size"), "content")
+    return decode_sources(usable_sources(rows))
+
+
+def decode_sources(files: DataFrame, content: str = "content") -> DataFrame:
+    """The binary content as UTF-8 text in `source`; bad bytes become U+FFFD, as Python replaces them."""
+    keep = [c for c in files.columns if c != content]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if b is None else b.decode("utf-8", "replace") for b in batch.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "source"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keep).schema.fields)
+    return files.select(*keep, content).mapInArrow(run, f"{fields}, source string")
 
 
 def _or(value: Column, default: str) -> Column:
