@@ -257,6 +257,15 @@ def build_queries(t: Tables) -> DataFrame:
     return reviews.build_queries(_changed_sources(t))
 
 
+@query("""SELECT doc_id % 20 AS repository_id, 'f_' || doc_id || '.py' AS filename, length(text) AS n_chars FROM documents WHERE doc_id % 6 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0""")
+def head_source_select(t: Tables) -> DataFrame:
+    i = F.col("doc_id")
+    name = F.concat(F.lit("f_"), i.cast("string"), F.when(i % 6 == 0, ".md").otherwise(".py"))
+    rows = t.documents.select((i % 20).alias("repository_id"), name.alias("filename"), F.when(i % 5 == 0, "removed").otherwise("modified").alias("status"), F.concat(F.lit("h"), i.cast("string")).alias("head_sha"), F.when(i % 7 != 0, F.col("text")).alias("source"))
+    found = reviews.head_sources(rows.drop("source"), rows.select("repository_id", F.col("filename").alias("path"), F.col("head_sha").alias("sha"), "source"))
+    return found.select("repository_id", "filename", F.length("source").cast("long").alias("n_chars"))
+
+
 # Index
 
 

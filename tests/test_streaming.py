@@ -16,3 +16,13 @@ def test_batches_add_up_to_the_rollup(spark, tmp_path):
     state = lifecycle.current_state(spark.read.parquet(f"{tmp_path}/changes"))
     want = {r["review_id"]: r for r in lifecycle_rollup(frame).collect()}
     assert {r["review_id"]: r for r in state.collect()} == want and len(want[3]["error"]) == 2000
+
+
+def test_requests_are_guarded_as_they_come(spark, tmp_path):
+    schema = "repository_id long, number long, head_sha string, force boolean"
+    spark.createDataFrame([(1, 1, "a", False), (1, 1, "a", True), (1, 2, "b", False), (2, 9, "", True)], schema).write.parquet(f"{tmp_path}/asked")
+    pulls = spark.createDataFrame([(1, 1, "a"), (1, 2, "old")], "repository_id long, number long, last_reviewed_sha string")
+    guarded = lifecycle.guard_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/asked"), pulls)
+    guarded.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = {(r["number"], r["force"]): (r["accepted"], r["reason"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(1, False): (False, "already reviewed"), (1, True): (True, None), (2, False): (True, None), (9, True): (False, "no head commit")}
