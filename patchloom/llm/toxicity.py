@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, flatten, map_texts
+from .common import alnum_words, flatten, map_texts, materialize
 from .quality_model import labelled_sample, remainder, sigmoid
 
 #: Word lists of the first categories; the last has none.
@@ -128,38 +128,76 @@ class Chain:
         return list(sigmoid(earlier).T)
 
 
-def _numbered(sample: list, chain: dict[str, list[str]]) -> tuple[dict[bytes, int], Rows]:
-    bags = [set(alnum_words(t)) for _, t, _ in sample]
-    y = np.array([float(label) for _, _, label in sample])
-    seen, toxic = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
-        features = {f for w in bag for f in word_features(w)}
-        seen.update(features)
-        if label:
-            toxic.update(features)
-    kept = [f for f, n in seen.items() if n >= MIN_DOCS]
-    n, a, pos = np.array([seen[f] for f in kept], float), np.array([toxic[f] for f in kept], float), y.sum()
-    expected = n * pos / max(1, len(y))
-    chi = (a - expected) ** 2 / np.maximum(expected * (1 - pos / max(1, len(y))), 1e-9)
-    best = sorted(range(len(kept)), key=lambda i: (-chi[i], kept[i]))[:MAX_FEATURES]
-    vocabulary = {kept[i]: k for k, i in enumerate(best)}
-    doc, index = indicators(*feature_counts([t for _, t, _ in sample], vocabulary), len(vocabulary))
-    labels = {c: y * np.array([not listed or bool(b & {w.encode() for w in listed}) for b in bags]) for c, listed in chain.items()}
-    fold = np.array([zlib.crc32(f"fold {i}".encode()) % FOLDS for i, _, _ in sample])
-    return vocabulary, Rows(index, np.searchsorted(doc, np.arange(len(sample) + 1)), labels, fold)
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
+    """doc_ids, texts and labels of a few hundred sample rows at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 200):
+            part = batch.slice(i, 200)
+            yield part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist()
+
+
+def chosen_features(sample: DataFrame) -> dict[bytes, int]:
+    """The MAX_FEATURES features with the largest chi-square, numbered; counted in the tasks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, toxic = Counter(), Counter()
+        for _, texts, labels in _texts(batches):
+            for text, label in zip(texts, labels, strict=True):
+                found = {f for w in set(alnum_words(text)) for f in word_features(w)}
+                seen.update(found)
+                if label:
+                    toxic.update(found)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64()), pa.array([toxic[f] for f in seen], pa.int64())], ["feature", "n", "toxic"])
+
+    total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
+    if not total["n"]:
+        return {}
+    share = total["toxic"] / total["n"]
+    counted = sample.mapInArrow(count, "feature binary, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= MIN_DOCS)
+    chi = F.pow(F.col("toxic") - F.col("n") * share, F.lit(2.0)) / F.greatest(F.col("n") * (share * (1 - share)), F.lit(1e-9))
+    best = counted.select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(MAX_FEATURES).collect()
+    return {bytes(r["feature"]): i for i, r in enumerate(best)}
+
+
+def numbered_rows(sample: DataFrame, vocabulary: dict[bytes, int], chain: dict[str, list[str]]) -> Rows:
+    """The sample's weight numbers and labels, which go to the driver; texts don't."""
+    listed = {c: {w.encode() for w in words} for c, words in chain.items()}
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, labels in _texts(batches):
+            doc, index = indicators(*feature_counts(texts, vocabulary), len(vocabulary))
+            bounds = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
+            bags = [set(alnum_words(t)) for t in texts]
+            marks = [[int(bool(y) and (not words or bool(bag & words))) for bag, y in zip(bags, labels, strict=True)] for words in listed.values()]
+            kinds = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(listed), pa.int32()), pa.array(np.array(marks, np.int32).T.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), kinds, pa.ListArray.from_arrays(pa.array(bounds), pa.array(index.astype(np.int32)))], ["doc_id", "marks", "index"])
+
+    got = sample.mapInArrow(number, "doc_id long, marks array<int>, index array<int>").orderBy("doc_id").toArrow().combine_chunks()
+    if not got.num_rows:
+        return Rows(np.empty(0, np.int64), np.zeros(1, np.int64), {c: np.empty(0) for c in chain}, np.empty(0, np.int64))
+    index, ids = got.column("index").combine_chunks(), got.column("doc_id").to_pylist()
+    marks = np.array(got.column("marks").to_pylist(), float)
+    sizes = pa.compute.list_value_length(index).to_numpy(zero_copy_only=False)
+    fold = np.array([zlib.crc32(f"fold {i}".encode()) % FOLDS for i in ids])
+    return Rows(index.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), {c: marks[:, k] for k, c in enumerate(chain)}, fold)
 
 
 def train_chain(sample: DataFrame, chain: dict[str, list[str]] = CHAIN) -> Chain:
-    """The chain fitted on the bounded sample (doc_id, text, label), which goes to the driver and to the fitting tasks."""
+    """The chain fitted on the bounded sample (doc_id, text, label)."""
+    import pyarrow.compute  # noqa: F401
+
     spark = sample.sparkSession
-    got = sorted((r["doc_id"], bytes(r["text"] or b""), r["label"]) for r in sample.select("doc_id", F.col("text").cast("binary").alias("text"), "label").collect())
-    vocabulary, rows = _numbered(got, chain)
-    if not got:
+    sample = materialize(sample)
+    vocabulary = chosen_features(sample)
+    rows = numbered_rows(sample, vocabulary, chain)
+    n = len(rows.fold)
+    if not n:
         return Chain({}, {c: np.zeros(i + 1) for i, c in enumerate(chain)})
     words = TIMES * len(vocabulary)
-    doc = np.repeat(np.arange(len(got)), np.diff(rows.bounds))
+    doc = np.repeat(np.arange(n), np.diff(rows.bounds))
     held = spark.sparkContext.broadcast(rows)
-    earlier, weights = np.zeros((len(got), 0)), {}
+    earlier, weights = np.zeros((n, 0)), {}
     for category in chain:
 
         def fit_folds(batches: Iterator[pa.RecordBatch], category=category, earlier=earlier) -> Iterator[pa.RecordBatch]:
@@ -169,7 +207,7 @@ def train_chain(sample: DataFrame, chain: dict[str, list[str]] = CHAIN) -> Chain
                     yield pa.RecordBatch.from_arrays([pa.array([fold]), pa.array([pickle.dumps(w)], pa.binary())], ["fold", "weights"])
 
         fitted = {r["fold"]: pickle.loads(r["weights"]) for r in spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(fit_folds, "fold long, weights binary").collect()}
-        out_of_fold = np.zeros(len(got))
+        out_of_fold = np.zeros(n)
         for fold in range(FOLDS):
             here = rows.fold == fold
             out_of_fold[here] = log_odds(fitted[fold], words, rows.index, doc, earlier)[here]
