@@ -112,11 +112,12 @@ def cosine_topk(chunks: DataFrame, queries: DataFrame, k: int, changed: DataFram
         if changed is not None:
             for r in changed.join(F.broadcast(block.select("review_id").distinct()), "review_id").select("review_id", "file_path").distinct().collect():
                 masks.setdefault(r["review_id"], set()).add(r["file_path"])
-        groups: dict[int, tuple[list, list, np.ndarray]] = {}
+        groups: dict[int, tuple[list, list]] = {}
         for r in rows:
-            groups.setdefault(r["repository_id"], ([], [], []))[0].append((r["review_id"], r["seq"]))
-            groups[r["repository_id"]][2].append(r["vector"])
-        packed = {repo: (ids, _unit(np.array(v, np.float64))) for repo, (ids, _, v) in groups.items()}
+            keys, vectors = groups.setdefault(r["repository_id"], ([], []))
+            keys.append((r["review_id"], r["seq"]))
+            vectors.append(r["vector"])
+        packed = {repo: (keys, _unit(np.array(vectors, np.float64))) for repo, (keys, vectors) in groups.items()}
         shared = spark.sparkContext.broadcast((packed, masks))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

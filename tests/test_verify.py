@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from patchloom.operators import bookkeeping, verify
 
 FINDING = "finding_id long, review_id long, file string, start_line int, end_line int, severity string, category string, confidence double"
