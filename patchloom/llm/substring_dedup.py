@@ -118,18 +118,48 @@ def _shared_phrases(window: int, anchor: int) -> Callable:
     return run
 
 
-def shared_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id and the anchors of it that another document has too."""
-    found = materialize(docs.mapInArrow(_anchors(window, anchor), "doc_id long, anchor long").where("doc_id is not null"))
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    return found.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+def shared_anchors(docs: DataFrame, copies: DataFrame, window: int, anchor: int) -> DataFrame:
+    """doc_id, and those of its anchors that a later document has too (refs) and that an earlier one has (asks)."""
+    found = docs.mapInArrow(_anchors(window, anchor), "doc_id long, anchor long").where("doc_id is not null")
+    found = materialize(found.join(copies.select("doc_id"), "doc_id", "left_anti"))
+    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    pick = lambda when: F.collect_set(F.when(when, F.col("anchor")))
+    return found.join(shared, "anchor").groupBy("doc_id").agg(pick(F.col("doc_id") < F.col("b")).alias("refs"), pick(F.col("doc_id") > F.col("a")).alias("asks"))
 
 
 def reference_matches(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, place and reference of each phrase that an earlier document holds; reference is the earliest."""
-    rows = candidates.select("doc_id", "text", "anchors").mapInArrow(_shared_phrases(window, anchor), "doc_id long, place int, phrase long, anchor long")
-    index = rows.groupBy("phrase", "anchor").agg(F.min("doc_id").alias("reference"), F.max("doc_id").alias("latest")).where("reference < latest").drop("latest")
-    return rows.join(index, ["phrase", "anchor"]).where("reference < doc_id").select("doc_id", "place", "reference")
+    """doc_id, place and reference of each phrase that an earlier document holds; reference is the earliest.
+
+    A phrase of an anchor's last document is no reference, and one of its first document has none: neither is shuffled.
+    """
+    schema = "doc_id long, place int, phrase long, anchor long"
+    refs, asks = (candidates.where(F.size(c) > 0).select("doc_id", "text", c).mapInArrow(_shared_phrases(window, anchor), schema) for c in ("refs", "asks"))
+    index = refs.groupBy("phrase", "anchor").agg(F.min("doc_id").alias("reference"))
+    return asks.join(index, ["phrase", "anchor"]).where("reference < doc_id").select("doc_id", "place", "reference")
+
+
+WHOLE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("whole", T.StringType())])
+
+
+def whole_texts(own: DataFrame) -> DataFrame:
+    """doc_id, n_words and the digest of all words, for every row."""
+
+    def whole(texts: list[bytes | None]) -> list:
+        words = [space_words(t) for t in texts]
+        return [list(map(len, words)), list(map(_sha256, words))]
+
+    return materialize(map_texts(own, ["doc_id"], "text", WHOLE, whole))
+
+
+def later_copies(every: DataFrame, window: int) -> DataFrame:
+    """doc_id, n_words and reference of documents whose words are all those of an earlier one, and enough for a factor.
+
+    A doc_id with several different texts is left to the search.
+    """
+    one = every.where("doc_id is not null").groupBy("doc_id").agg(F.min("whole").alias("whole"), F.max("whole").alias("other"), F.max("n_words").alias("n_words"))
+    long = one.where((F.col("whole") == F.col("other")) & (F.col("n_words") >= window)).drop("other")
+    first = long.groupBy("whole").agg(F.min("doc_id").alias("reference"), F.max("doc_id").alias("latest")).where("reference < latest").drop("latest")
+    return long.join(materialize(first), "whole").where("reference < doc_id").select("doc_id", "n_words", "reference")
 
 
 def _parse(places: list[int], references: list[int], window: int) -> list[dict]:
@@ -146,10 +176,14 @@ def _parse(places: list[int], references: list[int], window: int) -> list[dict]:
 FACTOR = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("reference", T.LongType())])
 
 
-def factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, text and factors (of at least `window` words) of every document that has any."""
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    candidates = materialize(own.join(shared_anchors(own, window, anchor), "doc_id"))
+def factors(own: DataFrame, every: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
+    """From documents (doc_id, text) and their whole_texts: doc_id and factors of every document that has any, and its text.
+
+    A later copy of a whole text is one factor. It needs no search, and is no reference that its first copy isn't.
+    The text comes along (second table: doc_id, text) for documents that were searched.
+    """
+    copies = materialize(later_copies(every, window))
+    candidates = materialize(own.join(shared_anchors(own, copies, window, anchor), "doc_id"))
     matches = reference_matches(candidates, window, anchor)
     parsed = matches.groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.collect_list("reference").alias("references"))
 
@@ -160,7 +194,8 @@ def factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, kind)], ["doc_id", "factors"])
 
     found = parsed.mapInArrow(parse, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("factors", T.ArrayType(FACTOR))]))
-    return candidates.select("doc_id", "text").join(found, "doc_id")
+    whole = copies.select("doc_id", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("n_words"), "reference")).alias("factors"))
+    return found.unionByName(whole), candidates.select("doc_id", "text")
 
 
 def _sha256(words: list[bytes]) -> str:
@@ -176,9 +211,6 @@ def kept_words(words: list[bytes], found: list[dict] | None) -> list[bytes]:
     return [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
 
 
-WHOLE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("whole", T.StringType())])
-
-
 def dedup_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every row.
 
@@ -194,19 +226,26 @@ def dedup_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                 removed = [len(w) - len(x) for w, x in zip(words, left, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_sha256, words), pa.string()), pa.array(removed, pa.int64()), pa.array(map(_sha256, left), pa.string())], ["doc_id", "whole", "n_removed", "kept"])
 
-    def whole(texts: list[bytes | None]) -> list:
-        words = [space_words(t) for t in texts]
-        return [list(map(len, words)), list(map(_sha256, words))]
-
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    every = map_texts(own, ["doc_id"], "text", WHOLE, whole)
-    cut = factors(docs, doc_id, text, window).mapInArrow(digest, "doc_id long, whole string, n_removed long, kept string").dropDuplicates(["doc_id", "whole"])
-    return every.join(cut, ["doc_id", "whole"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
+    every = whole_texts(own)
+    found, searched = factors(own, every, window)
+    found = materialize(found)
+    cut = searched.join(found, "doc_id").mapInArrow(digest, "doc_id long, whole string, n_removed long, kept string").dropDuplicates(["doc_id", "whole"])
+    # a document that wasn't searched and has factors is a later copy: its one factor is all of it
+    copies = found.join(searched.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.get("factors", F.lit(0))["n_words"].cast("long").alias("copied"))
+    joined = every.join(cut, ["doc_id", "whole"], "left").join(copies, "doc_id", "left")
+    return joined.select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_removed", F.col("copied"), F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce("kept", F.when(F.col("copied").isNotNull(), F.sha2(F.lit(""), 256)), F.col("whole")).alias("kept_sha256"),
+    )
 
 
 def remove_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """All columns, with the text of the kept words joined by single spaces; texts without duplicates stay as they are."""
-    found = factors(docs, doc_id, text, window).select(F.col("doc_id").alias("__id"), F.col("factors").alias("__factors")).dropDuplicates(["__id"])
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found = factors(own, whole_texts(own), window)[0].select(F.col("doc_id").alias("__id"), F.col("factors").alias("__factors"))
     names = docs.columns
     at = names.index(text)
 
