@@ -3,8 +3,8 @@
 Documents of equal text are linked through their text's hash. Labels, at first dealt by doc_id, move in rounds: each
 group of linked documents wants the shard that most of its members are in, and as many moves are accepted as swaps
 between shards and the room below a quota allow; groups are accepted whole, very large ones in part. In the end the
-documents, ordered by label and group, are cut into shards whose counts differ by one at most, so a cut parts no
-more groups than there are borders.
+documents, ordered by label and group, are cut into shards whose counts differ by one at most. The cut parts one group
+at most at each border; groups that the quotas kept apart stay apart (cut_groups counts them all).
 
 Law `rows`. A null text has no bytes and no links. Repeated rows each have a place. With fewer documents than shards
 some shards stay empty. Reruns agree on input in the same files.
