@@ -1,10 +1,14 @@
 """Shards with equal row counts by balanced label propagation, which keeps linked documents together.
 
-Documents of equal text are linked through their text's hash. Labels, at first dealt by doc_id, move in rounds: each
-group of linked documents wants the shard that most of its members are in, and as many moves are accepted as swaps
-between shards and the room below a quota allow; groups are accepted whole, very large ones in part. In the end the
-documents, ordered by label and group, are cut into shards whose counts differ by one at most. The cut parts one group
-at most at each border; groups that the quotas kept apart stay apart (cut_groups counts them all).
+Documents of equal text are linked through their text's hash. Labels, at first dealt by doc_id, move in rounds until
+every group of linked documents has one: a group wants the shard that most of its members are in among those with
+room for it whole, or else any with room; a shard accepts groups up to its exact count of rows. Documents without links
+don't hold a place against a group: in the end they are swapped into the places that the groups leave.
+
+Groups that fill much of a shard, a bounded number, are placed first, the largest before. Those larger than a shard lie
+side by side over as many shards as they need. A group that fits into no shard's room keeps one label, runs over the
+shard's border, and pushes what follows. So a group is parted only at a border (one at most each) or if it is larger
+than a shard; cut_groups counts both.
 
 Law `rows`. A null text has no bytes and no links. Repeated rows each have a place. With fewer documents than shards
 some shards stay empty. Reruns agree on input in the same files.
@@ -12,19 +16,18 @@ some shards stay empty. Reruns agree on input in the same files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import materialize
 
 SHARDS = 40
-ROUNDS = 3
-#: A shard may hold so much more than its share between rounds.
-SLACK = 0.05
+#: Groups of more than this part of a shard's rows are placed by the driver; there are fewer than SHARDS times LARGE and a few.
+LARGE = 8
 
 
-def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """df with each row's place in the order over all rows, from 0: range partitions, counted, then numbered inside."""
     dealt = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
     part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
@@ -33,48 +36,86 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return dealt.withColumn("__part", part).join(F.broadcast(heads), "__part").withColumn(name, F.col("__head") + inside).drop("__at", "__part", "__head")
 
 
-def _accepted(flows: dict[tuple[int, int], int], held: dict[int, int], shards: int, quota: float) -> dict[tuple[int, int], float]:
-    """The share of moves from shard to shard that keeps every shard within the quota: swaps, then what there is room for."""
-    extra = {b: 0 for b in range(shards)}
-    for (a, b), n in flows.items():
-        extra[b] += n - min(n, flows.get((b, a), 0))
-    room = {b: max(0.0, quota - held.get(b, 0)) for b in range(shards)}
-    share = {b: min(1.0, room[b] / extra[b]) if extra[b] else 0.0 for b in range(shards)}
-    out = {}
-    for (a, b), n in flows.items():
-        swaps = min(n, flows.get((b, a), 0))
-        out[a, b] = (swaps + (n - swaps) * share[b]) / n
-    return out
-
-
-def propagate(labelled: DataFrame, shards: int, rounds: int) -> DataFrame:
-    """Rows (uid, key, label) of linked documents with the labels after the rounds; `held` counts all documents."""
-    spark = labelled.sparkSession
-    state = labelled
-    for turn in range(rounds):
-        held = {r["label"]: r["n"] for r in state.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a shard
-        rows = sum(held.values())
-        quota = rows / shards * (1 + SLACK)
-        votes = state.where("linked").groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        want = votes.groupBy("key").agg(F.max_by("label", F.struct("n", F.xxhash64("key", "label"))).alias("want"), F.sum("n").alias("members"))
-        # written first: a join with an aggregate of its own key can't split a key that many documents share
-        wanting = state.join(materialize(want), "key", "left")
-        wanting = materialize(wanting.withColumn("mover", F.col("linked") & (F.col("want") != F.col("label"))))
-        flows = {(r["label"], r["want"]): r["n"] for r in wanting.where("mover").groupBy("label", "want").agg(F.count(F.lit(1)).alias("n")).collect()}  # shards squared at most
-        if not flows:
+def _place(group: tuple[int, list[int]], room: list[int]) -> int:
+    """The label of a group (members, labels by votes) in the room left, which it takes; the roomiest if it fits nowhere."""
+    members, wanted = group
+    roomiest = max(range(len(room)), key=room.__getitem__)
+    label = next((b for b in wanted if room[b] >= members), roomiest)
+    room[label] -= members
+    return label
+
+
+def propagate(groups: DataFrame, firsts: list[int]) -> tuple[DataFrame, list[int]]:
+    """key and label of every group (key, members, votes), and the rows that groups hold of each label.
+
+    firsts are the places at which shards begin, and the number of rows.
+    """
+    spark, shards = groups.sparkSession, len(firsts) - 1
+    room = [b - a for a, b in zip(firsts, firsts[1:])]
+    least = max(1, firsts[-1] // shards)
+    held, placed = [0] * shards, []
+
+    def place(rows: list) -> None:
+        for r in rows:
+            label = _place((r["members"], [v["label"] for v in r["votes"]]), room)
+            held[label] += r["members"]
+            placed.append((r["key"], label))
+
+    large = sorted(groups.where(F.col("members") * LARGE > least).collect(), key=lambda r: (-r["members"], r["key"]))
+    over = [r for r in large if r["members"] > max(room)]
+    taken = sum(r["members"] for r in over)
+    held[0] += taken
+    placed += [(r["key"], 0) for r in over]
+    room = [max(0, b - max(a, taken)) for a, b in zip(firsts, firsts[1:])]
+    place(large[len(over) :])
+
+    waiting, done, turn = groups.where(F.col("members") * LARGE <= least), [], 0
+    while True:
+        rooms = F.array(*[F.lit(x).cast("long") for x in room])
+        wanted = F.filter("votes", lambda v: F.get(rooms, v["label"]) >= F.col("members"))
+        any_ = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda b: F.get(rooms, b) >= F.col("members"))
+        dealt = F.when(F.size(any_) > 0, F.get(any_, F.pmod(F.xxhash64("key", F.lit(turn)), F.size(any_)).cast("int")))
+        asking = waiting.withColumn("want", F.coalesce(F.get(wanted, F.lit(0))["label"], dealt))
+        line = W.partitionBy("want").orderBy(F.xxhash64("key", F.lit(turn)), "key").rowsBetween(W.unboundedPreceding, 0)
+        step = materialize(asking.withColumn("accepted", F.coalesce(F.sum("members").over(line) <= F.get(rooms, "want"), F.lit(False))))
+        gains = step.groupBy("want", "accepted").agg(F.sum("members").alias("n")).collect()  # two rows a shard at most
+        waiting = step.where("not accepted").drop("want", "accepted")
+        for r in gains:
+            if r["accepted"]:
+                room[r["want"]] -= r["n"]
+                held[r["want"]] += r["n"]
+        if any(r["accepted"] for r in gains):
+            done.append(step.where("accepted").select("key", F.col("want").alias("label")))
+        else:
+            break
+        if all(r["accepted"] for r in gains):
             break
-        odds = _accepted(flows, held, shards, quota)
-        table = spark.createDataFrame([(a, b, float(p)) for (a, b), p in odds.items()], "label int, want int, odds double")
-        # one draw for a group, so that its members come together; one for each member of a group that fills much of a shard
-        member = F.when(F.col("members") > quota / 8, F.col("uid")).otherwise(F.lit(0))
-        draw = F.pmod(F.xxhash64("key", member, F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        moved = wanting.join(F.broadcast(table), ["label", "want"], "left")
-        label = F.when(F.col("mover") & (draw < F.col("odds")), F.col("want")).otherwise(F.col("label"))
-        state = materialize(moved.select("uid", "doc_id", "size", "text_crc32", "key", "linked", label.alias("label")))
-    return state
-
-
-def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS, carry: tuple[str, ...] = ()) -> DataFrame:
+        turn += 1
+    # each is larger than any room left, so there are fewer than shards
+    place(sorted(waiting.collect(), key=lambda r: (-r["members"], r["key"])))
+    labels = spark.createDataFrame(placed, "key long, label int")
+    for part in done:
+        labels = labels.unionByName(part)
+    return materialize(labels), held
+
+
+def _layout(held: list[int], firsts: list[int]) -> tuple[list[int], list[tuple[int, int]]]:
+    """Where each label's groups begin, and the runs of places they leave free (first, length)."""
+    starts, end = [], 0
+    for first, n in zip(firsts, held):
+        starts.append(max(first, end))
+        end = starts[-1] + n
+    limit = firsts[-1]
+    for b in reversed(range(len(held))):
+        starts[b] = limit = min(starts[b], limit - held[b])
+    free, end = [], 0
+    for start, n in zip(starts, held):
+        free.append((end, start - end))
+        end = start + n
+    return starts, [*free, (end, firsts[-1] - end)]
+
+
+def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null) for every row, and the `carry` columns if asked for."""
     body = F.col(text)
     rows = docs.select(
@@ -86,13 +127,25 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         *[F.col(c).alias(f"__c_{c}") for c in carry],
     )
     rows = materialize(rows)
-    groups = materialize(rows.where("key is not null").groupBy("key").count().where("count > 1").select(F.col("key"), F.lit(True).alias("linked")))
-    start = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
-    state = rows.select("uid", "doc_id", "size", "text_crc32", "key").join(groups, "key", "left")
-    state = materialize(state.select("uid", "doc_id", "size", "text_crc32", "key", F.coalesce("linked", F.lit(False)).alias("linked"), start.alias("label")))
-    state = propagate(state, shards, rounds)
-    order = number_rows(state.withColumn("group", F.coalesce("key", F.xxhash64("doc_id"))), ["label", "group", "doc_id", "uid"], "rank")
     n = rows.count()
+    firsts = [-(-b * n // shards) for b in range(shards + 1)]
+    state = rows.select("uid", "doc_id", "size", "text_crc32", "key", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("start"))
+    votes = state.where("key is not null").groupBy("key", F.col("start").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    vote = F.struct(F.col("n"), F.xxhash64("key", "label").alias("draw"), F.col("label"))
+    groups = votes.groupBy("key").agg(F.sum("n").alias("members"), F.sort_array(F.collect_list(vote), asc=False).alias("votes")).where("members > 1")
+    labels, held = propagate(materialize(groups), firsts)
+    state = materialize(state.join(labels, "key", "left"))
+    starts, free = _layout(held, firsts)
+    linked = number_rows(state.where("label is not null"), ["label", "key", "doc_id", "uid"], "rank")
+    shifts = F.array(*[F.lit(start - sum(held[:b])).cast("long") for b, start in enumerate(starts)])
+    linked = linked.withColumn("rank", F.col("rank") + F.get(shifts, "label"))
+    single = number_rows(state.where("label is null"), ["start", F.xxhash64("doc_id"), "doc_id", "uid"], "rank")
+    place, before = F.lit(0).cast("long"), 0
+    for first, length in free:
+        if length:
+            place = F.when(F.col("rank") >= before, F.col("rank") + (first - before)).otherwise(place)
+            before += length
+    order = linked.unionByName(single.withColumn("rank", place))
     shard = F.expr(f"(rank * {shards}L) div {max(1, n)}L")
     first = F.expr(f"(shard * {max(1, n)}L + {shards - 1}L) div {shards}L")
     out = order.withColumn("shard", shard).withColumn("slot", F.col("rank") - first)

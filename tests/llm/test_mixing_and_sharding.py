@@ -109,6 +109,26 @@ def test_shards_are_even_and_keep_groups(spark):
     assert sorted(Counter(r["shard"] for r in same).values()) == [5, 5, 5, 5]
 
 
+@pytest.mark.parametrize("sizes", [[50] * 10, [700], [2] * 400, [60] * 30 + [2] * 90, [130] * 15], ids=["ten", "third", "pairs", "crowded", "above a shard"])
+def test_groups_are_cut_only_at_borders_or_above_a_shard(spark, sizes):
+    texts = [f"group {g}" for g, n in enumerate(sizes) for _ in range(n)]
+    texts += [f"own {i}" for i in range(2000 - len(texts))]
+    random.Random(3).shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = sharding.shard_documents(docs, shards=20).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(2000))
+    assert len({(r["shard"], r["slot"]) for r in got}) == 2000 and set(Counter(r["shard"] for r in got).values()) == {100}
+    spread = defaultdict(set)
+    for r in got:
+        spread[texts[r["doc_id"]]].add(r["shard"])
+    if max(sizes) == 50 or max(sizes) == 2:
+        assert all(len(s) == 1 for s in spread.values()), "groups that fit are whole"
+    for g, n in enumerate(sizes):
+        parts = spread[f"group {g}"]
+        assert len(parts) <= -(-n // 100) + (sizes != [700]) and max(parts) - min(parts) == len(parts) - 1
+    assert sum(len(spread[f"group {g}"]) - 1 for g in range(len(sizes))) <= 19
+
+
 def test_pipeline_on_planted_cases(spark, tmp_path):
     draw = random.Random(4)
     vocabulary = [f"word{i}" for i in range(300)]
