@@ -30,16 +30,22 @@ BASE = {
     "mit license": "mit",
 }
 
-#: Label and template; what the labels say beyond the base list is the version or the kind of notice.
+_GPL = "<<optional>>This <<any 3>> is <<end>><<optional>>licensed under the <<end>><<optional>>terms of the <<end>>GNU{} General Public License<<optional>> as published by the Free Software Foundation<<end>><<optional>> either<<end>> version {}"
+
+#: Label and template, or several: the one-line notices, and the wording that the licences' authors publish. What the labels say beyond the base list is the version or the kind of notice.
 TEMPLATES = {
-    "gpl-3.0": "<<optional>>This <<any 3>> is <<end>>licensed under the <<optional>>terms of the <<end>>GNU General Public License<<optional>> as published by the Free Software Foundation<<end>><<optional>> either<<end>> version 3",
-    "gpl-2.0": "<<optional>>This <<any 3>> is <<end>>licensed under the <<optional>>terms of the <<end>>GNU General Public License<<optional>> as published by the Free Software Foundation<<end>><<optional>> either<<end>> version 2",
-    "apache-2.0": "licensed under the Apache License<<optional>> Version<<end>> 2.0",
-    "cc-by-nc-4.0": "licensed under <<optional>>a <<end>><<optional>>the <<end>>CC BY NC 4.0<<optional>> license<<end>>",
-    "cc-by-4.0": "licensed under <<optional>>a <<end>><<optional>>the <<end>>CC BY 4.0<<optional>> license<<end>>",
+    "gpl-3.0": _GPL.format("", "3"),
+    "gpl-2.0": _GPL.format("", "2"),
+    "lgpl-3.0": _GPL.format(" Lesser", "3"),
+    "lgpl-2.1": _GPL.format(" Lesser", "2.1"),
+    "agpl-3.0": _GPL.format(" Affero", "3"),
+    "apache-2.0": ("licensed under the Apache License<<optional>> Version<<end>> 2.0", "Apache License Version 2.0 January 2004"),
+    "cc-by-nc-4.0": ("licensed under <<optional>>a <<end>><<optional>>the <<end>>CC BY NC 4.0<<optional>> license<<end>>", "Creative Commons Attribution NonCommercial 4.0 International<<optional>> Public<<end>> License"),
+    "cc-by-4.0": ("licensed under <<optional>>a <<end>><<optional>>the <<end>>CC BY 4.0<<optional>> license<<end>>", "Creative Commons Attribution 4.0 International<<optional>> Public<<end>> License"),
     "mit-notice": "<<any 3>> released under the <<optional>>terms of the <<end>>MIT License",
-    "mit-grant": "Permission is hereby granted free of charge to any person obtaining a copy of this <<any 6>> to deal in the <<any 3>> without restriction",
+    "mit-grant": "Permission is hereby granted free of charge to any person obtaining a copy of this <<any 12>> to deal in the <<any 3>> without restriction",
     "bsd-grant": "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-3-clause": "Neither the name of <<any 12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
 }
 
 
@@ -117,9 +123,9 @@ def compile_template(label: str, markup: str) -> Automaton:
 class Scanner:
     """Base phrases and compiled templates, over one text's words."""
 
-    def __init__(self, base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES):
+    def __init__(self, base: dict[str, str] = BASE, templates: dict[str, str | tuple[str, ...]] = TEMPLATES):
         self.base = [(f" {p} ".encode(), label) for p, label in base.items()]
-        self.automata = [compile_template(k, v) for k, v in templates.items()]
+        self.automata = [compile_template(k, markup) for k, v in templates.items() for markup in ((v,) if isinstance(v, str) else v)]
         self.anchors = [b" " + b" ".join(a.anchor) + b" " for a in self.automata]
 
     @staticmethod
@@ -162,7 +168,7 @@ SCAN = T.StructType(
 )
 
 
-def scan_licenses(docs: DataFrame, keep: list[str], text: str = "text", base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, keep: list[str], text: str = "text", base: dict[str, str] = BASE, templates: dict[str, str | tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """The `keep` columns of each document with what the scanner finds; labels are distinct, sorted and comma-joined.
 
     score: 1 if a template matches, one half if only a base phrase stands there, else 0.

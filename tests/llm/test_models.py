@@ -133,6 +133,42 @@ def test_license_templates(text, base, labels, n_base):
     assert (found[4], found[5], found[1]) == (base, labels, n_base)
 
 
+GPL = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU{} General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version."
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+BSD_3 = """3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission."""
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        (MIT, {"mit-grant"}),
+        (GPL.format(":", "", ",", 3), {"gpl", "gpl-3.0"}),
+        (GPL.format(";", "", ";", 2), {"gpl", "gpl-2.0"}),
+        (GPL.format(":", " Lesser", ",", 3), {"lgpl-3.0"}),
+        (GPL.format(";", " Lesser", ";", 2.1), {"lgpl-2.1"}),
+        (GPL.format(":", " Affero", ",", 3), {"agpl-3.0"}),
+        ('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.', {"apache", "apache-2.0"}),
+        ("Apache License\n    Version 2.0, January 2004\n    http://www.apache.org/licenses/", {"apache", "apache-2.0"}),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", {"cc-by-4.0"}),
+        ("Creative Commons Attribution-NonCommercial 4.0 International Public License", {"cc-by-nc-4.0"}),
+        (BSD, {"bsd-grant"}),
+        (BSD + "\n1. Redistributions of source code must retain the above copyright notice.\n" + BSD_3, {"bsd-grant", "bsd-3-clause"}),
+        ("Released under the MIT License", {"mit", "mit-notice"}),
+    ],
+)
+def test_license_templates_find_the_published_wording(text, labels):
+    found = licenses.Scanner().scan(f"/* Copyright 2020 A. Person\n\n{text} */ import os".encode())
+    assert found[5] == labels and found[7] == 1.0
+    assert licenses.Scanner().scan(" ".join(text.split()[::-1]).encode())[7] < 1.0
+
+
 def test_license_places_equal_brute_force(tables):
     draw = random.Random(9)
     scanner = licenses.Scanner()
