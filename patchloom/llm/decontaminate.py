@@ -129,13 +129,27 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int)
         yield [(r["id"], bytes(r["text"])) for r in block.collect()]
 
 
-def match_documents(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
-    """For each block of items: the `keep` columns of every document, its n_words and its longest matches."""
-    found = []
-    for items in item_blocks(benchmark, item_id, item_text, block_bytes):
+def match_documents(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The `keep` columns of every row, its n_words and its longest matches.
+
+    With several blocks of items, each row's text and matches so far are carried along to the next block.
+    """
+    inner = [f"__k{i}" for i in range(len(keep))]
+    body = inner[keep.index(text)] if text in keep else "__body"
+    df = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, inner, strict=True)], *([] if body in inner else [F.col(text).alias(body)]))
+    held: list[str] = []
+    blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
+    items = next(blocks)
+    while items is not None:
+        following = next(blocks, None)
         shared = docs.sparkSession.sparkContext.broadcast(Suffixes(items, window))
-        found.append(map_texts(docs, keep, text, FOUND, lambda texts, s=shared: s.value.measure(texts)))
-    return found
+        carried = [*inner, *held] if following is None or body in inner else [*inner, body, *held]
+        df = map_texts(df, carried, body, FOUND, lambda texts, s=shared: s.value.measure(texts))
+        name = f"__m{len(held)}"
+        df, held, items = df.withColumnRenamed("matches", name), [*held, name], following
+        if items is not None:
+            df = df.drop("n_words")
+    return df.select(*[F.col(k).alias(c) for c, k in zip(keep, inner, strict=True)], "n_words", F.concat(*held).alias("matches"))
 
 
 def hit_words(matches: Column) -> Column:
@@ -155,35 +169,16 @@ def summarize(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row for each document: doc_id, n_words, matches, n_hit, item_ids, contaminated.
-
-    With several blocks of items, rows of one doc_id are put together (and count as one document).
-    """
-    parts = match_documents(docs.select(doc_id, text), benchmark, [doc_id], text, **options)
-    if len(parts) == 1:
-        return summarize(parts[0])
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return summarize(every.groupBy(doc_id).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches")))
+    """One row for each row of docs: doc_id, n_words, matches, n_hit, item_ids, contaminated."""
+    return summarize(match_documents(docs, benchmark, [doc_id], text, **options))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents that are not contaminated, with all their columns.
-
-    With several blocks of items, matches of each block are carried along with the document to the next.
-    """
+    """The documents that are not contaminated, with all their columns."""
     inner = [f"__c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, inner, strict=True))
-    df, held = docs.toDF(*inner), []
-    spark = docs.sparkSession
-    for i, items in enumerate(item_blocks(benchmark, options.get("item_id", "item_id"), options.get("item_text", "text"), options.get("block_bytes", BLOCK_BYTES))):
-        shared = spark.sparkContext.broadcast(Suffixes(items, options.get("window", WINDOW)))
-        df = map_texts(df, [*inner, *held], at[text], FOUND, lambda texts, s=shared: s.value.measure(texts))
-        df = df.withColumnRenamed("matches", f"__m{i}").withColumnRenamed("n_words", "__n") if not held else df.withColumnRenamed("matches", f"__m{i}").drop("n_words")
-        held = ["__n", *[f"__m{k}" for k in range(i + 1)]]
-    every = df.withColumn("matches", F.concat(*held[1:])).withColumn("n_words", F.col("__n"))
-    return summarize(every).where(~F.col("contaminated")).select(*[F.col(v).alias(k) for k, v in at.items()])
+    every = summarize(match_documents(docs.toDF(*inner), benchmark, inner, at[text], **options))
+    return every.where(~F.col("contaminated")).select(*[F.col(v).alias(k) for k, v in at.items()])
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

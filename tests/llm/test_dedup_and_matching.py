@@ -72,6 +72,21 @@ def test_no_items_and_no_documents(spark, docs):
     assert decontaminate.decontaminate(docs.limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize("block", [8 << 20, 200], ids=["one block", "several blocks"])
+def test_decontamination_keeps_repeated_and_null_ids_apart(spark, block):
+    passage = [" ".join(f"p{k}w{i}" for i in range(20)) for k in range(6)]
+    own = " ".join(f"own{i}" for i in range(25))
+    rows = [(1, f"{passage[0]} {own}"), (1, own), (1, f"{own} {passage[3]}"), (None, passage[5]), (None, own), (None, None), (2, passage[1]), (2, passage[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(passage)), "item_id long, text string")
+    got = decontaminate.decontaminate(docs, benchmark, block_bytes=block).collect()
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    want = [(1, 45, 20, (0,)), (1, 25, 0, ()), (1, 45, 20, (3,)), (None, 20, 20, (5,)), (None, 25, 0, ()), (None, 0, 0, ()), (2, 20, 20, (1,)), (2, 20, 20, (1,))]
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"])) for r in got), key=key) == sorted(want, key=key)
+    assert all(r["contaminated"] == (r["n_hit"] > 0) for r in got)
+    assert (len(list(decontaminate.item_blocks(benchmark, "item_id", "text", block))) > 1) == (block == 200)
+
+
 def test_quality_counts_equal_brute_force(spark, docs):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
     for i, text in enumerate(texts()):
