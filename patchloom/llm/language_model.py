@@ -37,8 +37,6 @@ WIDTH = 24
 #: Input vectors for tokens outside of the classes, shared by hash.
 SHARED = 2048
 HEAD_WORDS = 300_000
-#: Every so many tokens of a training document, one is a target.
-STRIDE = 3
 BATCH, NOISE, RATE = 512, 48, 0.08
 #: Tokens whose class scores a task holds at once; few enough for them to stay in the processor's cache.
 STEP = 1024
@@ -221,6 +219,18 @@ class LogBilinear:
 PIECES = 16
 
 
+def learn_texts(model: LogBilinear, known: Vocabulary, texts: list[bytes | None], memo: dict, draw: np.random.Generator) -> int:
+    """Trains the model on every token of the texts as a target, in drawn order; their number."""
+    hashes, bounds = token_hashes(texts, memo)
+    _, classes = known.find(hashes)
+    context = model.contexts(hashes, classes, bounds)
+    chosen = draw.permutation(len(hashes))
+    for i in range(0, len(chosen), BATCH):
+        at = chosen[i : i + BATCH]
+        model.step(context[at], classes[at], draw.choice(CLASSES + 1, NOISE, p=model.noise))
+    return len(chosen)
+
+
 def train_model(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> LogBilinear:
     """One pass over all training documents, a model a task; the averages are taken by pieces of the weights."""
     spark = docs.sparkSession
@@ -235,14 +245,7 @@ def train_model(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") ->
             texts = batch.column(0).cast(pa.binary())
             sizes = np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(float))
             for a, b in sliced(sizes, 1 << 20):
-                hashes, bounds = token_hashes(texts.slice(a, b - a).to_pylist(), memo)
-                _, classes = known.find(hashes)
-                context = model.contexts(hashes, classes, bounds)
-                chosen = draw.permutation(np.arange(n % STRIDE, len(hashes), STRIDE))
-                for i in range(0, len(chosen), BATCH):
-                    at = chosen[i : i + BATCH]
-                    model.step(context[at], classes[at], draw.choice(CLASSES + 1, NOISE, p=model.noise))
-                n += len(chosen)
+                n += learn_texts(model, known, texts.slice(a, b - a).to_pylist(), memo, draw)
         if n:
             parts = np.array_split(model.flat(), PIECES)
             yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([n] * PIECES), pa.array([p.tobytes() for p in parts], pa.binary())], ["piece", "n", "weights"])

@@ -108,6 +108,23 @@ def test_noise_contrastive_training_learns():
     assert model.log_probability(context[100:500], classes[100:500]).mean() > before / 4 > before
 
 
+def test_every_training_token_is_a_target():
+    texts = [b"a b c a b", None, b"", b" ".join(b"w%d" % (i % 40) for i in range(1500))]
+    memo = language_model._Hashes()
+    hashes, _ = language_model.token_hashes(texts, memo)
+    token, c = np.unique(hashes, return_counts=True)
+    known = language_model.Vocabulary(token, c, np.arange(len(token)), len(hashes), len(token))
+    seen = []
+
+    class Recording(language_model.LogBilinear):
+        def step(self, context, target, noise):
+            seen.extend(target.tolist())
+            super().step(context, target, noise)
+
+    n = language_model.learn_texts(Recording(known.class_counts()), known, texts, memo, np.random.default_rng(1))
+    assert n == len(hashes) == 1509 and Counter(seen) == Counter(known.find(hashes)[1].tolist())
+
+
 def test_contexts_stay_in_their_document():
     classes = np.array([1, 2, 3, 4])
     out = language_model.LogBilinear.contexts(classes.astype(np.int64), classes, np.array([0, 3, 4]))
