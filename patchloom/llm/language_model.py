@@ -1,25 +1,29 @@
 """Language-model scores: a log-bilinear neural model trained with noise-contrastive estimation, and a unigram base.
 
-Words are counted over all training documents. The CLASSES most frequent tokens are the model's output words; all
-others share one class, inside of which the smoothed count decides. The model predicts the class from the ORDER
-tokens before: their vectors, each times the weights of its distance, add up to a query whose products with the
-output vectors, plus a bias, are the class scores. Training is noise-contrastive: true targets against words drawn
-from the unigram distribution. Every task trains on its own documents from one start, and the models are averaged by
-their targets. Scoring normalises with a softmax over all classes, in batched matrix products, so that a text's score
-is a log10 probability.
-
-Counts have no bound, so tasks hold those of the HEAD_WORDS most frequent tokens alone; a document's rarer tokens go
-through a join with the counts. Tokens are known by 64-bit hashes.
+Words are counted over all training documents. The WORDS most frequent ones have output vectors, in classes of equal
+size by frequency, about as many classes as words in each; all other words are one more class, inside of which the
+smoothed count decides. From the ORDER tokens before, their vectors, each times the weights of its distance, add up to
+a query. Its products with the class vectors, and with the vectors of the words in the class, are the scores of the two
+levels. Training is noise-contrastive on both: true targets against classes, and words of the target's class, drawn by
+their counts; every training token is a target. Every task trains on its own documents from one start, and each row of
+weights is averaged over the tasks by how often they used it. Scoring normalises with softmaxes over all classes and
+over all words of the class, in batched matrix products, so that a text's score is a log10 probability.
+
+Counts have no bound, so tasks hold those of at most HEAD_WORDS tokens, all that reach a count which the driver finds
+from a histogram; a document's rarer tokens, each once with its number, go through a join with the counts. Tokens are
+known by 64-bit hashes.
 
 Null and empty texts are the end token alone. Repeated rows get a row each. Learning leaves out documents whose crc32
 (of the doc_id as text) mod 5 is 1; a null doc_id is not held out. Without training documents all scores come from
-the smoothing alone.
+the smoothing alone. A text larger than a slice is handled alone, whole. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,92 +35,83 @@ from pyspark.sql import types as T
 from .common import flatten, lower_space_words, map_texts, materialize, sliced
 from .quality_model import remainder
 
-CLASSES = 256
+#: Words with output vectors at most, and the training count that such a word has at least.
+WORDS, MIN_COUNT = 16_384, 2
 ORDER = 5
-WIDTH = 24
-#: Input vectors for tokens outside of the classes, shared by hash.
+WIDTH = 16
+#: Input vectors for all other tokens, shared by hash.
 SHARED = 2048
 HEAD_WORDS = 300_000
-BATCH, NOISE, RATE = 512, 48, 0.08
-#: Tokens whose class scores a task holds at once; few enough for them to stay in the processor's cache.
-STEP = 1024
+BATCH, NOISE, RATE = 8192, 16, 0.05
+#: Score matrices have this many entries at most.
+STEP_SCORES = 1 << 20
+PIECES = 16
 
 END = b"\n"  # no word holds white space
 
 
-class _Hashes(dict):
-    """Word -> signed 64-bit hash, for the words seen."""
+def token_hash(word: bytes) -> int:
+    found = xxhash.xxh64_intdigest(word)
+    return found - (1 << 64) if found >> 63 else found
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        found = xxhash.xxh64_intdigest(word)
-        found = self[word] = found - (1 << 64) if found >> 63 else found
-        return found
 
+def _slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[bytes | None]]:
+    import pyarrow.compute  # noqa: F401
 
-def token_hashes(texts: list[bytes | None], memo: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each document's words and then its end, and where documents begin."""
-    words, bounds = flatten([lower_space_words(t) + [END] for t in texts])
-    return np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), bounds
+    for batch in batches:
+        texts = batch.column(0).cast(pa.binary())
+        sizes = np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(float))
+        for a, b in sliced(sizes, limit):
+            yield texts.slice(a, b - a).to_pylist()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token counts of the texts of a task, handed on whenever there are many."""
-    memo, held, size = _Hashes(), [], 0
+    seen: Counter = Counter()
 
-    def summed() -> pa.RecordBatch:
-        keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        return keys, np.bincount(back, np.concatenate([c for _, c in held])).astype(np.int64)
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(map(token_hash, seen), pa.int64()), pa.array(seen.values(), pa.int64())], ["token", "c"])
 
-    for batch in batches:
-        texts = batch.column(0).cast(pa.binary())
-        sizes = np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(float))
-        for a, b in sliced(sizes, 2 << 20):
-            hashes, _ = token_hashes(texts.slice(a, b - a).to_pylist(), memo)
-            held.append(np.unique(hashes, return_counts=True))
-            size += len(held[-1][0])
-        if size > 2_000_000:
-            held = [summed()]
-            size = len(held[0][0])
-            if size > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["token", "c"])
-                held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed()], ["token", "c"])
+    for texts in _slices(batches, 1 << 20):
+        for text in texts:
+            seen.update(lower_space_words(text))
+        seen[END] += len(texts)
+        if len(seen) > 1_000_000:
+            yield made()
+            seen.clear()
+    if seen:
+        yield made()
 
 
 def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """token (hash) and c, its count in all texts."""
-    import pyarrow.compute  # noqa: F401
-
     return docs.select(text).mapInArrow(_count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 @dataclass
 class Vocabulary:
-    """The head's tokens (sorted hashes) with counts and classes, and the totals of all."""
+    """The head: tokens (sorted hashes) with their ranks by count, counts by rank; and the totals of all tokens."""
 
     token: np.ndarray
-    c: np.ndarray
     rank: np.ndarray
+    c: np.ndarray
     n: int
     distinct: int
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """count (0 outside of the head) and class (CLASSES for any other token)."""
+    def __post_init__(self) -> None:
+        self.words = int(min(WORDS, (self.c >= MIN_COUNT).sum()))
+        self.classes = max(1, int(np.ceil(np.sqrt(self.words))))
+        self.per_class = max(1, -(-self.words // self.classes))
+        self.classes = -(-self.words // self.per_class)
+        #: The target that stands for all words without an output vector.
+        self.rest = self.classes * self.per_class
+
+    def ranks(self, tokens: np.ndarray) -> np.ndarray:
+        """Each token's rank, or -1 outside of the head."""
         if not len(self.token):
-            return np.zeros(len(hashes), np.int64), np.full(len(hashes), CLASSES)
-        at = np.minimum(np.searchsorted(self.token, hashes), len(self.token) - 1)
-        hit = self.token[at] == hashes
-        return np.where(hit, self.c[at], 0), np.where(hit, np.minimum(self.rank[at], CLASSES), CLASSES)
-
-    def class_counts(self) -> np.ndarray:
-        out = np.zeros(CLASSES + 1)
-        top = self.rank < CLASSES
-        out[self.rank[top]] = self.c[top]
-        out[CLASSES] = self.n - out.sum()
-        return out
+            return np.full(len(tokens), -1)
+        at = np.minimum(np.searchsorted(self.token, tokens), len(self.token) - 1)
+        return np.where(self.token[at] == tokens, self.rank[at], -1)
 
     @property
     def base_mass(self) -> float:
@@ -124,185 +119,315 @@ class Vocabulary:
 
     @property
     def rest_mass(self) -> float:
-        """Smoothed mass of the tokens that share the last class, one unseen token included."""
-        return float(self.class_counts()[CLASSES]) + 0.5 * (max(0, self.distinct - CLASSES) + 1)
-
-
-def head_of(counts: DataFrame) -> Vocabulary:
-    """The HEAD_WORDS most frequent tokens, brought to the driver as arrays of fixed size at most."""
-    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(HEAD_WORDS).toArrow()
+        """Smoothed mass of the words without output vectors, one unseen word included."""
+        return float(self.n - self.c[: self.words].sum()) + 0.5 * (self.distinct - self.words + 1)
+
+
+def head_of(counts: DataFrame, most: int | None = None) -> Vocabulary:
+    """All tokens that reach a count such that there are HEAD_WORDS at most, as arrays on the driver."""
+    most = HEAD_WORDS if most is None else most
+    # a histogram over steps of the logarithm of the count: a few hundred rows
+    step = F.floor(F.log2(F.col("c").cast("double")) * 16)
+    found = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"), F.min("c").alias("least")).orderBy(F.desc("step")).collect()
+    held, least = 0, None
+    for r in found:
+        if held + r["v"] > most:
+            break
+        held, least = held + r["v"], r["least"]
+    top = counts.where(F.col("c") >= (1 << 62 if least is None else least)).toArrow()
     token, c = top.column("token").to_numpy(), top.column("c").to_numpy()
+    by = np.lexsort((token, -c))
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
     order = np.argsort(token)
-    return Vocabulary(token[order], c[order], np.arange(len(token))[order], total["n"] or 0, total["v"])
+    return Vocabulary(token[order], rank[order], c[by], sum(r["n"] for r in found), sum(r["v"] for r in found))
+
+
+class Codes:
+    """Codes of words: the rank in the head, or -1, -2, ... for other words, whose hashes are in `tail` in that order."""
+
+    def __init__(self, known: Vocabulary):
+        self.known = known
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.code, self.tail = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all tokens, each document's words and then its end, and where documents begin."""
+        if len(self.seen) > 500_000:
+            self.clear()
+        words, bounds = flatten([lower_space_words(t) + [END] for t in texts])
+        places = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+        fresh = list(islice(self.seen, len(self.code), None))
+        tokens = np.fromiter(map(token_hash, fresh), np.int64, len(fresh))
+        code = self.known.ranks(tokens)
+        code[code < 0] = -1 - len(self.tail) - np.arange((code < 0).sum())
+        self.code, self.tail = np.concatenate([self.code, code]), np.concatenate([self.tail, tokens[code < 0]])
+        return self.code[places], bounds
 
 
 class LogBilinear:
-    """vectors of input tokens, weights of the distances, output vectors and biases."""
+    """Rows of weights, WIDTH and a bias each: input vectors, distance weights, class vectors, word vectors."""
 
-    def __init__(self, class_counts: np.ndarray):
+    def __init__(self, known: Vocabulary):
+        self.known = known
         draw = np.random.default_rng(20)
-        self.noise = (class_counts + 0.5) / (class_counts + 0.5).sum()
-        self.input = draw.normal(0, 0.1, (CLASSES + SHARED + 1, WIDTH)).astype(np.float32)
-        self.input[-1] = 0  # before the first token
-        self.distance = np.ones((ORDER, WIDTH), np.float32)
-        self.output = draw.normal(0, 0.1, (CLASSES + 1, WIDTH)).astype(np.float32)
-        self.bias = np.log(self.noise).astype(np.float32)
-        self.squares = [np.full(x.shape, 0.1, np.float32) for x in self.parts()]
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.input, self.distance, self.output, self.bias]
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.parts()])
-
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for x in self.parts():
-            x[...] = flat[at : at + x.size].reshape(x.shape)
-            at += x.size
-
-    @staticmethod
-    def contexts(hashes: np.ndarray, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Input vector numbers of the ORDER tokens before each token, the nearest first."""
-        own = np.where(classes < CLASSES, classes, CLASSES + (hashes.view(np.uint64) % np.uint64(SHARED)).astype(np.int64))
-        place = np.arange(len(own)) - np.repeat(bounds[:-1], np.diff(bounds))
-        out = np.full((len(own), ORDER), CLASSES + SHARED, np.int64)
-        for i in range(min(ORDER, max(0, len(own) - 1))):
-            out[i + 1 :, i] = np.where(place[i + 1 :] > i, own[: -(i + 1)], CLASSES + SHARED)
+        v, k = known.rest, known.classes + 1
+        self.inputs, self.pad = 0, v + SHARED
+        self.at_distance = self.pad + 1
+        self.at_class = self.at_distance + ORDER
+        self.at_word = self.at_class + k
+        self.rows = draw.normal(0, 0.1, (self.at_word + v, WIDTH + 1)).astype(np.float32)
+        self.rows[self.pad] = 0  # before the first token
+        self.rows[self.at_distance : self.at_class] = 1
+        counts = np.zeros(v + 1)
+        counts[: known.words] = known.c[: known.words] + 0.5
+        self.cumulated = np.concatenate([[0], np.cumsum(counts)])
+        mass = np.add.reduceat(counts, np.arange(0, v + 1, known.per_class))
+        mass[-1] = known.rest_mass
+        self.class_noise = mass / mass.sum()
+        self.word_noise = np.maximum(counts[:v], 1e-9) / np.repeat(mass[:-1], known.per_class)
+        self.rows[self.at_class : self.at_word, WIDTH] = np.log(self.class_noise)
+        self.rows[self.at_word :, WIDTH] = np.log(self.word_noise)
+        self.rows[self.at_word + known.words :, WIDTH] = -1e4  # places of the last class that no word has
+        self.class_chance, self.word_chance = (np.log(NOISE * x).astype(np.float32) for x in (self.class_noise, self.word_noise))
+        self.squares = np.full(self.rows.shape, 0.1, np.float32)
+        self.used = np.zeros(len(self.rows))
+
+    def layout(self, codes: np.ndarray, bounds: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Input rows and targets in one line, ORDER empty places before each document; and the tokens' places in it."""
+        own = codes.copy()
+        rare = np.flatnonzero((codes < 0) | (codes >= self.known.words))
+        low = codes[rare]
+        spread = low % SHARED
+        spread[low < 0] = tail[-1 - low[low < 0]] % SHARED
+        own[rare] = self.known.rest + spread
+        spot = np.arange(len(codes)) + ORDER * (1 + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)))
+        line = np.full(len(codes) + ORDER * (len(bounds) - 1), self.pad)
+        target = np.full(len(line), -1)
+        line[spot] = own
+        target[spot] = np.where((codes < 0) | (codes >= self.known.words), self.known.rest, codes)
+        return line, target, spot
+
+    def queries(self, near: np.ndarray) -> np.ndarray:
+        """The queries of all places but the first ORDER, from the input vectors of all; the last column is 1."""
+        n = len(near) - ORDER
+        out = np.ones((n, WIDTH + 1), np.float32)
+        query = out[:, :WIDTH]
+        np.multiply(near[ORDER - 1 : -1], self.rows[self.at_distance, :WIDTH], out=query)
+        for i in range(1, ORDER):
+            query += near[ORDER - 1 - i : len(near) - 1 - i] * self.rows[self.at_distance + i, :WIDTH]
         return out
 
-    def step(self, context: np.ndarray, target: np.ndarray, noise: np.ndarray) -> None:
-        """One ascent on the noise-contrastive objective, with the same noise words for the whole batch."""
-        near = self.input[context]  # batch, distance, width
-        query = (near * self.distance).sum(axis=1)
-        chance = np.log(NOISE * self.noise).astype(np.float32)
-        true = 1 - 1 / (1 + np.exp(-((query * self.output[target]).sum(axis=1) + self.bias[target] - chance[target])))
-        false = -1 / (1 + np.exp(-(query @ self.output[noise].T + self.bias[noise] - chance[noise])))
-        d_query = true[:, None] * self.output[target] + false @ self.output[noise]
-        d_near = (d_query[:, None, :] * self.distance).reshape(-1, WIDTH)
-        hit, d_output = self._gathered(np.concatenate([target, noise]), np.concatenate([true[:, None] * query, false.T @ query]))
-        d_bias = np.bincount(np.concatenate([target, noise]), np.concatenate([true, false.sum(axis=0)]), CLASSES + 1)
-        used, d_input = self._gathered(context.ravel(), d_near)
-        d_input[used == len(self.input) - 1] = 0
-        d_distance = (d_query[:, None, :] * near).sum(axis=0)
-        everything = slice(None)
-        for x, square, rows, gradient in zip(self.parts(), self.squares, (used, everything, hit, everything), (d_input, d_distance, d_output, d_bias), strict=True):
-            gradient = (gradient / len(target)).astype(np.float32)
-            square[rows] += gradient**2
-            x[rows] += RATE * gradient / np.sqrt(square[rows])
+    def _against_noise(self, query: np.ndarray, held: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients by the queries and by the noise rows; chance: the log of the expected number of each."""
+        false = query @ held.T
+        false -= chance
+        np.negative(false, out=false)
+        np.exp(false, out=false)
+        false += 1
+        np.divide(-1, false, out=false)
+        return false @ held, false.T @ query
+
+    def _for_true(self, query: np.ndarray, own: np.ndarray, chance: np.ndarray, gradient: np.ndarray, first_row: int) -> np.ndarray:
+        """Gradient by the queries; that by the rows is added. own: each query's row, in order."""
+        held = self.rows[own]
+        true = np.einsum("ij,ij->i", query, held)
+        true -= chance
+        true = 1 / (1 + np.exp(true))
+        head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        gradient[own[head] - first_row] += np.add.reduceat(true[:, None] * query, head, axis=0)
+        return true[:, None] * held
 
     @staticmethod
-    def _gathered(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct numbers, and the sum of the rows of each."""
-        order = np.argsort(index, kind="stable")
-        index = index[order]
-        first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-        return index[first], np.add.reduceat(rows[order], first, axis=0)
-
-    def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log of each target's class probability, normalised over all classes."""
+        by = np.argsort(index.astype(np.uint16) if index.max(initial=0) < 1 << 16 else index, kind="stable")
+        index = index[by]
+        head = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+        return index[head], np.add.reduceat(rows[by], head, axis=0)
+
+    def _ascend(self, rows: np.ndarray, gradient: np.ndarray) -> None:
+        square = self.squares[rows] + gradient**2
+        self.squares[rows] = square
+        self.rows[rows] += RATE * gradient / np.sqrt(square)
+
+    def step(self, line: np.ndarray, target: np.ndarray, draw: np.random.Generator) -> int:
+        """One ascent on the noise-contrastive objective of all targets but the first ORDER places; their number."""
+        known = self.known
+        near = self.rows[line, :WIDTH]
+        every = self.queries(near)
+        target = target[ORDER:]
+        real = np.flatnonzero(target >= 0)
+        if not len(real):
+            return 0
+        own = target[real]
+        by = np.argsort(own.astype(np.uint16) if known.rest < 1 << 16 else own, kind="stable")
+        real, own = real[by], own[by]
+        query = every[real]
+        kind = own // known.per_class
+        gradient = np.zeros((len(self.rows) - self.at_class, WIDTH + 1), np.float32)
+        # classes
+        noise = np.minimum(np.searchsorted(np.cumsum(self.class_noise), draw.random(NOISE), "right"), known.classes)
+        d_query, d_noise = self._against_noise(query, self.rows[self.at_class + noise], self.class_chance[noise])
+        np.add.at(gradient, noise, d_noise)
+        d_query += self._for_true(query, self.at_class + kind, self.class_chance[kind], gradient, self.at_class)
+        # words of the classes, a block of queries each
+        inside = int(np.searchsorted(own, known.rest))
+        if inside:
+            edge = np.searchsorted(own[:inside], np.arange(known.classes + 1) * known.per_class)
+            low, high = (self.cumulated[np.arange(known.classes) * known.per_class + x] for x in (0, known.per_class))
+            words = np.searchsorted(self.cumulated, low[:, None] + draw.random((known.classes, NOISE)) * (high - low)[:, None], "right") - 1
+            words = np.minimum(words, known.words - 1)
+            held, chance, d_held = self.rows[self.at_word + words], self.word_chance[words], np.zeros((known.classes, NOISE, WIDTH + 1), np.float32)
+            for k in np.flatnonzero(np.diff(edge)).tolist():
+                a, b = edge[k], edge[k + 1]
+                d_part, d_held[k] = self._against_noise(query[a:b], held[k], chance[k])
+                d_query[a:b] += d_part
+            drawn, d_drawn = self._summed(words.ravel(), d_held.reshape(-1, WIDTH + 1))
+            gradient[self.at_word - self.at_class + drawn] += d_drawn
+            d_query[:inside] += self._for_true(query[:inside], self.at_word + own[:inside], self.word_chance[own[:inside]], gradient, self.at_class)
+        hit = np.flatnonzero(gradient.any(axis=1))
+        # back to the input vectors
+        back = np.zeros((len(every), WIDTH), np.float32)
+        back[real] = d_query[:, :WIDTH]
+        d_near, d_distance = np.zeros_like(near), np.zeros((ORDER, WIDTH + 1), np.float32)
+        for i in range(ORDER):
+            a, b = ORDER - 1 - i, len(near) - 1 - i
+            d_distance[i, :WIDTH] = np.einsum("ij,ij->j", back, near[a:b])
+            d_near[a:b] += back * self.rows[self.at_distance + i, :WIDTH]
+        used, summed = self._summed(line, d_near)
+        d_input = np.zeros((len(used), WIDTH + 1), np.float32)
+        d_input[:, :WIDTH] = summed
+        d_input[used == self.pad] = 0
+        for rows, part in ((used, d_input), (np.arange(self.at_distance, self.at_class), d_distance), (self.at_class + hit, gradient[hit])):
+            self._ascend(rows, part)
+        self.used[: self.at_distance] += np.bincount(line, minlength=self.at_distance)
+        self.used[self.at_distance : self.at_word] += len(real)
+        self.used[self.at_word + np.arange(known.rest)] += np.bincount(own[:inside], minlength=known.rest)
+        self.used[self.at_class + hit] += 1
+        return len(real)
+
+    def log_probability(self, query: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log of each target's probability, normalised over the classes and over the words of its class."""
+        known = self.known
+        by = np.argsort(target, kind="stable")
+        query, own = query[by], target[by]
+        kind = own // known.per_class
+        edge = np.searchsorted(own, np.arange(known.classes + 1) * known.per_class)
+        found = self._log_softmax(query, self.at_class, known.classes + 1, kind)
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            a, b = edge[k], edge[k + 1]
+            first = self.at_word + k * known.per_class
+            found[a:b] += self._log_softmax(query[a:b], first, known.per_class, own[a:b] - k * known.per_class)
         out = np.empty(len(target))
-        for a in range(0, len(target), STEP):
-            query = self.input[context[a : a + STEP, 0]] * self.distance[0]
-            for i in range(1, ORDER):
-                query += self.input[context[a : a + STEP, i]] * self.distance[i]
-            score = query @ self.output.T
-            score += self.bias
+        out[by] = found
+        return out
+
+    def _log_softmax(self, query: np.ndarray, first: int, n: int, own: np.ndarray) -> np.ndarray:
+        held = np.ascontiguousarray(self.rows[first : first + n].T)
+        out = np.empty(len(query))
+        step = max(1, STEP_SCORES // n)
+        for a in range(0, len(query), step):
+            score = query[a : a + step] @ held
             score -= score.max(axis=1, keepdims=True)
-            own = score[np.arange(len(score)), target[a : a + STEP]].astype(float)
+            mine = score[np.arange(len(score)), own[a : a + step]].astype(float)
             np.exp(score, out=score)
-            out[a : a + STEP] = own - np.log(score.sum(axis=1).astype(float))
+            out[a : a + step] = mine - np.log(score.sum(axis=1).astype(float))
         return out
 
 
-PIECES = 16
-
-
-def learn_texts(model: LogBilinear, known: Vocabulary, texts: list[bytes | None], memo: dict, draw: np.random.Generator) -> int:
-    """Trains the model on every token of the texts as a target, in drawn order; their number."""
-    hashes, bounds = token_hashes(texts, memo)
-    _, classes = known.find(hashes)
-    context = model.contexts(hashes, classes, bounds)
-    chosen = draw.permutation(len(hashes))
-    for i in range(0, len(chosen), BATCH):
-        at = chosen[i : i + BATCH]
-        model.step(context[at], classes[at], draw.choice(CLASSES + 1, NOISE, p=model.noise))
-    return len(chosen)
+def learn_texts(model: LogBilinear, codes: Codes, texts: list[bytes | None], draw: np.random.Generator) -> int:
+    """Trains the model on every token of the texts as a target; their number."""
+    line, target, _ = model.layout(*codes.encode(texts), codes.tail)
+    return sum(model.step(line[a - ORDER : a + BATCH], target[a - ORDER : a + BATCH], draw) for a in range(ORDER, len(line), BATCH))
 
 
-def train_model(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> LogBilinear:
-    """One pass over all training documents, a model a task; the averages are taken by pieces of the weights."""
+def train_model(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> np.ndarray:
+    """The rows after one pass over all training documents, a model a task, averaged by pieces of the rows."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         known = shared.value
-        model, memo, n, draw = LogBilinear(known.class_counts()), _Hashes(), 0, np.random.default_rng(5)
-        for batch in batches:
-            texts = batch.column(0).cast(pa.binary())
-            sizes = np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(float))
-            for a, b in sliced(sizes, 1 << 20):
-                n += learn_texts(model, known, texts.slice(a, b - a).to_pylist(), memo, draw)
+        model, codes, n, draw = LogBilinear(known), Codes(known), 0, np.random.default_rng(5)
+        for texts in _slices(batches, 1 << 20):
+            n += learn_texts(model, codes, texts, draw)
         if n:
-            parts = np.array_split(model.flat(), PIECES)
-            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([n] * PIECES), pa.array([p.tobytes() for p in parts], pa.binary())], ["piece", "n", "weights"])
+            weights = [p.tobytes() for p in np.array_split(model.rows, PIECES)]
+            used = [p.astype(np.float32).tobytes() for p in np.array_split(model.used, PIECES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(weights, pa.binary()), pa.array(used, pa.binary())], ["piece", "weights", "used"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
-            for piece, n, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                total = held.setdefault(piece, [0, 0.0])
-                total[0] += n
-                total[1] = total[1] + n * np.frombuffer(weights, np.float32).astype(float)
-        for piece, (n, weights) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([(weights / n).astype(np.float32).tobytes()], pa.binary())], ["piece", "weights"])
-
-    trained = docs.select(text).mapInArrow(learn, "piece int, n long, weights binary")
+            for piece, weights, used in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                times = np.frombuffer(used, np.float32).astype(float)[:, None] + 1e-6
+                rows = np.frombuffer(weights, np.float32).reshape(-1, WIDTH + 1)
+                total = held.setdefault(piece, [0.0, 0.0])
+                total[0] = total[0] + times
+                total[1] = total[1] + times * rows
+        for piece, (times, rows) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([(rows / times).astype(np.float32).tobytes()], pa.binary())], ["piece", "weights"])
+
+    trained = docs.select(text).mapInArrow(learn, "piece int, weights binary, used binary")
     pieces = trained.repartition(PIECES, "piece").mapInArrow(average, "piece int, weights binary").collect()  # one model
-    model = LogBilinear(vocabulary.class_counts())
-    if pieces:
-        model.load(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(pieces, key=lambda r: r["piece"])]))
-    return model
+    if not pieces:
+        return LogBilinear(vocabulary).rows
+    return np.concatenate([np.frombuffer(r["weights"], np.float32).reshape(-1, WIDTH + 1) for r in sorted(pieces, key=lambda r: r["piece"])])
 
 
+LONGS = T.ArrayType(T.LongType())
 HEAD_SCORES = T.StructType([
     T.StructField("n_tokens", T.LongType()), T.StructField("n_head", T.LongType()), T.StructField("head_base", T.DoubleType()),
-    T.StructField("head_score", T.DoubleType()), T.StructField("tail", T.ArrayType(T.LongType())),
+    T.StructField("head_score", T.DoubleType()), T.StructField("tail", LONGS), T.StructField("times", LONGS),
 ])
 
 
-def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: LogBilinear, keep: list[str], text: str = "text") -> DataFrame:
+def head_scores(model: LogBilinear, codes: Codes, texts: list[bytes | None]) -> list:
+    """For each text: tokens, those of the head, their base and model scores (all of the model's for others but the count), and the other tokens with their numbers."""
+    known = model.known
+    code, bounds = codes.encode(texts)
+    line, target, spot = model.layout(code, bounds, codes.tail)
+    query = model.queries(model.rows[line, :WIDTH])[spot - ORDER]
+    score = model.log_probability(query, target[spot]) / np.log(10)
+    in_head = code >= 0
+    smoothed = np.log10((known.c[np.maximum(code, 0)] if len(known.c) else np.zeros(len(code))) + 0.5)
+    score += np.where(in_head & (code >= known.words), smoothed - np.log10(known.rest_mass), 0.0)
+    base = np.where(in_head, smoothed - np.log10(known.base_mass), 0.0)
+    head = bounds[:-1]
+    rare = np.flatnonzero(~in_head)
+    n = max(1, len(codes.tail))
+    pair, times = np.unique(np.repeat(np.arange(len(texts)), np.diff(bounds))[rare] * n + (-1 - code[rare]), return_counts=True)
+    ends = pa.array(np.searchsorted(pair, np.arange(len(texts) + 1) * n), pa.int32())
+    tail = codes.tail[pair % n]
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (tail, times)]
+    return [np.diff(bounds), np.add.reduceat(in_head.astype(np.int64), head), np.add.reduceat(base, head), np.add.reduceat(score, head), *lists]
+
+
+def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, rows: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
     """The `keep` columns of each document with n_tokens, n_known, base_score and score."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model.flat()))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, rows))
+    held: list = []
 
     def run(texts: list[bytes | None]) -> list:
-        known, flat = shared.value
-        lbl = LogBilinear(known.class_counts())
-        lbl.load(flat)
-        hashes, bounds = token_hashes(texts, _Hashes())
-        c, classes = known.find(hashes)
-        smoothed = np.log10(c + 0.5)
-        in_head = c > 0
-        score = lbl.log_probability(lbl.contexts(hashes, classes, bounds), classes) / np.log(10)
-        rest = classes == CLASSES
-        score += np.where(rest & in_head, smoothed - np.log10(known.rest_mass), 0.0)
-        base = np.where(in_head, smoothed - np.log10(known.base_mass), 0.0)
-        head = bounds[:-1]
-        tail = hashes[~in_head]
-        ends = np.cumsum(np.add.reduceat((~in_head).astype(np.int64), head))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(tail))
-        return [np.diff(bounds), np.add.reduceat(in_head.astype(np.int64), head), np.add.reduceat(base, head), np.add.reduceat(score, head), lists]
+        if not held:
+            known, weights = shared.value
+            model = LogBilinear(known)
+            model.rows = weights
+            held.extend((model, Codes(known)))
+        return head_scores(*held, texts)
 
     scored = materialize(map_texts(docs, keep, text, HEAD_SCORES, run).withColumn("__row", F.monotonically_increasing_id()))
-    rare = scored.select("__row", F.explode("tail").alias("token"))
+    rare = scored.select("__row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("__row", F.col("t.tail").alias("token"), F.col("t.times").alias("times"))
     found = rare.join(counts, "token", "left")
-    sums = found.groupBy("__row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.count(F.lit(1)).alias("n"), F.count("c").alias("known"))
+    known = F.sum(F.when(F.col("c").isNotNull(), F.col("times")))
+    sums = found.groupBy("__row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.sum("times").alias("n"), known.alias("known"))
     zero = F.lit(0)
     logs, n, known = F.coalesce("logs", F.lit(0.0)), F.coalesce("n", zero), F.coalesce("known", zero)
-    return scored.drop("tail").join(sums, "__row", "left").select(
+    return scored.drop("tail", "times").join(sums, "__row", "left").select(
         *keep,
         "n_tokens",
         (F.col("n_head") + known).alias("n_known"),
@@ -318,8 +443,7 @@ def language_model_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     training = own.where(~held_out)
     counts = materialize(count_tokens(training))
     vocabulary = head_of(counts)
-    model = train_model(training, vocabulary)
-    scored = score_texts(own, counts, vocabulary, model, ["doc_id"])
+    scored = score_texts(own, counts, vocabulary, train_model(training, vocabulary), ["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

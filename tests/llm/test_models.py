@@ -1,12 +1,10 @@
-import math
 import random
 import zlib
-from collections import Counter
 
 import numpy as np
 import pytest
 
-from patchloom.llm import language_model, licenses, quality_model, toxicity
+from patchloom.llm import licenses, quality_model, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -72,66 +70,6 @@ def test_toxicity_on_held_out(tables):
     assert {r["p_toxic"] for r in toxicity.score_toxicity(docs, empty, ["doc_id"]).collect()} == {0.5}
 
 
-def test_language_model_base_and_normalisation(tables, monkeypatch):
-    docs, _ = tables
-    rows = [(i, t) for i, t, _, _ in corpus()] + [(900, None), (901, ""), (None, "w1 w2")]
-    tokens = lambda t: (t or "").lower().split() + ["\n"]
-    counts = Counter(w for i, t in rows if i is None or not held(i, 5, 1) for w in tokens(t))
-    total, distinct = sum(counts.values()), len(counts)
-    for head in (300_000, 30):  # all words in the head, or most through the join
-        monkeypatch.setattr(language_model, "HEAD_WORDS", head)
-        got = {r["doc_id"]: r for r in language_model.language_model_scores(docs).collect()}
-        for i, t in rows:
-            r = got[i]
-            base = sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in tokens(t))
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), total, i is not None and held(i, 5, 1))
-            assert abs(r["base_score"] - base) < 1e-6 and r["score"] < 0
-
-
-def test_class_probabilities_sum_to_one():
-    model = language_model.LogBilinear(np.arange(language_model.CLASSES + 1.0))
-    context = np.full((language_model.CLASSES + 1, language_model.ORDER), 3)
-    assert abs(np.exp(model.log_probability(context, np.arange(language_model.CLASSES + 1))).sum() - 1) < 1e-5
-
-
-def test_noise_contrastive_training_learns():
-    draw = np.random.default_rng(3)
-    counts = np.zeros(language_model.CLASSES + 1)
-    counts[:4] = 1000
-    model = language_model.LogBilinear(counts)
-    classes = np.tile(np.arange(4), 3000)  # 0 1 2 3 0 1 2 3: the next class is certain
-    context = model.contexts(classes.astype(np.int64), classes, np.array([0, len(classes)]))
-    before = model.log_probability(context[100:500], classes[100:500]).mean()
-    for _ in range(150):
-        at = draw.choice(len(classes), 256)
-        model.step(context[at], classes[at], draw.choice(len(counts), language_model.NOISE, p=model.noise))
-    assert model.log_probability(context[100:500], classes[100:500]).mean() > before / 4 > before
-
-
-def test_every_training_token_is_a_target():
-    texts = [b"a b c a b", None, b"", b" ".join(b"w%d" % (i % 40) for i in range(1500))]
-    memo = language_model._Hashes()
-    hashes, _ = language_model.token_hashes(texts, memo)
-    token, c = np.unique(hashes, return_counts=True)
-    known = language_model.Vocabulary(token, c, np.arange(len(token)), len(hashes), len(token))
-    seen = []
-
-    class Recording(language_model.LogBilinear):
-        def step(self, context, target, noise):
-            seen.extend(target.tolist())
-            super().step(context, target, noise)
-
-    n = language_model.learn_texts(Recording(known.class_counts()), known, texts, memo, np.random.default_rng(1))
-    assert n == len(hashes) == 1509 and Counter(seen) == Counter(known.find(hashes)[1].tolist())
-
-
-def test_contexts_stay_in_their_document():
-    classes = np.array([1, 2, 3, 4])
-    out = language_model.LogBilinear.contexts(classes.astype(np.int64), classes, np.array([0, 3, 4]))
-    pad = language_model.CLASSES + language_model.SHARED
-    assert out[:, 0].tolist() == [pad, 1, 2, pad] and out[2, :3].tolist() == [2, 1, pad]
-
-
 @pytest.mark.parametrize(
     "text, base, labels, n_base",
     [
