@@ -115,14 +115,28 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: computed once, and safe from lost executors."""
+def materialize(df: DataFrame, done_with: list[DataFrame] | None = None) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: computed once, and safe from lost executors.
+
+    done_with: tables of this kind that df came from and that nothing else reads; they are deleted once df is whole.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for table in done_with or []:
+        forget(table)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Deletes what materialize wrote for a table."""
+    spark = table.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+        if "/tables/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_small(df: DataFrame, small: DataFrame, key: str, salt_by: Column, how: str = "left", limit: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
     """df joined null-safely on `key` with a table of one row a key, whatever share of df's rows has one key.
 

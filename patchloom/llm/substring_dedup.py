@@ -1,22 +1,29 @@
 """Substring deduplication by relative Lempel-Ziv factors.
 
-The reference of a document is all documents with a smaller doc_id. Its index maps each phrase of WINDOW words to the
-earliest document that holds it; parsing a document greedily into factors, a factor goes on as long as the next
-phrase lies in the same reference document. At a factor's end the phrases that cross over are looked up as well, so
-that none is missed. Factors are at least WINDOW words long; their words are removed.
+The reference of a document is all documents with a smaller doc_id, indexed in blocks: shuffle partitions that map each
+phrase of WINDOW words to the first place, in the earliest document, where it stands. A document is parsed greedily: a
+factor starts at the first phrase that the index knows, with its reference and the place in it, and goes on to the
+longest piece that stands there. Where the index names another place for the next phrase, the reference may go on as
+well; its own index entries tell, as equal phrases have equal entries (a phrase that a reference holds twice may end
+a factor early). Phrases that cross a factor's end are looked up
+too, and start the next factor. So each factor is a verbatim piece of its reference, and each known phrase lies in a
+factor. Factors are at least WINDOW words long; their words are removed.
 
 The index is a shuffle and not a broadcast. Most phrases occur once, and they must not be shuffled: each phrase has an
 anchor, the smallest hash of its ANCHOR-word runs, and only one in twenty positions is one. Anchors go first; phrases
 follow only where their anchor occurs in two documents. A phrase's key is two 64-bit hashes, its own and its anchor's.
+Small sides of joins are written before, so that Spark can split a phrase or anchor that very many documents share.
 
-Null and empty texts, and texts of fewer than WINDOW words, keep all words. Copies of a text are removed whole but for
-the first. Rows that share a doc_id count as one document: they are no reference for each other, and what is removed at
-a place of one is removed there in all. A row with a null doc_id keeps its words and is no reference.
+Rows are told apart by doc_id and the text's hash: rows of one doc_id are no reference for each other, and each keeps
+or loses its own words. Null and empty texts, and texts of fewer than WINDOW words, keep all words. Copies of a text
+are removed whole but for those of the smallest doc_id. A row with a null doc_id keeps its words and is no reference.
+An empty table gives an empty result. A text larger than a slice is handled alone, whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,9 +70,9 @@ def over_runs(values: np.ndarray, width: int, join: Callable[[np.ndarray, np.nda
         n *= 2
 
 
-def phrases(texts: list[bytes | None], memo: dict, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def phrases(texts: list[list[bytes]], memo: dict, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """document, place, hash and anchor of every phrase of `window` words."""
-    words, bounds = flatten([space_words(t) for t in texts])
+    words, bounds = flatten(texts)
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
     if len(words) < window:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
@@ -77,187 +84,242 @@ def phrases(texts: list[bytes | None], memo: dict, window: int, anchor: int) ->
 
 
 def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    import pyarrow.compute  # noqa: F401
+
     for batch in batches:
         sizes = np.nan_to_num(pa.compute.binary_length(batch.column(text).cast(pa.binary())).to_numpy(zero_copy_only=False).astype(float))
         for a, b in sliced(sizes, SLICE_BYTES):
             yield batch.slice(a, b - a)
 
 
-def _anchors(window: int, anchor: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
+PLACES = T.ArrayType(T.LongType())
+MEASURED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("whole", T.StringType()), T.StructField("anchors", PLACES)])
 
-        memo = _Hashes()
-        for batch in _slices(batches, 1):
-            doc, _, _, lowest = phrases(batch.column(1).cast(pa.binary()).to_pylist(), memo, window, anchor)
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (lowest[1:] != lowest[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[new])), pa.array(lowest[new].view(np.int64))], ["doc_id", "anchor"])
 
-    return run
+def _sha256(words: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _shared_phrases(window: int, anchor: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
+def measured_texts(own: DataFrame, window: int, anchor: int) -> DataFrame:
+    """For every row (doc_id, row, text): doc_id, row, n_words, the digest of all words, and the anchors of its phrases. One pass."""
+    memo = _Hashes()
+
+    def measure(texts: list[bytes | None]) -> list:
+        words = [space_words(t) for t in texts]
+        doc, _, _, lowest = phrases(words, memo, window, anchor)
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (lowest[1:] != lowest[:-1])
+        ends = np.searchsorted(doc[new], np.arange(len(texts) + 1))
+        return [list(map(len, words)), list(map(_sha256, words)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lowest[new].view(np.int64)))]
+
+    return materialize(map_texts(own, ["doc_id", "row"], "text", MEASURED, measure))
 
+
+def with_first_copies(every: DataFrame, window: int) -> DataFrame:
+    """every with copy_of: the smallest doc_id with the same words, if it is smaller and they are enough for a factor."""
+    long = every.where("doc_id is not null").where(F.col("n_words") >= window)
+    first = long.groupBy("whole").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    return every.join(materialize(first), "whole", "left").withColumn("copy_of", F.when(F.col("first") < F.col("doc_id"), F.col("first"))).drop("first")
+
+
+def shared_anchors(every: DataFrame) -> DataFrame:
+    """doc_id, row, and those of its anchors that a later document has too (refs) and that an earlier one has (asks).
+
+    Later copies of a whole text need no search, and are no reference that the first copy isn't.
+    """
+    found = materialize(every.where("doc_id is not null and copy_of is null").select("doc_id", "row", F.explode("anchors").alias("anchor")))
+    shared = materialize(found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b"))
+    pick = lambda when: F.collect_set(F.when(when, F.col("anchor")))
+    sets = found.join(shared, "anchor").groupBy("doc_id", "row").agg(pick(F.col("doc_id") < F.col("b")).alias("refs"), pick(F.col("doc_id") > F.col("a")).alias("asks"))
+    return materialize(sets, done_with=[found, shared])
+
+
+def _phrases_of(window: int, anchor: int) -> Callable:
+    """From (doc_id, uid, text, anchors): the phrases whose anchor is in the list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
-        for batch in _slices(batches, 1):
-            doc, place, own, lowest = phrases(batch.column(1).cast(pa.binary()).to_pylist(), memo, window, anchor)
-            lists = batch.column(2)
-            known = lists.flatten().to_numpy().view(np.uint64)
-            of = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+        for batch in _slices(batches, 2):
+            doc, place, own, lowest = phrases([space_words(t) for t in batch.column(2).cast(pa.binary()).to_pylist()], memo, window, anchor)
+            known = batch.column(3).flatten().to_numpy().view(np.uint64)
+            of = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False))
             # membership of (document, anchor) pairs, by one hash for the pair; a false member costs only a lookup
             pair = lambda d, h: _join(d.astype(np.uint64) + np.uint64(1), h)
             keep = np.isin(pair(doc, lowest), pair(of, known))
+            at = pa.array(doc[keep])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc[keep])), pa.array(place[keep].astype(np.int32)), pa.array(own[keep].view(np.int64)), pa.array(lowest[keep].view(np.int64))],
-                ["doc_id", "place", "phrase", "anchor"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(place[keep].astype(np.int32)), pa.array(own[keep].view(np.int64)), pa.array(lowest[keep].view(np.int64))],
+                ["doc_id", "uid", "place", "phrase", "anchor"],
             )
 
     return run
 
 
-def shared_anchors(docs: DataFrame, copies: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, and those of its anchors that a later document has too (refs) and that an earlier one has (asks)."""
-    found = docs.mapInArrow(_anchors(window, anchor), "doc_id long, anchor long").where("doc_id is not null")
-    found = materialize(found.join(copies.select("doc_id"), "doc_id", "left_anti"))
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    pick = lambda when: F.collect_set(F.when(when, F.col("anchor")))
-    return found.join(shared, "anchor").groupBy("doc_id").agg(pick(F.col("doc_id") < F.col("b")).alias("refs"), pick(F.col("doc_id") > F.col("a")).alias("asks"))
-
-
-def reference_matches(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, place and reference of each phrase that an earlier document holds; reference is the earliest.
+def index_hits(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
+    """uid, place and entry (doc_id, uid, place) of each phrase that an earlier document holds; the entry is the first of all.
 
     A phrase of an anchor's last document is no reference, and one of its first document has none: neither is shuffled.
     """
-    schema = "doc_id long, place int, phrase long, anchor long"
-    refs, asks = (candidates.where(F.size(c) > 0).select("doc_id", "text", c).mapInArrow(_shared_phrases(window, anchor), schema) for c in ("refs", "asks"))
-    index = refs.groupBy("phrase", "anchor").agg(F.min("doc_id").alias("reference"))
-    return asks.join(index, ["phrase", "anchor"]).where("reference < doc_id").select("doc_id", "place", "reference")
+    schema = "doc_id long, uid long, place int, phrase long, anchor long"
+    refs, asks = (candidates.where(F.size(c) > 0).select("doc_id", "uid", "text", c).mapInArrow(_phrases_of(window, anchor), schema) for c in ("refs", "asks"))
+    index = materialize(refs.groupBy("phrase", "anchor").agg(F.min(F.struct("doc_id", "uid", "place")).alias("entry")))
+    return materialize(asks.join(index, ["phrase", "anchor"]).where("entry.doc_id < doc_id").select("uid", "place", "entry"), done_with=[index])
 
 
-WHOLE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("whole", T.StringType())])
+RUN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("uid", T.LongType()), T.StructField("place", T.IntegerType())])
 
 
-def whole_texts(own: DataFrame) -> DataFrame:
-    """doc_id, n_words and the digest of all words, for every row."""
+def runs_of(places: list[int], entries: list[dict]) -> list[dict]:
+    """Phrases in a row whose entries are in a row as well, joined: first place, number of phrases, first entry."""
+    out: list[dict] = []
+    for place, entry in sorted(zip(places, entries, strict=True), key=lambda x: x[0]):
+        last = out[-1] if out else None
+        if last and last["start"] + last["n"] == place and last["uid"] == entry["uid"] and last["place"] + last["n"] == entry["place"]:
+            last["n"] += 1
+        else:
+            out.append({"start": place, "n": 1, **entry})
+    return out
 
-    def whole(texts: list[bytes | None]) -> list:
-        words = [space_words(t) for t in texts]
-        return [list(map(len, words)), list(map(_sha256, words))]
 
-    return materialize(map_texts(own, ["doc_id"], "text", WHOLE, whole))
+def _longest(own: list[dict], i: int, at: int, others: dict[int, list[dict]]) -> int:
+    """Phrases from place `at` in run i on that its reference holds in a row."""
+    run = own[i]
+    shift, n = run["place"] - run["start"], run["start"] + run["n"] - at
+    theirs = others.get(run["uid"], [])
+    while i + 1 < len(own) and own[i + 1]["start"] == at + n:
+        i += 1
+        there = at + n + shift
+        k = bisect_right(theirs, there, key=lambda r: r["start"]) - 1
+        if k < 0 or there >= theirs[k]["start"] + theirs[k]["n"]:
+            # a phrase that no earlier document has: its entry is its own place
+            if (run["uid"], there) != (own[i]["uid"], own[i]["place"]):
+                break
+            n += own[i]["n"]
+            continue
+        skip = there - theirs[k]["start"]
+        if (theirs[k]["uid"], theirs[k]["place"] + skip) != (own[i]["uid"], own[i]["place"]):
+            break
+        more = min(theirs[k]["n"] - skip, own[i]["n"])
+        n += more
+        if more < own[i]["n"]:  # their run ends inside of ours
+            break
+    return n
+
+
+def parse(own: list[dict], others: dict[int, list[dict]], window: int) -> list[dict]:
+    """Greedy factors of a document from its runs and those of its references."""
+    out, i = [], 0
+    at = own[0]["start"] if own else 0
+    while i < len(own):
+        n = _longest(own, i, at, others)
+        out.append({"start": at, "n_words": n + window - 1, "reference": own[i]["doc_id"], "reference_start": own[i]["place"] + at - own[i]["start"]})
+        at += n
+        while i < len(own) and own[i]["start"] + own[i]["n"] <= at:
+            i += 1
+        if i < len(own):
+            at = max(at, own[i]["start"])
+    return out
 
 
-def later_copies(every: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words and reference of documents whose words are all those of an earlier one, and enough for a factor.
+FACTOR = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("reference", T.LongType()), T.StructField("reference_start", T.IntegerType())])
 
-    A doc_id with several different texts is left to the search.
-    """
-    one = every.where("doc_id is not null").groupBy("doc_id").agg(F.min("whole").alias("whole"), F.max("whole").alias("other"), F.max("n_words").alias("n_words"))
-    long = one.where((F.col("whole") == F.col("other")) & (F.col("n_words") >= window)).drop("other")
-    first = long.groupBy("whole").agg(F.min("doc_id").alias("reference"), F.max("doc_id").alias("latest")).where("reference < latest").drop("latest")
-    return long.join(materialize(first), "whole").where("reference < doc_id").select("doc_id", "n_words", "reference")
 
+def _by_row(df: DataFrame, func: Callable, name: str, kind: T.DataType) -> DataFrame:
+    """df's first column, and func of the others as a column."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def _parse(places: list[int], references: list[int], window: int) -> list[dict]:
-    """Factors of a document from its matched phrases."""
-    out: list[dict] = []
-    for place, reference in sorted(set(zip(places, references, strict=True))):  # rows of one doc_id repeat them
-        if out and out[-1]["reference"] == reference and out[-1]["start"] + out[-1]["n_words"] - window + 1 == place:
-            out[-1]["n_words"] += 1
-        else:
-            out.append({"start": place, "n_words": window, "reference": reference})
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [func(*x) for x in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, to_arrow_type(kind))], [batch.schema.names[0], name])
 
+    return df.mapInArrow(run, T.StructType([df.schema.fields[0], T.StructField(name, kind)]))
 
-FACTOR = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("reference", T.LongType())])
 
+def factors_of_hits(hits: DataFrame, window: int) -> DataFrame:
+    """uid and factors of every document with hits. References come along only where a factor may go on beyond an entry."""
+    runs = materialize(_by_row(hits.groupBy("uid").agg(F.collect_list("place"), F.collect_list("entry")), runs_of, "runs", T.ArrayType(RUN)), done_with=[hits])
+    end = lambda r: r["start"] + r["n"]
+    open_ = F.filter("runs", lambda r, i: F.coalesce(F.get("runs", i + 1)["start"] == end(r), F.lit(False)))
+    asked = runs.select("uid", F.explode(F.array_distinct(F.transform(open_, lambda r: r["uid"]))).alias("other"))
+    theirs = runs.select(F.col("uid").alias("other"), F.col("runs").alias("theirs"))
+    others = asked.join(theirs, "other").groupBy("uid").agg(F.collect_list(F.struct("other", "theirs")).alias("others"))
+    made = lambda own, others: parse(own, {x["other"]: x["theirs"] for x in others or []}, window)
+    return _by_row(runs.join(others, "uid", "left"), made, "factors", T.ArrayType(FACTOR))
 
-def factors(own: DataFrame, every: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """From documents (doc_id, text) and their whole_texts: doc_id and factors of every document that has any, and its text.
 
-    A later copy of a whole text is one factor. It needs no search, and is no reference that its first copy isn't.
-    The text comes along (second table: doc_id, text) for documents that were searched.
-    """
-    copies = materialize(later_copies(every, window))
-    candidates = materialize(own.join(shared_anchors(own, copies, window, anchor), "doc_id"))
-    matches = reference_matches(candidates, window, anchor)
-    parsed = matches.groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.collect_list("reference").alias("references"))
+def row_keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [_parse(p, r, window) for p, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("reference", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, kind)], ["doc_id", "factors"])
 
-    found = parsed.mapInArrow(parse, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("factors", T.ArrayType(FACTOR))]))
-    whole = copies.select("doc_id", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("n_words"), "reference")).alias("factors"))
-    return found.unionByName(whole), candidates.select("doc_id", "text")
+def searched_factors(own: DataFrame, every: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
+    """(uid, factors) of the documents that were searched and have any, and the searched documents (doc_id, row, text, uid)."""
+    candidates = materialize(own.join(shared_anchors(every), ["doc_id", "row"]).withColumn("uid", F.monotonically_increasing_id()))
+    return factors_of_hits(index_hits(candidates, window, anchor), window), candidates.select("doc_id", "row", "text", "uid")
 
 
-def _sha256(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+def factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """doc_id, row (the text's hash) and factors, once for each doc_id and text with any. A later copy of a whole text is one factor."""
+    own = row_keys(docs, doc_id, text)
+    every = with_first_copies(measured_texts(own, window, anchor), window)
+    found, searched = searched_factors(own, every, window, anchor)
+    one = F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("n_words"), F.col("copy_of").alias("reference"), F.lit(0).alias("reference_start"))
+    whole = every.where("copy_of is not null").select("doc_id", "row", F.array(one).alias("factors"))
+    both = searched.drop("text").join(found, "uid").select("doc_id", "row", "factors").unionByName(whole)
+    return both.dropDuplicates(["doc_id", "row"])
 
 
 def kept_words(words: list[bytes], found: list[dict] | None) -> list[bytes]:
     """The words outside all factors."""
     if not found:
         return words
-    inside = [f for f in found if f["start"] < len(words)]
-    gone = covered(len(words), np.array([f["start"] for f in inside], np.int64), np.array([min(f["n_words"], len(words) - f["start"]) for f in inside], np.int64))
+    gone = covered(len(words), np.array([f["start"] for f in found], np.int64), np.array([f["n_words"] for f in found], np.int64))
     return [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
 
 
-def dedup_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every row.
 
     Whole texts are digested where they are read; only digests meet those of the shortened texts.
     """
+    own = row_keys(docs, doc_id, text)
+    every = with_first_copies(measured_texts(own, window, anchor), window)
+    found, searched = searched_factors(own, every, window, anchor)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                words = [space_words(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                left = [kept_words(w, f) for w, f in zip(words, part.column(2).to_pylist(), strict=True)]
-                removed = [len(w) - len(x) for w, x in zip(words, left, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_sha256, words), pa.string()), pa.array(removed, pa.int64()), pa.array(map(_sha256, left), pa.string())], ["doc_id", "whole", "n_removed", "kept"])
-
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    every = whole_texts(own)
-    found, searched = factors(own, every, window)
-    found = materialize(found)
-    cut = searched.join(found, "doc_id").mapInArrow(digest, "doc_id long, whole string, n_removed long, kept string").dropDuplicates(["doc_id", "whole"])
-    # a document that wasn't searched and has factors is a later copy: its one factor is all of it
-    copies = found.join(searched.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.get("factors", F.lit(0))["n_words"].cast("long").alias("copied"))
-    joined = every.join(cut, ["doc_id", "whole"], "left").join(copies, "doc_id", "left")
-    return joined.select(
+        for batch in _slices(batches, 2):
+            words = [space_words(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            left = [kept_words(w, f) for w, f in zip(words, batch.column(3).to_pylist(), strict=True)]
+            removed = [len(w) - len(x) for w, x in zip(words, left, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(map(_sha256, left), pa.string())], ["doc_id", "row", "n_removed", "kept"])
+
+    cut = searched.join(found, "uid").select("doc_id", "row", "text", "factors").mapInArrow(digest, "doc_id long, row long, n_removed long, kept string")
+    cut = materialize(cut.groupBy("doc_id", "row").agg(F.max("n_removed").alias("n_removed"), F.max("kept").alias("kept")))
+    copied = F.col("copy_of").isNotNull()
+    return every.join(cut, ["doc_id", "row"], "left").select(
         "doc_id",
         "n_words",
-        F.coalesce("n_removed", F.col("copied"), F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("kept", F.when(F.col("copied").isNotNull(), F.sha2(F.lit(""), 256)), F.col("whole")).alias("kept_sha256"),
+        F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "whole")).alias("kept_sha256"),
     )
 
 
-def remove_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """All columns, with the text of the kept words joined by single spaces; texts without duplicates stay as they are."""
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = factors(own, whole_texts(own), window)[0].select(F.col("doc_id").alias("__id"), F.col("factors").alias("__factors"))
+    found = materialize(factors(docs, doc_id, text, window, anchor)).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("factors").alias("__factors"))
     names = docs.columns
     at = names.index(text)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, at):
             texts, cuts = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist()
             made = [b" ".join(kept_words(space_words(t), f)) if f else t for t, f in zip(texts, cuts, strict=True)]
             columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(made, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.join(found, docs[doc_id] == F.col("__id"), "left").select(*[docs[c] for c in names], "__factors").mapInArrow(strip, docs.schema)
+    same = (docs[doc_id].cast("long") == F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__row"))
+    return docs.join(found, same, "left").select(*[docs[c] for c in names], "__factors").mapInArrow(strip, docs.schema)
 
 
 def op10_relative_lz_dedup(spark, sf_dir: str) -> DataFrame:

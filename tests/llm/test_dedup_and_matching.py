@@ -199,7 +199,47 @@ def test_substring_dedup_equals_brute_force(spark, docs):
 def test_factors_name_the_earliest_reference(spark):
     a, b = " ".join(f"a{i}" for i in range(70)), " ".join(f"b{i}" for i in range(55))
     rows = spark.createDataFrame([(1, a), (2, b), (3, f"x {b} y {a} z"), (4, f"x {b} y"), (None, a), (5, a), (5, a)], "doc_id long, text string")
-    got = {r["doc_id"]: [tuple(f) for f in r["factors"]] for r in substring_dedup.factors(rows, substring_dedup.whole_texts(rows))[0].collect()}
-    assert got == {3: [(1, 55, 2), (57, 70, 1)], 4: [(0, 50, 3), (1, 55, 2), (7, 50, 3)], 5: [(0, 70, 1)]}
+    got = {r["doc_id"]: [tuple(f) for f in r["factors"]] for r in substring_dedup.factors(rows).collect()}
+    # document 4 stands whole in document 3, whose phrases have the earlier entries of 2 inside
+    assert got == {3: [(1, 55, 2, 0), (57, 70, 1, 0)], 4: [(0, 57, 3, 0)], 5: [(0, 70, 1, 0)]}
     digest = substring_dedup.dedup_digest(rows).collect()
     assert len(digest) == 7 and sorted(r["n_removed"] for r in digest) == [0, 0, 0, 57, 70, 70, 125]
+
+
+def test_factors_are_pieces_of_their_reference(spark):
+    draw = random.Random(21)
+    passages = [[f"p{k}_{i}" for i in range(draw.randint(12, 40))] for k in range(8)]
+    all_texts = []
+    for i in range(120):
+        words = []
+        for _ in range(draw.randint(1, 9)):
+            words += draw.choice(passages) if draw.random() < 0.8 else [f"own{i}_{j}" for j in range(draw.randint(1, 8))]
+        all_texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string").repartition(4)
+    window, n, long = 20, 0, 0
+    want = naive_kept(all_texts, window)
+    for r in substring_dedup.factors(rows, window=window, anchor=5).collect():
+        words = all_texts[r["doc_id"]].split()
+        for f in r["factors"]:
+            there = all_texts[f["reference"]].split()
+            at, q, k = f["start"], f["reference_start"], f["n_words"]
+            assert f["reference"] < r["doc_id"] and k >= window and words[at : at + k] == there[q : q + k]
+            # the longest piece that stands there, but for references that hold the next phrase twice
+            crossing = words[at + k - window + 1 : at + k + 1]
+            twice = sum(there[x : x + window] == crossing for x in range(len(there))) > 1
+            assert at + k == len(words) or q + k == len(there) or words[at + k] != there[q + k] or twice
+            n += 1
+            long += not twice
+    assert n > 60 and long > 40
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_digest(rows, window=window, anchor=5).collect()}
+    assert all(got[i]["kept_sha256"] == hashlib.sha256(" ".join(w).encode()).hexdigest() for i, w in enumerate(want))
+
+
+def test_rows_of_one_id_lose_only_their_own_words(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a), (7, a + " t"), (7, b), (7, b), (8, b), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring_dedup.dedup_digest(docs).collect())
+    assert got == [(0, 60, 0), (3, 60, 0), (7, 60, 0), (7, 60, 0), (7, 61, 60), (8, 60, 60)]
+    cleaned = sorted((r["doc_id"] or 0, r["text"]) for r in substring_dedup.remove_duplicates(docs).collect())
+    assert cleaned == [(0, b), (3, a), (7, b), (7, b), (7, "t"), (8, "")]
