@@ -45,7 +45,7 @@ HEAD_WORDS = 300_000
 BATCH, NOISE, RATE = 8192, 16, 0.05
 #: Score matrices have this many entries at most.
 STEP_SCORES = 1 << 20
-PIECES = 16
+PIECES = 64
 
 END = b"\n"  # no word holds white space
 
