@@ -7,34 +7,34 @@ ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 SPACE = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP1 = f"""
-WITH d AS (SELECT doc_id, {ALNUM} AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {ALNUM} AS w FROM documents),
 b AS (SELECT item_id, {ALNUM} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g
        FROM b, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM bw),
-dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(i) WHERE len(w) >= n),
-hits AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
-words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) AS t(p) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names
-          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
+dw AS (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(i) WHERE len(w) >= n),
+hits AS (SELECT dw.rid, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
+words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT rid, i, n FROM hits) x, unnest(range(i, i + n)) AS t(p) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names
+          FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY rid)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
 RULES = f"""
-d AS (SELECT doc_id, source, coalesce(text, '') AS text, {SPACE} AS w FROM documents),
-windows AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, len(w) - 3)) AS t(i)),
-twice AS (SELECT doc_id, g FROM windows GROUP BY ALL HAVING count(*) > 1),
-repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM windows JOIN twice USING (doc_id, g), unnest(range(i, i + 5)) AS t(p) GROUP BY doc_id),
-lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM d, unnest(string_split(text, chr(10))) AS t(l)
-          WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, {SPACE} AS w FROM documents),
+windows AS (SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, len(w) - 3)) AS t(i)),
+twice AS (SELECT rid, g FROM windows GROUP BY ALL HAVING count(*) > 1),
+repeated AS (SELECT rid, count(DISTINCT p) AS n FROM windows JOIN twice USING (rid, g), unnest(range(i, i + 5)) AS t(p) GROUP BY rid),
+lines AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM d, unnest(string_split(text, chr(10))) AS t(l)
+          WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
 rules AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
     CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words,
     len(w) < 10 OR 100 * coalesce(repeated.n, 0) > 20 * len(w) AS base_failed
-  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+  FROM d LEFT JOIN lines USING (rid) LEFT JOIN repeated USING (rid)),
 hosts AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS f FROM rules GROUP BY source),
 sums AS (SELECT sum(n) AS n, sum(f) AS f, count(*) AS k, sum(n * n) AS nn, sum(f * f / n) AS ff, sum(f) / sum(n) AS m FROM hosts),
 between_hosts AS (SELECT *, CASE WHEN n - nn / n > 0 THEN greatest(0, (ff - n * m * m - (k - 1) * m * (1 - m)) / (n - nn / n)) ELSE 0 END AS v FROM sums),
@@ -50,14 +50,14 @@ FROM rules JOIN verdicts ON rules.source IS NOT DISTINCT FROM verdicts.source
 """
 
 OP10 = f"""
-WITH d AS (SELECT doc_id, {SPACE} AS w FROM documents),
-windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM d, unnest(range(1, len(w) - 48)) AS t(i)),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {SPACE} AS w FROM documents),
+windows AS (SELECT rid, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM d, unnest(range(1, len(w) - 48)) AS t(i)),
 first_of AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g),
-gone AS (SELECT DISTINCT doc_id, p FROM windows JOIN first_of USING (g), unnest(range(i, i + 50)) AS t(p) WHERE first < doc_id),
-places AS (SELECT doc_id, w[p] AS word, p FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
-kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS words FROM places ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+gone AS (SELECT DISTINCT rid, p FROM windows JOIN first_of USING (g), unnest(range(i, i + 50)) AS t(p) WHERE first < doc_id),
+places AS (SELECT rid, w[p] AS word, p FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS words FROM places ANTI JOIN gone USING (rid, p) GROUP BY rid)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.words, '')) AS kept_sha256
-FROM d LEFT JOIN kept USING (doc_id)
+FROM d LEFT JOIN kept USING (rid)
 """
 
 SQL: dict[str, str] = {

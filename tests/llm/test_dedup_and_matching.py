@@ -57,12 +57,12 @@ def test_matches_equal_brute_force(spark, docs):
                     names.add(item)
         want[i] = (len(words), len(hit), names, bool(hit) and 20 * len(hit) >= len(words))
     for block in (1 << 20, 40):  # all items at once, and in several blocks
-        got = {r["doc_id"]: (r["n_words"], r["n_hit"], set(r["item_ids"]), r["contaminated"]) for r in decontaminate.decontaminate(docs, benchmark, block_bytes=block).collect()}
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], set(map(int, r["item_ids"])), r["contaminated"]) for r in decontaminate.decontaminate(docs, benchmark, block_bytes=block).collect()}
         assert got == want
         clash = docs.withColumns({"n_words": F.lit(1), "matches": F.lit(2), "contaminated": F.lit(True)})
         kept = decontaminate.remove_contaminated(clash, benchmark, block_bytes=block)
         assert kept.columns == clash.columns and {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if not w[3]}
-    longest = [m for r in decontaminate.decontaminate(docs, benchmark).where("doc_id = 38").collect() for m in r["matches"] if m["item_id"] == 1]
+    longest = [m for r in decontaminate.decontaminate(docs, benchmark).where("doc_id = 38").collect() for m in r["matches"] if m["item_id"] == "1"]
     assert {(m["doc_start"], m["item_start"], m["n_words"]) for m in longest} >= {(0, 0, len(alnum(PASSAGE)))}
 
 
@@ -82,11 +82,32 @@ def test_decontamination_keeps_repeated_and_null_ids_apart(spark, block):
     got = decontaminate.decontaminate(docs, benchmark, block_bytes=block).collect()
     key = lambda r: tuple((x is not None, x or 0) for x in r)
     want = [(1, 45, 20, (0,)), (1, 25, 0, ()), (1, 45, 20, (3,)), (None, 20, 20, (5,)), (None, 25, 0, ()), (None, 0, 0, ()), (2, 20, 20, (1,)), (2, 20, 20, (1,))]
-    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"])) for r in got), key=key) == sorted(want, key=key)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(map(int, r["item_ids"]))) for r in got), key=key) == sorted(want, key=key)
     assert all(r["contaminated"] == (r["n_hit"] > 0) for r in got)
     assert (len(list(decontaminate.item_blocks(benchmark, "item_id", "text", block))) > 1) == (block == 200)
 
 
+@pytest.mark.parametrize("block", [8 << 20, 60], ids=["one block", "several blocks"])
+def test_items_by_any_id_and_shared_passages(spark, block):
+    header = " ".join(f"h{i}" for i in range(30))
+    items = [("q10", header + " x1 x2"), ("q2", "y1 " + header), (None, " ".join(f"n{i}" for i in range(15))), (None, "z1 z2 z3"), ("q2", "w1 w2"), ("q3", None)]
+    docs = spark.createDataFrame([("a", f"y1 {header} x1 x2"), ("b", " ".join(f"n{i}" for i in range(14)) + " z1 z2 z3 w1 w2"), (None, "nothing here")], "doc_id string, text string")
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string"), block_bytes=block).collect()}
+    assert (got["a"]["n_hit"], set(got["a"]["item_ids"])) == (33, {"q10", "q2"})
+    assert (got["b"]["n_words"], got["b"]["n_hit"], set(got["b"]["item_ids"])) == (19, 19, {None, "q2"}) and got[None]["n_hit"] == 0
+    if block > 60:
+        assert [(m["item_id"], m["doc_start"], m["n_words"]) for m in got["a"]["matches"]] == [("q2", 0, 31), ("q10", 19, 14)]
+
+
+def test_a_passage_of_many_items_is_one_match():
+    header = b" ".join(b"h%d" % i for i in range(40))
+    items = [(str(i), header + b" own%d a%d" % (i, i)) for i in range(1500)]
+    index = decontaminate.Suffixes(items, 13)
+    n_words, matches, names = index.measure([b"in " + header + b" out", b" ".join([header] * 150)])
+    assert [(m["doc_start"], m["n_words"]) for m in matches[0]] == [(1, 40)] and len(names[0]) == 1500
+    assert len(matches[1]) == 150 and n_words[1] == 6000
+
+
 def test_quality_counts_equal_brute_force(spark, docs):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
     for i, text in enumerate(texts()):
