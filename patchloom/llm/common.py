@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 #: Bytes of text that a task handles at once; a longer text is handled alone.
 SLICE_BYTES = 2 << 20
@@ -82,15 +83,17 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fields: T.StructType, f
 
     func gets the UTF-8 texts (None for null) and returns one sequence or Arrow array for each field.
     """
-    source = df.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
-    schema = T.StructType([*(source.schema[c] for c in keep), *fields.fields])
+    own = text in keep  # then it isn't sent twice
+    source = df.select(*[F.col(c) for c in keep], *([] if own else [F.col(text).alias("__text")]))
+    at = keep.index(text) if own else len(keep)
+    schema = T.StructType([*source.schema.fields[: len(keep)], *fields.fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary())
+            texts = batch.column(at).cast(pa.binary())
             sizes = np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(float))
             for a, b in sliced(sizes, limit):
                 made = func(texts.slice(a, b - a).to_pylist())
@@ -137,6 +140,24 @@ def forget(table: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def number_rows(df: DataFrame, order: list[str | Column], name: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """df with each row's place in the order over all rows, from 0: range partitions, counted, then numbered inside.
+
+    sums: names of running sums of columns over all rows before, by the same way.
+    """
+    sums = sums or {}
+    dealt = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
+    above = W.partitionBy("__part").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    heads = dealt.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__sum_{k}") for k, c in sums.items()])
+    heads = heads.select("__part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in heads.columns[1:]])
+    out = dealt.withColumn("__part", part).join(F.broadcast(heads), "__part").withColumn(name, F.col("__n") + inside)
+    for k, c in sums.items():
+        out = out.withColumn(k, F.col(f"__sum_{k}") + F.coalesce(F.sum(c).over(above), F.lit(0)))
+    return out.select(*df.columns, name, *sums)
+
+
 def join_small(df: DataFrame, small: DataFrame, key: str, salt_by: Column, how: str = "left", limit: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
     """df joined null-safely on `key` with a table of one row a key, whatever share of df's rows has one key.
 

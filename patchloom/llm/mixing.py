@@ -4,10 +4,14 @@ Sources in code-point order, null last, have the weights 1, 2, 3, 1, ... and sha
 source's target stops at MAX_EPOCHS times its size, and the others share the excess. The schedule has a slot for
 every BLOCK_WORDS words. The van der Corput point of a slot, mapped through the cumulative targets, names its source.
 A source's slots, ranked, take the equal blocks of its stream: its documents in shuffled order, gone through up to
-MAX_EPOCHS times. So any run of slots has the weights of the whole, and a source ends within a few blocks of its target.
-
-A null text has size 0. Documents of size 0 are never taken. The order depends on doc_id alone, so reruns agree;
-repeated rows each have their own place. Rows with a null source are a source of their own.
+MAX_EPOCHS times. So any run of slots has the weights of the whole. By the points alone a source ends some blocks beside
+its target, or with none if that is under a block; so slots beyond it stay empty, missing blocks are added to slots
+drawn by hash, and the last block stops at the target, which each source meets to the word.
+
+A null text has size 0. Documents of size 0 are never taken. The order is the doc_id's md5, then the size; rows that
+share both are told apart, so repeated rows each have their own place, and whichever of equal rows is first, the result
+has the same rows. Reruns agree. Rows with a null source are a source of their own, rows with a null doc_id documents
+like any other. An empty table gives an empty mix. Sizes count whole texts, however long.
 """
 
 from __future__ import annotations
@@ -18,12 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import join_small, materialize
+from .common import join_small, materialize, number_rows
 
 WEIGHTS = (1, 2, 3)
-BLOCK_WORDS = 128
+BLOCK_WORDS = 1024
 MAX_EPOCHS = 3
-#: Cells of the unit interval that slots and sources meet in.
+#: Cells of the unit interval that slots and sources meet in: this many at least, and twice the sources.
 CELLS = 1024
 
 
@@ -37,13 +41,16 @@ def van_der_corput(n: Column) -> Column:
     return F.conv(F.reverse(F.lpad(F.bin(n), 40, "0")), 2, 10).cast("double") / F.lit(float(1 << 40))
 
 
+def shuffled(doc_id: Column) -> Column:
+    """A document's place in the shuffled order: the first 60 bits of its id's md5."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """For each source: number, size, weight and target words. One row a source, numbered in a single window."""
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    numbered = sources.withColumn("source_no", F.row_number().over(order) - 1)
-    share = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("source_no", F.lit(len(weights))) + 1)
-    numbered = materialize(numbered.withColumn("weight", share).withColumn("most", (max_epochs * F.col("source_size")).cast("double")))
+    """For each source: source_no, source_size, target, quota (the target in whole words), base and lo, the sizes and targets of all sources before."""
+    sources = number_rows(sized.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").asc_nulls_last()], "source_no")
+    share = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("source_no", F.lit(len(weights))).cast("int") + 1)
+    numbered = materialize(sources.withColumn("weight", share).withColumn("most", (max_epochs * F.col("source_size")).cast("double")))
     total = numbered.agg(F.sum("source_size")).first()[0] or 0
     level, full = 0.0, -1
     while True:
@@ -53,83 +60,81 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
         if got["n"] == full or not got["open"]:
             break
         full, level = got["n"], (total - got["held"]) / got["open"]
-    return numbered.withColumn("target", F.least(F.col("most"), F.lit(level) * F.col("weight"))).drop("most")
+    target = F.least(F.col("most"), F.lit(level) * F.col("weight"))
+    with_target = numbered.withColumn("target", target).withColumn("quota", F.round("target").cast("long")).drop("most", "weight")
+    return number_rows(with_target, ["source_no"], "__place", sums={"base": "source_size", "lo": "target"}).drop("__place")
 
 
-def placed_documents(docs: DataFrame, doc_id: str, source: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Documents with their first word's place in the source's stream, and the sources."""
-    sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
-    sources = materialize(source_targets(sized))
-    # buckets by hash: the stream is bucket after bucket, and neither a bucket nor a source's list of them is long
-    buckets = max(1, math.isqrt(sized.count()))
-    spread = join_small(sized, sources, "source", F.col("doc_id")).withColumn("order", F.xxhash64("doc_id", F.lit("mix"))).withColumn("bucket", F.pmod("order", F.lit(buckets)))
-    before = W.partitionBy("source_no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    heads = spread.groupBy("source_no", "bucket").agg(F.sum("size").alias("words")).withColumn("head", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
-    within = W.partitionBy("source_no", "bucket").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = spread.join(heads, ["source_no", "bucket"]).withColumn("start", F.col("head") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return materialize(placed.select("doc_id", "source", "size", "source_no", "source_size", "target", "start")), sources
+def placed_documents(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (uid, doc_id, source, size): documents with their first word's place in the source's stream, and the sources."""
+    sources = materialize(source_targets(rows))
+    spread = join_small(rows, sources.drop("lo"), "source", F.col("uid")).withColumn("__order", shuffled(F.col("doc_id")))
+    ranked = number_rows(spread, ["source_no", "__order", "size", "uid"], "__place", sums={"__words": "size"})
+    start = F.col("__words") - F.col("base")
+    return materialize(ranked.select("uid", "doc_id", "source", "size", "source_no", "source_size", "target", "quota", start.alias("start"))), sources
 
 
 def slots(spark, sources: DataFrame, total: int, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """slot, source_no and rank, the slot's place among those of its source, from 0."""
+    """slot, source_no and rank, the block of the source's stream that the slot takes, from 0 to its last block."""
     n = -(-total // block_words)
-    upto = W.orderBy("source_no").rowsBetween(W.unboundedPreceding, 0)
-    ends = sources.where("target > 0").withColumn("hi", F.sum("target").over(upto)).withColumn("lo", F.col("hi") - F.col("target"))
     whole = F.greatest(F.lit(1.0), F.lit(float(total)))
-    cut = ends.select("source_no", (F.col("lo") / whole).alias("lo"), (F.col("hi") / whole).alias("hi"), (F.col("hi") >= whole * (1 - 1e-9)).alias("last"))
-    cells = cut.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.lit(CELLS - 1), F.floor(F.col("hi") * CELLS)))))
+    open_ = sources.where("target > 0").withColumn("hi", F.col("lo") + F.col("target"))
+    cut = open_.select("source_no", (F.col("lo") / whole).alias("lo"), (F.col("hi") / whole).alias("hi"), (F.col("hi") >= whole * (1 - 1e-9)).alias("last"))
+    count = max(CELLS, 2 * cut.count())
+    cells = cut.withColumn("cell", F.explode(F.sequence(F.least(F.lit(count - 1), F.floor(F.col("lo") * count)), F.least(F.lit(count - 1), F.floor(F.col("hi") * count)))))
     points = spark.range(n).select(F.col("id").alias("slot"), van_der_corput(F.col("id")).alias("u"))
-    points = points.withColumn("cell", F.floor(F.col("u") * CELLS))
+    points = points.withColumn("cell", F.floor(F.col("u") * count))
     within = (F.col("u") >= F.col("lo")) & ((F.col("u") < F.col("hi")) | F.col("last"))
-    named = materialize(join_cells(points, cells).where(within).select("slot", "source_no"))
+    few = count <= 20 * CELLS  # there are at most twice as many pieces as cells
+    named = materialize(points.join(F.broadcast(cells) if few else cells, "cell").where(within).select("slot", "source_no"))
     # ranked in two steps: runs of slots first, then inside of each run
     run = max(1, math.isqrt(n))
     named = named.withColumn("run", F.floor(F.col("slot") / run))
     before = W.partitionBy("source_no").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
     runs = named.groupBy("source_no", "run").count().withColumn("head", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     inside = F.row_number().over(W.partitionBy("source_no", "run").orderBy("slot")) - 1
-    return named.join(runs, ["source_no", "run"]).select("slot", "source_no", (F.col("head") + inside).alias("rank"))
-
-
-def join_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """Points with the source pieces of their cell; pieces are at most CELLS + sources, broadcast if few."""
-    few = cells.limit(20 * CELLS + 1).count() <= 20 * CELLS
-    return points.join(F.broadcast(cells) if few else cells, "cell")
+    ranked = named.join(runs, ["source_no", "run"]).select("slot", "source_no", (F.col("head") + inside).alias("rank"))
+    blocks = sources.where("quota > 0").select("source_no", F.ceil(F.col("quota") / block_words).cast("long").alias("blocks"))
+    have = named.groupBy("source_no").agg(F.count(F.lit(1)).alias("have"))
+    missing = blocks.join(have, "source_no", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < blocks")
+    added = missing.select("source_no", F.explode(F.sequence(F.col("have"), F.col("blocks") - 1)).alias("rank"))
+    added = added.select(F.pmod(F.xxhash64("source_no", "rank"), F.lit(max(1, n))).alias("slot"), "source_no", "rank")
+    return join_small(ranked, blocks, "source_no", F.col("slot"), how="inner").where("rank < blocks").drop("blocks").unionByName(added)
 
 
 def schedule(placed: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The mix: slot, source_no, doc_id, start, epoch, first_word and n_words of each piece of a document in a slot."""
+    """The mix: slot, source_no, uid, epoch, first_word and n_words of each piece of a document in a slot."""
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     ranked = materialize(slots(placed.sparkSession, sources, total, block_words))
-    used = ranked.groupBy("source_no").agg(F.count(F.lit(1)).alias("n_slots"))
-    streams = sources.select("source_no", "source_size").join(used, "source_no").withColumn("epochs", F.least(F.lit(max_epochs), F.ceil(F.col("n_slots") * block_words / F.col("source_size"))).cast("int"))
-    docs = join_small(placed.where("size > 0").drop("source_size"), streams, "source_no", F.col("doc_id"), how="inner")
-    docs = docs.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
-    at = F.col("epoch") * F.col("source_size") + F.col("start")
-    docs = docs.withColumn("at", at).where(F.col("at") < F.col("n_slots") * block_words)
-    last = F.least(F.col("n_slots") - 1, F.floor((F.col("at") + F.col("size") - 1) / block_words))
-    pieces = docs.withColumn("rank", F.explode(F.sequence(F.floor(F.col("at") / block_words), last)))
+    epochs = F.least(F.lit(max_epochs), F.ceil(F.col("quota") / F.col("source_size"))).cast("int")
+    docs = placed.where("size > 0 and quota > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
+    docs = docs.withColumn("at", F.col("epoch") * F.col("source_size") + F.col("start")).where("at < quota")
+    end = F.least(F.col("at") + F.col("size"), F.col("quota"))
+    pieces = docs.withColumn("end", end).withColumn("rank", F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("end") - 1) / block_words))))
     lo = F.greatest(F.col("at"), F.col("rank") * block_words)
-    hi = F.least(F.col("at") + F.col("size"), (F.col("rank") + 1) * block_words)
-    pieces = pieces.select("source_no", "rank", "doc_id", "start", "epoch", (lo - F.col("at")).alias("first_word"), (hi - lo).alias("n_words"))
-    return pieces.join(ranked, ["source_no", "rank"]).select("slot", "source_no", "doc_id", "start", "epoch", "first_word", "n_words")
+    hi = F.least(F.col("end"), (F.col("rank") + 1) * block_words)
+    pieces = pieces.select("source_no", "rank", "uid", "epoch", (lo - F.col("at")).alias("first_word"), (hi - lo).alias("n_words"))
+    return pieces.join(ranked, ["source_no", "rank"]).select("slot", "source_no", "uid", "epoch", "first_word", "n_words")
+
+
+def sized_rows(docs: DataFrame, doc_id: str, source: str, text: str, uid: Column) -> DataFrame:
+    return materialize(docs.select(uid.alias("uid"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, size, source_size, target and taken, the words that the schedule takes."""
-    placed, sources = placed_documents(docs, doc_id, source, text)
-    taken = schedule(placed, sources).groupBy("source_no", "start").agg(F.sum("n_words").alias("taken"))
-    sized = placed.where("size > 0").join(taken, ["source_no", "start"], "left")
-    empty = placed.where("size = 0").withColumn("taken", F.lit(None).cast("long"))
-    return sized.unionByName(empty).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    placed, sources = placed_documents(sized_rows(docs, doc_id, source, text, F.monotonically_increasing_id()))
+    taken = schedule(placed, sources).groupBy("uid").agg(F.sum("n_words").alias("taken"))
+    return placed.join(taken, "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def take_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The mixed corpus: each document once for every epoch that takes some of it, whole, with all its columns."""
-    placed, sources = placed_documents(docs, doc_id, source, text)
-    copies = schedule(placed, sources).groupBy("doc_id").agg((F.max("epoch") + 1).alias("__copies"))
-    every = docs.join(copies.withColumnRenamed("doc_id", "__id"), F.col(doc_id).eqNullSafe(F.col("__id")))
-    return every.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """The mixed corpus: each row once for every epoch that takes some of it, whole, with all its columns."""
+    every = materialize(docs.withColumn("__uid", F.monotonically_increasing_id()))
+    placed, sources = placed_documents(sized_rows(every, doc_id, source, text, F.col("__uid")))
+    copies = schedule(placed, sources).groupBy(F.col("uid").alias("__uid")).agg((F.max("epoch") + 1).alias("__copies"))
+    taken = every.join(copies, "__uid").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return taken.select(*docs.columns)
 
 
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -60,8 +60,25 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.
 FROM d LEFT JOIN kept USING (rid)
 """
 
+#: What each source takes is settled to the word, so the schedule's points don't show in a document's words taken.
+OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(len({SPACE}) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place FROM documents),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+weights AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS w, CAST(3 * source_size AS DOUBLE) AS most FROM sizes),
+-- the sources that are full come first; the level is that of the others
+filled AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+           FROM weights WINDOW o AS (ORDER BY most / w, source NULLS LAST)),
+chosen AS (SELECT CAST(arg_min(level, most / w) AS DOUBLE) AS level FROM filled WHERE level <= most / w),
+targets AS (SELECT source, source_size, least(most, level * w) AS target, CAST(round(least(most, level * w)) AS BIGINT) AS quota FROM weights, chosen),
+placed AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, size, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM d)
+SELECT doc_id, size, source_size, target, CAST((SELECT sum(greatest(0, least(size, quota - e * source_size - first))) FROM range(3) AS t(e)) AS BIGINT) AS taken
+FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
+"""
+
 SQL: dict[str, str] = {
     "op1_benchmark_decontamination": OP1,
     "op3_host_quality_rules": OP3,
+    "op8_source_mix": OP8,
     "op10_relative_lz_dedup": OP10,
 }

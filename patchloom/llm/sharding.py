@@ -16,26 +16,17 @@ some shards stay empty. Reruns agree on input in the same files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import materialize, number_rows
 
 SHARDS = 40
 #: Groups of more than this part of a shard's rows are placed by the driver; there are fewer than SHARDS times LARGE and a few.
 LARGE = 8
 
 
-def number_rows(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
-    """df with each row's place in the order over all rows, from 0: range partitions, counted, then numbered inside."""
-    dealt = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
-    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
-    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    heads = dealt.groupBy(part.alias("__part")).count().withColumn("__head", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    return dealt.withColumn("__part", part).join(F.broadcast(heads), "__part").withColumn(name, F.col("__head") + inside).drop("__at", "__part", "__head")
-
-
 def _place(group: tuple[int, list[int]], room: list[int]) -> int:
     """The label of a group (members, labels by votes) in the room left, which it takes; the roomiest if it fits nowhere."""
     members, wanted = group
@@ -93,7 +84,8 @@ def propagate(groups: DataFrame, firsts: list[int]) -> tuple[DataFrame, list[int
         turn += 1
     # each is larger than any room left, so there are fewer than shards
     place(sorted(waiting.collect(), key=lambda r: (-r["members"], r["key"])))
-    labels = spark.createDataFrame(placed, "key long, label int")
+    rows = [F.struct(F.lit(k).cast("long").alias("key"), F.lit(label).cast("int").alias("label")) for k, label in placed]
+    labels = spark.range(1).select(F.inline(F.array(*rows))) if rows else spark.range(0).select(F.col("id").alias("key"), F.col("id").cast("int").alias("label"))
     for part in done:
         labels = labels.unionByName(part)
     return materialize(labels), held
