@@ -12,6 +12,7 @@ each shard's links and not all its pairs.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows that share a doc_id keep a row each.
 Null doc_ids take part, but are never a component's id unless all its ids are null. An empty table gives an empty one.
+A very long text is handled alone, whole, its shingles in parts.
 """
 
 from __future__ import annotations
@@ -57,9 +58,13 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def _prints(texts: list[bytes | None]) -> list[np.ndarray]:
+    return [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)]
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, one row for each document."""
-    return map_texts(docs, [doc_id], text, FINGERPRINT, lambda texts: [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)])
+    return map_texts(docs, [doc_id], text, FINGERPRINT, _prints)
 
 
 class Forest:
@@ -198,21 +203,36 @@ def connected_components(links: DataFrame) -> DataFrame:
     return found if found is not None else left.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable) for every row."""
-    marked = materialize(fingerprints(docs.select(doc_id, text), doc_id, text))
-    distinct = materialize(marked.groupBy("fp").agg(F.min(doc_id).alias("first")))
+def groups_of(marked: DataFrame, shard_limit: int = SHARD_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """From rows (doc_id, fp, uid): fp and component of each fingerprint, and each component's first row (doc_id, uid), nulls last.
+
+    Both are written, so that joins with them can split a component or fingerprint of very many rows.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("uid"))
+    distinct = materialize(marked.groupBy("fp").agg(F.min(first).alias("first")))
     component = materialize(connected_components(near_links(distinct.select("fp"), shard_limit)))
-    linked = distinct.join(component, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    lowest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    names = linked.join(lowest, "component").select(F.col("fp").alias("__fp"), "component_id")
-    return marked.join(names, F.col("fp") == F.col("__fp")).select(doc_id, "fp", "component_id")
+    linked = materialize(distinct.join(component, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), done_with=[distinct, component])
+    lowest = materialize(linked.groupBy("component").agg(F.min("first").alias("first")).select("component", "first.doc_id", "first.uid"))
+    return linked.select("fp", "component"), lowest
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest doc_id of each component, with all columns (and those with a null id)."""
-    gone = near_duplicates(docs, doc_id, text).where(F.col(doc_id) != F.col("component_id")).select(doc_id)
-    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id reachable) for every row."""
+    marked = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
+    linked, lowest = groups_of(marked.withColumn("uid", F.lit(0).cast("long")), shard_limit)
+    names = linked.join(lowest.select("component", F.col("doc_id").alias("component_id")), "component").select(F.col("fp").alias("__fp"), "component_id")
+    return marked.join(names, F.col("fp") == F.col("__fp")).select(F.col("doc_id").alias(doc_id), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """One row of each component, with all columns: one with the smallest doc_id, and one without a doc_id only if all are."""
+    inner = [f"__c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, inner, strict=True))
+    marked = map_texts(docs.toDF(*inner), inner, at[text], FINGERPRINT, _prints)
+    marked = materialize(marked.withColumn("__uid", F.monotonically_increasing_id()))
+    _, lowest = groups_of(marked.select(F.col(at[doc_id]).alias("doc_id"), "fp", F.col("__uid").alias("uid")), shard_limit)
+    kept = marked.join(lowest.select(F.col("uid").alias("__uid")), "__uid", "left_semi")
+    return kept.select(*[F.col(v).alias(k) for k, v in at.items()])
 
 
 def op6_simhash_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import functools
 import hashlib
 import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -169,6 +170,17 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(3, a), (3, a), (5, b), (5, a), (None, b), (None, "c d e f g"), (None, "c d e f g"), (9, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({"fp": F.lit("x"), "uid": F.lit(1), "component": F.lit(2)})
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in kept.collect()) == [(0, "c d e f g"), (3, a), (5, b), (8, "")]
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect())
+    assert got == Counter({(3, 3): 2, (5, 5): 1, (5, 3): 1, (None, 5): 1, (None, None): 2, (9, 8): 1, (8, 8): 1})
+
+
 def test_links_of_random_fingerprints(spark):
     draw = random.Random(5)
     base = [draw.getrandbits(64) for _ in range(40)]
