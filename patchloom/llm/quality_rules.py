@@ -104,11 +104,9 @@ def prior(n: int, f: int, hosts: int, nn: float, ff: float) -> tuple[float, floa
     return mean * strength, (1 - mean) * strength
 
 
-def judge(rules: DataFrame, host: str = "source", doc_id: str = "doc_id", max_rate: float = MAX_HOST_RATE, verdicts: DataFrame | None = None) -> DataFrame:
+def judge(rules: DataFrame, host: str = "source", doc_id: str = "doc_id", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """Rules with the host's columns and kept."""
-    if verdicts is None:
-        verdicts = host_verdicts(rules, host, max_rate)
-    joined = join_small(rules, verdicts, host, F.col(doc_id))
+    joined = join_small(rules, host_verdicts(rules, host, max_rate), host, F.col(doc_id))
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
@@ -121,15 +119,16 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", host: str = "source",
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The documents that the rules keep, with all their columns.
 
-    Hosts are judged in a first pass; the second repeats the counts beside the full rows, which costs less than
-    shuffling the texts to meet the verdicts.
+    One pass counts and writes the rows, without the texts of those that fail; hosts are judged from what it wrote, and
+    their verdicts meet the rows when these are read again.
     """
-    verdicts = materialize(host_verdicts(document_rules(docs, [host], text), host, max_rate))
     inner = [f"__c{i}" for i in range(len(docs.columns))]
-    renamed = docs.toDF(*inner)
     at = dict(zip(docs.columns, inner, strict=True))
-    judged = judge(document_rules(renamed, inner, at[text]), at[host], at[doc_id], max_rate, verdicts.withColumnRenamed(host, at[host]))
-    return judged.where("kept").select(*[F.col(v).alias(k) for k, v in at.items()])
+    counted = document_rules(docs.toDF(*inner), inner, at[text])
+    passed = materialize(counted.withColumn(at[text], F.when(~F.col("base_failed"), F.col(at[text]))).select(*inner, "base_failed"))
+    verdicts = materialize(host_verdicts(passed, at[host], max_rate))
+    judged = join_small(passed.where("not base_failed"), verdicts, at[host], F.col(at[doc_id]))
+    return judged.where("not host_rejected").select(*[F.col(v).alias(k) for k, v in at.items()])
 
 
 def op3_host_quality_rules(spark, sf_dir: str) -> DataFrame:
