@@ -2,12 +2,13 @@
 
 The n-grams are words and pairs of words, and runs of one and two word shapes (case, digits and signs, repeats
 folded), each hashed to a weight. A text's value of an n-gram is its share among all of its kind. Training reads at
-most MAX_LABELLED labelled documents, chosen by hash, in SHARDS parts; each part's learner runs FTRL-proximal over its
+most about MAX_LABELLED different labelled documents, chosen by hash, in SHARDS parts; each part's learner runs FTRL-proximal over its
 own documents, and the weights are averaged. Scoring is a sparse dot product in the tasks that read the texts.
 
 Labels come only from documents whose crc32 (of the doc_id as text) mod 4 is not 2. Null and empty texts get the score
-of the bias. Without labels every score is 0.5. Repeated rows get a row each; a doc_id with several labels takes the
-largest. A null doc_id is not held out and has no label.
+of the bias. Without labels every score is 0.5. Repeated rows get a row each, and count once in training; a doc_id with
+several labels takes the largest. A null doc_id is not held out and has no label. An empty table gives an empty result.
+A very long text is scored alone, whole; in training a document is held as its n-grams only.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flatten, map_texts, space_words
+from .common import flatten, map_texts, materialize, space_words
 
 BITS = 18
 MAX_LABELLED = 20_000
@@ -105,14 +106,17 @@ def _examples(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarra
 
 
 def _train_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [(i, t, y) for b in batches for i, t, y in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    rows = []
+    for batch in batches:
+        for i, text, label in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            rows.append((zlib.crc32(str(i).encode()), next(_examples([text])), label))
     if not rows:
         return
-    rows.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))  # the order of learning doesn't hang on the order of reading
-    examples = list(_examples([t for _, t, _ in rows]))
+    # the order of learning doesn't hang on the order of reading
+    rows.sort(key=lambda r: (r[0], len(r[1][0]), r[1][0].tobytes()))
     learner = FTRL((1 << BITS) + 1)
     for _ in range(EPOCHS):
-        for (index, value), (_, _, label) in zip(examples, rows, strict=True):
+        for _, (index, value), label in rows:
             learner.learn(index, value, float(label))
     yield pa.RecordBatch.from_arrays([pa.array([len(rows)]), pa.array([learner.weights(slice(None)).astype(np.float32).tobytes()], pa.binary())], ["n", "weights"])
 
@@ -123,16 +127,24 @@ def remainder(doc_id: str, by: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, doc_id: str = "doc_id", text: str = "text", held_out: int = 2) -> DataFrame:
-    """(doc_id, text, label) of about `most` labelled documents at most, chosen by hash among those not held out."""
+    """(doc_id, text, label, row) of about `most` different labelled documents at most, chosen by hash among those not held out.
+
+    First by doc_id, then, if these have more texts, by the text's hash `row`; repeated rows are one. Written, as it is read several times.
+    """
     known = labels.where(F.col(label).isNotNull() & (remainder("doc_id", 4) != held_out)).groupBy("doc_id").agg(F.max(label).alias("__label"))
-    share = min(1.0, most / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "__id")), docs[doc_id] == F.col("__id")).select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.col("__label").alias("label"))
+    below = lambda share: int(share * (1 << 30))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < below(min(1.0, most / max(1, known.count()))))
+    rows = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "__id")), docs[doc_id] == F.col("__id")).select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.col("__label").alias("label"))
+    rows = rows.withColumn("row", F.xxhash64("text"))
+    n = rows.select("doc_id", "row").distinct().count()
+    if n > most:
+        rows = rows.where(F.pmod(F.xxhash64("row", "doc_id"), F.lit(1 << 30)) < below(most / n))
+    return materialize(rows.dropDuplicates(["doc_id", "row"]))
 
 
 def train(sample: DataFrame) -> np.ndarray:
     """Weights averaged over the parts by their documents; SHARDS vectors of fixed size go to the driver."""
-    dealt = sample.repartition(SHARDS, F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)))
+    dealt = sample.repartition(SHARDS, F.pmod(F.xxhash64("doc_id", "row"), F.lit(SHARDS))).select("doc_id", "text", "label")
     total, n = np.zeros((1 << BITS) + 1), 0
     for part in dealt.mapInArrow(_train_part, "n long, weights binary").collect():
         total += part["n"] * np.frombuffer(part["weights"], np.float32)
