@@ -7,7 +7,8 @@ start to end anywhere holds the license: the mandatory wording stands there exac
 anchor, the longest run of mandatory words, which is found by plain search and can't be missing from a match.
 
 Phrases of the base list are counted wherever they stand. Words are a-z, 0-9 and non-ASCII characters after
-lower-casing A-Z. A null or empty text has no words, no places and score 0. Repeated rows get a row each.
+lower-casing A-Z. A null or empty text has no words, no places and score 0. Repeated rows get a row each, an empty table
+none. A very long text is scanned alone, whole. Other columns are kept if asked for, whatever they are called.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from dataclasses import dataclass, field
 import re
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import alnum_words, map_texts
@@ -30,9 +30,39 @@ BASE = {
     "mit license": "mit",
 }
 
+# licences' wording, with the regions that texts leave out or fill in themselves.
 _GPL = "<<optional>>This <<any 3>> is <<end>><<optional>>licensed under the <<end>><<optional>>terms of the <<end>>GNU{} General Public License<<optional>> as published by the Free Software Foundation<<end>><<optional>> either<<end>> version {}"
-
-#: Label and template, or several: the one-line notices, and the wording that the licences' authors publish. What the labels say beyond the base list is the version or the kind of notice.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this <<any 12>> to deal in the <<any 3>> without restriction"""
+_MIT_TEXT = """<<optional>>The MIT License<<end>><<optional>> MIT<<end>><<optional>> Copyright <<any 25>><<end>>
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction,
+including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions: The above copyright notice and this permission notice<<optional>> (including the next paragraph)<<end>> shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL <<any 12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE
+OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_3 = "Neither the name of <<any 12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_TEXT = (
+    _BSD
+    + """: <<optional>>1. <<end>>Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+<<optional>>2. <<end>>Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{}THIS SOFTWARE IS PROVIDED BY <<any 12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL <<any 12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+)
+_ISC_TEXT = """Permission to use, copy, modify, <<optional>>and <<end>><<optional>>or <<end>>distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND <<any 8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+IN NO EVENT SHALL <<any 8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_ZLIB_TEXT = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+<<optional>>1. <<end>>The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledg<<any 1>>ment in the product documentation would be appreciated but is not required.
+<<optional>>2. <<end>>Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+<<optional>>3. <<end>>This notice may not be removed or altered from any source distribution.""".replace("acknowledg<<any 1>>ment", "<<any 1>>")
+
+#: Label and template, or several: whole licences, the one-line notices, and the wording that notices of longer licences
+#: have. What the labels say beyond the base list is the version or the kind of notice; a name ending in -text is a whole licence.
 TEMPLATES = {
     "gpl-3.0": _GPL.format("", "3"),
     "gpl-2.0": _GPL.format("", "2"),
@@ -43,9 +73,14 @@ TEMPLATES = {
     "cc-by-nc-4.0": ("licensed under <<optional>>a <<end>><<optional>>the <<end>>CC BY NC 4.0<<optional>> license<<end>>", "Creative Commons Attribution NonCommercial 4.0 International<<optional>> Public<<end>> License"),
     "cc-by-4.0": ("licensed under <<optional>>a <<end>><<optional>>the <<end>>CC BY 4.0<<optional>> license<<end>>", "Creative Commons Attribution 4.0 International<<optional>> Public<<end>> License"),
     "mit-notice": "<<any 3>> released under the <<optional>>terms of the <<end>>MIT License",
-    "mit-grant": "Permission is hereby granted free of charge to any person obtaining a copy of this <<any 12>> to deal in the <<any 3>> without restriction",
-    "bsd-grant": "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-3-clause": "Neither the name of <<any 12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "mit-grant": _MIT,
+    "mit-text": _MIT_TEXT,
+    "bsd-grant": _BSD,
+    "bsd-3-clause": _BSD_3,
+    "bsd-2-clause-text": _BSD_TEXT.format(""),
+    "bsd-3-clause-text": _BSD_TEXT.format("<<optional>>3. <<end>>" + _BSD_3 + ". "),
+    "isc-text": _ISC_TEXT,
+    "zlib-text": _ZLIB_TEXT,
 }
 
 
@@ -185,4 +220,4 @@ def scan_licenses(docs: DataFrame, keep: list[str], text: str = "text", base: di
 
 def op7_license_templates(spark, sf_dir: str) -> DataFrame:
     found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
-    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("matches").cast("long").alias("n_matches"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from .licenses import BASE, TEMPLATES
+
 #: Words of each text: lower-cased letters and digits, or all between ASCII white space. No empty words.
 ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SPACE = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -60,6 +64,41 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.
 FROM d LEFT JOIN kept USING (rid)
 """
 
+
+
+def template_pattern(markup: str) -> tuple[str, str]:
+    """A template as a regular expression over a line of lower-case words with a space on either side of each, and its longest fixed piece."""
+    out, depth, fixed = " ", 0, [""]
+    for part in re.split(r"(<<[^>]*>>)", markup):
+        if part.startswith("<<optional"):
+            out, depth = out + "(?:", depth + 1
+        elif part.startswith("<<end"):
+            out, depth = out + ")?", depth - 1
+        elif part.startswith("<<any"):
+            out += f"(?:[^ ]+ ){{0,{int(part[5:-2])}}}"
+        else:
+            words = "".join(f"{w} " for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", part.lower()))
+            out += words
+            fixed += [] if depth else [words]
+    return out, max(fixed, key=len)
+
+
+_MATCHES = [(label, *template_pattern(m)) for label, markup in TEMPLATES.items() for m in ([markup] if isinstance(markup, str) else markup)]
+#: Places of the base phrases are word positions; a template holds if its pattern is found in the line of words.
+OP7 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {ALNUM} AS w FROM documents),
+phrases(phrase, label, n) AS (VALUES {", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in BASE.items())}),
+lines AS (SELECT rid, ' ' || array_to_string(w, ' ') || ' ' AS line FROM d),
+near AS (SELECT rid, w, phrase, label, n FROM d JOIN lines USING (rid), phrases WHERE contains(line, ' ' || phrase || ' ')),
+places AS (SELECT rid, i - 1 AS word, label FROM near, unnest(range(1, len(w) + 1)) AS t(i) WHERE array_to_string(w[i:i + n - 1], ' ') = phrase),
+base AS (SELECT rid, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY rid),
+found AS ({" UNION ALL ".join(f"SELECT rid, '{label}' AS label FROM lines WHERE contains(line, '{fixed}') AND regexp_matches(line, '{pattern}')" for label, pattern, fixed in _MATCHES)}),
+every AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM places UNION ALL SELECT rid, label FROM found) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+    CAST(CASE WHEN rid IN (SELECT rid FROM found) THEN 1 WHEN n_base > 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (rid) LEFT JOIN every USING (rid)
+"""
+
 #: What each source takes is settled to the word, so the schedule's points don't show in a document's words taken.
 OP8 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(len({SPACE}) AS BIGINT) AS size,
@@ -79,6 +118,7 @@ FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
 SQL: dict[str, str] = {
     "op1_benchmark_decontamination": OP1,
     "op3_host_quality_rules": OP3,
+    "op7_license_templates": OP7,
     "op8_source_mix": OP8,
     "op10_relative_lz_dedup": OP10,
 }

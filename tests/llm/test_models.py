@@ -1,10 +1,11 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
-from patchloom.llm import licenses, quality_model, toxicity
+from patchloom.llm import common, licenses, quality_model, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -38,6 +39,36 @@ def held(i, by=4, rest=2):
     return zlib.crc32(str(i).encode()) % by == rest
 
 
+def test_ftrl_equals_a_plain_loop():
+    draw = np.random.default_rng(4)
+    learner = quality_model.FTRL(12)
+    z, n = [0.0] * 12, [0.0] * 12
+    for _ in range(200):
+        index = np.sort(draw.choice(12, 4, replace=False))
+        value, label = draw.random(4), float(draw.random() < 0.5)
+        learner.learn(index, value, label)
+        w = [0.0 if abs(z[i]) <= quality_model.L1 else -(z[i] - np.sign(z[i]) * quality_model.L1) / ((quality_model.BETA + n[i] ** 0.5) / quality_model.ALPHA + quality_model.L2) for i in index]
+        p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, value))))
+        for i, v, own in zip(index, value, w):
+            g = (p - label) * v
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / quality_model.ALPHA * own
+            n[i] += g * g
+    assert np.allclose(learner.z, z) and np.allclose(learner.n, n)
+
+
+def test_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(1, "same")] * 200 + [(2, "two")], DOCS).repartition(3)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = quality_model.labelled_sample(docs, labels, "quality", 50, held_out=5)
+    assert 5 < got.count() < 120 and got.where("text = 'same'").count() <= 1
+
+
+def test_kinds_part_toxic_documents():
+    rows = toxicity.Rows(np.array([0, 1, 0, 1, 2, 3, 2, 3, 0, 2]), np.array([0, 2, 4, 6, 8, 10]), np.array([1.0, 1, 1, 1, 0]), np.zeros(5))
+    kind = toxicity.kinds_of(rows, 4)
+    assert kind[0] == kind[1] != kind[2] == kind[3] and kind[4] == -1
+
+
 def test_quality_on_held_out(tables):
     docs, labels = tables
     weights = quality_model.train(quality_model.labelled_sample(docs, labels, "quality", 1000))
@@ -61,7 +92,7 @@ def test_dot_product_equals_direct(tables):
 def test_toxicity_on_held_out(tables):
     docs, labels = tables
     model = toxicity.train_chain(toxicity.labelled_sample(docs, labels, "toxic", 1000))
-    assert list(model.weights) == list(toxicity.CHAIN)
+    assert list(model.weights) == ["kind_1", "kind_2", "toxic"]
     got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model, ["doc_id"]).collect()}
     out = [(i, x) for i, _, _, x in corpus() if held(i)]
     assert np.mean([(got[i]["p_toxic"] > toxicity.THRESHOLD) == x for i, x in out]) > 0.9
@@ -93,6 +124,30 @@ MIT = """Permission is hereby granted, free of charge, to any person obtaining a
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
 to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
+MIT_REST = """ copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+ISC = """Permission to use, copy, modify, and distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 BSD = """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:"""
 BSD_3 = """3. Neither the name of the copyright holder nor the names of its
@@ -104,6 +159,10 @@ this software without specific prior written permission."""
     "text, labels",
     [
         (MIT, {"mit-grant"}),
+        (MIT + MIT_REST, {"mit-grant", "mit-text"}),
+        (MIT + MIT_REST.replace("THE\nAUTHORS OR COPYRIGHT HOLDERS", "ACME Corp"), {"mit-grant", "mit-text"}),
+        (MIT + MIT_REST.replace("substantial", "other"), {"mit-grant"}),
+        (ISC, {"isc-text"}),
         (GPL.format(":", "", ",", 3), {"gpl", "gpl-3.0"}),
         (GPL.format(";", "", ";", 2), {"gpl", "gpl-2.0"}),
         (GPL.format(":", " Lesser", ",", 3), {"lgpl-3.0"}),
@@ -124,6 +183,32 @@ def test_license_templates_find_the_published_wording(text, labels):
     assert licenses.Scanner().scan(" ".join(text.split()[::-1]).encode())[7] < 1.0
 
 
+def test_whole_licenses_accept_only_their_wording():
+    scanner = licenses.Scanner()
+    draw = random.Random(4)
+    for label, markup in licenses.TEMPLATES.items():
+        if not label.endswith("-text"):
+            continue
+        parts = re.split(r"(<<[^>]*>>)", markup)
+        for _ in range(20):
+            words, skip, fixed = [], False, []
+            for part in parts:
+                if part.startswith("<<optional"):
+                    skip, inside = draw.random() < 0.5, True
+                elif part.startswith("<<end"):
+                    skip, inside = False, False
+                elif part.startswith("<<any"):
+                    words += [] if skip else draw.choices(["acme", "inc", "2020"], k=draw.randint(0, int(part[5:-2])))
+                elif not skip:
+                    own = [w.decode() for w in common.alnum_words(part.encode())]
+                    fixed += [] if part != parts[0] and inside else range(len(words), len(words) + len(own))
+                    words += own
+                inside = part.startswith("<<optional") or (not part.startswith("<<end") and locals().get("inside", False))
+            assert label in scanner.scan(" ".join(words).encode())[5]
+            words[draw.choice(fixed)] = "changed"
+            assert label not in scanner.scan(" ".join(words).encode())[5]
+
+
 def test_license_places_equal_brute_force(tables):
     draw = random.Random(9)
     scanner = licenses.Scanner()
