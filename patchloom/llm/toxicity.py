@@ -1,15 +1,19 @@
 """Toxicity by a classifier chain: categories in order, each linear model seeing the probabilities of those before.
 
-The categories of CHAIN are learnt from labels.toxic: the first two mark toxic documents that use a word of their
-list, the last is the label itself. A model is a logistic regression on words and on beginnings of longer words, each
-standing once, twice or three times and more in the text, and on the earlier categories' log-odds. The features are the
+Categories are learnt, as labels.toxic is the only label: the toxic documents of the sample are clustered by their
+features into KINDS kinds (spherical k-means from the documents that differ most), a category each, and the last category
+is the label itself. A model is a logistic regression on words and on beginnings of longer words, each standing once,
+twice or three times and more in the text, and on the earlier categories' probabilities. The features are the
 MAX_FEATURES that tell the labels apart best (chi-square) of those in MIN_DOCS sample documents or more. In training
-those log-odds are out-of-fold: each row's come from models fitted without its fold, so that a later model doesn't
+those probabilities are out-of-fold: each row's come from models fitted without its fold, so that a later model doesn't
 trust them more than it may. The fits of a category run as Spark tasks, one for each fold and one for all rows.
 
-Training reads at most MAX_LABELLED labelled documents, chosen by hash, whose crc32 (of the doc_id as text) mod 4 is
-not 2; the others are held out. Null and empty texts have no words, so their probabilities are the intercepts'.
-Without labels all probabilities are 0.5 and nothing is toxic. Repeated rows get a row each.
+Training reads about MAX_LABELLED different labelled documents at most, chosen by hash, whose crc32 (of the doc_id as
+text) mod 4 is not 2; the others are held out. The driver holds the sample's feature numbers, MAX_LABELLED times
+TIMES * MAX_FEATURES of four bytes if every document had every feature three times, and no text. Null and empty texts have
+no words, so their probabilities are the intercepts'. Without labels all probabilities are 0.5 and nothing is toxic.
+Repeated rows get a row each, and count once in training. An empty table gives an empty result. A very long text is
+handled alone, whole.
 """
 
 from __future__ import annotations
@@ -26,18 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, flatten, map_texts, materialize
+from .common import alnum_words, flatten, map_texts
 from .quality_model import labelled_sample, remainder, sigmoid
 
-#: Word lists of the first categories; the last has none.
-CHAIN = {
-    "insult": ["clown", "idiot", "loser", "moron", "scum"],
-    "contempt": ["disgusting", "pathetic", "stupid", "trash", "worthless"],
-    "toxic": [],
-}
+#: Kinds of toxic documents, and the categories in the chain's order.
+KINDS = 2
+CHAIN = [*(f"kind_{k + 1}" for k in range(KINDS)), "toxic"]
 MAX_LABELLED = 12_000
 MIN_DOCS = 5
-MAX_FEATURES = 4_000
+MAX_FEATURES = 2_000
 #: Lengths, in characters, of the beginnings of words; a word has those that are shorter than it.
 STEMS = (5, 6, 7)
 #: A feature counts up to this often; each count is a weight of its own.
@@ -49,16 +50,50 @@ THRESHOLD = 0.35
 
 @dataclass
 class Rows:
-    """Sample documents as flat lists of word numbers, with labels of each category and folds."""
+    """Sample documents as flat lists of weight numbers, with labels and folds."""
 
     index: np.ndarray
     bounds: np.ndarray
-    labels: dict[str, np.ndarray]
+    toxic: np.ndarray
     fold: np.ndarray
 
 
+def kinds_of(rows: Rows, features: int) -> np.ndarray:
+    """For each document its kind among the toxic ones, or -1: spherical k-means on which features a document has."""
+    out = np.full(len(rows.toxic), -1)
+    own = np.flatnonzero(rows.toxic > 0)
+    doc = np.repeat(np.arange(len(out)), np.diff(rows.bounds))
+    use = (rows.index < features) & (rows.toxic[doc] > 0)
+    doc, index = np.searchsorted(own, doc[use]), rows.index[use]
+    if len(own) < KINDS or not len(index):
+        out[own] = 0
+        return out
+    value = 1 / np.sqrt(np.bincount(doc, minlength=len(own)))[doc]
+
+    def unit(weights: np.ndarray) -> np.ndarray:
+        centre = np.bincount(index, value * weights[doc], minlength=features)
+        return centre / max(np.linalg.norm(centre), 1e-12)
+
+    near = lambda centre: np.bincount(doc, value * centre[index], minlength=len(own))
+    only = lambda k: (np.arange(len(own)) == k).astype(float)
+    # the common features say nothing on kinds: what counts is what a document has beyond the mean
+    mean = unit(np.ones(len(own)))
+    centres, closest = [], near(mean)
+    for _ in range(KINDS):
+        centres.append(unit(only(int(np.argmin(closest)))))
+        closest = np.maximum(closest, near(centres[-1])) if len(centres) > 1 else near(centres[0])
+    for _ in range(20):
+        kind = np.argmax([near(c) for c in centres], axis=0)
+        moved = [unit((kind == k).astype(float)) if (kind == k).any() else c for k, c in enumerate(centres)]
+        if all(np.allclose(a, b) for a, b in zip(moved, centres)):
+            break
+        centres = moved
+    out[own] = kind
+    return out
+
+
 def fit(rows: Rows, words: int, earlier: np.ndarray, label: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """Weights of the words, of the earlier log-odds and the intercept, by Adam on the regularised log loss."""
+    """Weights of the words, of the earlier probabilities and the intercept, by Adam on the regularised log loss."""
     doc = np.repeat(np.arange(len(use)), np.diff(rows.bounds))
     inside = use[doc]
     doc, index = doc[inside], rows.index[inside]
@@ -78,9 +113,9 @@ def fit(rows: Rows, words: int, earlier: np.ndarray, label: np.ndarray, use: np.
     return w
 
 
-def log_odds(w: np.ndarray, words: int, index: np.ndarray, doc: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+def probability(w: np.ndarray, words: int, index: np.ndarray, doc: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     k = earlier.shape[1]
-    return np.clip(np.bincount(doc, w[index], minlength=len(earlier)) + earlier @ w[words : words + k] + w[-1], -20, 20)
+    return sigmoid(np.clip(np.bincount(doc, w[index], minlength=len(earlier)) + earlier @ w[words : words + k] + w[-1], -20, 20))
 
 
 def word_features(word: bytes) -> list[bytes]:
@@ -124,8 +159,8 @@ class Chain:
         doc, index = indicators(*feature_counts(texts, self.vocabulary), n)
         earlier = np.zeros((len(texts), 0))
         for w in self.weights.values():
-            earlier = np.column_stack([earlier, log_odds(w, TIMES * n, index, doc, earlier)])
-        return list(sigmoid(earlier).T)
+            earlier = np.column_stack([earlier, probability(w, TIMES * n, index, doc, earlier)])
+        return list(earlier.T)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
@@ -150,6 +185,7 @@ def chosen_features(sample: DataFrame) -> dict[bytes, int]:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64()), pa.array([toxic[f] for f in seen], pa.int64())], ["feature", "n", "toxic"])
 
+    sample = sample.select("doc_id", "text", "label")
     total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
     if not total["n"]:
         return {}
@@ -160,57 +196,54 @@ def chosen_features(sample: DataFrame) -> dict[bytes, int]:
     return {bytes(r["feature"]): i for i, r in enumerate(best)}
 
 
-def numbered_rows(sample: DataFrame, vocabulary: dict[bytes, int], chain: dict[str, list[str]]) -> Rows:
+def numbered_rows(sample: DataFrame, vocabulary: dict[bytes, int]) -> Rows:
     """The sample's weight numbers and labels, which go to the driver; texts don't."""
-    listed = {c: {w.encode() for w in words} for c, words in chain.items()}
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, labels in _texts(batches):
             doc, index = indicators(*feature_counts(texts, vocabulary), len(vocabulary))
             bounds = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-            bags = [set(alnum_words(t)) for t in texts]
-            marks = [[int(bool(y) and (not words or bool(bag & words))) for bag, y in zip(bags, labels, strict=True)] for words in listed.values()]
-            kinds = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(listed), pa.int32()), pa.array(np.array(marks, np.int32).T.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), kinds, pa.ListArray.from_arrays(pa.array(bounds), pa.array(index.astype(np.int32)))], ["doc_id", "marks", "index"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([int(bool(y)) for y in labels], pa.int32()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(index.astype(np.int32)))], ["doc_id", "toxic", "index"])
 
-    got = sample.mapInArrow(number, "doc_id long, marks array<int>, index array<int>").orderBy("doc_id").toArrow().combine_chunks()
+    got = sample.select("doc_id", "text", "label").mapInArrow(number, "doc_id long, toxic int, index array<int>").orderBy("doc_id", "toxic", "index").toArrow().combine_chunks()
     if not got.num_rows:
-        return Rows(np.empty(0, np.int64), np.zeros(1, np.int64), {c: np.empty(0) for c in chain}, np.empty(0, np.int64))
+        return Rows(np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0), np.empty(0, np.int64))
     index, ids = got.column("index").combine_chunks(), got.column("doc_id").to_pylist()
-    marks = np.array(got.column("marks").to_pylist(), float)
     sizes = pa.compute.list_value_length(index).to_numpy(zero_copy_only=False)
     fold = np.array([zlib.crc32(f"fold {i}".encode()) % FOLDS for i in ids])
-    return Rows(index.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), {c: marks[:, k] for k, c in enumerate(chain)}, fold)
+    return Rows(index.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), got.column("toxic").to_numpy().astype(float), fold)
 
 
-def train_chain(sample: DataFrame, chain: dict[str, list[str]] = CHAIN) -> Chain:
-    """The chain fitted on the bounded sample (doc_id, text, label)."""
+def train_chain(sample: DataFrame) -> Chain:
+    """The chain fitted on the bounded sample (doc_id, text, label), a written table."""
     import pyarrow.compute  # noqa: F401
 
     spark = sample.sparkSession
-    sample = materialize(sample)
     vocabulary = chosen_features(sample)
-    rows = numbered_rows(sample, vocabulary, chain)
+    rows = numbered_rows(sample, vocabulary)
     n = len(rows.fold)
     if not n:
-        return Chain({}, {c: np.zeros(i + 1) for i, c in enumerate(chain)})
+        return Chain({}, {c: np.zeros(i + 1) for i, c in enumerate(CHAIN)})
     words = TIMES * len(vocabulary)
     doc = np.repeat(np.arange(n), np.diff(rows.bounds))
-    held = spark.sparkContext.broadcast(rows)
+    kind = kinds_of(rows, len(vocabulary))
+    labels = {c: (kind == k).astype(float) for k, c in enumerate(CHAIN[:-1])} | {CHAIN[-1]: rows.toxic}
+    held = spark.sparkContext.broadcast((rows, labels))
     earlier, weights = np.zeros((n, 0)), {}
-    for category in chain:
+    for category in CHAIN:
 
         def fit_folds(batches: Iterator[pa.RecordBatch], category=category, earlier=earlier) -> Iterator[pa.RecordBatch]:
+            rows, labels = held.value
             for batch in batches:
                 for fold in batch.column(0).to_pylist():  # FOLDS stands for no fold left out
-                    w = fit(held.value, words, earlier, held.value.labels[category], held.value.fold != fold)
+                    w = fit(rows, words, earlier, labels[category], rows.fold != fold)
                     yield pa.RecordBatch.from_arrays([pa.array([fold]), pa.array([pickle.dumps(w)], pa.binary())], ["fold", "weights"])
 
         fitted = {r["fold"]: pickle.loads(r["weights"]) for r in spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(fit_folds, "fold long, weights binary").collect()}
         out_of_fold = np.zeros(n)
         for fold in range(FOLDS):
             here = rows.fold == fold
-            out_of_fold[here] = log_odds(fitted[fold], words, rows.index, doc, earlier)[here]
+            out_of_fold[here] = probability(fitted[fold], words, rows.index, doc, earlier)[here]
         weights[category] = fitted[FOLDS]
         earlier = np.column_stack([earlier, out_of_fold])
     return Chain(vocabulary, weights)
