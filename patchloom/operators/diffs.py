@@ -1,12 +1,23 @@
-"""Diffs: line numbers of patches, whole-PR diffs, ranges and overlaps. Keys of a file are the caller's columns."""
+"""Diffs: line numbers of patches, whole-PR diffs, ranges and overlaps.
+
+A patch is in one row already, so it is parsed there, by a small line counter in Arrow batches: nothing is shuffled, and
+rows that share a key, or have none, don't mix.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-HUNK = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+from ..tables import append_columns
+
+HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
+GIT = re.compile(r"^diff --git a/(.*) b/(.*)$")
+PARSED = "added_lines array<int>, removed_lines array<int>, added_ranges array<struct<start:int,end:int>>"
 
 
 def ranges_from_lines(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
@@ -25,74 +36,113 @@ def contains_line(ranges: Column, line: Column) -> Column:
     return touches(ranges, line, line)
 
 
-def _numbered(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pos, text) -> side and line number of added and removed lines.
-
-    Numbers count from the hunk headers' starts; their lengths are not read. Windows run over one hunk at a time.
+class Counted:
+    """Old and new line numbers over the lines of one file's hunks."""
+
+    def __init__(self) -> None:
+        self.added: list[int] = []
+        self.removed: list[int] = []
+        self.inside = False
+        self.old = self.new = self.old_left = self.new_left = 0
+
+    def take(self, line: str) -> None:
+        if hunk := HUNK.match(line):
+            self.inside = True
+            self.old, self.new = int(hunk[1]), int(hunk[3])
+            self.old_left, self.new_left = (int(x) if x is not None else 1 for x in (hunk[2], hunk[4]))
+        elif self.inside:
+            kind = line[:1] or " "
+            if kind == "+":
+                self.added.append(self.new)
+            elif kind == "-":
+                self.removed.append(self.old)
+            if kind in " +":
+                self.new, self.new_left = self.new + 1, self.new_left - 1
+            if kind in " -":
+                self.old, self.old_left = self.old + 1, self.old_left - 1
+
+    def row(self) -> tuple[list[int], list[int], list[dict]]:
+        added: list[int] = sorted(set(self.added))
+        ranges: list[dict] = []
+        for line in added:
+            if ranges and ranges[-1]["end"] == line - 1:
+                ranges[-1]["end"] = line
+            else:
+                ranges.append({"start": line, "end": line})
+        return added, sorted(set(self.removed)), ranges
+
+
+def _lines(text: str) -> list[str]:
+    return text.removesuffix("\n").split("\n")
+
+
+def _patch(patch: str | None) -> tuple[list[int], list[int], list[dict]]:
+    counted = Counted()
+    for line in _lines(patch or ""):
+        counted.take(line)
+    return counted.row()
+
+
+def parse_file_patches(files: DataFrame, patch: str = "patch") -> DataFrame:
+    """Every file with added_lines, removed_lines and added_ranges; empty arrays for null, or where there are no hunks.
+
+    Numbers count from the hunk headers' starts, whatever lengths the headers state.
     """
-    hunk = F.sum(F.col("text").rlike(HUNK).cast("int")).over(W.partitionBy(*keys).orderBy("pos"))
-    inside = lines.withColumn("hunk", hunk).where("hunk > 0")
-    w = W.partitionBy(*keys, "hunk").orderBy("pos")
-    first = F.substring("text", 1, 1)
-    is_head = F.col("text").rlike(HUNK)
-    mark = F.when(is_head, F.lit("@")).when(F.col("text") == "", F.lit(" ")).otherwise(first)
-    old0 = F.first(F.regexp_extract("text", HUNK, 1)).over(w).cast("int")
-    new0 = F.first(F.regexp_extract("text", HUNK, 2)).over(w).cast("int")
-    marked = inside.withColumn("mark", mark).withColumn("old0", old0).withColumn("new0", new0)
-    count = lambda marks: F.sum(F.col("mark").isin(marks).cast("int")).over(w)
-    placed = marked.withColumn("new_line", F.col("new0") + count([" ", "+"]) - 1).withColumn("old_line", F.col("old0") + count([" ", "-"]) - 1)
-    line = F.when(F.col("mark") == "+", F.col("new_line")).otherwise(F.col("old_line"))
-    side = F.when(F.col("mark") == "+", F.lit("added")).otherwise(F.lit("removed"))
-    return placed.where(F.col("mark").isin("+", "-")).select(*keys, side.alias("side"), line.cast("int").alias("line"))
-
-
-def _patch_lines(patch: Column) -> Column:
-    parts = F.split(patch, "\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return append_columns(files, patch, PARSED, lambda patches: [list(x) for x in zip(*map(_patch, patches), strict=True)])
 
 
 def patch_line_numbers(files: DataFrame, keys: list[str], patch: str = "patch") -> DataFrame:
     """(keys, side, line) for the added and removed lines of each file's patch; none for null or no hunks."""
-    lines = files.where(F.col(patch).isNotNull()).select(*keys, F.posexplode(_patch_lines(F.col(patch))).alias("pos", "text"))
-    return _numbered(lines, keys)
+    parsed = parse_file_patches(files.select(*keys, patch), patch)
+    side = lambda name: F.transform(f"{name}_lines", lambda x: F.struct(F.lit(name).alias("side"), x.alias("line")))
+    return parsed.select(*keys, F.inline(F.concat(side("added"), side("removed"))))
+
 
+def _name(line: str, prefix: str) -> str:
+    return line[4:].partition("\t")[0].removeprefix(prefix)
 
-def _collected(lines: DataFrame, keys: list[str]) -> DataFrame:
-    pick = lambda side: F.array_sort(F.collect_set(F.when(F.col("side") == side, F.col("line"))))
-    both = lines.groupBy(*keys).agg(pick("added").alias("added_lines"), pick("removed").alias("removed_lines"))
-    ranges = ranges_from_lines(lines.where("side = 'added'"), keys)
-    return both.join(ranges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("added_ranges")), keys, "left")
 
+def _files(diff: str | None) -> Iterable[dict]:
+    """The files of a whole diff, the last of each path.
 
-def parse_file_patches(files: DataFrame, keys: list[str], patch: str = "patch") -> DataFrame:
-    """Every file with added_lines, removed_lines and added_ranges; empty arrays where there is nothing."""
-    found = _collected(patch_line_numbers(files, keys, patch), keys)
-    joined = files.join(found, keys, "left")
-    ints, pairs = F.array().cast("array<int>"), F.array().cast("array<struct<start:int,end:int>>")
-    return joined.withColumns({"added_lines": F.coalesce("added_lines", ints), "removed_lines": F.coalesce("removed_lines", ints), "added_ranges": F.coalesce("added_ranges", pairs)})
+    In a git diff only `diff --git` begins a file. In a plain one a `---`, `+++` pair does, unless the hunk that it
+    stands in still lacks an old and a new line, which the pair then is.
+    """
+    found: dict[str, dict] = {}
+    lines = _lines(diff or "")
+    git, old, new = False, None, None
+    counted: Counted | None = None
+
+    def close() -> None:
+        if counted is not None and old is not None and new is not None:
+            status = "added" if old == "/dev/null" else "removed" if new == "/dev/null" else "renamed" if old != new else "modified"
+            path = old if new == "/dev/null" else new
+            added, removed, ranges = counted.row()
+            found.pop(path, None)
+            found[path] = {"path": path, "status": status, "added_lines": added, "removed_lines": removed, "added_ranges": ranges}
+
+    for i, line in enumerate(lines):
+        pair = line.startswith("--- ") and i + 1 < len(lines) and lines[i + 1].startswith("+++ ")
+        body = counted is not None and counted.inside and (git or (counted.old_left > 0 and counted.new_left > 0))
+        if line.startswith("diff --git "):
+            close()
+            names = GIT.match(line)
+            git, counted, old, new = True, Counted(), names and names[1], names and names[2]
+        elif pair and not body and not (git and counted is not None and not counted.inside):
+            close()
+            counted, old, new = Counted(), _name(line, "a/"), _name(lines[i + 1], "b/")
+        elif counted is not None:
+            if not counted.inside and line.startswith("--- "):
+                old = _name(line, "a/")
+            elif not counted.inside and line.startswith("+++ "):
+                new = _name(line, "b/")
+            else:
+                counted.take(line)
+    close()
+    return list(found.values())
 
 
 def parse_unified_diffs(diffs: DataFrame, keys: list[str], diff: str = "diff") -> DataFrame:
-    """Whole diffs -> one row a file: path, status, added_lines, removed_lines, added_ranges. The last of a path wins."""
-    w = W.partitionBy(*keys).orderBy("pos")
-    lines = diffs.where(F.col(diff).isNotNull()).select(*keys, F.posexplode(_patch_lines(F.col(diff))).alias("pos", "text"))
-    text = F.col("text")
-    mark = F.when(text.startswith("diff --git "), F.lit("g")).when(text.rlike(HUNK), F.lit("h"))
-    before = F.last(mark, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    pair = text.startswith("--- ") & F.coalesce(F.lead("text").over(w).startswith("+++ "), F.lit(False))
-    begins = text.startswith("diff --git ") | (pair & (F.coalesce(before, F.lit("")) != "g"))
-    files = lines.withColumn("begins", begins).withColumn("segment", F.sum(F.col("begins").cast("int")).over(w)).where("segment > 0")
-    side = lambda prefix, strip: F.max(F.when(text.startswith(prefix), F.regexp_replace(F.regexp_replace(F.substring(text, 5, 1 << 30), r"\t.*$", ""), strip, "")))
-    # the header is what precedes the first hunk of the segment
-    headed = files.withColumn("hunks", F.sum(text.rlike(HUNK).cast("int")).over(W.partitionBy(*keys, "segment").orderBy("pos")))
-    git = lambda i: F.max(F.when(text.startswith("diff --git "), F.regexp_extract(text, r"^diff --git a/(.*) b/(.*)$", i)))
-    names = headed.where("hunks = 0").groupBy(*keys, "segment").agg(F.coalesce(side("--- ", "^a/"), git(1)).alias("old"), F.coalesce(side("+++ ", "^b/"), git(2)).alias("new"))
-    status = F.when(F.col("old") == "/dev/null", "added").when(F.col("new") == "/dev/null", "removed").when(F.col("old") != F.col("new"), "renamed").otherwise("modified")
-    path = F.when(F.col("new") == "/dev/null", F.col("old")).otherwise(F.col("new"))
-    last = F.row_number().over(W.partitionBy(*keys, "path").orderBy(F.desc("segment")))
-    named = names.select(*keys, "segment", path.alias("path"), status.alias("status")).withColumn("nth", last).where("nth = 1").drop("nth")
-    found = _collected(_numbered(headed.select(*keys, "segment", "pos", "text"), [*keys, "segment"]), [*keys, "segment"])
-    ints, pairs = F.array().cast("array<int>"), F.array().cast("array<struct<start:int,end:int>>")
-    return named.join(found, [*keys, "segment"], "left").select(
-        *keys, "path", "status", F.coalesce("added_lines", ints).alias("added_lines"), F.coalesce("removed_lines", ints).alias("removed_lines"), F.coalesce("added_ranges", pairs).alias("added_ranges")
-    )
+    """Whole diffs -> one row a file: keys, path, status, added_lines, removed_lines, added_ranges. The last of a path wins."""
+    kind = f"files array<struct<path:string,status:string,{PARSED.replace(' array', ':array').replace(', ', ',')}>>"
+    return append_columns(diffs.select(*keys, diff), diff, kind, lambda texts: [[_files(x) for x in texts]]).select(*keys, F.inline("files"))

@@ -24,7 +24,7 @@ def changed_file_rows(files: DataFrame, parsed: DataFrame, keys: tuple[str, ...]
 
     parsed: the keys, source and symbols, from parse_symbols. symbol_names are those of symbols that the change touches.
     """
-    rows = parse_file_patches(files, list(keys)).join(parsed.select(*keys, "source", "symbols"), list(keys), "left")
+    rows = parse_file_patches(files).join(parsed.select(*keys, "source", "symbols"), list(keys), "left")
     touched = F.when(F.col("source").isNotNull() & (F.size("added_ranges") > 0), enclosing_symbols(F.col("symbols"), F.col("added_ranges")))
     names = F.coalesce(F.transform(touched, lambda s: s["qualified_name"]), F.array().cast("array<string>"))
     return rows.withColumns({"language": language_for(F.col("filename")), "additions": F.size("added_lines"), "deletions": F.size("removed_lines"), "symbol_names": names})

@@ -1,6 +1,7 @@
 """Python symbols and chunks. A small Arrow helper parses each file once; all else works on the array that it returns.
 
-Parsing is the standard library's: a file with syntax errors has no symbols, and its chunk is the whole file.
+Parsing is the standard library's: a file with syntax errors has no symbols, and its chunk is the whole file. Of two
+top-level classes of one name, the first one's functions are the class's; a second one is one chunk, however long.
 """
 
 from __future__ import annotations
@@ -9,14 +10,12 @@ import ast
 import io
 import keyword
 import tokenize
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import content_hash, is_test_path, slice_lines, split_lines
+from ..tables import append_columns
 
 SYMBOLS = "array<struct<seq:int,name:string,kind:string,start_line:int,end_line:int,parent:string,qualified_name:string,top_level:boolean,member_of:string>>"
 LARGE_CLASS_LINES = 80
@@ -31,11 +30,11 @@ def _symbols(source: str | None) -> list[dict] | None:
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
     out: list[dict] = []
-    first_class = {}
+    classes: set[str] = set()
     open_ = [(child, None, True, None) for child in reversed(tree.body)]
     while open_:
         node, parent, top, owner = open_.pop()
-        inner, member_of = parent, None
+        inner, members = parent, frozenset()
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             is_class = isinstance(node, ast.ClassDef)
             kind = "class" if is_class else "method" if parent else "function"
@@ -43,10 +42,10 @@ def _symbols(source: str | None) -> list[dict] | None:
             out.append({"seq": len(out), "name": node.name, "kind": kind, "start_line": start, "end_line": node.end_lineno, "parent": parent, "qualified_name": f"{parent}.{node.name}" if parent else node.name, "top_level": top, "member_of": None if is_class else owner})
             if is_class:
                 inner = node.name
-                if top and node.name not in first_class:
-                    first_class[node.name] = node
-                    member_of = node.name
-        open_ += [(child, inner, False, member_of if child in getattr(node, "body", ()) else None) for child in reversed(list(ast.iter_child_nodes(node)))]
+                if top and node.name not in classes:
+                    classes.add(node.name)
+                    members = frozenset(map(id, node.body))
+        open_ += [(child, inner, False, node.name if id(child) in members else None) for child in reversed(list(ast.iter_child_nodes(node)))]
     return out
 
 
@@ -63,18 +62,7 @@ def _identifiers(source: str | None) -> list[str]:
 
 def parse_symbols(files: DataFrame, source: str = "source") -> DataFrame:
     """files with `symbols` (null if the source is null or broken) and `identifiers`."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = T.StructType([*files.schema.fields, T.StructField("symbols", T._parse_datatype_string(SYMBOLS)), T.StructField("identifiers", T.ArrayType(T.StringType()))])
-    arrow, at = to_arrow_schema(schema), files.columns.index(source)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sources = batch.column(at).to_pylist()
-            made = [pa.array([f(s) for s in sources], arrow.field(len(batch.columns) + i).type) for i, f in enumerate((_symbols, _identifiers))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema=arrow)
-
-    return files.mapInArrow(run, schema)
+    return append_columns(files, source, f"symbols {SYMBOLS}, identifiers array<string>", lambda sources: [[f(s) for s in sources] for f in (_symbols, _identifiers)])
 
 
 def top_level_symbols(symbols: Column) -> Column:

@@ -18,10 +18,10 @@ def test_patches(spark):
         ("z.py", None),
         ("bad.py", "no hunks"),
     ]
-    got = {r["filename"]: r for r in diffs.parse_file_patches(spark.createDataFrame(patches, "filename string, patch string"), ["filename"]).collect()}
+    got = {r["filename"]: r for r in diffs.parse_file_patches(spark.createDataFrame(patches, "filename string, patch string")).collect()}
     facts = {k: (r["added_lines"], r["removed_lines"], [tuple(x) for x in r["added_ranges"]]) for k, r in got.items()}
     assert facts == {"m.py": ([2, 3], [2], [(2, 3)]), "o.py": ([11, 12], [], [(11, 12)]), "n.py": ([1, 2, 3], [], [(1, 3)]), "e.py": ([2], [], [(2, 2)]), "z.py": ([], [], []), "bad.py": ([], [], [])}
-    df = diffs.parse_file_patches(spark.createDataFrame(patches[1:2], "filename string, patch string"), ["filename"])
+    df = diffs.parse_file_patches(spark.createDataFrame(patches[1:2], "filename string, patch string"))
     r = F.col("added_ranges")
     spans = [(11, 11), (9, 10), (12, 20)]
     assert df.select(*[diffs.touches(r, F.lit(a), F.lit(b)) for a, b in spans], diffs.contains_line(r, F.lit(12)), diffs.contains_line(r, F.lit(13))).first()[:] == (True, False, True, True, False)
@@ -34,3 +34,24 @@ def test_whole_diff(spark):
     assert sorted((r["id"], r["path"], r["status"], r["added_lines"], r["removed_lines"]) for r in got) == [
         (1, "one.py", "modified", [2], []), (1, "two.py", "modified", [6], []), (2, "n.py", "added", [1], []), (2, "y.py", "renamed", [1], [1]),
     ]
+
+
+def test_rows_that_share_a_key_or_have_none(spark):
+    rows = [(1, "@@ -1 +1,2 @@\n a\n+b"), (1, "@@ -5 +9,3 @@\n a\n+b\n+c"), (None, "@@ -1 +4 @@\n+x"), (None, None)]
+    files = spark.createDataFrame(rows, "id int, patch string").repartition(2)
+    assert sorted((r["id"] or 0, r["added_lines"]) for r in diffs.parse_file_patches(files).collect()) == [(0, []), (0, [4]), (1, [2]), (1, [10, 11])]
+    assert sorted((r["id"] or 0, r["side"], r["line"]) for r in diffs.patch_line_numbers(files, ["id"]).collect()) == [(0, "added", 4), (1, "added", 2), (1, "added", 10), (1, "added", 11)]
+
+
+def test_lines_that_look_like_headers(spark):
+    git = "diff --git a/q.sql b/q.sql\n--- a/q.sql\n+++ b/q.sql\n@@ -1,3 +1,3 @@\n a\n--- old note\n+++ counter;\n b\n"
+    plain = "--- a/q.sql\n+++ b/q.sql\n@@ -1,3 +1,3 @@\n a\n--- old note\n+++ counter;\n b\n--- a/r.sql\n+++ b/r.sql\n@@ -1 +1,2 @@\n a\n+++ c\n"
+    short = "--- a/s.py\n+++ b/s.py\n@@ -1,9 +1,1 @@\n+a\n--- a/t.py\t2024\n+++ b/t.py\t2024\n@@ -3 +3 @@\n-a\n+b\n"
+    twice = "diff --git a/u.py b/u.py\n--- a/u.py\n+++ b/u.py\n@@ -1 +1 @@\n+a\ndiff --git a/u.py b/u.py\n--- a/u.py\n+++ b/u.py\n@@ -7 +7 @@\n+a\n"
+    moved = "diff --git a/old b.txt b/new b.txt\nsimilarity index 100%\nrename from old b.txt\nrename to new b.txt\n"
+    diffs_ = spark.createDataFrame(list(enumerate([git, plain, short, twice, moved])), "id int, diff string")
+    got = sorted((r["id"], r["path"], r["status"], r["added_lines"], r["removed_lines"]) for r in diffs.parse_unified_diffs(diffs_, ["id"]).collect())
+    assert got == [
+        (0, "q.sql", "modified", [2], [2]), (1, "q.sql", "modified", [2], [2]), (1, "r.sql", "modified", [2], []), (2, "s.py", "modified", [1], []), (2, "t.py", "modified", [3], [3]),
+        (3, "u.py", "modified", [7], []), (4, "new b.txt", "renamed", [], []),
+    ]

@@ -61,3 +61,48 @@ def test_chunks(spark):
     assert got["pkg/f1.py"][0] == ("class_context", "Big", 1, 2) and len(got["pkg/f1.py"]) == 46 and got["pkg/f1.py"][1] == ("method", "Big.m0", 3, 4)
     assert got["pkg/f3.py"] == [("module", None, 1, 2)] and got["pkg/f4.py"] == [("module", None, 1, 2)] and got["pkg/f6.py"] == [("function", "f", 1, 3)]
     assert "pkg/f2.py" not in got and "pkg/f5.py" not in got
+
+
+MODERN = '''f = lambda x: x
+y = 1 if f else 2
+z = sorted([3, 1], key=lambda t: (t, [u for u in range(t)]))
+match y:
+    case 1:
+        def in_case():
+            return lambda: (yield)
+class A(metaclass=type("M", (type,), {})):
+    g = lambda self: self
+    class B:
+        def b(self): return 1 if self else 2
+    def a(self):
+        try:
+            def c(): pass
+        finally:
+            pass
+class A:
+    def second(self): pass
+'''
+
+
+def test_expressions_have_bodies_too(spark):
+    row = parsed(spark, MODERN).first()
+    assert [(s["qualified_name"], s["kind"], s["member_of"]) for s in row["symbols"]] == [
+        ("in_case", "function", None), ("A", "class", None), ("A.B", "class", None), ("B.b", "method", None), ("A.a", "method", "A"), ("A.c", "method", None), ("A", "class", None), ("A.second", "method", None),
+    ]
+
+
+def test_the_standard_library(spark):
+    import os
+    import sysconfig
+
+    folder = sysconfig.get_paths()["stdlib"]
+    names = sorted(n for n in os.listdir(folder) if n.endswith(".py"))
+    sources = []
+    for name in names:
+        with open(f"{folder}/{name}", encoding="utf-8", errors="replace") as f:
+            sources.append((name, f.read()))
+    rows = spark.createDataFrame(sources, "file_path string, source string").repartition(8)
+    found = symbols.parse_symbols(rows)
+    assert len(names) > 100 and found.where("symbols is null").count() == 0
+    chunks = symbols.chunk_files(found).selectExpr("file_path", "chunk_type", "start_line", "end_line", "length(content) as n").collect()
+    assert {r["file_path"] for r in chunks} == {n for n, s in sources if s} and all(r["n"] > 0 and r["start_line"] <= r["end_line"] for r in chunks)
