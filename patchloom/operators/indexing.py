@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import append_columns
+
 KEYS = ["repository_id", "content_hash"]
 DIMENSIONS = 384
 
@@ -37,28 +39,23 @@ def index_stats(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def hash_embedder(texts: list[str]) -> np.ndarray:
-    """A deterministic stand-in for a model: signed feature hashing of words to unit vectors."""
+    """Where no model is plugged in: signed feature hashing of words (their md5) to unit vectors."""
     out = np.zeros((len(texts), DIMENSIONS))
     for row, text in zip(out, texts, strict=True):
-        for word in text.split():
-            code = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-            row[code % DIMENSIONS] += 1 - 2 * (code >> 63)
+        for word, times in Counter(text.split()).items():
+            code = int(hashlib.md5(word.encode()).hexdigest()[:15], 16)
+            row[code % DIMENSIONS] += times * (1 - 2 * (code // DIMENSIONS % 2))
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1)
 
 
 def embed(df: DataFrame, text: str = "content", load: Callable[[], Callable[[list[str]], np.ndarray]] = lambda: hash_embedder, batch: int = 256) -> DataFrame:
     """df with `embedding`; `load` is called once in each task and gives the function that embeds a batch of texts."""
-    at = df.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None
-        for whole in batches:
-            for i in range(0, whole.num_rows, batch):
-                model = model or load()
-                part = whole.slice(i, batch)
-                vectors = np.asarray(model(["" if t is None else t for t in part.column(at).to_pylist()]), np.float32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(vectors), pa.list_(pa.float32()))], names=[*whole.schema.names, "embedding"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{fields}, embedding array<float>")
+    held: list = []
+
+    def run(texts: list) -> list[list]:
+        if not held:
+            held.append(load())
+        return [list(np.asarray(held[0](["" if t is None else t for t in texts]), np.float32))]
+
+    return append_columns(df, text, "embedding array<float>", run, batch)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import is_validation, tokenize_code
+from ..tables import append_columns, materialize
 
 # Fixed values.
 K1, B = 1.5, 0.75
@@ -21,8 +22,8 @@ TOP_K, LEAST_FETCH = 8, 5
 MAX_QUERIES, MAX_QUERY_CHARS = 6, 2000
 #: Places that scores are rounded to before ranking, so that sums in another order rank alike.
 PLACES = 9
-#: Query rows up to which a block of queries is broadcast.
-QUERY_BLOCK = 4096
+#: Queries and chunks of a repository that meet in one task at most, on average.
+QUERY_BLOCK, CHUNK_BLOCK = 4096, 8192
 
 
 def exclude_files(chunks: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,12 +31,20 @@ def exclude_files(chunks: DataFrame, changed: DataFrame, keys: list[str]) -> Dat
     return chunks.join(changed.select(*keys).distinct(), keys, "left_anti")
 
 
-def inverted_index(chunks: DataFrame) -> DataFrame:
-    """(repository_id, chunk_id, file_path, term, tf, len): one row a chunk and term."""
+def forward_index(chunks: DataFrame) -> DataFrame:
+    """(repository_id, chunk_id, file_path, len, terms): the tokens of each chunk counted in its row, without a shuffle."""
+
+    def count(lists: list[list[str] | None]) -> list[list]:
+        counted = [Counter(x or []) for x in lists]
+        return [[c.total() for c in counted], [[{"term": t, "tf": n} for t, n in c.items()] for c in counted]]
+
     tokens = chunks.select("repository_id", F.col("id").alias("chunk_id"), "file_path", tokenize_code(F.col("content")).alias("t"))
-    # the length is taken below the explode: beside it, it would be worked out again for every token
-    sized = tokens.withColumn("len", F.size("t"))
-    return sized.select("repository_id", "chunk_id", "file_path", "len", F.explode("t").alias("term")).groupBy("repository_id", "chunk_id", "file_path", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return append_columns(tokens, "t", "len int, terms array<struct<term:string,tf:bigint>>", count).drop("t")
+
+
+def inverted_index(chunks: DataFrame) -> DataFrame:
+    """(repository_id, chunk_id, file_path, len, term, tf): one row a chunk and term."""
+    return forward_index(chunks).select("repository_id", "chunk_id", "file_path", "len", F.inline("terms"))
 
 
 def document_frequency(index: DataFrame, keys: tuple[str, ...] = ("repository_id",)) -> DataFrame:
@@ -57,18 +66,20 @@ def idf(n: Column, df: Column) -> Column:
 def bm25_scores(chunks: DataFrame, queries: DataFrame, changed: DataFrame | None = None) -> DataFrame:
     """(review_id, seq, chunk_id, score > 0) of queries (review_id, seq, repository_id, text) over their repository.
 
-    The index is built once for a repository. A review's own numbers, without its changed files, come by subtracting
-    what those files hold. Postings meet query terms first, so that only terms in use are joined further.
+    The index is built and written once for a repository. A review's own numbers, without its changed files, come by
+    subtracting what those files hold. Postings meet query terms first, so that only terms in use are joined further.
     """
     terms = queries.select("review_id", "seq", "repository_id", F.explode(F.array_distinct(tokenize_code(F.col("text")))).alias("term"))
     used = terms.select("repository_id", "term").distinct()
-    index = inverted_index(chunks).join(used, ["repository_id", "term"])
+    whole = materialize(forward_index(chunks))
+    postings = whole.select("repository_id", "chunk_id", "file_path", "len", F.inline("terms"))
+    index = materialize(postings.join(used, ["repository_id", "term"]))
     df = document_frequency(index)
-    stats = length_stats(chunks).drop("avg_len")
+    stats = whole.groupBy("repository_id").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total_len"))
     reviews = queries.select("review_id", "repository_id").distinct().join(stats, "repository_id")
     if changed is not None:
         gone = changed.select("review_id", "file_path").distinct()
-        files = chunks.withColumn("len", F.size(tokenize_code(F.col("content")))).groupBy("repository_id", "file_path").agg(F.count(F.lit(1)).alias("gone_n"), F.sum("len").alias("gone_len"))
+        files = whole.groupBy("repository_id", "file_path").agg(F.count(F.lit(1)).alias("gone_n"), F.sum("len").alias("gone_len"))
         file_df = index.groupBy("repository_id", "file_path", "term").agg(F.count(F.lit(1)).alias("gone_df"))
         out = gone.join(queries.select("review_id", "repository_id").distinct(), "review_id")
         less = out.join(files, ["repository_id", "file_path"]).groupBy("review_id", "repository_id").agg(F.sum("gone_n").alias("gone_n"), F.sum("gone_len").alias("gone_len"))
@@ -98,53 +109,42 @@ def cosine_distances(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 def cosine_topk(chunks: DataFrame, queries: DataFrame, k: int, changed: DataFrame | None = None) -> DataFrame:
     """(review_id, seq, chunk_id, distance): the k nearest chunks of each query in its repository, exactly.
 
-    Blocks of QUERY_BLOCK queries at most go to the tasks, which multiply them with each batch of chunk vectors and
-    keep the k best of the batch; a window takes the k best of all. A block's changed files are masked before that.
+    A repository's queries and chunks are dealt over blocks, and each pair of blocks meets in a task, which multiplies
+    them and keeps each query's k best; a window takes the k best of all. A review's changed files are masked before.
+    Chunks and queries without a vector take no part; a vector of zeros is at distance 1 from all.
     """
-    spark = chunks.sparkSession
-    count = queries.count()
-    blocks = max(1, -(-count // QUERY_BLOCK) * (2 if count > QUERY_BLOCK else 1))
-    found = None
-    for i in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("review_id", "seq"), F.lit(blocks)) == i) if blocks > 1 else queries
-        rows = block.select("review_id", "seq", "repository_id", "vector").collect()
-        masks: dict[int, set] = {}
-        if changed is not None:
-            for r in changed.join(F.broadcast(block.select("review_id").distinct()), "review_id").select("review_id", "file_path").distinct().collect():
-                masks.setdefault(r["review_id"], set()).add(r["file_path"])
-        groups: dict[int, tuple[list, list]] = {}
-        for r in rows:
-            keys, vectors = groups.setdefault(r["repository_id"], ([], []))
-            keys.append((r["review_id"], r["seq"]))
-            vectors.append(r["vector"])
-        packed = {repo: (keys, _unit(np.array(vectors, np.float64))) for repo, (keys, vectors) in groups.items()}
-        shared = spark.sparkContext.broadcast((packed, masks))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            packed, masks = shared.value
-            for batch in batches:
-                repos, ids, files = (batch.column(j).to_pylist() for j in range(3))
-                vectors = batch.column(3)
-                at: dict[int, list[int]] = {}
-                for j, repo in enumerate(repos):
-                    if repo in packed:
-                        at.setdefault(repo, []).append(j)
-                out: list[tuple] = []
-                for repo, own in at.items():
-                    keys, matrix = packed[repo]
-                    block_vectors = _unit(np.array(vectors.take(pa.array(own)).to_pylist(), np.float64))
-                    distance = np.round(1 - matrix @ block_vectors.T, PLACES)
-                    chunk_ids, paths = np.array([ids[j] for j in own]), [files[j] for j in own]
-                    for row, (review, seq) in zip(distance, keys, strict=True):
-                        masked = masks.get(review)
-                        usable = np.array([p not in masked for p in paths]) if masked else np.ones(len(paths), bool)
-                        best = np.lexsort((chunk_ids[usable], row[usable]))[:k]
-                        out += [(review, seq, int(c), float(d)) for c, d in zip(chunk_ids[usable][best], row[usable][best], strict=True)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["review_id", "seq", "chunk_id", "distance"])
-
-        part = chunks.select(F.col("repository_id").cast("long"), F.col("id").cast("long"), "file_path", "vector").mapInArrow(search, "review_id long, seq long, chunk_id long, distance double")
-        found = part if found is None else found.unionByName(part)
+    asked = queries.where("vector is not null").select("review_id", "seq", "repository_id", "vector")
+    masks = F.lit(None).cast("array<string>").alias("masked")
+    if changed is None:
+        asked = asked.select("*", masks)
+    else:
+        asked = asked.join(changed.groupBy("review_id").agg(F.collect_set("file_path").alias("masked")), "review_id", "left")
+    asked = materialize(asked)
+    usable = chunks.where("vector is not null").select("repository_id", F.col("id").cast("long").alias("chunk_id"), "file_path", "vector")
+    blocks = lambda df, rows, name: df.groupBy("repository_id").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+    grid = materialize(blocks(asked, QUERY_BLOCK, "__rows").join(blocks(usable, CHUNK_BLOCK, "__columns"), "repository_id"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(grid, "repository_id").withColumn("__row", F.pmod(F.xxhash64("review_id", "seq"), F.col("__rows")).cast("int")).withColumn("__column", every("__columns"))
+    right = usable.join(grid, "repository_id").withColumn("__column", F.pmod(F.xxhash64("chunk_id"), F.col("__columns")).cast("int")).withColumn("__row", every("__rows"))
+
+    def search(own: pa.Table, block: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], [], []]
+        if own.num_rows and block.num_rows:
+            ids, files = block.column("chunk_id").to_numpy(), np.array(block.column("file_path").to_pylist(), object)
+            there = _unit(np.array(block.column("vector").to_pylist(), np.float64))
+            for a in range(0, own.num_rows, 256):
+                part = own.slice(a, 256)
+                distance = np.round(1 - _unit(np.array(part.column("vector").to_pylist(), np.float64)) @ there.T, PLACES)
+                for row, review, seq, masked in zip(distance, *(part.column(c).to_pylist() for c in ("review_id", "seq", "masked")), strict=True):
+                    open_ = np.flatnonzero(~np.isin(files, masked)) if masked else np.arange(len(ids))
+                    best = open_[np.lexsort((ids[open_], row[open_]))[:k]]
+                    for column, values in zip(out, ([review] * len(best), [seq] * len(best), ids[best].tolist(), row[best].tolist()), strict=True):
+                        column += values
+        return pa.table(dict(zip(("review_id", "seq", "chunk_id", "distance"), (pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)), strict=True)))
+
+    keys = ["repository_id", "__row", "__column"]
+    schema = "review_id long, seq long, chunk_id long, distance double"
+    found = left.select("review_id", F.col("seq").cast("long").alias("seq"), "vector", "masked", *keys).groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, schema)
     return top_per_query(found, "distance", k)
 
 

@@ -1,8 +1,7 @@
-import math
 import random
-import re
-from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from patchloom.operators import retrieval
@@ -15,59 +14,62 @@ def chunk(i, text, path="a.py", repo=0, symbol=None, test=False, vector=None):
 
 
 def test_lexical_match_ranks_first(spark):
-    chunks = spark.createDataFrame([chunk(1, "def render_page(): pass"), chunk(2, "def validate_permission(user): check permission"), chunk(3, "")], CHUNKS)
-    queries = spark.createDataFrame([(1, 0, 0, "validate permission")], "review_id long, seq long, repository_id long, text string")
+    chunks = spark.createDataFrame([chunk(1, "total = price * amount"), chunk(2, "def parse_header(line): return header"), chunk(3, "")], CHUNKS)
+    queries = spark.createDataFrame([(1, 0, 0, "header of a line")], "review_id long, seq long, repository_id long, text string")
     got = retrieval.bm25_scores(chunks, queries).orderBy(F.desc("score")).collect()
-    assert got[0]["chunk_id"] == 2 and got[0]["score"] > 0 and all(r["chunk_id"] != 3 for r in got)
+    assert [r["chunk_id"] for r in got] == [2] and got[0]["score"] > 0
 
 
-def tokens(text):
-    out = []
-    for x in re.findall(r"[A-Za-z_][A-Za-z0-9_]*|\d+", text):
-        out += [x.lower()] + ([p for p in x.lower().split("_") if p] if "_" in x else [])
-    return out
+WORDS = {"self": ["self"], "return": ["return"], "check_rule": ["check_rule", "check", "rule"], "user_id": ["user_id", "user", "id"], "alpha": ["alpha"], "beta": ["beta"], "42": ["42"], "check": ["check"]}
 
 
-def test_bm25_by_subtraction_equals_direct(spark):
-    random.seed(3)
-    words = ["self", "return", "check_rule", "user_id", "alpha", "beta", "42"]
-    rows = [chunk(i, " ".join(random.choices(words, k=random.randint(0, 9))), f"f{i % 5}.py", i % 2) for i in range(40)]
-    queries = [(r, s, r % 2, " ".join(random.choices(words, k=3))) for r in range(4) for s in range(2)]
+def test_bm25_by_subtraction_equals_a_matrix_of_what_is_left(spark):
+    draw = np.random.default_rng(3)
+    names, terms = list(WORDS), sorted({t for x in WORDS.values() for t in x})
+    expand = np.array([[x.count(t) for t in terms] for x in WORDS.values()])
+    picks = draw.integers(0, 2, (40, len(names))) * draw.integers(0, 4, (40, len(names)))
+    rows = [chunk(i, " ".join(np.repeat(names, p)), f"f{i % 5}.py", i % 2) for i, p in enumerate(picks)]
+    asked = draw.integers(0, 2, (8, len(names)))
+    queries = [(i // 2, i % 2, i // 2 % 2, " ".join(np.repeat(names, p))) for i, p in enumerate(asked)]
     changed = [(0, "f1.py"), (0, "f2.py"), (1, "f0.py"), (2, "absent.py")]
     got = retrieval.bm25_scores(spark.createDataFrame(rows, CHUNKS), spark.createDataFrame(queries, "review_id long, seq long, repository_id long, text string"), spark.createDataFrame(changed, "review_id long, file_path string"))
-    want = {}
-    for review, seq, repo, text in queries:
-        corpus = [(r[0], tokens(r[2])) for r in rows if r[1] == repo and (review, r[3]) not in changed]
-        n, avg = len(corpus), sum(len(t) for _, t in corpus) / len(corpus)
-        for i, toks in corpus:
-            tf, score = Counter(toks), 0.0
-            for term in set(tokens(text)):
-                if tf[term]:
-                    df = sum(term in t for _, t in corpus)
-                    score += max(0.0, (n - df + 0.5) / (df + 0.5)) * tf[term] * 2.5 / (tf[term] + 1.5 * (0.25 + 0.75 * len(toks) / avg))
-            if score > 0:
-                want[review, seq, i] = score
     found = {(r["review_id"], r["seq"], r["chunk_id"]): r["score"] for r in got.collect()}
-    assert found.keys() == want.keys() and all(math.isclose(found[k], want[k], abs_tol=1e-8) for k in want)
+    tf = picks @ expand  # chunk, term
+    for (review, seq, repo, _), p in zip(queries, asked):
+        left = np.array([i % 2 == repo and (review, f"f{i % 5}.py") not in changed for i in range(40)])
+        df, length = (tf[left] > 0).sum(axis=0), tf.sum(axis=1)
+        weight = np.clip((left.sum() - df + 0.5) / (df + 0.5), 0, None) * (p @ expand > 0)
+        slow = 1.5 * (0.25 + 0.75 * length / length[left].mean())
+        scores = (2.5 * tf / (tf + slow[:, None])) @ weight
+        for i in range(40):
+            assert abs(found.pop((review, seq, i), 0.0) - (scores[i] if left[i] else 0)) < 1e-8
+    assert not found
 
 
-def test_cosine_helper_equals_built_in(spark):
+@pytest.mark.parametrize("blocks", [(4096, 8192), (2, 7)], ids=["one pair of blocks", "many"])
+def test_cosine_search_equals_direct(spark, monkeypatch, blocks):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", blocks[0])
+    monkeypatch.setattr(retrieval, "CHUNK_BLOCK", blocks[1])
     random.seed(4)
     vec = lambda: [random.gauss(0, 1) for _ in range(8)]
-    chunks = spark.createDataFrame([chunk(i, "x", f"f{i % 3}.py", i % 2, vector=vec()) for i in range(50)], CHUNKS)
-    queries = spark.createDataFrame([(r, s, r % 2, vec()) for r in range(3) for s in range(2)], "review_id long, seq long, repository_id long, vector array<float>")
-    changed = spark.createDataFrame([(0, "f0.py")], "review_id long, file_path string")
-    near = retrieval.cosine_topk(chunks, queries, 5, changed)
-    plain = retrieval.cosine_distances(chunks.where("not (repository_id = 0 and file_path = 'f0.py')").unionByName(chunks.where("repository_id = 0 and file_path = 'f0.py'")), queries)
-    plain = plain.join(chunks.select(F.col("id").alias("chunk_id"), "file_path"), "chunk_id").where("not (review_id = 0 and file_path = 'f0.py')")
-    want = retrieval.top_per_query(plain, "distance", 5)
-    key = lambda df: {(r["review_id"], r["seq"], r["chunk_id"]): r["distance"] for r in df.collect()}
-    a, b = key(near), key(want)
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-7 for k in a)
+    rows = [(i, i % 2, f"f{i % 3}.py", None if i == 7 else [0.0] * 8 if i == 9 else vec()) for i in range(60)]
+    asked = [(r, s, r % 2, None if (r, s) == (3, 1) else vec()) for r in range(6) for s in range(2)] + [(8, 0, 5, vec())]
+    chunks = spark.createDataFrame(rows, "id long, repository_id long, file_path string, vector array<float>")
+    queries = spark.createDataFrame(asked, "review_id long, seq long, repository_id long, vector array<float>")
+    changed = [(0, "f0.py"), (2, "f1.py"), (2, "f2.py")]
+    near = retrieval.cosine_topk(chunks, queries, 5, spark.createDataFrame(changed, "review_id long, file_path string"))
+    got = {}
+    for r in near.orderBy("review_id", "seq", "distance", "chunk_id").collect():
+        got.setdefault((r["review_id"], r["seq"]), []).append((r["chunk_id"], r["distance"]))
+    unit = lambda v: np.array(v, np.float32).astype(float) / (np.linalg.norm(np.array(v, np.float32).astype(float)) or 1)
+    for review, seq, repo, vector in asked:
+        want = [] if vector is None else sorted((1 - unit(vector) @ unit(v), i) for i, own, path, v in rows if own == repo and v is not None and (review, path) not in changed)[:5]
+        assert [i for i, _ in got.get((review, seq), [])] == [i for _, i in want]
+        assert np.allclose([d for _, d in got.get((review, seq), [])], [d for d, _ in want], atol=1e-7)
 
 
 def test_hybrid_is_the_union(spark):
-    chunks = spark.createDataFrame([chunk(1, "alpha", "a.py", vector=[1.0, 0.0]), chunk(2, "needle_word", "b.py", vector=[0.0, 1.0])], CHUNKS)
+    chunks = spark.createDataFrame([chunk(1, "alpha", "a.py", vector=[1.0, 0.0]), chunk(2, "needle_word", "b.py", vector=[0.0, 1.0]), (3, 0, "other", "c.py", None, 1, 2, False, None)], CHUNKS)
     queries = spark.createDataFrame([(1, 0, 0, "needle_word", [1.0, 0.0])], "review_id long, seq long, repository_id long, text string, vector array<float>")
     got = retrieval.retrieve_context(chunks, queries, k=2).collect()
     assert {r["chunk_id"] for r in got} == {1, 2}
