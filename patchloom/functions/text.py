@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted repository references, line ends, test paths, validation stems, code tokens.
+# Accepted repository references, line ends, test paths, names of checking code, white space, code tokens.
 REPO_URL = r"^(?:https?://github\.com/|git@github\.com:)?([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?/?$"
 LINE_ENDS = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 TEST_PATH = r"(?i)(^|/)(tests?|testing)(/|$)|(^|/)test_[^/]*\.py$|_test\.py$"
-VALIDATION_STEMS = "valid verif check ensure assert constraint rule permission authori[sz] guard require allow forbid limit policy invariant sanitiz".split()
+VALIDATION = r"(?iu)(valid|verif|check|ensure|assert|constraint|rule|permission|authori[sz]|guard|require|allow|forbid|limit|policy|invariant|sanitiz)"
+OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 CODE_TOKEN = r"([A-Za-z_][A-Za-z0-9_]*|\p{Nd}+)"
 TRUNCATED = "\n... [truncated]"
 
 
 def parse_repo_url(url: Column) -> Column:
     """struct(owner, repo, full_name); null for anything that is no repository reference."""
-    text = F.trim(url)
+    text = F.regexp_replace(url, OUTER_SPACE, "")
     owner, repo = F.regexp_extract(text, REPO_URL, 1), F.regexp_extract(text, REPO_URL, 2)
     return F.when(owner != "", F.struct(owner.alias("owner"), repo.alias("repo"), F.concat(owner, F.lit("/"), repo).alias("full_name")))
 
@@ -32,7 +33,7 @@ def is_test_path(path: Column) -> Column:
 
 def is_validation(symbol: Column) -> Column:
     """Whether a symbol's name has one of the stems of checking code; false for null."""
-    return F.coalesce(symbol.rlike("(?iu)(" + "|".join(VALIDATION_STEMS) + ")"), F.lit(False))
+    return F.coalesce(symbol.rlike(VALIDATION), F.lit(False))
 
 
 def content_hash(text: Column) -> Column:

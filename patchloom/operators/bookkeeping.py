@@ -19,14 +19,14 @@ def register(known: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.join(known.select("full_name"), "full_name", "left_anti").withColumn("nth", first).where("nth = 1").drop("nth")
 
 
-def refresh_pulls(stored: DataFrame, live: DataFrame) -> DataFrame:
+def refresh_pulls(stored: DataFrame, live: DataFrame, refreshed: DataFrame) -> DataFrame:
     """stored and live pull requests merged on (repository_id, number).
 
-    Live ones give their summary fields; stored ones that are no longer live become closed. Only repositories with a
-    live row are touched, and nothing but the summary fields changes.
+    Live ones give their summary fields; stored ones of a refreshed repository that are no longer live become closed,
+    all of them if nothing is live there. Other repositories stay as they are, and nothing but the summary fields changes.
     """
     fields = [f for f in SUMMARY_FIELDS if f in stored.columns and f in live.columns]
-    batch = live.select("repository_id").distinct().withColumn("refreshed", F.lit(True))
+    batch = refreshed.select("repository_id").distinct().withColumn("refreshed", F.lit(True))
     seen = live.select("repository_id", "number", F.lit(True).alias("is_live"), *[F.col(f).alias(f"new_{f}") for f in fields])
     merged = stored.join(seen, ["repository_id", "number"], "full_outer").join(batch, "repository_id", "left")
     out = []
@@ -39,10 +39,10 @@ def refresh_pulls(stored: DataFrame, live: DataFrame) -> DataFrame:
     return merged.select(*out)
 
 
-def vanished_pulls(stored: DataFrame, live: DataFrame) -> DataFrame:
-    """(repository_id, number) that are stored but not live."""
+def vanished_pulls(stored: DataFrame, live: DataFrame, refreshed: DataFrame) -> DataFrame:
+    """(repository_id, number) that are stored but not live, of the refreshed repositories: those that refresh_pulls closes."""
     keys = ["repository_id", "number"]
-    return stored.select(*keys).join(live.select(*keys), keys, "left_anti")
+    return stored.select(*keys).join(refreshed.select("repository_id").distinct(), "repository_id", "left_semi").join(live.select(*keys), keys, "left_anti")
 
 
 def guard_reviews(requests: DataFrame) -> DataFrame:
@@ -52,9 +52,11 @@ def guard_reviews(requests: DataFrame) -> DataFrame:
     return requests.withColumn("reason", reason).withColumn("accepted", reason.isNull())
 
 
-def trigger_upsert(stored: DataFrame, requests: DataFrame, repositories: DataFrame) -> DataFrame:
-    """Accepted requests merged into the stored pull requests, description and base_ref included."""
-    accepted = requests.where("accepted").join(repositories.select(F.col("id").alias("repository_id"), F.col("url").alias("repo_url")), "repository_id")
+def trigger_upsert(stored: DataFrame, requests: DataFrame, repositories: DataFrame, order: str = "request_id") -> DataFrame:
+    """Accepted requests merged into the stored pull requests, description and base_ref included; the last one of each by `order`."""
+    rest = [c for c in requests.columns if c not in ("repository_id", "number")]
+    last = requests.where("accepted").groupBy("repository_id", "number").agg(F.max_by(F.struct(*rest), order).alias("r"))
+    accepted = last.select("repository_id", "number", "r.*").join(repositories.select(F.col("id").alias("repository_id"), F.col("url").alias("repo_url")), "repository_id")
     url = F.coalesce(F.nullif(F.col("html_url"), F.lit("")), F.concat("repo_url", F.lit("/pull/"), F.col("number").cast("string")))
     fields = [c for c in [*SUMMARY_FIELDS, "description", "base_ref"] if c in stored.columns and c in requests.columns]
     seen = accepted.withColumn("html_url", url).select("repository_id", "number", F.lit(True).alias("hit"), *[F.col(f).alias(f"new_{f}") for f in fields])

@@ -12,6 +12,7 @@ from ..functions.text import is_validation, truncate_text
 
 # Fixed values.
 PATCH_CHARS, CHUNK_CHARS = 6000, 1500
+FINDING_FIELDS = ["file", "start_line", "end_line", "severity", "category", "title", "description", "evidence", "suggested_fix", "confidence"]
 NO_DIFF, NO_DESCRIPTION, NO_CONTEXT, NO_STATIC = "(no textual diff)", "(no description provided)", "(no related context retrieved)", "(no static findings)"
 
 
@@ -67,8 +68,11 @@ def review_prompts(reviews: DataFrame, changed: DataFrame, retrieved: DataFrame,
 
 
 def verification_prompts(findings: DataFrame, task: str = "Decide if this finding is a real issue introduced by this PR. Return JSON only.") -> DataFrame:
-    """finding_id and its second-pass prompt, from columns excerpt, retrieved_sections and static_section of each finding."""
-    body = F.to_json(F.struct("file", "start_line", "end_line", "severity", "category", "title", "description", "confidence"))
+    """finding_id and its second-pass prompt: the whole finding as indented JSON, then excerpt, retrieved_sections and static_section."""
+    quoted = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1), F.lit("null"))
+    texts = {"file", "severity", "category", "title", "description", "evidence", "suggested_fix"}
+    shown = [F.concat(F.lit(f'  "{c}": '), F.when(F.col(c).isNull(), "null").otherwise(quoted(c) if c in texts else F.col(c).cast("string"))) for c in FINDING_FIELDS]
+    body = F.concat(F.lit("{\n"), F.concat_ws(",\n", *shown), F.lit("\n}"))
     parts = [
         F.lit("# Finding under review\n"), body,
         F.lit("\n\n# Relevant diff\n"), _or(F.col("excerpt"), "(diff excerpt unavailable)"),

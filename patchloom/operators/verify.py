@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.findings import CORROBORATION_BONUS, REJECTED_AT_MOST, SEMANTIC_BELOW, SEMANTIC_CATEGORIES, clamp, should_surface
 from .diffs import touches
 
-REJECTED_REASON = "Failed deterministic checks against the diff and source."
+# Fixed values.
+REJECTED_REASON = "Failed deterministic checks (not attributable to this PR's diff)."
 UNDECIDED_REASON = "Verifier error: no decision"
 
 
@@ -44,22 +45,22 @@ def same_file(a: Column, b: Column) -> Column:
     return F.endswith(a, b) | F.endswith(b, a)
 
 
-def static_corroborates(findings: DataFrame, hits: DataFrame, key: str = "finding_id", salts: int = 16) -> DataFrame:
+def static_corroborates(findings: DataFrame, hits: DataFrame, key: str = "finding_id") -> DataFrame:
     """finding keys with a hit of the review on the same file that overlaps them.
 
-    A review's findings are dealt over `salts` parts and its hits repeated for each, so that a review with very many
-    of both doesn't end in one task. Distinct (path, span) hits are enough.
+    Distinct (path, span) hits are enough. Both sides are dealt by review for this join alone, so a review with very
+    many findings is split over tasks by Spark, each with the review's hits.
     """
-    left = findings.select(key, "review_id", "file", F.col("start_line").alias("s"), F.col("end_line").alias("e")).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    right = hits.select("review_id", F.col("file_path").alias("p"), F.col("start_line").alias("hs"), F.col("end_line").alias("he")).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    near = (left["review_id"] == right["review_id"]) & (left["salt"] == right["salt"]) & (F.col("he") >= F.col("s")) & (F.col("hs") <= F.col("e")) & same_file(F.col("file"), F.col("p"))
+    left = findings.select(key, "review_id", "file", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
+    right = hits.select("review_id", F.col("file_path").alias("p"), F.col("start_line").alias("hs"), F.col("end_line").alias("he")).distinct()
+    near = (left["review_id"] == right["review_id"]) & (F.col("he") >= F.col("s")) & (F.col("hs") <= F.col("e")) & same_file(F.col("file"), F.col("p"))
     return left.join(right, near, "left_semi").select(key)
 
 
 def static_for_files(findings: DataFrame, hits: DataFrame, key: str = "finding_id") -> DataFrame:
-    """Each finding's hits on the same file, wherever they are."""
+    """Each finding's hits on the same file, wherever they are. A review with very many of either is split by Spark."""
     left = findings.select(key, "review_id", "file")
-    right = hits.select("review_id", "rule_id", F.col("file_path").alias("path"), "start_line", "end_line", F.col("severity").alias("hit_severity"), "message")
+    right = hits.select("review_id", "id", "rule_id", F.col("file_path").alias("path"), "start_line", "end_line", F.col("severity").alias("hit_severity"), "message")
     return left.join(right, (left["review_id"] == right["review_id"]) & same_file(F.col("file"), F.col("path"))).drop(right["review_id"])
 
 

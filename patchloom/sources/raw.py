@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import append_columns
+
 # Size limit and directories that are skipped anywhere in a path.
 MAX_SOURCE_BYTES = 500_000
 SKIPPED = [".git", ".venv", "venv", "node_modules", "__pycache__", "build", "dist", ".tox", ".mypy_cache", "site-packages"]
@@ -61,15 +63,8 @@ def snapshot_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def decode_sources(files: DataFrame, content: str = "content") -> DataFrame:
     """The binary content as UTF-8 text in `source`; bad bytes become U+FFFD, as Python replaces them."""
-    keep = [c for c in files.columns if c != content]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [None if b is None else b.decode("utf-8", "replace") for b in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "source"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keep).schema.fields)
-    return files.select(*keep, content).mapInArrow(run, f"{fields}, source string")
+    decoded = append_columns(files, content, "source string", lambda blobs: [[None if b is None else bytes(b).decode("utf-8", "replace") for b in blobs]])
+    return decoded.drop(content)
 
 
 def _or(value: Column, default: str) -> Column:

@@ -1,4 +1,4 @@
-"""Writers of result tables: chunk sets replaced by repository, results appended, states updated."""
+"""Writers of result tables: chunk sets replaced by repository, results added by run, states updated."""
 
 from __future__ import annotations
 
@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def replace_chunks(chunks: DataFrame, repositories: DataFrame, current: DataFrame | None, path: str) -> None:
-    """The next version of the chunk table at a new path: the repositories' chunks replaced, also by none; all others kept.
+def replace_chunks(chunks: DataFrame, repositories: DataFrame, path: str) -> None:
+    """Replaces the chunks of the given repositories in the table at `path`, also by none; no other partition is touched.
 
-    Written to a new path, never over the one that is read; point readers to it when the write is complete.
+    The table has a partition for each repository, and only those of this run are overwritten. A repository without
+    chunks leaves a row of nulls, which read_chunks leaves out.
     """
     done = repositories.select("repository_id").distinct()
-    table = chunks.join(done, "repository_id", "left_semi")
-    if current is not None:
-        table = current.join(done, "repository_id", "left_anti").unionByName(table)
-    table.repartition("repository_id", "file_path").write.partitionBy("repository_id").parquet(path)
+    new = chunks.join(done, "repository_id", "left_semi").withColumn("is_chunk", F.lit(True))
+    none = done.join(chunks.select("repository_id").distinct(), "repository_id", "left_anti")
+    table = new.unionByName(none.withColumn("is_chunk", F.lit(False)), allowMissingColumns=True)
+    dealt = table.repartition("repository_id", "file_path")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(path)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).where("is_chunk").drop("is_chunk")
 
 
 def finish_reviews(reviews: DataFrame, findings: DataFrame, summaries: DataFrame, completed_at) -> DataFrame:
@@ -41,7 +47,7 @@ def mark_reviewed(pulls: DataFrame, reviews: DataFrame) -> DataFrame:
     return joined.withColumn("last_reviewed_sha", F.coalesce("sha", "last_reviewed_sha")).select(*pulls.columns)
 
 
-def append_results(spark: SparkSession, root: str, **tables: DataFrame) -> None:
-    """Appends each table to root/<name>."""
+def append_results(root: str, run: str, **tables: DataFrame) -> None:
+    """Adds each table to root/<name> as the part of this run; a run that is repeated replaces its own part."""
     for name, table in tables.items():
-        table.write.mode("append").parquet(f"{root}/{name}")
+        table.write.mode("overwrite").parquet(f"{root}/{name}/run={run}")

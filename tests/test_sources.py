@@ -1,4 +1,5 @@
 import io
+import os
 import tarfile
 
 from pyspark.sql import functions as F
@@ -37,13 +38,25 @@ def test_defaults_of_pull_requests_and_reports(spark):
     assert good.count() == 0 and {r["review_id"] for r in bad.collect()} == {2, 3, 4}
 
 
-def test_replaced_chunks_and_finished_reviews(spark, tmp_path):
+def test_replaced_chunks(spark, tmp_path):
     schema = "repository_id long, file_path string, content string"
-    current = spark.createDataFrame([(1, "old.py", "x"), (2, "gone.py", "y"), (3, "kept.py", "z")], schema)
-    new = spark.createDataFrame([(1, "new.py", "n")], schema)
-    done = spark.createDataFrame([(1,), (2,)], "repository_id long")
-    writers.replace_chunks(new, done, current, f"{tmp_path}/v2")
-    assert {(r["repository_id"], r["file_path"]) for r in spark.read.parquet(f"{tmp_path}/v2").collect()} == {(1, "new.py"), (3, "kept.py")}
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "repository_id long")
+    old = spark.createDataFrame([(1, "old.py", "x"), (2, "gone.py", "y"), (3, "kept.py", "z")], schema)
+    writers.replace_chunks(old, ids(1, 2, 3), f"{tmp_path}/chunks")
+    kept = {f: (tmp_path / "chunks/repository_id=3" / f).stat().st_mtime_ns for f in os.listdir(tmp_path / "chunks/repository_id=3")}
+    for _ in range(2):  # a repeated run changes nothing
+        writers.replace_chunks(spark.createDataFrame([(1, "new.py", "n"), (7, "not asked for.py", "n")], schema), ids(1, 2), f"{tmp_path}/chunks")
+        assert {(r["repository_id"], r["file_path"]) for r in writers.read_chunks(spark, f"{tmp_path}/chunks").collect()} == {(1, "new.py"), (3, "kept.py")}
+    assert kept == {f: (tmp_path / "chunks/repository_id=3" / f).stat().st_mtime_ns for f in os.listdir(tmp_path / "chunks/repository_id=3")}
+
+
+def test_results_of_a_repeated_run(spark, tmp_path):
+    for run, rows in (("r1", [(1,), (2,)]), ("r2", [(3,)]), ("r1", [(1,), (2,)])):
+        writers.append_results(str(tmp_path), run, reviews=spark.createDataFrame(rows, "id long"))
+    assert sorted((r["run"], r["id"]) for r in spark.read.parquet(f"{tmp_path}/reviews").collect()) == [("r1", 1), ("r1", 2), ("r2", 3)]
+
+
+def test_finished_reviews(spark):
     reviews = spark.createDataFrame([(1, 10, "h1", "running", None, None, None), (2, 10, "h2", "queued", None, None, None)], "review_id long, pull_request_id long, head_sha string, status string, summary string, finding_count long, completed_at timestamp")
     findings = spark.createDataFrame([(1, True), (1, False)], "review_id long, surfaced boolean")
     finished = writers.finish_reviews(reviews, findings, spark.createDataFrame([(1, "fine")], "review_id long, summary string"), F.lit("2024-01-01").cast("timestamp"))

@@ -41,7 +41,22 @@ def test_refresh_and_guard(spark):
     schema = "repository_id long, number long, title string, state string, head_sha string, github_updated_at timestamp, last_reviewed_sha string"
     stored = spark.createDataFrame([(1, 1, "old", "open", "a", None, "a"), (1, 2, "old", "open", "b", None, None), (2, 1, "old", "open", "c", None, "c")], schema)
     live = spark.createDataFrame([(1, 1, "new", "open", "z", None), (1, 3, "new", "open", "y", None)], "repository_id long, number long, title string, state string, head_sha string, github_updated_at timestamp")
-    got = {(r["repository_id"], r["number"]): (r["title"], r["state"], r["head_sha"], r["last_reviewed_sha"]) for r in bookkeeping.refresh_pulls(stored, live).collect()}
+    one, both = (spark.createDataFrame([(i,) for i in x], "repository_id long") for x in ((1,), (1, 2)))
+    got = {(r["repository_id"], r["number"]): (r["title"], r["state"], r["head_sha"], r["last_reviewed_sha"]) for r in bookkeeping.refresh_pulls(stored, live, one).collect()}
     assert got == {(1, 1): ("new", "open", "z", "a"), (1, 2): ("old", "closed", "b", None), (1, 3): ("new", "open", "y", None), (2, 1): ("old", "open", "c", "c")}
+    assert [tuple(r) for r in bookkeeping.vanished_pulls(stored, live, one).collect()] == [(1, 2)]
+    # a repository that was refreshed and has nothing live
+    closed = {(r["repository_id"], r["number"]) for r in bookkeeping.refresh_pulls(stored, live, both).where("state = 'closed'").collect()}
+    assert closed == {(1, 2), (2, 1)} == {tuple(r) for r in bookkeeping.vanished_pulls(stored, live, both).collect()}
     asked = spark.createDataFrame([("", "x", True), ("a", "a", False), ("a", "a", True), ("a", None, None), (None, None, True)], "head_sha string, last_reviewed_sha string, force boolean")
     assert [r["accepted"] for r in bookkeeping.guard_reviews(asked).collect()] == [False, False, True, True, False]
+
+
+def test_the_last_request_of_a_pull_counts(spark):
+    schema = "repository_id long, number long, title string, state string, html_url string, head_sha string, description string"
+    stored = spark.createDataFrame([(1, 1, "old", "open", "u", "a", "d"), (1, 2, "old", "open", "u", "b", "d")], schema)
+    rows = [(1, 1, "first", "open", None, "c", "x", 1, True), (1, 1, "last", "open", "", "d", "y", 2, True), (1, 1, "refused", "open", None, "e", "z", 3, False), (1, 9, "new", "open", "w", "f", None, 4, True)]
+    asked = spark.createDataFrame(rows, schema + ", request_id long, accepted boolean")
+    repositories = spark.createDataFrame([(1, "https://h/o/r")], "id long, url string")
+    got = {r["number"]: (r["title"], r["html_url"], r["head_sha"], r["description"]) for r in bookkeeping.trigger_upsert(stored, asked, repositories).collect()}
+    assert got == {1: ("last", "https://h/o/r/pull/1", "d", "y"), 2: ("old", "u", "b", "d"), 9: ("new", "w", "f", None)}
