@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -14,6 +13,7 @@ from ..functions import text as ft
 from ..operators import bookkeeping, diffs, indexing, prompts, retrieval, reviews, symbols, verify
 from ..sources import raw, writers
 from ..streaming import lifecycle
+from ..tables import scratch
 from .fixtures import Tables, oracle
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 
 
 @query(r"""SELECT id, nullif(regexp_extract(u, p, 1), '') AS owner, nullif(regexp_extract(u, p, 2), '') AS repo FROM
-    (SELECT id, trim(url) AS u, '^(?:https?://github\.com/|git@github\.com:)?([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?/?$' AS p FROM {repo_urls}) x""")
+    (SELECT id, regexp_replace(url, '^\s+|\s+$', '', 'g') AS u, '^(?:https?://github\.com/|git@github\.com:)?([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?/?$' AS p FROM {repo_urls}) x""")
 def parse_repo_url(t: Tables) -> DataFrame:
     ref = ft.parse_repo_url(F.col("url"))
     return t.repo_urls.select("id", ref["owner"].alias("owner"), ref["repo"].alias("repo"))
@@ -125,11 +125,27 @@ def l2_normalize(t: Tables) -> DataFrame:
 # Diffs
 
 
-@query("""WITH l AS (SELECT file_id, i, string_split(patch, chr(10))[i] AS x FROM {patches}, unnest(range(1, len(string_split(patch, chr(10))))) AS t(i)),
-    h AS (SELECT *, sum(CASE WHEN x LIKE '@@%' THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY i) AS hunk FROM l),
-    n AS (SELECT *, first(TRY_CAST(regexp_extract(x, '-([0-9]+)', 1) AS INT)) OVER w AS o0, first(TRY_CAST(regexp_extract(x, '[+]([0-9]+)', 1) AS INT)) OVER w AS n0 FROM (SELECT *, CASE WHEN x LIKE '@@%' THEN x END AS head FROM h) y WINDOW w AS (PARTITION BY file_id, hunk ORDER BY i)),
-    c AS (SELECT *, sum(CASE WHEN x LIKE '+%' OR x LIKE ' %' OR x = '' THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, hunk ORDER BY i) AS a, sum(CASE WHEN x LIKE '-%' OR x LIKE ' %' OR x = '' THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, hunk ORDER BY i) AS b FROM n)
-    SELECT file_id, CASE WHEN x LIKE '+%' THEN 'added' ELSE 'removed' END AS side, CAST(CASE WHEN x LIKE '+%' THEN n0 + a - 1 ELSE o0 + b - 1 END AS INT) AS line FROM c WHERE x LIKE '+%' OR x LIKE '-%'""")
+#: Sides and numbers of the lines of each `patch` of a table `p` (key, patch), as common tables that end with `placed`.
+_PLACED = """l AS (SELECT key, i, string_split(patch, chr(10))[i] AS x FROM p, unnest(range(1, len(string_split(patch, chr(10))))) AS t(i)),
+    h AS (SELECT *, sum(CASE WHEN x LIKE '@@%' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY i) AS hunk FROM l),
+    n AS (SELECT *, first(TRY_CAST(regexp_extract(x, '-([0-9]+)', 1) AS INT)) OVER w AS o0, first(TRY_CAST(regexp_extract(x, '[+]([0-9]+)', 1) AS INT)) OVER w AS n0 FROM h WINDOW w AS (PARTITION BY key, hunk ORDER BY i)),
+    c AS (SELECT *, sum(CASE WHEN x LIKE '+%' OR x LIKE ' %' OR x = '' THEN 1 ELSE 0 END) OVER (PARTITION BY key, hunk ORDER BY i) AS a, sum(CASE WHEN x LIKE '-%' OR x LIKE ' %' OR x = '' THEN 1 ELSE 0 END) OVER (PARTITION BY key, hunk ORDER BY i) AS b FROM n),
+    placed AS (SELECT key, CASE WHEN x LIKE '+%' THEN 'added' ELSE 'removed' END AS side, CAST(CASE WHEN x LIKE '+%' THEN n0 + a - 1 ELSE o0 + b - 1 END AS INT) AS line FROM c WHERE hunk > 0 AND (x LIKE '+%' OR x LIKE '-%'))"""
+#: From `placed`, one row a key with all lines and ranges as text.
+_LISTED = """runs AS (SELECT key, min(line) AS s, max(line) AS e FROM (SELECT *, line - row_number() OVER (PARTITION BY key ORDER BY line) AS g FROM placed WHERE side = 'added') x GROUP BY key, g),
+    listed AS (SELECT key, coalesce(string_agg(line, ',' ORDER BY line) FILTER (side = 'added'), '') AS added, coalesce(string_agg(line, ',' ORDER BY line) FILTER (side = 'removed'), '') AS removed, count(*) FILTER (side = 'added') AS n_added, count(*) FILTER (side = 'removed') AS n_removed FROM placed GROUP BY key),
+    spans AS (SELECT key, string_agg(s || '-' || e, ',' ORDER BY s) AS ranges, count(*) AS n_ranges FROM runs GROUP BY key)"""
+
+
+def _listed(name: str):
+    return F.array_join(F.transform(name, lambda x: x.cast("string")), ",").alias(name.removesuffix("_lines"))
+
+
+def _spans():
+    return F.array_join(F.transform("added_ranges", lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"))), ",").alias("ranges")
+
+
+@query(f"WITH p AS (SELECT file_id AS key, patch FROM {{patches}}), {_PLACED} SELECT key AS file_id, side, line FROM placed")
 def patch_line_numbers(t: Tables) -> DataFrame:
     return diffs.patch_line_numbers(t.patches, ["file_id"])
 
@@ -158,65 +174,74 @@ def touches_and_contains(t: Tables) -> DataFrame:
     return joined.select("finding_id", diffs.touches(r, F.col("start_line"), F.col("end_line")).alias("touches"), diffs.contains_line(r, F.col("start_line")).alias("contains_start"))
 
 
-@query("""SELECT file_id, CAST(4 AS INT) AS n_added, CAST(1 AS INT) AS n_removed, CAST(2 AS INT) AS n_ranges FROM {patches}""")
+@query(f"""WITH p AS (SELECT file_id AS key, patch FROM {{patches}}), {_PLACED}, {_LISTED}
+    SELECT file_id, coalesce(added, '') AS added, coalesce(removed, '') AS removed, coalesce(ranges, '') AS ranges FROM {{patches}} f LEFT JOIN listed ON listed.key = file_id LEFT JOIN spans ON spans.key = file_id""")
 def parse_file_patches(t: Tables) -> DataFrame:
-    found = diffs.parse_file_patches(t.patches, ["file_id"])
-    return found.select("file_id", F.size("added_lines").alias("n_added"), F.size("removed_lines").alias("n_removed"), F.size("added_ranges").alias("n_ranges"))
-
+    return diffs.parse_file_patches(t.patches).select("file_id", _listed("added_lines"), _listed("removed_lines"), _spans())
 
-def _whole_diffs(t: Tables) -> DataFrame:
-    nl = F.lit("\n")
-    head = lambda a, b: F.concat(F.lit("diff --git a/"), a, F.lit(" b/"), b, nl, F.lit("index 1..2 100644"), nl)
-    one = F.concat(head(F.lit("one.py"), F.lit("one.py")), F.lit("--- a/one.py\n+++ b/one.py\n"), "patch")
-    new = F.concat(head(F.lit("new.py"), F.lit("new.py")), F.lit("--- /dev/null\n+++ b/new.py\n@@ -0,0 +1,2 @@\n+a\n+b\n"))
-    gone = F.concat(head(F.lit("gone.py"), F.lit("gone.py")), F.lit("--- a/gone.py\n+++ /dev/null\n@@ -1,1 +0,0 @@\n-a\n"))
-    moved = F.concat(head(F.lit("old.py"), F.lit("moved.py")), F.lit("--- a/old.py\n+++ b/moved.py\n@@ -5 +5 @@\n-a\n+b\n"))
-    return t.patches.select("file_id", F.concat(one, new, gone, moved).alias("diff"))
 
-
-@query("""SELECT file_id, p.path, p.status, CAST(p.a AS INT) AS n_added, CAST(p.r AS INT) AS n_removed FROM {patches},
-    (VALUES ('one.py', 'modified', 4, 1), ('new.py', 'added', 2, 0), ('gone.py', 'removed', 0, 1), ('moved.py', 'renamed', 1, 1)) AS p(path, status, a, r)""")
+@query(f"""WITH p AS (SELECT file_id || ' ' || pos AS key, patch FROM {{diff_pieces}}), {_PLACED}, {_LISTED}
+    SELECT file_id, path, status, coalesce(added, '') AS added, coalesce(removed, '') AS removed, coalesce(ranges, '') AS ranges FROM {{diff_pieces}} f LEFT JOIN listed ON listed.key = file_id || ' ' || pos LEFT JOIN spans ON spans.key = file_id || ' ' || pos""")
 def parse_unified_diffs(t: Tables) -> DataFrame:
-    found = diffs.parse_unified_diffs(_whole_diffs(t), ["file_id"])
-    return found.select("file_id", "path", "status", F.size("added_lines").alias("n_added"), F.size("removed_lines").alias("n_removed"))
+    pieces = t.diff_pieces.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat("head", "patch").alias("text")))).alias("pieces"))
+    whole = pieces.select("file_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("diff"))
+    return diffs.parse_unified_diffs(whole, ["file_id"]).select("file_id", "path", "status", _listed("added_lines"), _listed("removed_lines"), _spans())
 
 
-@query("""SELECT file_id, 'mod_' || (file_id % 50) || '.py' AS filename, 'python' AS language, CAST(4 AS INT) AS additions, CAST(1 AS INT) AS deletions, CAST(2 AS INT) AS n_ranges FROM {patches}""")
+@query(f"""WITH p AS (SELECT file_id AS key, patch FROM {{patches}}), {_PLACED}, {_LISTED}
+    SELECT file_id, CASE WHEN file_id % 2 = 0 THEN 'python' END AS language, CAST(coalesce(n_added, 0) AS INT) AS additions, CAST(coalesce(n_removed, 0) AS INT) AS deletions, CAST(coalesce(n_ranges, 0) AS INT) AS n_ranges, '' AS names
+    FROM {{patches}} f LEFT JOIN listed ON listed.key = file_id LEFT JOIN spans ON spans.key = file_id""")
 def changed_file_rows(t: Tables) -> DataFrame:
-    files = t.patches.withColumn("filename", F.concat(F.lit("mod_"), (F.col("file_id") % 50).cast("string"), F.lit(".py")))
-    found = diffs.parse_file_patches(files, ["file_id"])
-    return found.select("file_id", "filename", ft.language_for(F.col("filename")).alias("language"), F.size("added_lines").alias("additions"), F.size("removed_lines").alias("deletions"), F.size("added_ranges").alias("n_ranges"))
+    files = t.patches.select("file_id", F.concat(F.lit("mod."), F.when(F.col("file_id") % 2 == 0, "py").otherwise("md")).alias("filename"), "patch")
+    found = reviews.changed_file_rows(files, symbols.parse_symbols(files.select("file_id", F.lit(None).cast("string").alias("source"))), keys=("file_id",))
+    return found.select("file_id", "language", "additions", "deletions", F.size("added_ranges").alias("n_ranges"), F.array_join("symbol_names", ",").alias("names"))
 
 
-# Symbols and chunks: a source is made from each document, so that its symbols are known
+# Symbols and chunks: a source is made from each document, so that its symbols are known. Each line of the text is in a
+# function of one class; every fourth of these holds a function of its own, every 13th document can't be parsed.
 
 
 def _sources(t: Tables) -> DataFrame:
     i = F.col("doc_id").cast("string")
+    lines = F.split(F.regexp_replace("text", r"[^ -~\n]", "_"), "\n")
+
+    def method(line, j):
+        inner = F.when(j % 4 == 3, "        def inner(y):\n            return y\n").otherwise("")
+        return F.concat(F.lit("    def m"), j.cast("string"), F.lit("(self):\n        # "), line, F.lit("\n"), inner, F.lit("        return "), j.cast("string"), F.lit("\n"))
+
     deco = F.when(F.col("doc_id") % 3 == 0, F.lit("@cache\n")).otherwise(F.lit(""))
-    body = F.concat(F.lit("import os\n\n"), deco, F.lit("def fn_"), i, F.lit("(a):\n    return a\n\n\nclass C_"), i, F.lit(":\n    x = 1\n\n    def m(self):\n        return os\n\n    async def n(self):\n        pass\n"))
-    broken = F.when(F.col("doc_id") % 13 == 0, F.lit("def broken(:\n    pass\n")).otherwise(body)
-    return t.documents.select("doc_id", F.concat(F.lit("pkg/mod_"), i, F.lit(".py")).alias("file_path"), F.concat(F.lit("# "), F.substring(F.regexp_replace("text", r"\s", " "), 1, 60), F.lit("\n"), broken).alias("source"))
+    head = F.concat(F.lit("import os\n\npick = lambda x: x if x else None\n"), deco, F.lit("def fn_"), i, F.lit("(a):\n    return a if a else os\n\n\nclass C_"), i, F.lit(":\n    x = 1\n\n"))
+    body = F.concat(head, F.array_join(F.transform(lines, method), ""))
+    broken = F.concat(F.lit("def broken(:\n    pass\n# "), F.array_join(lines, "\n# "))
+    return t.documents.select("doc_id", F.concat(F.lit("pkg/mod_"), i, F.lit(".py")).alias("file_path"), F.when(F.col("doc_id") % 13 == 0, broken).otherwise(body).alias("source"))
 
 
-_SYMBOL_ROWS = """rows AS (SELECT doc_id, CAST(doc_id % 3 = 0 AS INT) AS d FROM documents WHERE doc_id % 13 <> 0),
-    syms AS (SELECT doc_id, 'fn_' || doc_id AS qualified_name, 'function' AS kind, 4 AS start_line, 5 + d AS end_line FROM rows UNION ALL SELECT doc_id, 'C_' || doc_id, 'class', 8 + d, 15 + d FROM rows
-    UNION ALL SELECT doc_id, 'C_' || doc_id || '.m', 'method', 11 + d, 12 + d FROM rows UNION ALL SELECT doc_id, 'C_' || doc_id || '.n', 'method', 14 + d, 15 + d FROM rows)"""
+#: The same sources, and their symbols from line counts alone, as common tables.
+_SOURCES = r"""docs AS (SELECT doc_id, doc_id % 13 = 0 AS broken, CAST(doc_id % 3 = 0 AS INT) AS d, string_split(regexp_replace(text, '[^ -~\n]', '_', 'g'), chr(10)) AS ls FROM documents),
+    sources AS (SELECT *, CASE WHEN broken THEN 'def broken(:' || chr(10) || '    pass' || chr(10) || '# ' || array_to_string(ls, chr(10) || '# ') ELSE 'import os' || chr(10) || chr(10) || 'pick = lambda x: x if x else None' || chr(10) || CASE WHEN d = 1 THEN '@cache' || chr(10) ELSE '' END
+        || 'def fn_' || doc_id || '(a):' || chr(10) || '    return a if a else os' || chr(10) || chr(10) || chr(10) || 'class C_' || doc_id || ':' || chr(10) || '    x = 1' || chr(10) || chr(10)
+        || array_to_string(list_transform(ls, lambda l, k: '    def m' || (k - 1) || '(self):' || chr(10) || '        # ' || l || chr(10) || CASE WHEN k % 4 = 0 THEN '        def inner(y):' || chr(10) || '            return y' || chr(10) ELSE '' END || '        return ' || (k - 1) || chr(10)), '') END AS source FROM docs),
+    members AS (SELECT doc_id, d, j, 11 + d + 3 * j + 2 * (j // 4) AS s, 13 + d + 3 * j + 2 * (j // 4) + CASE WHEN j % 4 = 3 THEN 2 ELSE 0 END AS e FROM docs, unnest(range(len(ls))) AS t(j) WHERE NOT broken),
+    syms AS (SELECT doc_id, 0 AS seq, 'fn_' || doc_id AS name, 'fn_' || doc_id AS qualified_name, 'function' AS kind, 4 AS s, 5 + d AS e FROM docs WHERE NOT broken
+        UNION ALL SELECT doc_id, 1, 'C_' || doc_id, 'C_' || doc_id, 'class', 8 + d, (SELECT max(e) FROM members m WHERE m.doc_id = docs.doc_id) FROM docs WHERE NOT broken
+        UNION ALL SELECT doc_id, 2 + 2 * j, 'm' || j, 'C_' || doc_id || '.m' || j, 'method', s, e FROM members
+        UNION ALL SELECT doc_id, 3 + 2 * j, 'inner', 'C_' || doc_id || '.inner', 'method', s + 2, s + 3 FROM members WHERE j % 4 = 3)"""
 
 
-@query(f"WITH {_SYMBOL_ROWS} SELECT doc_id, qualified_name, kind, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line FROM syms")
+@query(f"WITH {_SOURCES} SELECT doc_id, qualified_name, kind, CAST(s AS INT) AS start_line, CAST(e AS INT) AS end_line FROM syms")
 def parse_symbols(t: Tables) -> DataFrame:
     return symbols.parse_symbols(_sources(t)).select("doc_id", F.inline("symbols")).select("doc_id", "qualified_name", "kind", "start_line", "end_line")
 
 
-@query(f"WITH {_SYMBOL_ROWS} SELECT doc_id, qualified_name FROM syms WHERE end_line >= 12 AND start_line <= 12")
+@query(f"WITH {_SOURCES} SELECT doc_id, qualified_name FROM syms WHERE e >= 12 + doc_id % 20 AND s <= 12 + doc_id % 20")
 def enclosing_symbols(t: Tables) -> DataFrame:
-    ranges = F.array(F.struct(F.lit(12).alias("start"), F.lit(12).alias("end")))
+    line = (12 + F.col("doc_id") % 20).cast("int")
     parsed = symbols.parse_symbols(_sources(t))
-    return parsed.select("doc_id", F.inline(symbols.enclosing_symbols(F.col("symbols"), ranges))).select("doc_id", "qualified_name")
+    return parsed.select("doc_id", F.inline(symbols.enclosing_symbols(F.col("symbols"), F.array(F.struct(line.alias("start"), line.alias("end")))))).select("doc_id", "qualified_name")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE 'fn_' || doc_id || ',C_' || doc_id || ',m,n' END AS names, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE 'fn_' || doc_id || ',C_' || doc_id END AS top, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE 'm,n' END AS methods FROM documents""")
+@query(f"""WITH {_SOURCES}, firsts AS (SELECT doc_id, name, min(seq) AS seq FROM syms GROUP BY doc_id, name)
+    SELECT doc_id, (SELECT string_agg(name, ',' ORDER BY seq) FROM firsts f WHERE f.doc_id = docs.doc_id) AS names, CASE WHEN broken THEN NULL ELSE 'fn_' || doc_id || ',C_' || doc_id END AS top, (SELECT string_agg('m' || j, ',' ORDER BY j) FROM members m WHERE m.doc_id = docs.doc_id) AS methods FROM docs""")
 def defined_names(t: Tables) -> DataFrame:
     parsed = symbols.parse_symbols(_sources(t))
     names = lambda c: F.when(F.col("symbols").isNotNull(), F.array_join(F.transform(c, lambda s: s["name"]), ","))
@@ -224,37 +249,43 @@ def defined_names(t: Tables) -> DataFrame:
     return parsed.select("doc_id", F.array_join(symbols.defined_names(F.col("symbols")), ",").alias("names"), names(symbols.top_level_symbols(F.col("symbols"))).alias("top"), names(methods).alias("methods"))
 
 
-@query()
+@query(f"""WITH {_SOURCES} SELECT DISTINCT doc_id, name AS identifier FROM syms UNION ALL SELECT doc_id, x FROM docs, unnest(['os', 'pick', 'x', 'a', 'self']) AS t(x) WHERE NOT broken
+    UNION ALL SELECT doc_id, 'cache' FROM docs WHERE d = 1 AND NOT broken UNION ALL SELECT doc_id, 'y' FROM docs WHERE len(ls) >= 4 AND NOT broken UNION ALL SELECT doc_id, 'broken' FROM docs WHERE broken""")
 def all_identifiers(t: Tables) -> DataFrame:
     return symbols.parse_symbols(_sources(t)).select("doc_id", F.explode("identifiers").alias("identifier"))
 
 
-@query("""WITH rows AS (SELECT doc_id, CAST(doc_id % 3 = 0 AS INT) AS d, doc_id % 13 = 0 AS broken FROM documents)
-    SELECT doc_id, 'module' AS chunk_type, CAST(NULL AS VARCHAR) AS symbol_name, CAST(1 AS INT) AS start_line, CAST(3 AS INT) AS end_line, false AS is_test FROM rows
-    UNION ALL SELECT doc_id, 'function', 'fn_' || doc_id, 4, CAST(5 + d AS INT), false FROM rows WHERE NOT broken UNION ALL SELECT doc_id, 'class', 'C_' || doc_id, CAST(8 + d AS INT), CAST(15 + d AS INT), false FROM rows WHERE NOT broken""")
+@query(f"""WITH {_SOURCES}, spans AS (SELECT doc_id, 'module' AS chunk_type, CAST(NULL AS VARCHAR) AS symbol_name, 1 AS s, CASE WHEN broken THEN 2 + len(ls) ELSE 3 END AS e FROM docs
+    UNION ALL SELECT doc_id, kind, name, s, e FROM syms WHERE kind = 'function' OR kind = 'class' AND e - s + 1 <= 80
+    UNION ALL SELECT doc_id, 'class_context', name, s, s + 2 FROM syms WHERE kind = 'class' AND e - s + 1 > 80
+    UNION ALL SELECT m.doc_id, 'method', 'C_' || m.doc_id || '.m' || j, m.s, m.e FROM members m JOIN syms c ON c.doc_id = m.doc_id AND c.kind = 'class' AND c.e - c.s + 1 > 80)
+    SELECT doc_id, chunk_type, symbol_name, CAST(s AS INT) AS start_line, CAST(e AS INT) AS end_line, false AS is_test, sha256(array_to_string(string_split(source, chr(10))[s:e], chr(10))) AS content_hash FROM spans JOIN sources USING (doc_id)""")
 def chunk_files(t: Tables) -> DataFrame:
-    return symbols.chunk_files(symbols.parse_symbols(_sources(t))).select("doc_id", "chunk_type", "symbol_name", "start_line", "end_line", "is_test")
+    return symbols.chunk_files(symbols.parse_symbols(_sources(t))).select("doc_id", "chunk_type", "symbol_name", "start_line", "end_line", "is_test", "content_hash")
 
 
 def _changed_sources(t: Tables) -> DataFrame:
-    """Changed files over the made sources: line 12 is new; a fifth of the files have no source."""
+    """Changed files over the made sources, ten to a review: one line is new; a fifth of the files have no source."""
     rows = _sources(t).select("doc_id", F.col("file_path").alias("filename"), F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("source"))
-    parsed = symbols.parse_symbols(rows.withColumn("review_id", F.col("doc_id") % 100))
-    files = parsed.select("review_id", F.col("doc_id").alias("file_pos"), "filename", F.concat(F.lit("@@ -11 +12 @@\n+new "), F.col("doc_id").cast("string")).alias("patch"))
+    parsed = symbols.parse_symbols(rows.withColumn("review_id", F.floor(F.col("doc_id") / 10)))
+    at = (12 + F.col("doc_id") % 20).cast("string")
+    files = parsed.select("review_id", F.col("doc_id").alias("file_pos"), "filename", F.concat(F.lit("@@ -11 +"), at, F.lit(" @@\n+new "), F.col("doc_id").cast("string")).alias("patch"))
     return reviews.changed_file_rows(files, parsed)
 
 
-@query("""SELECT doc_id % 100 AS review_id, 'pkg/mod_' || doc_id || '.py' AS filename, 'python' AS language, CAST(1 AS INT) AS additions, CASE WHEN doc_id % 13 = 0 OR doc_id % 5 = 0 THEN '' ELSE 'C_' || doc_id || ',C_' || doc_id || '.m' END AS names FROM documents""")
+_TOUCHED = f"{_SOURCES}, touched AS (SELECT * FROM syms WHERE doc_id % 5 <> 0 AND e >= 12 + doc_id % 20 AND s <= 12 + doc_id % 20)"
+
+
+@query(f"""WITH {_TOUCHED} SELECT CAST(floor(doc_id / 10) AS BIGINT) AS review_id, 'pkg/mod_' || doc_id || '.py' AS filename, 'python' AS language, CAST(1 AS INT) AS additions, coalesce((SELECT string_agg(qualified_name, ',' ORDER BY seq) FROM touched c WHERE c.doc_id = docs.doc_id), '') AS names FROM docs""")
 def changed_file_symbols(t: Tables) -> DataFrame:
     return _changed_sources(t).select("review_id", "filename", "language", "additions", F.array_join("symbol_names", ",").alias("names"))
 
 
-@query("""WITH b AS (SELECT doc_id, 0 AS piece, 'new ' || doc_id AS text FROM documents WHERE doc_id % 5 = 0
-    UNION ALL SELECT doc_id, 0, 'class C_' || doc_id || ':' || chr(10) || '    x = 1' || chr(10) || chr(10) || '    def m(self):' || chr(10) || '        return os' || chr(10) || chr(10) || '    async def n(self):' || chr(10) || '        pass' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 13 <> 0
-    UNION ALL SELECT doc_id, 1, '    def m(self):' || chr(10) || '        return os' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 13 <> 0)
-    SELECT doc_id % 100 AS review_id, CAST(n - 1 AS INT) AS seq, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id, piece) AS n FROM b) x WHERE n <= 6""")
+@query(f"""WITH {_TOUCHED}, b AS (SELECT doc_id, 0 AS piece, 'new ' || doc_id AS text FROM docs WHERE doc_id % 5 = 0
+    UNION ALL SELECT doc_id, seq, array_to_string(string_split(source, chr(10))[s:e], chr(10))[:2000] FROM touched JOIN sources USING (doc_id))
+    SELECT CAST(floor(doc_id / 10) AS BIGINT) AS review_id, CAST(n - 1 AS INT) AS seq, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY floor(doc_id / 10) ORDER BY doc_id, piece) AS n FROM b) x WHERE n <= 6""")
 def build_queries(t: Tables) -> DataFrame:
-    return reviews.build_queries(_changed_sources(t))
+    return reviews.build_queries(_changed_sources(t)).select("review_id", "seq", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("""SELECT doc_id % 20 AS repository_id, 'f_' || doc_id || '.py' AS filename, length(text) AS n_chars FROM documents WHERE doc_id % 6 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0""")
@@ -292,10 +323,15 @@ def index_stats(t: Tables) -> DataFrame:
     return indexing.index_stats(*_hashed(t))
 
 
-@query()
+@query(r"""WITH new AS (SELECT DISTINCT repository_id, content FROM {hashed} n WHERE is_new AND NOT EXISTS (SELECT 1 FROM {hashed} o WHERE o.is_old AND o.repository_id = n.repository_id AND o.content = n.content)),
+    words AS (SELECT repository_id, content, CAST('0x' || substr(md5(w), 1, 15) AS BIGINT) AS code FROM new, unnest(regexp_extract_all(content, '\S+')) AS t(w)),
+    dims AS (SELECT repository_id, content, code % 384 AS k, CAST(sum(1 - 2 * (code // 384 % 2)) AS DOUBLE) AS v FROM words GROUP BY ALL),
+    sums AS (SELECT repository_id, content, sqrt(sum(v * v)) AS norm, sum(v * (k + 1)) AS s FROM dims GROUP BY ALL)
+    SELECT repository_id, sha256(content) AS content_hash, CAST(384 AS INT) AS n, round(coalesce(CASE WHEN norm > 0 THEN s / norm END, 0), 2) + CAST(0 AS DOUBLE) AS weighed FROM new LEFT JOIN sums USING (repository_id, content)""")
 def embed_new_chunks(t: Tables) -> DataFrame:
-    new = indexing.to_embed(*_hashed(t))
-    return indexing.embed(new).select("repository_id", "content_hash", F.round(F.get("embedding", F.lit(0)), 6).alias("first"))
+    new = indexing.embed(indexing.to_embed(*_hashed(t)))
+    weighed = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return new.select("repository_id", "content_hash", F.size("embedding").alias("n"), (F.round(weighed, 2) + 0.0).alias("weighed"))
 
 
 # Retrieval
@@ -340,12 +376,12 @@ def bm25_scores(t: Tables) -> DataFrame:
 
 _COSINE = """dots AS (SELECT q.review_id, q.seq, c.id AS chunk_id, c.file_path, round(1 - list_sum(list_transform(list_zip(q.vector, c.vector), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))
     / (sqrt(list_sum(list_transform(q.vector, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(c.vector, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 9) AS distance
-    FROM {vector_queries} q JOIN {vector_chunks} c USING (repository_id))"""
+    FROM {vector_queries} q JOIN {vector_chunks} c USING (repository_id) WHERE c.vector IS NOT NULL)"""
 
 
 @query(f"WITH {_COSINE} SELECT review_id, seq, chunk_id, round(distance, 6) + CAST(0 AS DOUBLE) AS distance FROM dots")
 def cosine_distances(t: Tables) -> DataFrame:
-    return retrieval.cosine_distances(t.vector_chunks, t.vector_queries).withColumn("distance", F.round("distance", 6) + 0.0)
+    return retrieval.cosine_distances(t.vector_chunks.where("vector is not null"), t.vector_queries).withColumn("distance", F.round("distance", 6) + 0.0)
 
 
 @query(f"""WITH {_COSINE}, best AS (SELECT *, row_number() OVER (PARTITION BY review_id, seq ORDER BY distance, chunk_id) AS nth FROM dots d
@@ -361,15 +397,14 @@ def exclude_changed_files(t: Tables) -> DataFrame:
 
 
 def _hybrid(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Chunks with vectors where their id has one, and queries with the vector of their number."""
+    """All chunks, with vectors where their id has one, and queries with the vector of their number."""
     vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    chunks = t.chunks.join(vectors, "id")
-    queries = t.query_sets.withColumn("id", F.col("review_id") * 4 + F.col("seq")).join(vectors, "id").drop("id")
+    chunks = t.chunks.join(vectors, "id", "left")
+    queries = t.query_sets.withColumn("id", F.col("review_id") * 4 + F.col("seq")).join(vectors, "id", "left").drop("id")
     return chunks, queries
 
 
-_HYBRID = f"""tok AS (SELECT id, repository_id, file_path, {_TOKENS % 'content'} AS t FROM {{chunks}} WHERE id IN (SELECT vec_id FROM embeddings)),
-    {_BM25[_BM25.index('idx AS'):]},
+_HYBRID = f"""{_BM25},
     lex AS (SELECT *, row_number() OVER (PARTITION BY review_id, seq ORDER BY score DESC, chunk_id) AS nth FROM scores),
     lbest AS (SELECT review_id, chunk_id, max(score) AS score FROM lex WHERE nth <= 8 GROUP BY ALL), lrank AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY score DESC, chunk_id) AS t_rank FROM lbest),
     dots AS (SELECT q.review_id, q.seq, c.id AS chunk_id, round(1 - list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))
@@ -388,9 +423,9 @@ def retrieve_context(t: Tables) -> DataFrame:
     return retrieval.retrieve_context(chunks, queries, t.excluded).select("review_id", "chunk_id", F.round("score", 9).alias("score"), F.round("distance", 6).alias("distance"), "rank")
 
 
-@query("SELECT review_id, seq, text[:2000] AS text FROM {query_sets} WHERE trim(text) <> '' AND seq < 6")
+@query("SELECT review_id, seq, text FROM (SELECT review_id, seq, text[:2000] AS text, row_number() OVER (PARTITION BY review_id ORDER BY seq) AS n FROM {many_queries} WHERE regexp_matches(text, '\\S')) x WHERE n <= 6")
 def query_limit(t: Tables) -> DataFrame:
-    return retrieval.usable_queries(t.query_sets).select("review_id", "seq", "text")
+    return retrieval.usable_queries(t.many_queries).select("review_id", "seq", "text")
 
 
 @query("""WITH s AS (SELECT vec_id AS chunk_id, CAST(label AS bigint) AS review_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INT) AS r FROM embeddings WHERE vec_id % 3 <> 0),
@@ -441,9 +476,9 @@ def static_for_files(t: Tables) -> DataFrame:
     return verify.static_for_files(t.findings, t.static_hits).select("finding_id", "rule_id", "path", "start_line")
 
 
-@query(f"WITH {_CHECKS} SELECT finding_id, escalated, CASE WHEN NOT passed_deterministic THEN 'rejected' WHEN NOT escalated THEN 'verified' END AS verdict, round(CASE WHEN NOT passed_deterministic THEN least(confidence, CAST(0.2 AS DOUBLE)) ELSE base END, 6) AS adjusted_confidence FROM judged")
+@query(f"WITH {_CHECKS} SELECT finding_id, escalated, CASE WHEN NOT passed_deterministic THEN 'rejected' WHEN NOT escalated THEN 'verified' END AS verdict, round(CASE WHEN NOT passed_deterministic THEN least(confidence, CAST(0.2 AS DOUBLE)) ELSE base END, 6) AS adjusted_confidence, CASE WHEN NOT passed_deterministic THEN 'Failed deterministic checks (not attributable to this PR''s diff).' END AS reason FROM judged")
 def deterministic_verdicts(t: Tables) -> DataFrame:
-    return verify.verdicts(_judged(t)).select("finding_id", "escalated", "verdict", F.round("adjusted_confidence", 6).alias("adjusted_confidence"))
+    return verify.verdicts(_judged(t)).select("finding_id", "escalated", "verdict", F.round("adjusted_confidence", 6).alias("adjusted_confidence"), "reason")
 
 
 def _final(t: Tables) -> DataFrame:
@@ -475,18 +510,18 @@ def surfaced_count(t: Tables) -> DataFrame:
 # Pull requests, reviews and feedback
 
 
-@query("""WITH b AS (SELECT DISTINCT repository_id FROM {live_pulls})
+@query("""WITH b AS (SELECT repository_id FROM {refreshed})
     SELECT coalesce(s.repository_id, l.repository_id) AS repository_id, coalesce(s.number, l.number) AS number, CASE WHEN l.number IS NOT NULL THEN l.title ELSE s.title END AS title,
     CASE WHEN l.number IS NOT NULL THEN l.state WHEN b.repository_id IS NOT NULL THEN 'closed' ELSE s.state END AS state, CASE WHEN l.number IS NOT NULL THEN l.head_sha ELSE s.head_sha END AS head_sha,
     CASE WHEN l.number IS NOT NULL THEN l.github_updated_at ELSE s.github_updated_at END AS github_updated_at, s.last_reviewed_sha, s.description
     FROM {stored_pulls} s FULL JOIN {live_pulls} l ON s.repository_id = l.repository_id AND s.number = l.number LEFT JOIN b ON b.repository_id = coalesce(s.repository_id, l.repository_id)""")
 def refresh_pulls(t: Tables) -> DataFrame:
-    return bookkeeping.refresh_pulls(t.stored_pulls, t.live_pulls)
+    return bookkeeping.refresh_pulls(t.stored_pulls, t.live_pulls, t.refreshed)
 
 
-@query("SELECT repository_id, number FROM {stored_pulls} EXCEPT SELECT repository_id, number FROM {live_pulls}")
+@query("SELECT repository_id, number FROM {stored_pulls} WHERE repository_id IN (SELECT repository_id FROM {refreshed}) EXCEPT SELECT repository_id, number FROM {live_pulls}")
 def vanished_pulls(t: Tables) -> DataFrame:
-    return bookkeeping.vanished_pulls(t.stored_pulls, t.live_pulls)
+    return bookkeeping.vanished_pulls(t.stored_pulls, t.live_pulls, t.refreshed)
 
 
 def _requests(t: Tables) -> DataFrame:
@@ -504,6 +539,9 @@ def review_guard(t: Tables) -> DataFrame:
 def trigger_upsert(t: Tables) -> DataFrame:
     repositories = t.stored_pulls.select(F.col("repository_id").alias("id")).distinct().withColumn("url", F.concat(F.lit("https://github.com/o/r"), F.col("id").cast("string")))
     asked = bookkeeping.guard_reviews(_requests(t)).withColumn("html_url", F.lit(None).cast("string"))
+    # each is asked for twice; the later request counts
+    earlier = asked.withColumns({"title": F.lit("asked before"), "request_id": F.lit(1)})
+    asked = asked.withColumn("request_id", F.lit(2)).unionByName(earlier)
     return bookkeeping.trigger_upsert(t.stored_pulls, asked, repositories).select("repository_id", "number", "title", "state", "description", "last_reviewed_sha")
 
 
@@ -539,10 +577,12 @@ def accept_feedback(t: Tables) -> DataFrame:
     return good.select("event_id", F.lit(True).alias("accepted")).unionByName(bad.select("event_id", F.lit(False).alias("accepted")))
 
 
-@query("""SELECT finding_id, CASE WHEN finding_id % 3 = 0 THEN 'verified' ELSE 'uncertain' END AS effective_verdict FROM {findings}""")
+@query("""SELECT finding_id, CASE WHEN finding_id % 3 = 0 AND start_line % 4 <> 0 THEN CASE WHEN confidence > CAST(0.5 AS DOUBLE) THEN 'verified' ELSE 'rejected' END ELSE coalesce(severity, 'uncertain') END AS effective_verdict FROM {findings}""")
 def effective_verdict(t: Tables) -> DataFrame:
-    results = t.findings.where("finding_id % 3 = 0").select("finding_id", F.lit("verified").alias("final_verdict"))
-    return bookkeeping.effective_verdict(t.findings.withColumn("verdict", F.lit("uncertain")), results).select("finding_id", "effective_verdict")
+    final = F.when(F.col("start_line") % 4 != 0, F.when(F.col("confidence") > 0.5, "verified").otherwise("rejected"))
+    results = t.findings.where("finding_id % 3 = 0").select("finding_id", final.alias("final_verdict"))
+    own = t.findings.withColumn("verdict", F.coalesce("severity", F.lit("uncertain")))
+    return bookkeeping.effective_verdict(own, results).select("finding_id", "effective_verdict")
 
 
 @query("SELECT * FROM {reviews} WHERE pull_request_id NOT IN (SELECT number FROM {stored_pulls} WHERE state = 'closed')")
@@ -576,18 +616,27 @@ def pr_summary(t: Tables) -> DataFrame:
 
 
 def _files_json(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey").cast("string")
-    json = F.concat(F.lit('[{"filename": "a'), k, F.lit('.py", "additions": 3, "patch": "@@"}, {"filename": "b.py", "status": "renamed", "deletions": 2, "previous_filename": "c'), k, F.lit('.py"}]'))
-    return t.orders.select((F.col("o_custkey") % 20).alias("repository_id"), F.col("o_orderkey").alias("number"), json.alias("json"))
+    """No files to three, each with or without a status, counts, a patch and an earlier name."""
+    key, s = F.col("o_orderkey"), lambda c: c.cast("string")
+
+    def entry(j):
+        k = key + j
+        return F.concat(
+            F.lit('{"filename": "a'), s(k), F.lit('.py"'), F.when(k % 3 == 0, F.lit(', "status": "renamed", "previous_filename": "old.py"')).when(k % 3 == 1, F.lit(', "status": ""')).otherwise(""),
+            F.when(k % 2 == 0, F.concat(F.lit(', "additions": '), s(k % 50), F.lit(', "patch": "@@ '), s(j), F.lit('"'))).otherwise(F.lit(', "deletions": 2')), F.lit("}"),
+        )
+
+    entries = F.when(key % 4 > 0, F.array_join(F.transform(F.sequence(F.lit(0), (key % 4 - 1).cast("int")), entry), ", ")).otherwise("")
+    return t.orders.select((F.col("o_custkey") % 20).alias("repository_id"), key.alias("number"), F.concat(F.lit("["), entries, F.lit("]")).alias("json"))
 
 
-@query("""SELECT o_orderkey AS number, CAST(0 AS INT) AS file_pos, 'a' || o_orderkey || '.py' AS filename, 'modified' AS status, CAST(3 AS INT) AS additions, CAST(0 AS INT) AS deletions, '@@' AS patch, NULL AS previous_filename FROM orders
-    UNION ALL SELECT o_orderkey, 1, 'b.py', 'renamed', 0, 2, NULL, 'c' || o_orderkey || '.py' FROM orders""")
+@query("""SELECT o_orderkey AS number, CAST(j AS INT) AS file_pos, 'a' || (o_orderkey + j) || '.py' AS filename, CASE WHEN (o_orderkey + j) % 3 = 0 THEN 'renamed' ELSE 'modified' END AS status, CAST(CASE WHEN (o_orderkey + j) % 2 = 0 THEN (o_orderkey + j) % 50 ELSE 0 END AS INT) AS additions,
+    CAST(CASE WHEN (o_orderkey + j) % 2 = 0 THEN 0 ELSE 2 END AS INT) AS deletions, CASE WHEN (o_orderkey + j) % 2 = 0 THEN '@@ ' || j END AS patch, CASE WHEN (o_orderkey + j) % 3 = 0 THEN 'old.py' END AS previous_filename FROM orders, unnest(range(o_orderkey % 4)) AS t(j)""")
 def pr_files(t: Tables) -> DataFrame:
     return raw.pr_files(_files_json(t)).drop("repository_id")
 
 
-@query("SELECT repository_id, number, title, 'a' || number || '.py,b.py' AS files FROM {stored_pulls}")
+@query("SELECT repository_id, number, title, CASE WHEN number % 4 > 0 THEN array_to_string(list_transform(range(number % 4), lambda j: 'a' || (number + j) || '.py'), ',') END AS files FROM {stored_pulls}")
 def pr_detail(t: Tables) -> DataFrame:
     found = raw.pr_detail(t.stored_pulls, raw.pr_files(_files_json(t)))
     return found.select("repository_id", "number", "title", F.array_join(F.transform("files", lambda f: f["filename"]), ",").alias("files"))
@@ -616,27 +665,63 @@ def model_output(t: Tables) -> DataFrame:
     return good.select("review_id", F.lit(True).alias("valid"), "file", "start_line").unionByName(bad.select("review_id", F.lit(False).alias("valid"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("start_line")))
 
 
-@query("""SELECT id, regexp_replace(path, '^[^/]*/', '') AS path FROM (SELECT id, 'top/' || CASE id % 6 WHEN 0 THEN 'venv/' WHEN 1 THEN 'a/build/' ELSE 'src/' END || file_path AS path, id * 700 AS size FROM {chunks}) x WHERE size <= 500000 AND id % 6 > 1""")
+@query("""SELECT id, regexp_replace(path, '^[^/]*/', '') AS path FROM (SELECT id, 'top/' || CASE id % 6 WHEN 0 THEN 'venv/' WHEN 1 THEN 'a/build/' ELSE 'src/' END || file_path AS path, 16 * octet_length(encode(content)) AS size FROM {chunks}) x WHERE size <= 500000 AND id % 6 > 1""")
 def snapshot_filter(t: Tables) -> DataFrame:
     part = F.when(F.col("id") % 6 == 0, "venv/").when(F.col("id") % 6 == 1, "a/build/").otherwise("src/")
-    files = t.chunks.select("id", F.concat(F.lit("top/"), part, "file_path").alias("path"), (F.col("id") * 700).alias("size"))
+    files = t.chunks.select("id", F.concat(F.lit("top/"), part, "file_path").alias("path"), (16 * F.octet_length("content")).alias("size"))
     return raw.usable_sources(files).select("id", "path")
 
 
-# Prompts
+@query("SELECT doc_id, md5(text || CASE WHEN doc_id % 3 = 0 THEN chr(65533) || '.' ELSE '' END) AS digest FROM documents")
+def decode_sources(t: Tables) -> DataFrame:
+    blob = F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("FF2E"))).otherwise(F.unhex(F.lit(""))))
+    return raw.decode_sources(t.documents.select("doc_id", blob.alias("content"))).select("doc_id", F.md5(F.col("source").cast("binary")).alias("digest"))
+
+
+# Result tables
+
+
+@query("""SELECT repository_id, file_path, n FROM (SELECT repository_id, file_path, count(*) AS n FROM {chunks} WHERE repository_id % 4 >= 2 GROUP BY ALL
+    UNION ALL SELECT repository_id, 'new/' || file_path, count(*) FROM {chunks} WHERE repository_id % 4 = 0 AND id % 2 = 0 GROUP BY ALL) x""")
+def replace_chunks(t: Tables) -> DataFrame:
+    # of each four repositories, one is indexed anew, one has no chunks any more, and two stay
+    path = scratch(t.spark, "chunks")
+    chunks = t.chunks.select("repository_id", "file_path", "id")
+    writers.replace_chunks(chunks, chunks, path)
+    new = chunks.where("repository_id % 4 = 0 and id % 2 = 0").withColumn("file_path", F.concat(F.lit("new/"), "file_path"))
+    writers.replace_chunks(new, chunks.where("repository_id % 4 < 2"), path)
+    return writers.read_chunks(t.spark, path).groupBy("repository_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id, status, run FROM (SELECT *, CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS run FROM {reviews}) x")
+def append_results(t: Tables) -> DataFrame:
+    root = scratch(t.spark, "results")
+    for run, part in (("even", "id % 2 = 0"), ("odd", "id % 2 = 1"), ("even", "id % 2 = 0")):  # one is repeated
+        writers.append_results(root, run, reviews=t.reviews.where(part).select("id", "status"))
+    return t.spark.read.parquet(f"{root}/reviews").select("id", "status", "run")
+
+
+@query("""SELECT o_orderkey AS id, coalesce(sha, CASE WHEN o_orderkey % 2 = 0 THEN 'old' END) AS last_reviewed_sha FROM orders LEFT JOIN (SELECT pull_request_id, arg_max('h' || id, (created_at, id)) AS sha FROM {reviews} WHERE status = 'st0' GROUP BY ALL) r ON pull_request_id = o_orderkey""")
+def mark_reviewed(t: Tables) -> DataFrame:
+    pulls = t.orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "old").alias("last_reviewed_sha"))
+    done = t.reviews.select(F.col("id").alias("review_id"), "pull_request_id", F.concat(F.lit("h"), F.col("id").cast("string")).alias("head_sha"), F.when(F.col("status") == "st0", "done").otherwise("running").alias("status"), F.col("created_at").alias("completed_at"))
+    return writers.mark_reviewed(pulls, done)
+
+
+# Prompts: fifty chunks, and the hits of fifty reviews, to a prompt
 
 
 def _prompt_parts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    files = t.chunks.select((F.col("id") % 50).alias("review_id"), F.col("id").alias("file_pos"), F.col("file_path").alias("filename"), F.lit("modified").alias("status"), F.when(F.col("id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("symbols"), F.when(F.col("id") % 3 != 0, F.col("content")).alias("patch"))
-    ranked = t.chunks.withColumn("review_id", F.col("id") % 50).withColumn("rank", F.col("id"))
-    return prompts.changed_sections(files), prompts.retrieved_sections(ranked), prompts.static_section(t.static_hits.withColumn("review_id", F.col("review_id") % 50))
+    files = t.chunks.select(F.floor(F.col("id") / 50).alias("review_id"), F.col("id").alias("file_pos"), F.col("file_path").alias("filename"), F.lit("modified").alias("status"), F.when(F.col("id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("symbols"), F.when(F.col("id") % 3 != 0, F.col("content")).alias("patch"))
+    ranked = t.chunks.withColumn("review_id", F.floor(F.col("id") / 50)).withColumn("rank", F.col("id"))
+    return prompts.changed_sections(files), prompts.retrieved_sections(ranked), prompts.static_section(t.static_hits.withColumn("review_id", F.floor(F.col("review_id") / 50)))
 
 
-_PARTS = """f AS (SELECT id % 50 AS review_id, string_agg('## ' || file_path || ' (modified' || CASE WHEN id % 2 = 0 THEN ', symbols: a, b' ELSE '' END || ')' || chr(10) || '```diff' || chr(10) ||
+_PARTS = """f AS (SELECT CAST(floor(id / 50) AS BIGINT) AS review_id, string_agg('## ' || file_path || ' (modified' || CASE WHEN id % 2 = 0 THEN ', symbols: a, b' ELSE '' END || ')' || chr(10) || '```diff' || chr(10) ||
         CASE WHEN id % 3 = 0 THEN '(no textual diff)' WHEN length(content) > 6000 THEN content[:6000] || chr(10) || '... [truncated]' ELSE content END || chr(10) || '```', chr(10) || chr(10) ORDER BY id) AS changed_sections FROM {chunks} GROUP BY ALL),
-    c AS (SELECT id % 50 AS review_id, string_agg('## ' || file_path || '::' || coalesce(symbol_name, 'module') || ' (lines ' || start_line || '-' || end_line || ')' || CASE WHEN is_test AND coalesce(symbol_name LIKE 'validate%', false) THEN ' [test, validation/rule]' WHEN is_test THEN ' [test]' WHEN symbol_name LIKE 'validate%' THEN ' [validation/rule]' ELSE '' END
+    c AS (SELECT CAST(floor(id / 50) AS BIGINT) AS review_id, string_agg('## ' || file_path || '::' || coalesce(symbol_name, 'module') || ' (lines ' || start_line || '-' || end_line || ')' || CASE WHEN is_test AND coalesce(symbol_name LIKE 'validate%', false) THEN ' [test, validation/rule]' WHEN is_test THEN ' [test]' WHEN symbol_name LIKE 'validate%' THEN ' [validation/rule]' ELSE '' END
         || chr(10) || '```python' || chr(10) || CASE WHEN length(content) > 1500 THEN content[:1500] || chr(10) || '... [truncated]' ELSE content END || chr(10) || '```', chr(10) || chr(10) ORDER BY id) AS retrieved_sections FROM {chunks} GROUP BY ALL),
-    h AS (SELECT review_id % 50 AS review_id, string_agg(line, chr(10) ORDER BY id, line) AS static_section FROM (SELECT *, '- ' || rule_id || ' @ ' || file_path || ':' || start_line || ' [' || coalesce(severity, 'info') || '] ' || trim(message) AS line FROM {static_hits}) x GROUP BY ALL)"""
+    h AS (SELECT CAST(floor(review_id / 50) AS BIGINT) AS review_id, string_agg(line, chr(10) ORDER BY id, line) AS static_section FROM (SELECT *, '- ' || rule_id || ' @ ' || file_path || ':' || start_line || ' [' || coalesce(severity, 'info') || '] ' || trim(message) AS line FROM {static_hits}) x GROUP BY ALL)"""
 
 
 @query(f"WITH {_PARTS} SELECT review_id, md5(changed_sections) AS digest FROM f")
@@ -656,40 +741,42 @@ def static_section(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_PARTS} SELECT n.id AS review_id, md5('# Pull request' || chr(10) || chr(10) || '## Title' || chr(10) || 't' || n.id || chr(10) || chr(10) || '## Description (stated intent)' || chr(10) || '(no description provided)' || chr(10) || chr(10) || '# Changed code' || chr(10) || coalesce(changed_sections, '')
     || chr(10) || chr(10) || '# Retrieved repository context' || chr(10) || coalesce(retrieved_sections, '(no related context retrieved)') || chr(10) || chr(10) || '# Static analysis' || chr(10) || coalesce(static_section, '(no static findings)') || chr(10) || chr(10) || '# Task' || chr(10) || 'Review this PR per your instructions. Return JSON only.') AS digest
-    FROM (SELECT c_custkey % 60 AS id FROM customer GROUP BY ALL) n LEFT JOIN f ON f.review_id = n.id LEFT JOIN c ON c.review_id = n.id LEFT JOIN h ON h.review_id = n.id""")
+    FROM (SELECT CAST(floor(c_custkey / 5) AS BIGINT) AS id FROM customer GROUP BY ALL) n LEFT JOIN f ON f.review_id = n.id LEFT JOIN c ON c.review_id = n.id LEFT JOIN h ON h.review_id = n.id""")
 def review_prompts(t: Tables) -> DataFrame:
-    reviews = t.customer.select((F.col("c_custkey") % 60).alias("review_id")).distinct().select("review_id", F.concat(F.lit("t"), F.col("review_id").cast("string")).alias("pr_title"), F.lit(None).cast("string").alias("pr_description"))
+    reviews = t.customer.select(F.floor(F.col("c_custkey") / 5).alias("review_id")).distinct().select("review_id", F.concat(F.lit("t"), F.col("review_id").cast("string")).alias("pr_title"), F.lit(None).cast("string").alias("pr_description"))
     return prompts.review_prompts(reviews, *_prompt_parts(t)).select("review_id", F.md5(F.col("prompt").cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"""WITH {NORMAL}, h AS (SELECT finding_id, string_agg(line, chr(10) ORDER BY id, line) AS lines FROM (SELECT f.finding_id, h.id, '- ' || h.rule_id || ' @ ' || h.file_path || ':' || h.start_line || ' [' || coalesce(h.severity, 'info') || '] ' || trim(h.message) AS line
+        FROM {{findings}} f JOIN {{static_hits}} h ON h.review_id = f.review_id AND (suffix(f.file, h.file_path) OR suffix(h.file_path, f.file))) x GROUP BY finding_id)
+    SELECT finding_id, md5('# Finding under review' || chr(10) || '{{' || chr(10) || '  "file": "' || file || '",' || chr(10) || '  "start_line": ' || start_line || ',' || chr(10) || '  "end_line": ' || end_line || ',' || chr(10) || '  "severity": "' || severity || '",' || chr(10) || '  "category": "' || category || '",' || chr(10)
+        || '  "title": "a \\"title\\" ' || finding_id || '",' || chr(10) || '  "description": "two\\nlines",' || chr(10) || '  "evidence": ' || CASE WHEN finding_id % 2 = 0 THEN '"line ' || start_line || '"' ELSE 'null' END || ',' || chr(10) || '  "suggested_fix": null,' || chr(10) || '  "confidence": ' || CASE WHEN finding_id % 3 = 0 THEN '0.5' ELSE '0.75' END || chr(10) || '}}'
+        || chr(10) || chr(10) || '# Relevant diff' || chr(10) || CASE WHEN finding_id % 5 = 0 THEN '(diff excerpt unavailable)' ELSE start_line || ': x' END || chr(10) || chr(10) || '# Repository context' || chr(10) || '(no related context)' || chr(10) || chr(10) || '# Static analysis' || chr(10) || coalesce(lines, '(none)')
+        || chr(10) || chr(10) || '# Task' || chr(10) || 'Decide.') AS digest FROM normal LEFT JOIN h USING (finding_id)""")
 def verification_prompts(t: Tables) -> DataFrame:
-    hits = prompts.static_section(verify.static_for_files(ff.normalize_findings(t.findings), t.static_hits).select(F.col("finding_id").alias("review_id"), F.monotonically_increasing_id().alias("id"), "rule_id", F.col("path").alias("file_path"), "start_line", F.col("hit_severity").alias("severity"), "message"))
-    found = ff.normalize_findings(t.findings).join(hits.withColumnRenamed("review_id", "finding_id"), "finding_id", "left")
-    for c in ("title", "description", "excerpt", "retrieved_sections"):
-        found = found.withColumn(c, F.lit(None).cast("string"))
-    return prompts.verification_prompts(found).select("finding_id", F.length("prompt").alias("n_chars"))
+    findings, k = ff.normalize_findings(t.findings), F.col("finding_id")
+    hits = verify.static_for_files(t.findings, t.static_hits).select(k.alias("review_id"), "id", "rule_id", F.col("path").alias("file_path"), "start_line", F.col("hit_severity").alias("severity"), "message")
+    found = findings.join(prompts.static_section(hits).withColumnRenamed("review_id", "finding_id"), "finding_id", "left").withColumns(
+        {
+            "title": F.concat(F.lit('a "title" '), k.cast("string")), "description": F.lit("two\nlines"), "evidence": F.when(k % 2 == 0, F.concat(F.lit("line "), F.col("start_line").cast("string"))),
+            "suggested_fix": F.lit(None).cast("string"), "confidence": F.when(k % 3 == 0, 0.5).otherwise(0.75), "excerpt": F.when(k % 5 != 0, F.concat(F.col("start_line").cast("string"), F.lit(": x"))), "retrieved_sections": F.lit(None).cast("string"),
+        }
+    )
+    return prompts.verification_prompts(found, "Decide.").select("finding_id", F.md5(F.col("prompt").cast("binary")).alias("digest"))
 
 
-@query("SELECT finding_id, 'reply to ' || finding_id AS reply FROM {findings}")
+@query("SELECT finding_id, md5(file || ':' || start_line) AS reply FROM {findings}")
 def run_model(t: Tables) -> DataFrame:
-    asked = t.findings.select("finding_id", F.col("finding_id").cast("string").alias("prompt"))
-    return prompts.run_model(asked, "finding_id", lambda: lambda texts: [f"reply to {x}" for x in texts])
-
-# Streams
+    asked = t.findings.select("finding_id", F.concat("file", F.lit(":"), F.col("start_line").cast("string")).alias("prompt"))
+    return prompts.run_model(asked, "finding_id", lambda: lambda texts: [hashlib.md5(x.encode()).hexdigest() for x in texts])
 
 
-def scratch(spark) -> str:
-    """A new folder below the one that driver and executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='spark-')}/streams/{uuid.uuid4().hex}"
+# Streams
 
 
 @query("""SELECT review_id, arg_max(status, (ts, seq)) AS status, arg_max(stage, (ts, seq)) AS stage, min(ts) FILTER (status = 'running') AS started_at, max(ts) FILTER (status IN ('done', 'failed')) AS completed_at, arg_max(error, (ts, seq))[:2000] AS error FROM {lifecycle} GROUP BY review_id""")
 def stream_lifecycle(t: Tables) -> DataFrame:
-    folder = scratch(t.spark)
+    folder = scratch(t.spark, "streams")
     t.lifecycle.write.parquet(f"{folder}/log")
     log = t.spark.readStream.schema(t.lifecycle.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
     lifecycle.follow_lifecycle(log, f"{folder}/changes", f"{folder}/state").awaitTermination()
