@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,20 @@ def scratch(spark: SparkSession, kind: str = "tables") -> str:
     return f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
 
 
+_recorded: ContextVar[list[str] | None] = ContextVar("recorded", default=None)
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The paths that materialize writes to meanwhile."""
+    made: list[str] = []
+    before = _recorded.set(made)
+    try:
+        yield made
+    finally:
+        _recorded.reset(before)
+
+
 def materialize(df: DataFrame, done_with: list[DataFrame] | None = None) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: computed once, and safe from lost executors.
 
@@ -35,15 +51,21 @@ def materialize(df: DataFrame, done_with: list[DataFrame] | None = None) -> Data
     """
     path = scratch(df.sparkSession)
     df.write.parquet(path)
+    if (made := _recorded.get()) is not None:
+        made.append(path)
     for table in done_with or []:
-        forget(table)
+        forget(df.sparkSession, folders(table))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(table: DataFrame) -> None:
-    """Deletes what materialize wrote for a table."""
-    spark = table.sparkSession
-    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+def folders(table: DataFrame) -> set[str]:
+    """The folders of all files that a table is read from."""
+    return {name.rsplit("/", 1)[0] for name in table.inputFiles()}
+
+
+def forget(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes folders that materialize wrote; others stay."""
+    for folder in paths:
         if "/tables/" in folder:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
