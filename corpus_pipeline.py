@@ -7,14 +7,16 @@ manifest.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from patchloom.llm.common import materialize
 from patchloom.llm.decontaminate import remove_contaminated
 from patchloom.llm.mixing import take_mix
 from patchloom.llm.quality_rules import keep_good
 from patchloom.llm.sharding import shard_documents
 from patchloom.llm.simhash import keep_one
+from patchloom.tables import folders, forget, materialize, recording
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +44,37 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return shard_documents(docs, carry=("source", "lang"))
 
 
+#: What a stage wrote on its way, by input folder and the stage's number.
+_left: dict[tuple[str, int], list[str]] = {}
+
+
+def _staged(number: int, stage: Callable[..., DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage; when it begins, the tables that the stage before wrote on its way are deleted, unless docs still reads them."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if left := _left.pop((sf_dir, number - 1), []):
+            read = {f.rsplit("/", 1)[-1] for f in folders(docs)}
+            forget(spark, [p for p in left if p.rsplit("/", 1)[-1] not in read])
+        with recording() as made:
+            found = stage(spark, docs, sf_dir)
+        _left[sf_dir, number] = made
+        return found
+
+    run_stage.__doc__ = stage.__doc__
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", quality_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("decontamination", decontamination_stage),
-    ("mixing", mixing_stage),
-    ("sharding", sharding_stage),
+    (name, _staged(i, stage))
+    for i, (name, stage) in enumerate(
+        [
+            ("quality_rules", quality_stage),
+            ("near_duplicates", near_duplicate_stage),
+            ("decontamination", decontamination_stage),
+            ("mixing", mixing_stage),
+            ("sharding", sharding_stage),
+        ]
+    )
 ]
 
 #: Fingerprints (XXH64) and the label rounds can't be written in DuckDB SQL; tests compare with brute force.
@@ -55,7 +82,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = materialize(stage(spark, docs, sf_dir), done_with=before)
+        before = [docs]
     return docs

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..tables import materialize
+
 #: Bytes of text that a task handles at once; a longer text is handled alone.
 SLICE_BYTES = 2 << 20
 #: Rows up to which a table counts as small enough to broadcast; beyond it the join shuffles.
@@ -106,40 +106,6 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fields: T.StructType, f
     return source.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
-    sc = spark.sparkContext
-    if found := sc.getConf().get("spark.checkpoint.dir"):
-        return found
-    if not sc.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def materialize(df: DataFrame, done_with: list[DataFrame] | None = None) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: computed once, and safe from lost executors.
-
-    done_with: tables of this kind that df came from and that nothing else reads; they are deleted once df is whole.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for table in done_with or []:
-        forget(table)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(table: DataFrame) -> None:
-    """Deletes what materialize wrote for a table."""
-    spark = table.sparkSession
-    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
-        if "/tables/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def number_rows(df: DataFrame, order: list[str | Column], name: str, sums: dict[str, str] | None = None) -> DataFrame:
     """df with each row's place in the order over all rows, from 0: range partitions, counted, then numbered inside.
 
