@@ -27,6 +27,19 @@ def ranges_from_lines(lines: DataFrame, keys: list[str], line: str = "line") ->
     return island.groupBy(*keys, "__g").agg(F.min(line).alias("start"), F.max(line).alias("end")).drop("__g")
 
 
+def contiguous(lines: Column) -> Column:
+    """Sorted distinct lines as an array of ranges (start, end)."""
+    begins = F.filter(lines, lambda x, i: F.coalesce(F.get(lines, i - 1) < x - 1, F.lit(True)))
+    ends = F.filter(lines, lambda x, i: F.coalesce(F.get(lines, i + 1) > x + 1, F.lit(True)))
+    return F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+
+def changed_ranges(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
+    """(keys, added_ranges) of a table of lines, one row a key: a set of lines for each file, combined before the one shuffle."""
+    found = lines.where(F.col(line).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_set(line)).alias("__lines"))
+    return found.select(*keys, contiguous(F.col("__lines")).alias("added_ranges"))
+
+
 def touches(ranges: Column, start: Column, end: Column) -> Column:
     """Whether start..end overlaps a range of the array; false for null or none."""
     return F.coalesce(F.exists(ranges, lambda r: (end >= r["start"]) & (start <= r["end"])), F.lit(False))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-#: View name -> query over base tables and other views, whose names stand in braces.
-VIEWS = {
+#: View name -> query over base tables and other views, whose names stand in braces; two, for Spark and DuckDB, where they differ.
+VIEWS: dict[str, str | tuple[str, str]] = {
     "repositories": """SELECT c_custkey AS id, 'owner' || (c_custkey % 40) || '/repo' || (c_custkey % 900) AS full_name, 'https://github.com/owner' || (c_custkey % 40) || '/repo' || (c_custkey % 900) AS url, 'python' AS language FROM {customer}""",
     "repo_urls": """SELECT page_id AS id, CASE page_id % 8 WHEN 0 THEN 'https://github.com/own-' || page_id || '/re.po_' || page_id || '.git' WHEN 1 THEN 'git@github.com:own' || page_id || '/repo.git'
         WHEN 2 THEN chr(9) || ' own' || page_id || '/repo/ ' || chr(10) WHEN 3 THEN 'http://github.com/own/repo' || page_id WHEN 4 THEN '' WHEN 5 THEN 'https://github.com/own' || page_id WHEN 6 THEN 'not-a-repo' ELSE url END AS url FROM {pages}""",
@@ -29,9 +29,12 @@ VIEWS = {
         CASE pk % 7 WHEN 0 THEN ' High ' WHEN 1 THEN 'critical' WHEN 2 THEN 'LOW' WHEN 3 THEN 'bogus' WHEN 4 THEN NULL WHEN 5 THEN 'info' ELSE 'medium' END AS severity,
         CASE sk % 6 WHEN 0 THEN 'business_logic' WHEN 1 THEN ' Security' WHEN 2 THEN 'cross_file' WHEN 3 THEN 'test_coverage' WHEN 4 THEN NULL ELSE 'maintainability' END AS category,
         d * CAST(12 AS double) - CAST(0.1 AS double) AS confidence FROM {raw_findings}""",
-    "added_lines": """SELECT l_orderkey AS review_id, 'mod_' || (l_partkey % 5) || '.py' AS filename, CAST(floor(l_quantity) AS int) + 4 * CAST(l_suppkey % 3 AS int) - 2 + k AS line
-        FROM {lineitem}, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) ks WHERE l_linenumber <= 5 AND k <= l_linenumber""",
-    "source_facts": """SELECT DISTINCT review_id, filename, CAST(20 + review_id % 40 AS int) AS n_lines, CAST(1 + review_id % 7 AS int) AS s1, CAST(30 + review_id % 11 AS int) AS e1 FROM {added_lines} WHERE review_id % 4 <> 0""",
+    "changed_lines": """SELECT l_orderkey AS review_id, 'mod_' || (l_partkey % 5) || '.py' AS filename, CAST(floor(l_quantity) AS int) + 4 * CAST(l_suppkey % 3 AS int) - 2 AS first, CAST(least(4, l_linenumber + 1) AS int) AS n FROM {lineitem} WHERE l_linenumber <= 5""",
+    "added_lines": (
+        "SELECT review_id, filename, first + k AS line FROM {changed_lines} LATERAL VIEW explode(sequence(0, n - 1)) AS k",
+        "SELECT review_id, filename, first + CAST(k AS int) AS line FROM {changed_lines}, unnest(range(n)) AS t(k)",
+    ),
+    "source_facts": """SELECT DISTINCT review_id, filename, CAST(20 + review_id % 40 AS int) AS n_lines, CAST(1 + review_id % 7 AS int) AS s1, CAST(30 + review_id % 11 AS int) AS e1 FROM {changed_lines} WHERE review_id % 4 <> 0""",
     "static_hits": """SELECT l_orderkey AS review_id, l_orderkey * 10 + l_linenumber AS id, 'rule-' || (l_suppkey % 9) AS rule_id, CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN 'src/mod_' || (l_partkey % 5) || '.py' ELSE 'mod_' || (l_partkey % 5) || '.py' END AS file_path,
         CAST(floor(l_quantity) AS int) AS start_line, CAST(floor(l_quantity) AS int) + 2 AS end_line, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE 'warning' END AS severity, ' see line ' || l_linenumber || ' ' AS message FROM {lineitem} WHERE l_returnflag = 'R'""",
     # hunks with up to 3 context, 2 removed and 4 added lines, some of them written like file headers; a second one for even numbers
@@ -54,6 +57,10 @@ VIEWS = {
 }
 
 
+def _sql(name: str, dialect: int) -> str:
+    return VIEWS[name] if isinstance(VIEWS[name], str) else VIEWS[name][dialect]
+
+
 def _names(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
@@ -67,7 +74,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self._held:
             if name in VIEWS:
-                self._held[name] = self.spark.sql(VIEWS[name].replace("\\", "\\\\"), **{n: getattr(self, n) for n in _names(VIEWS[name])})
+                self._held[name] = self.spark.sql(_sql(name, 0).replace("\\", "\\\\"), **{n: getattr(self, n) for n in _names(_sql(name, 0))})
             elif name in TABLES:
                 self._held[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:
@@ -82,12 +89,12 @@ def oracle(body: str) -> str:
     def need(sql: str) -> None:
         for name in _names(sql):
             if name in VIEWS and name not in needed:
-                need(VIEWS[name])
+                need(_sql(name, 1))
                 needed.append(name)
 
     need(body)
     plain = lambda sql: re.sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in VIEWS or m[1] in TABLES else m[0], sql)
-    ctes = [f"{n} AS ({plain(VIEWS[n])})" for n in needed]
+    ctes = [f"{n} AS ({plain(_sql(n, 1))})" for n in needed]
     text = plain(body).strip()
     if text.upper().startswith("WITH "):
         return "WITH " + ", ".join([*ctes, text[5:]])

@@ -162,8 +162,7 @@ def ranges_from_lines(t: Tables) -> DataFrame:
 
 
 def _changed(t: Tables) -> DataFrame:
-    ranges = diffs.ranges_from_lines(t.added_lines, ["review_id", "filename"])
-    return ranges.groupBy("review_id", "filename").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("added_ranges"))
+    return diffs.changed_ranges(t.added_lines, ["review_id", "filename"])
 
 
 @query(f"""WITH {RANGES} SELECT f.finding_id, coalesce(bool_or(f.end_line >= r.s AND f.start_line <= r.e), false) AS touches, coalesce(bool_or(f.start_line >= r.s AND f.start_line <= r.e), false) AS contains_start

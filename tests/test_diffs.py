@@ -6,6 +6,8 @@ from patchloom.operators import diffs
 def test_ranges(spark):
     rows = [("a", n) for n in [2, 3, 4, 7, 8, 10]] + [("b", 5)] + [("c", n) for n in [10, 2, 3, 2, 4]]
     got = diffs.ranges_from_lines(spark.createDataFrame(rows, "key string, line int"), ["key"]).orderBy("key", "start").collect()
+    one = diffs.changed_ranges(spark.createDataFrame([*rows, ("d", None)], "key string, line int"), ["key"])
+    assert {r["key"]: [tuple(x) for x in r["added_ranges"]] for r in one.collect()} == {"a": [(2, 4), (7, 8), (10, 10)], "b": [(5, 5)], "c": [(2, 4), (10, 10)]}
     assert [tuple(r) for r in got] == [("a", 2, 4), ("a", 7, 8), ("a", 10, 10), ("b", 5, 5), ("c", 2, 4), ("c", 10, 10)]
 
 
