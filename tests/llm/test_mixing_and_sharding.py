@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -6,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from patchloom.llm import mixing, sharding
+from patchloom.llm import mixing, quality_rules, sharding
+from test_dedup_and_matching import components, naive_fingerprint
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -170,3 +172,68 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     manifest = corpus_pipeline.run(spark, str(tmp_path)).collect()
     counts = Counter(r["shard"] for r in manifest)
     assert {r["doc_id"] for r in manifest} <= {i for i, *_ in clean} and max(counts.values()) - min(counts[s] for s in range(40)) <= 1
+
+
+def words_of(text):
+    return (text or "").split()
+
+
+def brute_pipeline(docs, items):
+    """Rows that come out, with repeats, by the plainest computation of each stage."""
+    # rules: own counts, then hosts
+    failed = []
+    for _, text, _, _, _ in docs:
+        words = words_of(text)
+        grams = [tuple(words[p : p + 5]) for p in range(len(words) - 4)]
+        seen = Counter(grams)
+        cover = {q for p, g in enumerate(grams) if seen[g] > 1 for q in range(p, p + 5)}
+        failed.append(len(words) < 10 or 100 * len(cover) > 20 * len(words))
+    hosts = defaultdict(lambda: [0, 0])
+    for (_, _, _, host, _), bad in zip(docs, failed):
+        hosts[host][0] += 1
+        hosts[host][1] += bad
+    alpha, beta = quality_rules.prior(len(docs), sum(failed), len(hosts), float(sum(n * n for n, _ in hosts.values())), sum(f * f / n for n, f in hosts.values()))
+    docs = [d for d, bad in zip(docs, failed) if not bad and (hosts[d[3]][1] + alpha) / (hosts[d[3]][0] + alpha + beta) <= 0.5]
+    # one of each group of near fingerprints
+    group = components([naive_fingerprint(d[1]) for d in docs])
+    first = {}
+    for i, g in enumerate(group):
+        if g not in first or (docs[i][0] is None, docs[i][0] or 0) < (docs[first[g]][0] is None, docs[first[g]][0] or 0):
+            first[g] = i
+    docs = [docs[i] for i in sorted(first.values())]
+    # benchmark passages
+    windows = {tuple(w[p : p + 13]) for w in map(words_of, items) for p in range(len(w) - 12)}
+    clean = []
+    for d in docs:
+        w = words_of(d[1])
+        hit = {q for p in range(len(w) - 12) if tuple(w[p : p + 13]) in windows for q in range(p, p + 13)}
+        if not hit or 20 * len(hit) < len(w):
+            clean.append(d)
+    # epochs of each row by its source's target
+    sizes = defaultdict(int)
+    for d in clean:
+        sizes[d[3]] += len(words_of(d[1]))
+    out, at = Counter(), defaultdict(int)
+    target = naive_targets(sizes)
+    for d in sorted(clean, key=lambda d: (hashlib.md5(str(d[0]).encode()).hexdigest()[:15], len(words_of(d[1])))):
+        out[d[0], len(d[1].encode()) + 16, d[3]] += sum(e * sizes[d[3]] + at[d[3]] < round(target[d[3]]) for e in range(3))
+        at[d[3]] += len(words_of(d[1]))
+    return +out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    draw = random.Random(14)
+    vocabulary = [f"word{i}" for i in range(400)]
+    text = lambda n: " ".join(draw.choices(vocabulary, k=n))
+    docs = [(i, text(draw.randint(5, 150)), "en", f"s{i % 5}", 0) for i in range(160)]
+    passages = [text(40) for _ in range(3)]
+    for i in range(0, 60, 4):
+        docs.append((200 + i, docs[i][1] if i % 8 else docs[i][1] + " end", "en", f"s{i % 3}", 0))  # copies, and texts with a word more
+    docs += [(300 + i, text(8) + " " + p + " " + text(i * 400), "fr", "s1", 0) for i, p in enumerate(passages)]
+    docs += [(400 + i, "spam words " * 30, "en", "junk", 0) for i in range(30)] + [(440, text(50), "en", "junk", 0), (441, None, "en", None, 0), (441, text(60), None, None, 0)]
+    spark.createDataFrame(docs, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["size"], r["source"]) for r in got) == brute_pipeline(docs, passages)
+    counts = Counter(r["shard"] for r in got)
+    assert max(counts.values()) - min(counts[s] for s in range(40)) <= 1 and len({(r["shard"], r["slot"]) for r in got}) == len(got) > 100
