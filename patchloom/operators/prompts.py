@@ -53,7 +53,7 @@ def _or(value: Column, default: str) -> Column:
     return F.coalesce(F.nullif(value, F.lit("")), F.lit(default))
 
 
-def review_prompts(reviews: DataFrame, changed: DataFrame, retrieved: DataFrame, static: DataFrame, task: str = "Review this PR per your instructions. Return JSON only.") -> DataFrame:
+def review_prompts(reviews: DataFrame, changed: DataFrame, retrieved: DataFrame, static: DataFrame, task: str) -> DataFrame:
     """review_id and its prompt; placeholders stand for missing parts. The closing task is the caller's wording."""
     df = reviews.join(changed, "review_id", "left").join(retrieved, "review_id", "left").join(static, "review_id", "left")
     parts = [
@@ -67,8 +67,8 @@ def review_prompts(reviews: DataFrame, changed: DataFrame, retrieved: DataFrame,
     return df.select("review_id", F.concat(*parts).alias("prompt"))
 
 
-def verification_prompts(findings: DataFrame, task: str = "Decide if this finding is a real issue introduced by this PR. Return JSON only.") -> DataFrame:
-    """finding_id and its second-pass prompt: the whole finding as indented JSON, then excerpt, retrieved_sections and static_section."""
+def verification_prompts(findings: DataFrame, task: str) -> DataFrame:
+    """finding_id and its second-pass prompt: the whole finding as indented JSON, then excerpt, retrieved_sections and static_section, and the caller's task."""
     quoted = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1), F.lit("null"))
     texts = {"file", "severity", "category", "title", "description", "evidence", "suggested_fix"}
     shown = [F.concat(F.lit(f'  "{c}": '), F.when(F.col(c).isNull(), "null").otherwise(quoted(c) if c in texts else F.col(c).cast("string"))) for c in FINDING_FIELDS]

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import io
+import tarfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -671,6 +674,23 @@ def snapshot_filter(t: Tables) -> DataFrame:
     return raw.usable_sources(files).select("id", "path")
 
 
+@query("SELECT CAST(floor(doc_id / 20) AS BIGINT) AS repository_id, 'src/f_' || doc_id || '.py' AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size, md5(text) AS digest FROM documents WHERE doc_id % 7 <> 0 AND octet_length(encode(text)) <= 500000")
+def expand_archives(t: Tables) -> DataFrame:
+    # an archive of twenty documents each; every seventh is in a folder that isn't indexed
+    def pack(rows: pa.Table) -> pa.Table:
+        blob = io.BytesIO()
+        with tarfile.open(fileobj=blob, mode="w:gz") as archive:
+            for i, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
+                info = tarfile.TarInfo(f"top/{'build' if i % 7 == 0 else 'src'}/f_{i}.py")
+                info.size = len(body := text.encode())
+                archive.addfile(info, io.BytesIO(body))
+        return pa.table({"repository_id": rows.column("repository_id").slice(0, 1), "content": pa.array([blob.getvalue()], pa.binary())})
+
+    numbered = t.documents.select(F.floor(F.col("doc_id") / 20).alias("repository_id"), "doc_id", "text")
+    archives = numbered.groupBy("repository_id").applyInArrow(pack, "repository_id long, content binary")
+    return raw.expand_archives(archives).select("repository_id", "path", "size", F.md5(F.col("source").cast("binary")).alias("digest"))
+
+
 @query("SELECT doc_id, md5(text || CASE WHEN doc_id % 3 = 0 THEN chr(65533) || '.' ELSE '' END) AS digest FROM documents")
 def decode_sources(t: Tables) -> DataFrame:
     blob = F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("FF2E"))).otherwise(F.unhex(F.lit(""))))
@@ -739,11 +759,11 @@ def static_section(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_PARTS} SELECT n.id AS review_id, md5('# Pull request' || chr(10) || chr(10) || '## Title' || chr(10) || 't' || n.id || chr(10) || chr(10) || '## Description (stated intent)' || chr(10) || '(no description provided)' || chr(10) || chr(10) || '# Changed code' || chr(10) || coalesce(changed_sections, '')
-    || chr(10) || chr(10) || '# Retrieved repository context' || chr(10) || coalesce(retrieved_sections, '(no related context retrieved)') || chr(10) || chr(10) || '# Static analysis' || chr(10) || coalesce(static_section, '(no static findings)') || chr(10) || chr(10) || '# Task' || chr(10) || 'Review this PR per your instructions. Return JSON only.') AS digest
+    || chr(10) || chr(10) || '# Retrieved repository context' || chr(10) || coalesce(retrieved_sections, '(no related context retrieved)') || chr(10) || chr(10) || '# Static analysis' || chr(10) || coalesce(static_section, '(no static findings)') || chr(10) || chr(10) || '# Task' || chr(10) || 'Look for faults.') AS digest
     FROM (SELECT CAST(floor(c_custkey / 5) AS BIGINT) AS id FROM customer GROUP BY ALL) n LEFT JOIN f ON f.review_id = n.id LEFT JOIN c ON c.review_id = n.id LEFT JOIN h ON h.review_id = n.id""")
 def review_prompts(t: Tables) -> DataFrame:
     reviews = t.customer.select(F.floor(F.col("c_custkey") / 5).alias("review_id")).distinct().select("review_id", F.concat(F.lit("t"), F.col("review_id").cast("string")).alias("pr_title"), F.lit(None).cast("string").alias("pr_description"))
-    return prompts.review_prompts(reviews, *_prompt_parts(t)).select("review_id", F.md5(F.col("prompt").cast("binary")).alias("digest"))
+    return prompts.review_prompts(reviews, *_prompt_parts(t), "Look for faults.").select("review_id", F.md5(F.col("prompt").cast("binary")).alias("digest"))
 
 
 @query(f"""WITH {NORMAL}, h AS (SELECT finding_id, string_agg(line, chr(10) ORDER BY id, line) AS lines FROM (SELECT f.finding_id, h.id, '- ' || h.rule_id || ' @ ' || h.file_path || ':' || h.start_line || ' [' || coalesce(h.severity, 'info') || '] ' || trim(h.message) AS line
