@@ -169,16 +169,23 @@ def index_hits(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
 RUN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("uid", T.LongType()), T.StructField("place", T.IntegerType())])
 
 
-def runs_of(places: list[int], entries: list[dict]) -> list[dict]:
-    """Phrases in a row whose entries are in a row as well, joined: first place, number of phrases, first entry."""
-    out: list[dict] = []
-    for place, entry in sorted(zip(places, entries, strict=True), key=lambda x: x[0]):
-        last = out[-1] if out else None
-        if last and last["start"] + last["n"] == place and last["uid"] == entry["uid"] and last["place"] + last["n"] == entry["place"]:
-            last["n"] += 1
-        else:
-            out.append({"start": place, "n": 1, **entry})
-    return out
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, places, entries) -> (uid, runs): phrases in a row whose entries are in a row as well, joined to the first, their number, and the first entry."""
+    import pyarrow.compute  # noqa: F401
+
+    for batch in batches:
+        place = batch.column(1).flatten().to_numpy()
+        doc_id, uid, there = (x.to_numpy() for x in batch.column(2).flatten().flatten())
+        row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+        by = np.lexsort((place, row))
+        place, doc_id, uid, there, row = place[by], doc_id[by], uid[by], there[by], row[by]
+        new = np.ones(len(by), bool)
+        new[1:] = (row[1:] != row[:-1]) | (uid[1:] != uid[:-1]) | (place[1:] != place[:-1] + 1) | (there[1:] != there[:-1] + 1)
+        head = np.flatnonzero(new)
+        n = np.diff(np.append(head, len(by)))
+        fields = [pa.array(place[head], pa.int32()), pa.array(n, pa.int32()), pa.array(doc_id[head]), pa.array(uid[head]), pa.array(there[head], pa.int32())]
+        ends = pa.array(np.searchsorted(row[head], np.arange(batch.num_rows + 1)), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, RUN.fieldNames()))], ["uid", "runs"])
 
 
 def _longest(own: list[dict], i: int, at: int, others: dict[int, list[dict]]) -> int:
@@ -237,15 +244,20 @@ def _by_row(df: DataFrame, func: Callable, name: str, kind: T.DataType) -> DataF
 
 
 def factors_of_hits(hits: DataFrame, window: int) -> DataFrame:
-    """uid and factors of every document with hits. References come along only where a factor may go on beyond an entry."""
-    runs = materialize(_by_row(hits.groupBy("uid").agg(F.collect_list("place"), F.collect_list("entry")), runs_of, "runs", T.ArrayType(RUN)), done_with=[hits])
-    end = lambda r: r["start"] + r["n"]
-    open_ = F.filter("runs", lambda r, i: F.coalesce(F.get("runs", i + 1)["start"] == end(r), F.lit(False)))
-    asked = runs.select("uid", F.explode(F.array_distinct(F.transform(open_, lambda r: r["uid"]))).alias("other"))
+    """uid and factors of every document with hits. Only where a run meets the next one do the references' runs come along."""
+    grouped = hits.groupBy("uid").agg(F.collect_list("place").alias("places"), F.collect_list("entry").alias("entries"))
+    kind = T.StructType([T.StructField("uid", T.LongType()), T.StructField("runs", T.ArrayType(RUN))])
+    runs = materialize(grouped.mapInArrow(runs_of, kind), done_with=[hits])
+    meets = F.filter("runs", lambda r, i: F.coalesce(F.get("runs", i + 1)["start"] == r["start"] + r["n"], F.lit(False)))
+    marked = runs.withColumn("open", F.array_distinct(F.transform(meets, lambda r: r["uid"])))
+    one = lambda r: F.struct(r["start"].alias("start"), (r["n"] + (window - 1)).alias("n_words"), r["doc_id"].alias("reference"), r["place"].alias("reference_start"))
+    alone = marked.where(F.size("open") == 0).select("uid", F.transform("runs", one).alias("factors"))
+    linked = marked.where(F.size("open") > 0)
+    asked = linked.select("uid", F.explode("open").alias("other"))
     theirs = runs.select(F.col("uid").alias("other"), F.col("runs").alias("theirs"))
     others = asked.join(theirs, "other").groupBy("uid").agg(F.collect_list(F.struct("other", "theirs")).alias("others"))
     made = lambda own, others: parse(own, {x["other"]: x["theirs"] for x in others or []}, window)
-    return _by_row(runs.join(others, "uid", "left"), made, "factors", T.ArrayType(FACTOR))
+    return alone.unionByName(_by_row(linked.select("uid", "runs").join(others, "uid", "left"), made, "factors", T.ArrayType(FACTOR)))
 
 
 def row_keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
