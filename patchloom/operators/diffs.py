@@ -59,20 +59,26 @@ class Counted:
         self.old = self.new = self.old_left = self.new_left = 0
 
     def take(self, line: str) -> None:
-        if hunk := HUNK.match(line):
+        kind = line[:1] or " "
+        if kind == "@" and (hunk := HUNK.match(line)):
             self.inside = True
             self.old, self.new = int(hunk[1]), int(hunk[3])
             self.old_left, self.new_left = (int(x) if x is not None else 1 for x in (hunk[2], hunk[4]))
-        elif self.inside:
-            kind = line[:1] or " "
-            if kind == "+":
-                self.added.append(self.new)
-            elif kind == "-":
-                self.removed.append(self.old)
-            if kind in " +":
-                self.new, self.new_left = self.new + 1, self.new_left - 1
-            if kind in " -":
-                self.old, self.old_left = self.old + 1, self.old_left - 1
+        elif not self.inside:
+            return
+        elif kind == "+":
+            self.added.append(self.new)
+            self.new += 1
+            self.new_left -= 1
+        elif kind == "-":
+            self.removed.append(self.old)
+            self.old += 1
+            self.old_left -= 1
+        elif kind == " ":
+            self.new += 1
+            self.new_left -= 1
+            self.old += 1
+            self.old_left -= 1
 
     def row(self) -> tuple[list[int], list[int], list[dict]]:
         added: list[int] = sorted(set(self.added))
@@ -135,22 +141,22 @@ def _files(diff: str | None) -> Iterable[dict]:
             found[path] = {"path": path, "status": status, "added_lines": added, "removed_lines": removed, "added_ranges": ranges}
 
     for i, line in enumerate(lines):
-        pair = line.startswith("--- ") and i + 1 < len(lines) and lines[i + 1].startswith("+++ ")
-        body = counted is not None and counted.inside and (git or (counted.old_left > 0 and counted.new_left > 0))
-        if line.startswith("diff --git "):
+        kind = line[:1]
+        if kind == "d" and line.startswith("diff --git "):
             close()
             names = GIT.match(line)
             git, counted, old, new = True, Counted(), names and names[1], names and names[2]
-        elif pair and not body and not (git and counted is not None and not counted.inside):
+        elif kind == "-" and not git and line.startswith("--- ") and i + 1 < len(lines) and lines[i + 1].startswith("+++ ") and not (counted is not None and counted.inside and counted.old_left > 0 and counted.new_left > 0):
             close()
             counted, old, new = Counted(), _name(line, "a/"), _name(lines[i + 1], "b/")
-        elif counted is not None:
-            if not counted.inside and line.startswith("--- "):
-                old = _name(line, "a/")
-            elif not counted.inside and line.startswith("+++ "):
-                new = _name(line, "b/")
-            else:
-                counted.take(line)
+        elif counted is None:
+            continue
+        elif kind == "-" and not counted.inside and line.startswith("--- "):
+            old = _name(line, "a/")
+        elif kind == "+" and not counted.inside and line.startswith("+++ "):
+            new = _name(line, "b/")
+        else:
+            counted.take(line)
     close()
     return list(found.values())
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.text import is_validation, tokenize_code
-from ..tables import append_columns, materialize
+from ..tables import materialize
 
 # Fixed values.
 K1, B = 1.5, 0.75
@@ -33,13 +34,23 @@ def exclude_files(chunks: DataFrame, changed: DataFrame, keys: list[str]) -> Dat
 
 def forward_index(chunks: DataFrame) -> DataFrame:
     """(repository_id, chunk_id, file_path, len, terms): the tokens of each chunk counted in its row, without a shuffle."""
-
-    def count(lists: list[list[str] | None]) -> list[list]:
-        counted = [Counter(x or []) for x in lists]
-        return [[c.total() for c in counted], [[{"term": t, "tf": n} for t, n in c.items()] for c in counted]]
-
-    tokens = chunks.select("repository_id", F.col("id").alias("chunk_id"), "file_path", tokenize_code(F.col("content")).alias("t"))
-    return append_columns(tokens, "t", "len int, terms array<struct<term:string,tf:bigint>>", count).drop("t")
+    tokens = chunks.select("repository_id", F.col("id").alias("chunk_id"), "file_path", F.coalesce(tokenize_code(F.col("content")), F.array().cast("array<string>")).alias("t"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
+
+        for batch in batches:
+            sizes = pa.compute.list_value_length(batch.column(3))
+            coded = batch.column(3).flatten().dictionary_encode()
+            k = max(1, len(coded.dictionary))
+            row = np.repeat(np.arange(batch.num_rows), sizes.to_numpy(zero_copy_only=False))
+            pair, tf = np.unique(row * k + coded.indices.to_numpy(), return_counts=True)
+            terms = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pair % k)), pa.array(tf, pa.int64())], ["term", "tf"])
+            ends = pa.array(np.searchsorted(pair, np.arange(batch.num_rows + 1) * k), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sizes.cast(pa.int32()), pa.ListArray.from_arrays(ends, terms)], ["repository_id", "chunk_id", "file_path", "len", "terms"])
+
+    schema = T.StructType(tokens.schema.fields[:3]).add("len", T.IntegerType()).add("terms", T._parse_datatype_string("array<struct<term:string,tf:bigint>>"))
+    return tokens.mapInArrow(count, schema)
 
 
 def inverted_index(chunks: DataFrame) -> DataFrame:

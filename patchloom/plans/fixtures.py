@@ -39,13 +39,9 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         CAST(floor(l_quantity) AS int) AS start_line, CAST(floor(l_quantity) AS int) + 2 AS end_line, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE 'warning' END AS severity, ' see line ' || l_linenumber || ' ' AS message FROM {lineitem} WHERE l_returnflag = 'R'""",
     # hunks with up to 3 context, 2 removed and 4 added lines, some of them written like file headers; a second one for even numbers
     "patch_parts": """SELECT review_id * 10 + n AS file_id, n, CAST(floor(q) AS int) AS o, CAST(pk % 4 AS int) AS a, CAST(sk % 5 AS int) AS b, CAST(pk % 3 AS int) AS c, CAST(CASE WHEN sk % 7 = 0 THEN 1 ELSE 0 END AS int) AS p FROM {raw_findings}""",
-    "patches": """SELECT file_id, CASE WHEN file_id % 23 <> 0 THEN '@@ -' || o || ',' || (a + c + p + 1) || ' +' || (o + 2) || ',' || (a + b + p + 1) || ' @@ def f' || chr(10) || repeat(' ctx' || chr(10), a) || repeat('-old' || chr(10), c) || repeat('--- old note' || chr(10), p)
+    "patches": """SELECT file_id, a, b, c, CASE WHEN file_id % 23 <> 0 THEN '@@ -' || o || ',' || (a + c + p + 1) || ' +' || (o + 2) || ',' || (a + b + p + 1) || ' @@ def f' || chr(10) || repeat(' ctx' || chr(10), a) || repeat('-old' || chr(10), c) || repeat('--- old note' || chr(10), p)
         || repeat('+++ counter;' || chr(10), p) || repeat('+new' || chr(10), b) || chr(10) || CASE WHEN a = 2 THEN '\\ No newline at end of file' || chr(10) ELSE '' END
         || CASE WHEN n % 2 = 0 THEN '@@ -' || (o + 40) || ' +' || (o + 50) || ',2 @@' || chr(10) || '-cut' || chr(10) || '+tail' || chr(10) || '+end ' || file_id || chr(10) ELSE '' END END AS patch FROM {patch_parts}""",
-    "diff_pieces": """SELECT file_id, 0 AS pos, 'one.py' AS path, 'modified' AS status, 'diff --git a/one.py b/one.py' || chr(10) || 'index 1..2 100644' || chr(10) || '--- a/one.py' || chr(10) || '+++ b/one.py' || chr(10) AS head, coalesce(patch, '') AS patch FROM {patches}
-        UNION ALL SELECT file_id, 1, 'new' || (file_id % 3) || '.py', 'added', 'diff --git a/new' || (file_id % 3) || '.py b/new' || (file_id % 3) || '.py' || chr(10) || 'new file mode 100644' || chr(10) || '--- /dev/null' || chr(10) || '+++ b/new' || (file_id % 3) || '.py' || chr(10), '@@ -0,0 +1,' || b || ' @@' || chr(10) || repeat('+a' || chr(10), b) FROM {patch_parts} WHERE b > 0
-        UNION ALL SELECT file_id, 2, 'gone.py', 'removed', 'diff --git a/gone.py b/gone.py' || chr(10) || '--- a/gone.py' || chr(10) || '+++ /dev/null' || chr(10), '@@ -1,' || (a + 1) || ' +0,0 @@' || chr(10) || repeat('-a' || chr(10), a + 1) FROM {patch_parts}
-        UNION ALL SELECT file_id, 3, 'moved.py', 'renamed', 'diff --git a/old.py b/moved.py' || chr(10) || 'rename from old.py' || chr(10) || 'rename to moved.py' || chr(10) || CASE WHEN c > 0 THEN '--- a/old.py' || chr(10) || '+++ b/moved.py' || chr(10) ELSE '' END, CASE WHEN c > 0 THEN '@@ -' || (5 + a) || ' +' || (5 + a) || ' @@' || chr(10) || '-a' || chr(10) || '+b' || chr(10) ELSE '' END FROM {patch_parts}""",
     "stored_pulls": """SELECT o_custkey % 20 AS repository_id, o_orderkey AS number, 'old ' || o_orderkey AS title, CASE o_orderstatus WHEN 'F' THEN 'closed' ELSE 'open' END AS state, 'sha' || o_orderkey AS head_sha,
         CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderdate END AS github_updated_at, CASE o_orderkey % 3 WHEN 0 THEN 'sha' || o_orderkey WHEN 1 THEN 'stale' ELSE NULL END AS last_reviewed_sha, 'kept ' || o_custkey AS description FROM {orders}""",
     "live_pulls": """SELECT o_custkey % 20 AS repository_id, CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey + 10000000 ELSE o_orderkey END AS number, 'new ' || o_orderkey AS title, 'open' AS state, 'head' || o_orderkey AS head_sha, o_orderdate AS github_updated_at
@@ -57,6 +53,18 @@ VIEWS: dict[str, str | tuple[str, str]] = {
 }
 
 
+_NL = "chr(10)"
+#: The files of a whole diff made of each patch: place, path, status, header, hunks and condition.
+PIECES = [
+    (0, "'one.py'", "modified", f"'diff --git a/one.py b/one.py' || {_NL} || 'index 1..2 100644' || {_NL} || '--- a/one.py' || {_NL} || '+++ b/one.py' || {_NL}", "coalesce(patch, '')", "true"),
+    (1, "'new' || (file_id % 3) || '.py'", "added", f"'diff --git a/new' || (file_id % 3) || '.py b/new' || (file_id % 3) || '.py' || {_NL} || 'new file mode 100644' || {_NL} || '--- /dev/null' || {_NL} || '+++ b/new' || (file_id % 3) || '.py' || {_NL}", f"'@@ -0,0 +1,' || b || ' @@' || {_NL} || repeat('+a' || {_NL}, b)", "b > 0"),
+    (2, "'gone.py'", "removed", f"'diff --git a/gone.py b/gone.py' || {_NL} || '--- a/gone.py' || {_NL} || '+++ /dev/null' || {_NL}", f"'@@ -1,' || (a + 1) || ' +0,0 @@' || {_NL} || repeat('-a' || {_NL}, a + 1)", "true"),
+    (3, "'moved.py'", "renamed", f"'diff --git a/old.py b/moved.py' || {_NL} || 'rename from old.py' || {_NL} || 'rename to moved.py' || {_NL} || CASE WHEN c > 0 THEN '--- a/old.py' || {_NL} || '+++ b/moved.py' || {_NL} ELSE '' END", f"CASE WHEN c > 0 THEN '@@ -' || (5 + a) || ' +' || (5 + a) || ' @@' || {_NL} || '-a' || {_NL} || '+b' || {_NL} ELSE '' END", "true"),
+]
+VIEWS["diff_pieces"] = " UNION ALL ".join(f"SELECT file_id, {pos} AS pos, {path} AS path, '{status}' AS status, {patch} AS patch FROM {{patches}} WHERE {when}" for pos, path, status, _, patch, when in PIECES)
+VIEWS["whole_diffs"] = "SELECT file_id, " + " || ".join(f"CASE WHEN {when} THEN {head} || {patch} ELSE '' END" for *_, head, patch, when in PIECES) + " AS diff FROM {patches}"
+
+
 def _sql(name: str, dialect: int) -> str:
     return VIEWS[name] if isinstance(VIEWS[name], str) else VIEWS[name][dialect]
 

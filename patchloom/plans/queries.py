@@ -185,9 +185,7 @@ def parse_file_patches(t: Tables) -> DataFrame:
 @query(f"""WITH p AS (SELECT file_id || ' ' || pos AS key, patch FROM {{diff_pieces}}), {_PLACED}, {_LISTED}
     SELECT file_id, path, status, coalesce(added, '') AS added, coalesce(removed, '') AS removed, coalesce(ranges, '') AS ranges FROM {{diff_pieces}} f LEFT JOIN listed ON listed.key = file_id || ' ' || pos LEFT JOIN spans ON spans.key = file_id || ' ' || pos""")
 def parse_unified_diffs(t: Tables) -> DataFrame:
-    pieces = t.diff_pieces.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat("head", "patch").alias("text")))).alias("pieces"))
-    whole = pieces.select("file_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("diff"))
-    return diffs.parse_unified_diffs(whole, ["file_id"]).select("file_id", "path", "status", _listed("added_lines"), _listed("removed_lines"), _spans())
+    return diffs.parse_unified_diffs(t.whole_diffs, ["file_id"]).select("file_id", "path", "status", _listed("added_lines"), _listed("removed_lines"), _spans())
 
 
 @query(f"""WITH p AS (SELECT file_id AS key, patch FROM {{patches}}), {_PLACED}, {_LISTED}
@@ -269,9 +267,10 @@ def chunk_files(t: Tables) -> DataFrame:
 def _changed_sources(t: Tables) -> DataFrame:
     """Changed files over the made sources, ten to a review: one line is new; a fifth of the files have no source."""
     rows = _sources(t).select("doc_id", F.col("file_path").alias("filename"), F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("source"))
-    parsed = symbols.parse_symbols(rows.withColumn("review_id", F.floor(F.col("doc_id") / 10)))
+    rows = rows.withColumn("review_id", F.floor(F.col("doc_id") / 10))
+    parsed = symbols.parse_symbols(rows)
     at = (12 + F.col("doc_id") % 20).cast("string")
-    files = parsed.select("review_id", F.col("doc_id").alias("file_pos"), "filename", F.concat(F.lit("@@ -11 +"), at, F.lit(" @@\n+new "), F.col("doc_id").cast("string")).alias("patch"))
+    files = rows.select("review_id", F.col("doc_id").alias("file_pos"), "filename", F.concat(F.lit("@@ -11 +"), at, F.lit(" @@\n+new "), F.col("doc_id").cast("string")).alias("patch"))
     return reviews.changed_file_rows(files, parsed)
 
 
