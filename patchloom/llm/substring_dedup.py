@@ -166,6 +166,13 @@ def index_hits(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
     return materialize(asks.join(index, ["phrase", "anchor"]).where("entry.doc_id < doc_id").select("uid", "place", "entry"), done_with=[index])
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, as their lists may be long."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 RUN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("uid", T.LongType()), T.StructField("place", T.IntegerType())])
 
 
@@ -173,7 +180,7 @@ def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(uid, places, entries) -> (uid, runs): phrases in a row whose entries are in a row as well, joined to the first, their number, and the first entry."""
     import pyarrow.compute  # noqa: F401
 
-    for batch in batches:
+    for batch in _parts(batches, 1000):
         place = batch.column(1).flatten().to_numpy()
         doc_id, uid, there = (x.to_numpy() for x in batch.column(2).flatten().flatten())
         row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
@@ -236,7 +243,7 @@ def _by_row(df: DataFrame, func: Callable, name: str, kind: T.DataType) -> DataF
     from pyspark.sql.pandas.types import to_arrow_type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 64):
             made = [func(*x) for x in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, to_arrow_type(kind))], [batch.schema.names[0], name])
 
