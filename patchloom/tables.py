@@ -83,6 +83,6 @@ def append_columns(df: DataFrame, source: str, fields: str, func: Callable[[list
             for i in range(0, whole.num_rows, batch):
                 part = whole.slice(i, batch)
                 made = [pa.array(x, f.type) for x, f in zip(func(part.column(at).to_pylist()), list(arrow)[part.num_columns :], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=arrow.names)
 
     return df.mapInArrow(run, schema)
