@@ -99,7 +99,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fields: T.StructType, f
                 made = func(texts.slice(a, b - a).to_pylist())
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 columns += [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, list(arrow)[len(keep):], strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
 
     import pyarrow.compute  # noqa: F401  binary_length above
 

@@ -172,3 +172,20 @@ def test_no_documents(spark, folder, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     for name, query in registry.queries().items():
         assert query(spark, str(tmp_path)).count() == 0, name
+
+
+def test_columns_of_any_type_come_through(spark):
+    from patchloom.llm import decontaminate, mixing, quality_rules, simhash
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = [(i, " ".join(f"{x}{k}" for k in range(30)), "s") for i, x in enumerate("ab")]
+        extra = {"at": F.timestamp_seconds(F.lit(5)), "ntz": F.lit("2024-01-01").cast("timestamp_ntz"), "day": F.lit("2024-01-01").cast("date"), "m": F.create_map(F.lit("k"), F.lit(1)), "dec": F.lit("1.5").cast("decimal(9,2)")}
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns(extra)
+        items = spark.createDataFrame([(1, "none of these")], "item_id long, text string")
+        want = sorted(docs.collect(), key=lambda r: r["doc_id"])
+        for found in (simhash.keep_one(docs), quality_rules.keep_good(docs), decontaminate.remove_contaminated(docs, items), mixing.take_mix(docs)):
+            assert found.schema.simpleString() == docs.schema.simpleString() and sorted(found.collect(), key=lambda r: r["doc_id"]) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
