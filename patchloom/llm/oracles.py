@@ -115,10 +115,73 @@ SELECT doc_id, size, source_size, target, CAST((SELECT sum(greatest(0, least(siz
 FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
 """
 
+_EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+#: The least cost and audit of each state, row by row: a plain dynamic programme, up to two inserts before each row.
+OP11 = f"""
+WITH RECURSIVE bits(n, c, k) AS (SELECT i, CAST(i AS BIGINT), 0 FROM range(256) AS t(i)
+    UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+base AS (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), CAST(4294967295 AS BIGINT)) % 20 AS kind FROM conversations, crc),
+hurt AS (SELECT rid, conv_id, turn, copy, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM base, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS t(copy) WHERE kind <> 0),
+rows_ AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, rid, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, rid, copy) AS nth, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS last_char FROM hurt),
+marked AS (SELECT conv_id, turn, role, text, i, left(role, 1) AS c, left(lead(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS next_c, lead(i) OVER (PARTITION BY conv_id ORDER BY i) IS NOT NULL AS followed,
+    CASE WHEN last_char = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last_char NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM rows_),
+-- inserts before a row: from state, to state, count
+ins(q, to_q, n) AS (VALUES (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (1, 2, 1), (2, 3, 1), (3, 2, 1), (0, 3, 2), (1, 3, 2)),
+keep(q, c, to_q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+turns(q, role, to_q) AS (VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+edits AS (SELECT conv_id, i, q, 'D' AS e, 3 AS cost, q AS to_q, CAST(NULL AS VARCHAR) AS line FROM marked, (VALUES (0), (1), (2), (3)) AS s(q)
+    UNION ALL SELECT conv_id, i, q, 'K', CASE fault WHEN 'truncated' THEN 1 ELSE 0 END, to_q, role || ':' || text FROM marked JOIN keep USING (c) WHERE fault NOT IN ('blank', 'duplicate')
+    UNION ALL SELECT conv_id, i, q, 'R', 2 + CASE fault WHEN 'truncated' THEN 1 ELSE 0 END, to_q, turns.role || ':' || text FROM marked, turns WHERE fault NOT IN ('blank', 'duplicate')),
+spoken(q, n, said) AS (VALUES (0, 0, []), (1, 0, []), (2, 0, []), (3, 0, []), (0, 1, ['user:']), (1, 1, ['user:']), (3, 1, ['user:']), (2, 1, ['assistant:']), (0, 2, ['user:', 'assistant:']), (1, 2, ['user:', 'assistant:'])),
+walk(conv_id, i, q, cost, audit, said) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, 0, '', CAST([] AS VARCHAR[]) FROM marked
+    UNION ALL SELECT conv_id, i, q, cost, audit, said FROM (
+        SELECT w.conv_id, e.i, e.to_q AS q, w.cost + 2 * ins.n + e.cost AS cost, w.audit || repeat('I', ins.n) || e.e AS audit,
+            list_concat(w.said, list_concat(s.said, CASE WHEN e.line IS NULL THEN [] ELSE [e.line] END)) AS said
+        FROM walk w JOIN ins ON ins.q = w.q JOIN spoken s ON s.q = w.q AND s.n = ins.n JOIN edits e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.q = ins.to_q)
+    QUALIFY row_number() OVER (PARTITION BY conv_id, i, q ORDER BY cost, audit) = 1),
+counts AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (followed AND c || next_c NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id),
+ends AS (SELECT w.conv_id, w.cost + 2 * ins.n AS cost, w.audit || repeat('I', ins.n) AS audit, list_concat(w.said, s.said) AS said
+    FROM walk w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i JOIN ins ON ins.q = w.q AND ins.to_q IN (0, 3) JOIN spoken s ON s.q = w.q AND s.n = ins.n
+    QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + 2 * ins.n, w.audit || repeat('I', ins.n)) = 1),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+    CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+    coalesce(sha256(array_to_string(said, chr(10))), '{_EMPTY}') AS repaired_sha256
+FROM ids LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {TERMS} AS w FROM documents),
+t AS (SELECT rid, lang, source, term, count(*) AS n FROM (SELECT rid, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM t GROUP BY lang, term HAVING count(*) >= 30),
+vocabulary AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(n) AS total FROM kept GROUP BY lang),
+groups_ AS (SELECT DISTINCT lang, source FROM d),
+held AS (SELECT t.lang, t.source, term, CAST(sum(t.n) AS HUGEINT) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM held GROUP BY ALL),
+every AS (SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(h.n, 0) + 5)) // (coalesce(s.total, 0) + 5 * v.v) AS p,
+        1 + (CAST(1000000000 AS HUGEINT) * (k.n + 5)) // (v.total + 5 * v.v) AS lang_p
+    FROM groups_ g JOIN kept k USING (lang) JOIN vocabulary v USING (lang) LEFT JOIN totals s USING (lang, source) LEFT JOIN held h USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item FROM groups_ a JOIN groups_ b ON a.lang = b.lang AND a.source <> b.source),
+apart AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM every a JOIN every b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL)
+SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY coalesce(value, 0) DESC, item) AS INTEGER) AS rank FROM pairs LEFT JOIN apart USING (lang, source, item)
+UNION ALL
+SELECT lang, source, 'term', term, CAST(p - lang_p AS BIGINT), CAST(row_number() OVER (PARTITION BY lang, source ORDER BY p - lang_p DESC, term) AS INTEGER) AS rank FROM every WHERE n > 0 AND p > lang_p QUALIFY rank <= 50
+"""
+
 SQL: dict[str, str] = {
     "op1_benchmark_decontamination": OP1,
     "op3_host_quality_rules": OP3,
     "op7_license_templates": OP7,
     "op8_source_mix": OP8,
     "op10_relative_lz_dedup": OP10,
+    "op11_conversation_repair": OP11,
+    "op13_source_divergence": OP13,
 }
