@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,12 @@ def scratch(spark: SparkSession, kind: str = "tables") -> str:
 
 
 _recorded: ContextVar[list[str] | None] = ContextVar("recorded", default=None)
+#: Every folder that this process's materialize wrote and forget has not deleted, by its name without a scheme.
+_written: dict[str, str] = {}
+
+
+def _plain(folder: str) -> str:
+    return urlsplit(folder).path.rstrip("/")
 
 
 @contextmanager
@@ -51,6 +58,7 @@ def materialize(df: DataFrame, done_with: list[DataFrame] | None = None) -> Data
     """
     path = scratch(df.sparkSession)
     df.write.parquet(path)
+    _written[_plain(path)] = path
     if (made := _recorded.get()) is not None:
         made.append(path)
     for table in done_with or []:
@@ -64,10 +72,10 @@ def folders(table: DataFrame) -> set[str]:
 
 
 def forget(spark: SparkSession, paths: Iterable[str]) -> None:
-    """Deletes folders that materialize wrote; others stay."""
+    """Deletes those of the folders that this process's materialize wrote; all others stay, whatever they are called."""
     for folder in paths:
-        if "/tables/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if written := _written.pop(_plain(folder), None):
+            path = spark._jvm.org.apache.hadoop.fs.Path(written)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
