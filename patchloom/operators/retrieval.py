@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,9 @@ from pyspark.sql import Window as W
 from ..functions.text import is_validation, tokenize_code
 from ..tables import materialize
 
+if TYPE_CHECKING:
+    from .lexical_index import LexicalIndex
+
 # Fixed values.
 K1, B = 1.5, 0.75
 RRF_OFFSET = 60
@@ -32,24 +36,25 @@ def exclude_files(chunks: DataFrame, changed: DataFrame, keys: list[str]) -> Dat
     return chunks.join(changed.select(*keys).distinct(), keys, "left_anti")
 
 
-def forward_index(chunks: DataFrame) -> DataFrame:
-    """(repository_id, chunk_id, file_path, len, terms): the tokens of each chunk counted in its row, without a shuffle."""
-    tokens = chunks.select("repository_id", F.col("id").alias("chunk_id"), "file_path", F.coalesce(tokenize_code(F.col("content")), F.array().cast("array<string>")).alias("t"))
+def forward_index(chunks: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(repository_id, chunk_id, file_path, carried columns, len, terms): the tokens of each chunk counted in its row, without a shuffle."""
+    tokens = chunks.select("repository_id", F.col("id").alias("chunk_id"), "file_path", *carry, F.coalesce(tokenize_code(F.col("content")), F.array().cast("array<string>")).alias("t"))
+    names, at = [*tokens.columns[:-1], "len", "terms"], len(tokens.columns) - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
         for batch in batches:
-            sizes = pa.compute.list_value_length(batch.column(3))
-            coded = batch.column(3).flatten().dictionary_encode()
+            sizes = pa.compute.list_value_length(batch.column(at))
+            coded = batch.column(at).flatten().dictionary_encode()
             k = max(1, len(coded.dictionary))
             row = np.repeat(np.arange(batch.num_rows), sizes.to_numpy(zero_copy_only=False))
             pair, tf = np.unique(row * k + coded.indices.to_numpy(), return_counts=True)
             terms = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pair % k)), pa.array(tf, pa.int64())], ["term", "tf"])
             ends = pa.array(np.searchsorted(pair, np.arange(batch.num_rows + 1) * k), pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sizes.cast(pa.int32()), pa.ListArray.from_arrays(ends, terms)], ["repository_id", "chunk_id", "file_path", "len", "terms"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], sizes.cast(pa.int32()), pa.ListArray.from_arrays(ends, terms)], names)
 
-    schema = T.StructType(tokens.schema.fields[:3]).add("len", T.IntegerType()).add("terms", T._parse_datatype_string("array<struct<term:string,tf:bigint>>"))
+    schema = T.StructType(tokens.schema.fields[:at]).add("len", T.IntegerType()).add("terms", T._parse_datatype_string("array<struct<term:string,tf:bigint>>"))
     return tokens.mapInArrow(count, schema)
 
 
@@ -212,10 +217,13 @@ def usable_queries(queries: DataFrame) -> DataFrame:
     return cut.withColumn("nth", F.row_number().over(W.partitionBy("review_id").orderBy("seq"))).where(F.col("nth") <= MAX_QUERIES).drop("nth")
 
 
-def retrieve_context(chunks: DataFrame, queries: DataFrame, changed: DataFrame | None = None, k: int = TOP_K) -> DataFrame:
-    """(review_id, chunk_id, score, distance, rank): both searches, fused, re-ranked and cut to k for each review."""
+def retrieve_context(chunks: DataFrame, queries: DataFrame, changed: DataFrame | None = None, k: int = TOP_K, index: LexicalIndex | None = None) -> DataFrame:
+    """(review_id, chunk_id, score, distance, rank): both searches, fused, re-ranked and cut to k for each review.
+
+    With a stored lexical index of the same chunks, that one is searched, and no chunk is tokenized.
+    """
     used, fetch = usable_queries(queries), max(k, LEAST_FETCH)
     semantic = ranked(best_per_chunk(cosine_topk(chunks, used.where("vector is not null"), fetch, changed), "distance"), "distance")
-    lexical = top_per_query(bm25_scores(chunks, used, changed), "score", fetch, largest=True)
+    lexical = index.search(used, fetch, changed).hits if index else top_per_query(bm25_scores(chunks, used, changed), "score", fetch, largest=True)
     lexical = ranked(best_per_chunk(lexical, "score", largest=True), "score", largest=True)
     return final_topk(domain_rerank(rrf_fuse(semantic, lexical), chunks), k)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import findings as ff
 from ..functions import text as ft
 from ..operators import bookkeeping, diffs, indexing, prompts, retrieval, reviews, symbols, verify
+from ..operators.lexical_index import LexicalIndex
 from ..sources import raw, writers
 from ..streaming import lifecycle
 from ..tables import scratch
@@ -375,6 +376,32 @@ def bm25_scores(t: Tables) -> DataFrame:
     return retrieval.bm25_scores(t.chunks, t.query_sets, t.excluded).withColumn("score", F.round("score", 6))
 
 
+#: Chunks whose content changes before the last refresh, and those that come with the first one only, or with a later one.
+_STAGES = [("id % 7 <> 3 AND repository_id % 5 <> 4", "'early ' || content"), ("id % 3 <> 1", "content"), ("id % 11 <> 2", "CASE WHEN id % 13 = 0 THEN 'draft' ELSE content END"), ("true", "content")]
+
+
+def _indexed(t: Tables) -> LexicalIndex:
+    """An index after three refreshes, the last of which covers every other repository that the one before left different."""
+    index = LexicalIndex(t.spark, scratch(t.spark, "lexical"))
+    for where, content in _STAGES:
+        index.refresh(t.chunks.where(where).withColumn("content", F.expr(content)), t.chunks.select("repository_id"))
+    return index
+
+
+@query(f"WITH {_INDEX} SELECT repository_id, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum(id % 1000) AS BIGINT) AS ids FROM idx GROUP BY ALL")
+def refresh_lexical_index(t: Tables) -> DataFrame:
+    index = _indexed(t)
+    held = index.postings().groupBy("repository_id", "term").agg(F.sum("tf").alias("tf"), F.sum(F.col("chunk_id") % 1000).alias("ids"))
+    return index.document_frequency().join(held, ["repository_id", "term"])
+
+
+@query(f"WITH {_BM25}, lex AS (SELECT *, row_number() OVER (PARTITION BY review_id, seq ORDER BY score DESC, chunk_id) AS nth FROM scores) SELECT review_id, seq, chunk_id, round(score, 6) AS score FROM lex WHERE nth <= 8")
+def search_lexical_index(t: Tables) -> DataFrame:
+    index = LexicalIndex(t.spark, scratch(t.spark, "lexical"))
+    index.refresh(t.chunks)
+    return index.search(t.query_sets, 8, t.excluded).hits.withColumn("score", F.round("score", 6))
+
+
 _COSINE = """dots AS (SELECT q.review_id, q.seq, c.id AS chunk_id, c.file_path, round(1 - list_sum(list_transform(list_zip(q.vector, c.vector), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))
     / (sqrt(list_sum(list_transform(q.vector, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(c.vector, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 9) AS distance
     FROM {vector_queries} q JOIN {vector_chunks} c USING (repository_id) WHERE c.vector IS NOT NULL)"""
@@ -711,6 +738,21 @@ def replace_chunks(t: Tables) -> DataFrame:
     return writers.read_chunks(t.spark, path).groupBy("repository_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT repository_id, 'old' AS version, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM {chunks} GROUP BY repository_id
+    UNION ALL SELECT repository_id, v, count(*), CAST(sum(id) AS BIGINT) FROM {chunks}, (VALUES ('new'), ('compacted')) AS t(v) WHERE repository_id % 4 > 1 OR repository_id % 4 = 0 AND id % 2 = 0 GROUP BY ALL""")
+def chunk_versions(t: Tables) -> DataFrame:
+    # a reader of the old version, and of the new one before and after compaction; a run that was never committed shows nowhere
+    path = scratch(t.spark, "chunks")
+    chunks = t.chunks.select("repository_id", "file_path", "id")
+    store = writers.chunk_store(t.spark, path)
+    old = store.read("chunks", writers.replace_chunks(chunks, chunks, path))
+    store.write("chunks", chunks.withColumn("id", -F.col("id")), chunks)
+    new = store.read("chunks", writers.replace_chunks(chunks.where("repository_id % 4 = 0 and id % 2 = 0"), chunks.where("repository_id % 4 < 2"), path))
+    store.compact("chunks")
+    seen = [df.withColumn("version", F.lit(v)) for df, v in ((old, "old"), (new, "new"), (store.read("chunks"), "compacted"))]
+    return seen[0].unionByName(seen[1]).unionByName(seen[2]).groupBy("repository_id", "version").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
 @query("SELECT id, status, run FROM (SELECT *, CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS run FROM {reviews}) x")
 def append_results(t: Tables) -> DataFrame:
     root = scratch(t.spark, "results")

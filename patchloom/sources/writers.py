@@ -1,27 +1,29 @@
-"""Writers of result tables: chunk sets replaced by repository, results added by run, states updated."""
+"""Writers of result tables: chunk sets replaced by repository and version, results added by run, states updated."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import Store
 
-def replace_chunks(chunks: DataFrame, repositories: DataFrame, path: str) -> None:
-    """Replaces the chunks of the given repositories in the table at `path`, also by none; no other partition is touched.
 
-    The table has a partition for each repository, and only those of this run are overwritten. A repository without
-    chunks leaves a row of nulls, which read_chunks leaves out.
+def chunk_store(spark: SparkSession, path: str) -> Store:
+    """The versions of the chunk table at `path`."""
+    return Store(spark, path, {"chunks": ["repository_id"]})
+
+
+def replace_chunks(chunks: DataFrame, repositories: DataFrame, path: str) -> int:
+    """Replaces the chunks of the given repositories, also by none, in one step; other repositories are not touched.
+
+    The new version's number. A reader sees all of the old set or all of the new one, and a run that dies leaves the old.
     """
-    done = repositories.select("repository_id").distinct()
-    new = chunks.join(done, "repository_id", "left_semi").withColumn("is_chunk", F.lit(True))
-    none = done.join(chunks.select("repository_id").distinct(), "repository_id", "left_anti")
-    table = new.unionByName(none.withColumn("is_chunk", F.lit(False)), allowMissingColumns=True)
-    dealt = table.repartition("repository_id", "file_path")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(path)
+    return chunk_store(chunks.sparkSession, path).replace("chunks", chunks, repositories, order=("repository_id", "file_path"))
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).where("is_chunk").drop("is_chunk")
+def read_chunks(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The chunks of a version, the latest one by default; what is committed later doesn't change the DataFrame."""
+    return chunk_store(spark, path).read("chunks", version)
 
 
 def finish_reviews(reviews: DataFrame, findings: DataFrame, summaries: DataFrame, completed_at) -> DataFrame:
