@@ -44,37 +44,37 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return shard_documents(docs, carry=("source", "lang"))
 
 
-#: What a stage wrote on its way, by input folder and the stage's number.
-_left: dict[tuple[str, int], list[str]] = {}
+#: Metadata of a result's doc_id, kept by Parquet: the folders that its stage wrote on its way.
+LEFT = "folders_left_by_the_stage"
 
 
-def _staged(number: int, stage: Callable[..., DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage; when it begins, the tables that the stage before wrote on its way are deleted, unless docs still reads them."""
+def _staged(stage: Callable[..., DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage; when it begins, what the stage before wrote on its way is deleted, unless docs still reads it.
+
+    The list of these folders comes with docs itself, so runs side by side, over one folder or several, don't meet.
+    """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if left := _left.pop((sf_dir, number - 1), []):
+        if left := docs.schema["doc_id"].metadata.get(LEFT):
             read = {f.rsplit("/", 1)[-1] for f in folders(docs)}
             forget(spark, [p for p in left if p.rsplit("/", 1)[-1] not in read])
         with recording() as made:
             found = stage(spark, docs, sf_dir)
-        _left[sf_dir, number] = made
-        return found
+        return found.withMetadata("doc_id", {LEFT: made})
 
     run_stage.__doc__ = stage.__doc__
     return run_stage
 
 
 STAGES = [
-    (name, _staged(i, stage))
-    for i, (name, stage) in enumerate(
-        [
-            ("quality_rules", quality_stage),
-            ("near_duplicates", near_duplicate_stage),
-            ("decontamination", decontamination_stage),
-            ("mixing", mixing_stage),
-            ("sharding", sharding_stage),
-        ]
-    )
+    (name, _staged(stage))
+    for name, stage in [
+        ("quality_rules", quality_stage),
+        ("near_duplicates", near_duplicate_stage),
+        ("decontamination", decontamination_stage),
+        ("mixing", mixing_stage),
+        ("sharding", sharding_stage),
+    ]
 ]
 
 #: Fingerprints (XXH64) and the label rounds can't be written in DuckDB SQL; tests compare with brute force.
