@@ -1,7 +1,7 @@
 """Python symbols and chunks. A small Arrow helper parses each file once; all else works on the array that it returns.
 
-Parsing is the standard library's: a file with syntax errors has no symbols, and its chunk is the whole file. Of two
-top-level classes of one name, the first one's functions are the class's; a second one is one chunk, however long.
+Parsing is the standard library's; a file with syntax errors keeps the definitions that a scanner of its lines finds round
+them (recovery.py), and one without any is one chunk. Of two top-level classes of one name, the first one's functions are the class's; a second one is one chunk, however long.
 """
 
 from __future__ import annotations
@@ -10,25 +10,29 @@ import ast
 import io
 import keyword
 import tokenize
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, is_test_path, slice_lines, split_lines
 from ..tables import append_columns
+from .recovery import recovered_symbols, recovered_words
 
 SYMBOLS = "array<struct<seq:int,name:string,kind:string,start_line:int,end_line:int,parent:string,qualified_name:string,top_level:boolean,member_of:string>>"
 LARGE_CLASS_LINES = 80
 
 
 def _symbols(source: str | None) -> list[dict] | None:
-    """Functions and classes in source order, each with its innermost class; None if the source can't be parsed."""
+    """Functions and classes in source order, each with its innermost class; None for null."""
     if source is None:
         return None
     try:
-        tree = ast.parse(source)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return None
+        return recovered_symbols(source)
     out: list[dict] = []
     classes: set[str] = set()
     open_ = [(child, None, True, None) for child in reversed(tree.body)]
@@ -56,13 +60,15 @@ def _identifiers(source: str | None) -> list[str]:
             if token.type == tokenize.NAME and not keyword.iskeyword(token.string):
                 found[token.string] = None
     except (tokenize.TokenError, SyntaxError, IndentationError):
-        pass
+        found |= dict.fromkeys(w for w in recovered_words(source or "") if not keyword.iskeyword(w))
     return list(found)
 
 
-def parse_symbols(files: DataFrame, source: str = "source") -> DataFrame:
-    """files with `symbols` (null if the source is null or broken) and `identifiers`."""
-    return append_columns(files, source, f"symbols {SYMBOLS}, identifiers array<string>", lambda sources: [[f(s) for s in sources] for f in (_symbols, _identifiers)])
+def parse_symbols(files: DataFrame, source: str = "source", identifiers: bool = False) -> DataFrame:
+    """files with `symbols` (null if the source is null) and, if asked for, `identifiers`, which take another pass."""
+    made = {"symbols": (SYMBOLS, _symbols)} | ({"identifiers": ("array<string>", _identifiers)} if identifiers else {})
+    fields = ", ".join(f"{name} {kind}" for name, (kind, _) in made.items())
+    return append_columns(files, source, fields, lambda sources: [[f(s) for s in sources] for _, f in made.values()])
 
 
 def top_level_symbols(symbols: Column) -> Column:
@@ -86,7 +92,7 @@ def enclosing_symbols(symbols: Column, ranges: Column) -> Column:
 def chunk_files(parsed: DataFrame, path: str = "file_path", source: str = "source") -> DataFrame:
     """Chunks of parsed files: module header, functions, classes; large classes as context and methods.
 
-    A file without text gives none; one that can't be parsed, or gives nothing else, is one module chunk.
+    A file without text gives none; one without symbols is one module chunk.
     """
     ints = lambda *x: [c.cast("int") for c in x]
     span = lambda kind, name, start, end: F.struct(kind.alias("chunk_type"), name.alias("symbol_name"), *[c.alias(n) for c, n in zip(ints(start, end), ("start_line", "end_line"), strict=True)])

@@ -199,7 +199,8 @@ def changed_file_rows(t: Tables) -> DataFrame:
 
 
 # Symbols and chunks: a source is made from each document, so that its symbols are known. Each line of the text is in a
-# function of one class; every fourth of these holds a function of its own, every 13th document can't be parsed.
+# function of one class; every fourth of these holds a function of its own. Every 13th document can't be parsed: by turns, a
+# statement of another language version stands between function and class, or there is one header whose bracket doesn't close.
 
 
 def _sources(t: Tables) -> DataFrame:
@@ -211,20 +212,22 @@ def _sources(t: Tables) -> DataFrame:
         return F.concat(F.lit("    def m"), j.cast("string"), F.lit("(self):\n        # "), line, F.lit("\n"), inner, F.lit("        return "), j.cast("string"), F.lit("\n"))
 
     deco = F.when(F.col("doc_id") % 3 == 0, F.lit("@cache\n")).otherwise(F.lit(""))
-    head = F.concat(F.lit("import os\n\npick = lambda x: x if x else None\n"), deco, F.lit("def fn_"), i, F.lit("(a):\n    return a if a else os\n\n\nclass C_"), i, F.lit(":\n    x = 1\n\n"))
+    wrong = F.when(F.col("doc_id") % 26 == 13, F.lit("print 'old', fn)\n")).otherwise(F.lit(""))
+    head = F.concat(F.lit("import os\n\npick = lambda x: x if x else None\n"), deco, F.lit("def fn_"), i, F.lit("(a):\n    return a if a else os\n"), wrong, F.lit("\n\nclass C_"), i, F.lit(":\n    x = 1\n\n"))
     body = F.concat(head, F.array_join(F.transform(lines, method), ""))
     broken = F.concat(F.lit("def broken(:\n    pass\n# "), F.array_join(lines, "\n# "))
-    return t.documents.select("doc_id", F.concat(F.lit("pkg/mod_"), i, F.lit(".py")).alias("file_path"), F.when(F.col("doc_id") % 13 == 0, broken).otherwise(body).alias("source"))
+    return t.documents.select("doc_id", F.concat(F.lit("pkg/mod_"), i, F.lit(".py")).alias("file_path"), F.when(F.col("doc_id") % 26 == 0, broken).otherwise(body).alias("source"))
 
 
 #: The same sources, and their symbols from line counts alone, as common tables.
-_SOURCES = r"""docs AS (SELECT doc_id, doc_id % 13 = 0 AS broken, CAST(doc_id % 3 = 0 AS INT) AS d, string_split(regexp_replace(text, '[^ -~\n]', '_', 'g'), chr(10)) AS ls FROM documents),
+_SOURCES = r"""docs AS (SELECT doc_id, doc_id % 26 = 0 AS broken, CAST(doc_id % 3 = 0 AS INT) AS d, CAST(doc_id % 26 = 13 AS INT) AS w, string_split(regexp_replace(text, '[^ -~\n]', '_', 'g'), chr(10)) AS ls FROM documents),
     sources AS (SELECT *, CASE WHEN broken THEN 'def broken(:' || chr(10) || '    pass' || chr(10) || '# ' || array_to_string(ls, chr(10) || '# ') ELSE 'import os' || chr(10) || chr(10) || 'pick = lambda x: x if x else None' || chr(10) || CASE WHEN d = 1 THEN '@cache' || chr(10) ELSE '' END
-        || 'def fn_' || doc_id || '(a):' || chr(10) || '    return a if a else os' || chr(10) || chr(10) || chr(10) || 'class C_' || doc_id || ':' || chr(10) || '    x = 1' || chr(10) || chr(10)
+        || 'def fn_' || doc_id || '(a):' || chr(10) || '    return a if a else os' || chr(10) || CASE WHEN w = 1 THEN 'print ''old'', fn)' || chr(10) ELSE '' END || chr(10) || chr(10) || 'class C_' || doc_id || ':' || chr(10) || '    x = 1' || chr(10) || chr(10)
         || array_to_string(list_transform(ls, lambda l, k: '    def m' || (k - 1) || '(self):' || chr(10) || '        # ' || l || chr(10) || CASE WHEN k % 4 = 0 THEN '        def inner(y):' || chr(10) || '            return y' || chr(10) ELSE '' END || '        return ' || (k - 1) || chr(10)), '') END AS source FROM docs),
-    members AS (SELECT doc_id, d, j, 11 + d + 3 * j + 2 * (j // 4) AS s, 13 + d + 3 * j + 2 * (j // 4) + CASE WHEN j % 4 = 3 THEN 2 ELSE 0 END AS e FROM docs, unnest(range(len(ls))) AS t(j) WHERE NOT broken),
+    members AS (SELECT doc_id, j, 11 + d + w + 3 * j + 2 * (j // 4) AS s, 13 + d + w + 3 * j + 2 * (j // 4) + CASE WHEN j % 4 = 3 THEN 2 ELSE 0 END AS e FROM docs, unnest(range(len(ls))) AS t(j) WHERE NOT broken),
     syms AS (SELECT doc_id, 0 AS seq, 'fn_' || doc_id AS name, 'fn_' || doc_id AS qualified_name, 'function' AS kind, 4 AS s, 5 + d AS e FROM docs WHERE NOT broken
-        UNION ALL SELECT doc_id, 1, 'C_' || doc_id, 'C_' || doc_id, 'class', 8 + d, (SELECT max(e) FROM members m WHERE m.doc_id = docs.doc_id) FROM docs WHERE NOT broken
+        UNION ALL SELECT doc_id, 0, 'broken', 'broken', 'function', 1, 2 FROM docs WHERE broken
+        UNION ALL SELECT doc_id, 1, 'C_' || doc_id, 'C_' || doc_id, 'class', 8 + d + w, (SELECT max(e) FROM members m WHERE m.doc_id = docs.doc_id) FROM docs WHERE NOT broken
         UNION ALL SELECT doc_id, 2 + 2 * j, 'm' || j, 'C_' || doc_id || '.m' || j, 'method', s, e FROM members
         UNION ALL SELECT doc_id, 3 + 2 * j, 'inner', 'C_' || doc_id || '.inner', 'method', s + 2, s + 3 FROM members WHERE j % 4 = 3)"""
 
@@ -242,7 +245,7 @@ def enclosing_symbols(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_SOURCES}, firsts AS (SELECT doc_id, name, min(seq) AS seq FROM syms GROUP BY doc_id, name)
-    SELECT doc_id, (SELECT string_agg(name, ',' ORDER BY seq) FROM firsts f WHERE f.doc_id = docs.doc_id) AS names, CASE WHEN broken THEN NULL ELSE 'fn_' || doc_id || ',C_' || doc_id END AS top, (SELECT string_agg('m' || j, ',' ORDER BY j) FROM members m WHERE m.doc_id = docs.doc_id) AS methods FROM docs""")
+    SELECT doc_id, (SELECT string_agg(name, ',' ORDER BY seq) FROM firsts f WHERE f.doc_id = docs.doc_id) AS names, CASE WHEN broken THEN 'broken' ELSE 'fn_' || doc_id || ',C_' || doc_id END AS top, (SELECT string_agg('m' || j, ',' ORDER BY j) FROM members m WHERE m.doc_id = docs.doc_id) AS methods FROM docs""")
 def defined_names(t: Tables) -> DataFrame:
     parsed = symbols.parse_symbols(_sources(t))
     names = lambda c: F.when(F.col("symbols").isNotNull(), F.array_join(F.transform(c, lambda s: s["name"]), ","))
@@ -251,12 +254,12 @@ def defined_names(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_SOURCES} SELECT DISTINCT doc_id, name AS identifier FROM syms UNION ALL SELECT doc_id, x FROM docs, unnest(['os', 'pick', 'x', 'a', 'self']) AS t(x) WHERE NOT broken
-    UNION ALL SELECT doc_id, 'cache' FROM docs WHERE d = 1 AND NOT broken UNION ALL SELECT doc_id, 'y' FROM docs WHERE len(ls) >= 4 AND NOT broken UNION ALL SELECT doc_id, 'broken' FROM docs WHERE broken""")
+    UNION ALL SELECT doc_id, 'cache' FROM docs WHERE d = 1 AND NOT broken UNION ALL SELECT doc_id, 'y' FROM docs WHERE len(ls) >= 4 AND NOT broken UNION ALL SELECT doc_id, x FROM docs, unnest(['print', 'fn']) AS t(x) WHERE w = 1""")
 def all_identifiers(t: Tables) -> DataFrame:
-    return symbols.parse_symbols(_sources(t)).select("doc_id", F.explode("identifiers").alias("identifier"))
+    return symbols.parse_symbols(_sources(t), identifiers=True).select("doc_id", F.explode("identifiers").alias("identifier"))
 
 
-@query(f"""WITH {_SOURCES}, spans AS (SELECT doc_id, 'module' AS chunk_type, CAST(NULL AS VARCHAR) AS symbol_name, 1 AS s, CASE WHEN broken THEN 2 + len(ls) ELSE 3 END AS e FROM docs
+@query(f"""WITH {_SOURCES}, spans AS (SELECT doc_id, 'module' AS chunk_type, CAST(NULL AS VARCHAR) AS symbol_name, 1 AS s, 3 AS e FROM docs WHERE NOT broken
     UNION ALL SELECT doc_id, kind, name, s, e FROM syms WHERE kind = 'function' OR kind = 'class' AND e - s + 1 <= 80
     UNION ALL SELECT doc_id, 'class_context', name, s, s + 2 FROM syms WHERE kind = 'class' AND e - s + 1 > 80
     UNION ALL SELECT m.doc_id, 'method', 'C_' || m.doc_id || '.m' || j, m.s, m.e FROM members m JOIN syms c ON c.doc_id = m.doc_id AND c.kind = 'class' AND c.e - c.s + 1 > 80)

@@ -11,6 +11,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -79,18 +80,24 @@ def forget(spark: SparkSession, paths: Iterable[str]) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def append_columns(df: DataFrame, source: str, fields: str, func: Callable[[list], list[list]], batch: int = 512) -> DataFrame:
-    """df with the columns `fields`, which func makes from `batch` values of a column at a time; a narrow step, row by row."""
+def append_columns(df: DataFrame, source: str, fields: str, func: Callable[[list], list], batch: int = 512, keep: list[str] | None = None) -> DataFrame:
+    """df's columns (or those to `keep`), then `fields`, made from `batch` values of a column at a time; a narrow step, row by row.
+
+    func returns a list or an Arrow array for each field. What isn't kept doesn't come back from Python.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(fields).fields])
-    arrow, at = to_arrow_schema(schema), df.columns.index(source)
+    kept = df.columns if keep is None else keep
+    sent = df if keep is None else df.select(*kept, F.col(source).alias("__source"))
+    at = df.columns.index(source) if keep is None else len(kept)
+    schema = T.StructType([*sent.schema.fields[: len(kept)], *T._parse_datatype_string(fields).fields])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, batch):
                 part = whole.slice(i, batch)
-                made = [pa.array(x, f.type) for x, f in zip(func(part.column(at).to_pylist()), list(arrow)[part.num_columns :], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=arrow.names)
+                made = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(func(part.column(at).to_pylist()), list(arrow)[len(kept) :], strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], names=arrow.names)
 
-    return df.mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
