@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.findings import FEEDBACK_VERDICTS, SEVERITIES, severity_rank, up_to_date
+from ..tables import materialize, number_rows
 
 #: The fields that a refresh takes from the live pull request.
 SUMMARY_FIELDS = ["title", "author", "state", "html_url", "head_sha", "base_sha", "github_updated_at", "additions", "deletions", "changed_files"]
 ERROR_CHARS = 2000
+#: Refreshed repositories up to which their list is broadcast.
+BROADCAST_REPOSITORIES = 100_000
 
 
 def register(known: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -27,8 +30,12 @@ def refresh_pulls(stored: DataFrame, live: DataFrame, refreshed: DataFrame) -> D
     """
     fields = [f for f in SUMMARY_FIELDS if f in stored.columns and f in live.columns]
     batch = refreshed.select("repository_id").distinct().withColumn("refreshed", F.lit(True))
+    # other repositories' pull requests pass without a shuffle, as long as the list of these is short enough to broadcast
+    touched = materialize(batch.select("repository_id").unionByName(live.select("repository_id")).where("repository_id is not null").distinct())
+    if touched.limit(BROADCAST_REPOSITORIES + 1).count() <= BROADCAST_REPOSITORIES:
+        touched = F.broadcast(touched)
     seen = live.select("repository_id", "number", F.lit(True).alias("is_live"), *[F.col(f).alias(f"new_{f}") for f in fields])
-    merged = stored.join(seen, ["repository_id", "number"], "full_outer").join(batch, "repository_id", "left")
+    merged = stored.join(touched, "repository_id", "left_semi").join(seen, ["repository_id", "number"], "full_outer").join(batch, "repository_id", "left")
     out = []
     for c in stored.columns:
         if c == "state":
@@ -36,7 +43,7 @@ def refresh_pulls(stored: DataFrame, live: DataFrame, refreshed: DataFrame) -> D
             out.append((F.when(F.col("is_live"), F.col("new_state")).otherwise(gone) if "state" in fields else gone).alias(c))
         else:
             out.append(F.when(F.col("is_live"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c))
-    return merged.select(*out)
+    return merged.select(*out).unionByName(stored.join(touched, "repository_id", "left_anti"))
 
 
 def vanished_pulls(stored: DataFrame, live: DataFrame, refreshed: DataFrame) -> DataFrame:
@@ -85,7 +92,8 @@ def open_pulls(pulls: DataFrame) -> DataFrame:
 
 
 def list_repositories(repositories: DataFrame) -> DataFrame:
-    return repositories.orderBy(F.desc("created_at"), "id")
+    """Repositories, the newest first, with their `place` in that order from 0; numbered range by range, not in one task."""
+    return number_rows(repositories, [F.desc("created_at"), F.col("id").asc()], "place")
 
 
 def rank_findings(findings: DataFrame, key: str = "finding_id") -> DataFrame:

@@ -147,10 +147,10 @@ def cosine_topk(chunks: DataFrame, queries: DataFrame, k: int, changed: DataFram
         out: list[list] = [[], [], [], []]
         if own.num_rows and block.num_rows:
             ids, files = block.column("chunk_id").to_numpy(), np.array(block.column("file_path").to_pylist(), object)
-            there = _unit(np.array(block.column("vector").to_pylist(), np.float64))
+            there = _unit(_matrix(block.column("vector")))
             for a in range(0, own.num_rows, 256):
                 part = own.slice(a, 256)
-                distance = np.round(1 - _unit(np.array(part.column("vector").to_pylist(), np.float64)) @ there.T, PLACES)
+                distance = np.round(1 - _unit(_matrix(part.column("vector"))) @ there.T, PLACES)
                 for row, review, seq, masked in zip(distance, *(part.column(c).to_pylist() for c in ("review_id", "seq", "masked")), strict=True):
                     open_ = np.flatnonzero(~np.isin(files, masked)) if masked else np.arange(len(ids))
                     best = open_[np.lexsort((ids[open_], row[open_]))[:k]]
@@ -164,6 +164,12 @@ def cosine_topk(chunks: DataFrame, queries: DataFrame, k: int, changed: DataFram
     return top_per_query(found, "distance", k)
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows, from Arrow's own flat values."""
+    flat = vectors.combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norm > 0, norm, 1)

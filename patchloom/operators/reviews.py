@@ -33,12 +33,12 @@ def changed_file_rows(files: DataFrame, parsed: DataFrame, keys: tuple[str, ...]
 def build_queries(changed: DataFrame) -> DataFrame:
     """review_id, seq and text: the first MAX_QUERIES pieces of changed code of each review, by file and symbol.
 
-    A file with a source and added ranges gives the body of each symbol that they touch, and nothing if there is none;
+    A file with a source that isn't empty and added ranges gives the body of each symbol that they touch, and nothing if there is none;
     any other gives its added text. Pieces are cut first and blank ones dropped.
     """
     df = changed.withColumn("__lines", split_lines(F.col("source")))
     bodies = F.transform(enclosing_symbols(F.col("symbols"), F.col("added_ranges")), lambda s: slice_lines(F.col("__lines"), s["start_line"], s["end_line"]))
-    pieces = F.when(F.col("source").isNotNull() & (F.size("added_ranges") > 0), bodies).otherwise(F.array(added_text(F.col("patch"))))
+    pieces = F.when((F.col("source") != "") & (F.size("added_ranges") > 0), bodies).otherwise(F.array(added_text(F.col("patch"))))
     rows = df.select("review_id", "file_pos", F.posexplode(pieces).alias("piece", "text")).withColumn("text", F.substring("text", 1, MAX_QUERY_CHARS))
     order = W.partitionBy("review_id").orderBy("file_pos", "piece")
     return rows.where(~F.col("text").rlike(r"^\s*$")).withColumn("seq", F.row_number().over(order) - 1).where(F.col("seq") < MAX_QUERIES).select("review_id", "seq", "text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.findings import CORROBORATION_BONUS, REJECTED_AT_MOST, SEMANTIC_BELOW, SEMANTIC_CATEGORIES, clamp, should_surface
 from .diffs import touches
@@ -40,28 +41,53 @@ def symbol_exists() -> Column:
     return F.when(F.size("symbols") > 0, F.exists("symbols", lambda s: (F.col("end_line") >= s["start_line"]) & (F.col("start_line") <= s["end_line"])))
 
 
-def same_file(a: Column, b: Column) -> Column:
-    """Whether one path is a suffix of the other, as strings; the empty path is a suffix of all."""
-    return F.endswith(a, b) | F.endswith(b, a)
+def same_files(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """(review_id, file, path) of distinct (review_id, file) and (review_id, path) where one is a suffix of the other, as
+    strings; the empty path is a suffix of all.
+
+    Of the longer name those suffixes are looked up that are as long as some name of the other side, so the rows joined
+    are names times different lengths and not all pairs of a review.
+    """
+    own, other = files.where("file is not null"), paths.where("path is not null")
+
+    def within(longer: DataFrame, name: str, shorter: DataFrame, part: str, also_equal: bool) -> DataFrame:
+        lengths = shorter.groupBy("review_id").agg(F.collect_set(F.length(part)).alias("__n"))
+        fits = F.filter("__n", lambda n: n <= F.length(name) if also_equal else n < F.length(name))
+        cut = longer.join(lengths, "review_id").select("review_id", name, F.explode(fits).alias("__n"))
+        return cut.select("review_id", name, F.right(F.col(name), F.col("__n")).alias(part)).join(shorter, ["review_id", part])
+
+    return within(own, "file", other, "path", True).unionByName(within(other, "path", own, "file", False))
 
 
 def static_corroborates(findings: DataFrame, hits: DataFrame, key: str = "finding_id") -> DataFrame:
     """finding keys with a hit of the review on the same file that overlaps them.
 
-    Distinct (path, span) hits are enough. Both sides are dealt by review for this join alone, so a review with very
-    many findings is split over tasks by Spark, each with the review's hits.
+    A span has such a hit if, among the hits that begin before its end, the furthest end is not before its start: one
+    running maximum over the distinct spans of a file answers it, and no finding meets a hit. Hits without a path, which
+    lie in all files, are a line of their own in each review, so that they aren't repeated for each file.
     """
-    left = findings.select(key, "review_id", "file", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    right = hits.select("review_id", F.col("file_path").alias("p"), F.col("start_line").alias("hs"), F.col("end_line").alias("he")).distinct()
-    near = (left["review_id"] == right["review_id"]) & (F.col("he") >= F.col("s")) & (F.col("hs") <= F.col("e")) & same_file(F.col("file"), F.col("p"))
-    return left.join(right, near, "left_semi").select(key)
+    spans = findings.select("review_id", "file", F.col("start_line").alias("s"), F.col("end_line").alias("e")).where("file is not null").distinct()
+    ends = hits.groupBy("review_id", F.col("file_path").alias("path"), F.col("start_line").alias("at")).agg(F.max("end_line").alias("end"))
+    named, anywhere = ends.where("path <> ''"), ends.where("path = ''")
+    pairs = same_files(spans.select("review_id", "file").distinct(), named.select("review_id", "path").distinct())
+    none = F.lit(None).cast("int")
+    on_file = named.join(pairs, ["review_id", "path"]).select("review_id", F.col("file").alias("line"), "at", "end", F.lit(None).cast("string").alias("file"), none.alias("s"))
+    on_all = anywhere.select("review_id", F.lit(None).cast("string").alias("line"), "at", "end", F.lit(None).cast("string").alias("file"), none.alias("s"))
+    asked = spans.withColumn("line", F.explode(F.array(F.col("file"), F.lit(None).cast("string")))).select("review_id", "line", F.col("e").alias("at"), none.alias("end"), "file", "s")
+    # at one place hits come first: they begin at the span's last line at the latest
+    order = W.partitionBy("review_id", "line").orderBy("at", F.col("s").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    furthest = F.max("end").over(order)
+    found = on_file.unionByName(on_all).unionByName(asked).withColumn("furthest", furthest).where("s is not null and furthest >= s")
+    found = found.select("review_id", "file", F.col("s").alias("start_line"), F.col("at").alias("end_line")).distinct()
+    return findings.join(found, ["review_id", "file", "start_line", "end_line"], "left_semi").select(key)
 
 
 def static_for_files(findings: DataFrame, hits: DataFrame, key: str = "finding_id") -> DataFrame:
-    """Each finding's hits on the same file, wherever they are. A review with very many of either is split by Spark."""
+    """Each finding's hits on the same file, wherever they are: names are matched first, so only results are joined."""
     left = findings.select(key, "review_id", "file")
     right = hits.select("review_id", "id", "rule_id", F.col("file_path").alias("path"), "start_line", "end_line", F.col("severity").alias("hit_severity"), "message")
-    return left.join(right, (left["review_id"] == right["review_id"]) & same_file(F.col("file"), F.col("path"))).drop(right["review_id"])
+    pairs = same_files(left.select("review_id", "file").distinct(), right.select("review_id", "path").distinct())
+    return left.join(pairs, ["review_id", "file"]).join(right, ["review_id", "path"]).select(key, "file", *[c for c in right.columns if c != "review_id"])
 
 
 def run_deterministic(findings: DataFrame, changed: DataFrame, hits: DataFrame, key: str = "finding_id") -> DataFrame:

@@ -245,7 +245,7 @@ def enclosing_symbols(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_SOURCES}, firsts AS (SELECT doc_id, name, min(seq) AS seq FROM syms GROUP BY doc_id, name)
-    SELECT doc_id, (SELECT string_agg(name, ',' ORDER BY seq) FROM firsts f WHERE f.doc_id = docs.doc_id) AS names, CASE WHEN broken THEN 'broken' ELSE 'fn_' || doc_id || ',C_' || doc_id END AS top, (SELECT string_agg('m' || j, ',' ORDER BY j) FROM members m WHERE m.doc_id = docs.doc_id) AS methods FROM docs""")
+    SELECT doc_id, (SELECT string_agg(name, ',' ORDER BY seq) FROM firsts f WHERE f.doc_id = docs.doc_id) AS names, CASE WHEN broken THEN 'broken' ELSE 'fn_' || doc_id || ',C_' || doc_id END AS top, coalesce((SELECT string_agg('m' || j, ',' ORDER BY j) FROM members m WHERE m.doc_id = docs.doc_id), '') AS methods FROM docs""")
 def defined_names(t: Tables) -> DataFrame:
     parsed = symbols.parse_symbols(_sources(t))
     names = lambda c: F.when(F.col("symbols").isNotNull(), F.array_join(F.transform(c, lambda s: s["name"]), ","))
@@ -591,9 +591,9 @@ def open_pulls(t: Tables) -> DataFrame:
     return bookkeeping.open_pulls(t.stored_pulls).select("repository_id", "number", "place", "up_to_date")
 
 
-@query("SELECT id, full_name FROM {repositories}")
+@query("SELECT id, full_name, row_number() OVER (ORDER BY id % 100 DESC, id) - 1 AS place FROM {repositories}")
 def list_repositories(t: Tables) -> DataFrame:
-    return bookkeeping.list_repositories(t.repositories.withColumn("created_at", F.col("id") % 100)).select("id", "full_name")
+    return bookkeeping.list_repositories(t.repositories.withColumn("created_at", F.col("id") % 100)).select("id", "full_name", "place")
 
 
 @query("""SELECT review_id, arg_max(status, (ts, seq)) AS status, arg_max(stage, (ts, seq)) AS stage, min(ts) FILTER (status = 'running') AS started_at, max(ts) FILTER (status IN ('done', 'failed')) AS completed_at, arg_max(error, (ts, seq))[:2000] AS error FROM {lifecycle} GROUP BY review_id""")

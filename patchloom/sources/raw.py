@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import append_columns
-
 # Size limit and directories that are skipped anywhere in a path.
 MAX_SOURCE_BYTES = 500_000
 SKIPPED = [".git", ".venv", "venv", "node_modules", "__pycache__", "build", "dist", ".tox", ".mypy_cache", "site-packages"]
@@ -63,8 +61,7 @@ def snapshot_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def decode_sources(files: DataFrame, content: str = "content") -> DataFrame:
     """The binary content as UTF-8 text in `source`; bad bytes become U+FFFD, as Python replaces them."""
-    decoded = append_columns(files, content, "source string", lambda blobs: [[None if b is None else bytes(b).decode("utf-8", "replace") for b in blobs]])
-    return decoded.drop(content)
+    return files.select(*[c for c in files.columns if c != content], F.make_valid_utf8(F.col(content).cast("string")).alias("source"))
 
 
 def _or(value: Column, default: str) -> Column:

@@ -1,5 +1,4 @@
 import io
-import os
 import tarfile
 
 from pyspark.sql import functions as F
@@ -43,11 +42,11 @@ def test_replaced_chunks(spark, tmp_path):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "repository_id long")
     old = spark.createDataFrame([(1, "old.py", "x"), (2, "gone.py", "y"), (3, "kept.py", "z")], schema)
     writers.replace_chunks(old, ids(1, 2, 3), f"{tmp_path}/chunks")
-    kept = {f: (tmp_path / "chunks/repository_id=3" / f).stat().st_mtime_ns for f in os.listdir(tmp_path / "chunks/repository_id=3")}
+    kept = {f: f.stat().st_mtime_ns for f in (tmp_path / "chunks").rglob("*.parquet")}
     for _ in range(2):  # a repeated run changes nothing
         writers.replace_chunks(spark.createDataFrame([(1, "new.py", "n"), (7, "not asked for.py", "n")], schema), ids(1, 2), f"{tmp_path}/chunks")
         assert {(r["repository_id"], r["file_path"]) for r in writers.read_chunks(spark, f"{tmp_path}/chunks").collect()} == {(1, "new.py"), (3, "kept.py")}
-    assert kept == {f: (tmp_path / "chunks/repository_id=3" / f).stat().st_mtime_ns for f in os.listdir(tmp_path / "chunks/repository_id=3")}
+    assert kept and kept == {f: f.stat().st_mtime_ns for f in kept}  # no file of the old set is touched
 
 
 def test_results_of_a_repeated_run(spark, tmp_path):

@@ -1,3 +1,8 @@
+import random
+import time
+
+from pyspark.sql import functions as F
+
 from patchloom.operators import bookkeeping, verify
 
 FINDING = "finding_id long, review_id long, file string, start_line int, end_line int, severity string, category string, confidence double"
@@ -60,3 +65,47 @@ def test_the_last_request_of_a_pull_counts(spark):
     repositories = spark.createDataFrame([(1, "https://h/o/r")], "id long, url string")
     got = {r["number"]: (r["title"], r["html_url"], r["head_sha"], r["description"]) for r in bookkeeping.trigger_upsert(stored, asked, repositories).collect()}
     assert got == {1: ("last", "https://h/o/r/pull/1", "d", "y"), 2: ("old", "u", "b", "d"), 9: ("new", "w", "f", None)}
+
+
+def test_same_files_and_overlaps_equal_all_pairs(spark):
+    draw = random.Random(4)
+    names = ["", "a.py", "b/a.py", "/a.py", "xa.py", "c/b/a.py", "é.py", "dé.py", "a.p", None]
+    spans = lambda: sorted(draw.choices(range(1, 40), k=2), reverse=draw.random() < 0.1)
+    findings = [(i, draw.choice([1, 1, 2, 3, None]), draw.choice(names), *spans(), "high", "security", 0.5) for i in range(300)]
+    hits = [(draw.choice([1, 2, 2, 4, None]), draw.choice(names), *spans(), "r", None, "m") for _ in range(60)]
+    same = lambda a, b: a is not None and b is not None and (a.endswith(b) or b.endswith(a))
+    near = [(f, h) for f in findings for h in hits if f[1] is not None and f[1] == h[0] and same(f[2], h[1])]
+    table, found = spark.createDataFrame(findings, FINDING), spark.createDataFrame(hits, HITS).withColumn("id", F.monotonically_increasing_id())
+    assert sorted(r["finding_id"] for r in verify.static_corroborates(table, found).collect()) == sorted({f[0] for f, h in near if h[3] >= f[3] and h[2] <= f[4]})
+    assert sorted((r["finding_id"], r["path"], r["start_line"], r["end_line"]) for r in verify.static_for_files(table, found).collect()) == sorted((f[0], h[1], h[2], h[3]) for f, h in near)
+
+
+def test_a_review_with_very_many_findings_and_hits(spark):
+    n = 100_000
+    lines = ((F.col("id") * 7919) % 50_000).cast("int")
+    common = dict(review_id=F.lit(1).cast("long"), start_line=lines, end_line=lines + 1)
+    findings = spark.range(n).withColumns(common | {"finding_id": F.col("id"), "file": F.concat(F.lit("src/m"), (F.col("id") % 300).cast("string"), F.lit(".py"))})
+    hits = spark.range(n).withColumns(common | {"file_path": F.concat(F.lit("m"), (F.col("id") % 300 + 150).cast("string"), F.lit(".py")), "start_line": lines + 2, "end_line": lines + 2})
+    began = time.time()
+    got = verify.static_corroborates(findings, hits).count()
+    took = time.time() - began
+    near = findings.select("file", "start_line").distinct().collect()
+    there = {(r["file_path"], r["start_line"]) for r in hits.collect()}
+    few = {(f.removeprefix("src/"), s) for f, s in near}
+    want = {(f, s) for f, s in few if (f, s) in there or (f, s + 1) in there}
+    per = findings.groupBy("file", "start_line").count().collect()
+    assert got == sum(r["count"] for r in per if (r["file"].removeprefix("src/"), r["start_line"]) in want) and took < 60
+
+
+def test_pulls_of_other_repositories_are_not_shuffled(spark, tmp_path):
+    schema = "repository_id long, number long, state string, head_sha string"
+    rows = [(r, n, "open", f"s{n}") for r in range(50) for n in range(20)] + [(None, 1, "open", "x")]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/stored")
+    stored = spark.read.parquet(f"{tmp_path}/stored")
+    live = spark.createDataFrame([(3, 1, "open", "new"), (4, 99, "open", "first")], schema)
+    merged = bookkeeping.refresh_pulls(stored, live, spark.createDataFrame([(3,)], "repository_id long"))
+    assert merged.count() == len(rows) + 1 and merged.where("state = 'closed'").count() == 19
+    untouched = merged._jdf.queryExecution().optimizedPlan().toString().split("Union")[1].count("Join LeftAnti")
+    assert untouched == 1 and {r["head_sha"] for r in merged.where("repository_id = 4 and number in (1, 99)").collect()} == {"s1", "first"}
+    plan = stored.join(F.broadcast(live.select("repository_id")), "repository_id", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
