@@ -1,16 +1,17 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
 Sources in code-point order, null last, have the weights 1, 2, 3, 1, ... and share the words of all documents; a
-source's target stops at MAX_EPOCHS times its size, and the others share the excess. The schedule has a slot for
-every BLOCK_WORDS words. The van der Corput point of a slot, mapped through the cumulative targets, names its source.
-A source's slots, ranked, take the equal blocks of its stream: its documents in shuffled order, gone through up to
-MAX_EPOCHS times. So any run of slots has the weights of the whole. By the points alone a source ends some blocks beside
-its target, or with none if that is under a block; so slots beyond it stay empty, missing blocks are added to slots
-drawn by hash, and the last block stops at the target, which each source meets to the word.
-
-A null text has size 0. Documents of size 0 are never taken. The order is the doc_id's md5, then the size; rows that
-share both are told apart, so repeated rows each have their own place, and whichever of equal rows is first, the result
-has the same rows. Reruns agree. Rows with a null source are a source of their own, rows with a null doc_id documents
+source's target stops at MAX_EPOCHS times its size, and the others share the excess. A target is a number of blocks of
+BLOCK_WORDS words, the last one cut to the word. The van der Corput point of each slot 0, 1, 2, ..., mapped through the
+cumulative numbers of blocks, names the slot's source. A source's slots, ranked, take the blocks of its stream, one each:
+its documents in shuffled order, gone through up to MAX_EPOCHS times. So any run of slots has the weights of the whole. A
+source whose blocks are all placed leaves its later slots empty. After as many slots as there are blocks, some sources
+still lack a few; the points go on for these alone, up to a power of two of slots, by which each source has enough (an
+interval of b in N holds 2 b dyadic cells of that depth, each with one point). Documents follow their first block's slot.
+
+A null text has size 0. Documents of size 0 are never taken. The order is the doc_id's md5, the size, then the text's
+hash; rows that share all are equal but told apart, so repeated rows each have their own place, and whichever is first,
+the result has the same rows. Other columns are only carried, whatever their names. Reruns agree. Rows with a null source are a source of their own, rows with a null doc_id documents
 like any other. An empty table gives an empty mix. Sizes count whole texts, however long.
 """
 
@@ -69,24 +70,34 @@ def placed_documents(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From (uid, doc_id, source, size): documents with their first word's place in the source's stream, and the sources."""
     sources = materialize(source_targets(rows))
     spread = join_small(rows, sources.drop("lo"), "source", F.col("uid")).withColumn("__order", shuffled(F.col("doc_id")))
-    ranked = number_rows(spread, ["source_no", "__order", "size", "uid"], "__place", sums={"__words": "size"})
+    ranked = number_rows(spread, ["source_no", "__order", "size", "tie", "uid"], "__place", sums={"__words": "size"})
     start = F.col("__words") - F.col("base")
     return materialize(ranked.select("uid", "doc_id", "source", "size", "source_no", "source_size", "target", "quota", start.alias("start"))), sources
 
 
-def slots(spark, sources: DataFrame, total: int, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """slot, source_no and rank, the block of the source's stream that the slot takes, from 0 to its last block."""
-    n = -(-total // block_words)
-    whole = F.greatest(F.lit(1.0), F.lit(float(total)))
-    open_ = sources.where("target > 0").withColumn("hi", F.col("lo") + F.col("target"))
-    cut = open_.select("source_no", (F.col("lo") / whole).alias("lo"), (F.col("hi") / whole).alias("hi"), (F.col("hi") >= whole * (1 - 1e-9)).alias("last"))
-    count = max(CELLS, 2 * cut.count())
+def _named(points: DataFrame, cut: DataFrame, count: int) -> DataFrame:
+    """(slot, source_no) of the points that lie in a source's interval; both meet in cells of the unit interval."""
     cells = cut.withColumn("cell", F.explode(F.sequence(F.least(F.lit(count - 1), F.floor(F.col("lo") * count)), F.least(F.lit(count - 1), F.floor(F.col("hi") * count)))))
-    points = spark.range(n).select(F.col("id").alias("slot"), van_der_corput(F.col("id")).alias("u"))
+    points = points.select(F.col("id").alias("slot"), van_der_corput(F.col("id")).alias("u"))
     points = points.withColumn("cell", F.floor(F.col("u") * count))
     within = (F.col("u") >= F.col("lo")) & ((F.col("u") < F.col("hi")) | F.col("last"))
     few = count <= 20 * CELLS  # there are at most twice as many pieces as cells
-    named = materialize(points.join(F.broadcast(cells) if few else cells, "cell").where(within).select("slot", "source_no"))
+    return points.join(F.broadcast(cells) if few else cells, "cell").where(within).select("slot", "source_no")
+
+
+def slots(spark, sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """slot, source_no and rank, the block of the source's stream that the slot takes, from 0 to its last block."""
+    blocks = sources.where("quota > 0").select("source_no", F.ceil(F.col("quota") / block_words).cast("long").alias("blocks"))
+    numbered = materialize(number_rows(blocks, ["source_no"], "__place", sums={"before": "blocks"}).drop("__place"))
+    n = numbered.agg(F.sum("blocks")).first()[0] or 0
+    share = lambda x: x.cast("double") / F.lit(float(max(1, n)))
+    end = F.col("before") + F.col("blocks")
+    cut = numbered.select("source_no", "blocks", share(F.col("before")).alias("lo"), share(end).alias("hi"), (end == n).alias("last"))
+    count = max(CELLS, 2 * cut.count())
+    first = materialize(_named(spark.range(n), cut, count))
+    have = first.groupBy("source_no").agg(F.count(F.lit(1)).alias("have"))
+    lacking = materialize(cut.join(have, "source_no", "left").where(F.coalesce("have", F.lit(0)) < F.col("blocks")).drop("have"))
+    named = first.unionByName(materialize(_named(spark.range(n, 1 << (4 * n).bit_length()), lacking, count))) if n else first
     # ranked in two steps: runs of slots first, then inside of each run
     run = max(1, math.isqrt(n))
     named = named.withColumn("run", F.floor(F.col("slot") / run))
@@ -94,18 +105,12 @@ def slots(spark, sources: DataFrame, total: int, block_words: int = BLOCK_WORDS)
     runs = named.groupBy("source_no", "run").count().withColumn("head", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     inside = F.row_number().over(W.partitionBy("source_no", "run").orderBy("slot")) - 1
     ranked = named.join(runs, ["source_no", "run"]).select("slot", "source_no", (F.col("head") + inside).alias("rank"))
-    blocks = sources.where("quota > 0").select("source_no", F.ceil(F.col("quota") / block_words).cast("long").alias("blocks"))
-    have = named.groupBy("source_no").agg(F.count(F.lit(1)).alias("have"))
-    missing = blocks.join(have, "source_no", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < blocks")
-    added = missing.select("source_no", F.explode(F.sequence(F.col("have"), F.col("blocks") - 1)).alias("rank"))
-    added = added.select(F.pmod(F.xxhash64("source_no", "rank"), F.lit(max(1, n))).alias("slot"), "source_no", "rank")
-    return join_small(ranked, blocks, "source_no", F.col("slot"), how="inner").where("rank < blocks").drop("blocks").unionByName(added)
+    return join_small(ranked, blocks, "source_no", F.col("slot"), how="inner").where("rank < blocks").drop("blocks")
 
 
 def schedule(placed: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The mix: slot, source_no, uid, epoch, first_word and n_words of each piece of a document in a slot."""
-    total = sources.agg(F.sum("source_size")).first()[0] or 0
-    ranked = materialize(slots(placed.sparkSession, sources, total, block_words))
+    """The mix: slot, source_no, uid, epoch, offset in the block, first_word and n_words of each piece of a document in a slot."""
+    ranked = materialize(slots(placed.sparkSession, sources, block_words))
     epochs = F.least(F.lit(max_epochs), F.ceil(F.col("quota") / F.col("source_size"))).cast("int")
     docs = placed.where("size > 0 and quota > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
     docs = docs.withColumn("at", F.col("epoch") * F.col("source_size") + F.col("start")).where("at < quota")
@@ -113,29 +118,30 @@ def schedule(placed: DataFrame, sources: DataFrame, block_words: int = BLOCK_WOR
     pieces = docs.withColumn("end", end).withColumn("rank", F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("end") - 1) / block_words))))
     lo = F.greatest(F.col("at"), F.col("rank") * block_words)
     hi = F.least(F.col("end"), (F.col("rank") + 1) * block_words)
-    pieces = pieces.select("source_no", "rank", "uid", "epoch", (lo - F.col("at")).alias("first_word"), (hi - lo).alias("n_words"))
-    return pieces.join(ranked, ["source_no", "rank"]).select("slot", "source_no", "uid", "epoch", "first_word", "n_words")
+    pieces = pieces.select("source_no", "rank", "uid", "epoch", (lo - F.col("rank") * block_words).alias("offset"), (lo - F.col("at")).alias("first_word"), (hi - lo).alias("n_words"))
+    return pieces.join(ranked, ["source_no", "rank"]).select("slot", "source_no", "uid", "epoch", "offset", "first_word", "n_words")
 
 
 def sized_rows(docs: DataFrame, doc_id: str, source: str, text: str, uid: Column) -> DataFrame:
-    return materialize(docs.select(uid.alias("uid"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
+    return materialize(docs.select(uid.alias("uid"), F.xxhash64(text).alias("tie"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target and taken, the words that the schedule takes."""
+    """One row for each document: doc_id, size, source_size, target, taken, the words that the schedule takes, and first_slot, where it begins (null if never)."""
     placed, sources = placed_documents(sized_rows(docs, doc_id, source, text, F.monotonically_increasing_id()))
-    taken = schedule(placed, sources).groupBy("uid").agg(F.sum("n_words").alias("taken"))
-    return placed.join(taken, "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    taken = schedule(placed, sources).groupBy("uid").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"))
+    return placed.join(taken, "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
 
 
 def take_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The mixed corpus: each row once for every epoch that takes some of it, whole, with all its columns."""
+    """The mixed corpus in the schedule's order: each row once for every epoch that takes some of it, whole, with all its columns, where its first piece is."""
     every = materialize(docs.withColumn("__uid", F.monotonically_increasing_id()))
     placed, sources = placed_documents(sized_rows(every, doc_id, source, text, F.col("__uid")))
-    copies = schedule(placed, sources).groupBy(F.col("uid").alias("__uid")).agg((F.max("epoch") + 1).alias("__copies"))
-    taken = every.join(copies, "__uid").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    copies = schedule(placed, sources).groupBy(F.col("uid").alias("__uid"), "epoch").agg(F.min(F.struct("slot", "offset")).alias("__at")).drop("epoch")
+    taken = every.join(materialize(copies), "__uid").orderBy("__at")
     return taken.select(*docs.columns)
 
 
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:
+    """The mix of all documents: sizes, targets, words taken and the slot where each document begins."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

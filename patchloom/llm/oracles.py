@@ -99,7 +99,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 FROM d LEFT JOIN base USING (rid) LEFT JOIN every USING (rid)
 """
 
-#: What each source takes is settled to the word, so the schedule's points don't show in a document's words taken.
+#: Each source's b blocks are at its first b points, of more than are needed.
 OP8 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(len({SPACE}) AS BIGINT) AS size,
     CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place FROM documents),
@@ -110,8 +110,12 @@ filled AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS
            FROM weights WINDOW o AS (ORDER BY most / w, source NULLS LAST)),
 chosen AS (SELECT CAST(arg_min(level, most / w) AS DOUBLE) AS level FROM filled WHERE level <= most / w),
 targets AS (SELECT source, source_size, least(most, level * w) AS target, CAST(round(least(most, level * w)) AS BIGINT) AS quota FROM weights, chosen),
-placed AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, size, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM d)
-SELECT doc_id, size, source_size, target, CAST((SELECT sum(greatest(0, least(size, quota - e * source_size - first))) FROM range(3) AS t(e)) AS BIGINT) AS taken
+placed AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, size, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM d),
+blocks AS (SELECT source, CAST((quota + 1023) // 1024 AS BIGINT) AS b FROM targets WHERE quota > 0),
+cut AS (SELECT *, CAST(sum(b) OVER (ORDER BY source NULLS LAST) AS BIGINT) AS hi, CAST(sum(b) OVER () AS BIGINT) AS n FROM blocks),
+points AS (SELECT s, CAST(list_sum(list_transform(range(40), lambda i: ((s >> i) & 1) << (39 - i))) AS DOUBLE) / CAST(1099511627776 AS DOUBLE) AS u FROM (SELECT unnest(range(8 * (SELECT max(n) FROM cut))) AS s)),
+slots AS (SELECT source, s, row_number() OVER (PARTITION BY source ORDER BY s) - 1 AS k FROM points JOIN cut ON u >= CAST(hi - b AS DOUBLE) / CAST(n AS DOUBLE) AND (u < CAST(hi AS DOUBLE) / CAST(n AS DOUBLE) OR hi = n))
+SELECT doc_id, size, source_size, target, (SELECT s FROM slots WHERE slots.source IS NOT DISTINCT FROM placed.source AND k = first // 1024 AND size > 0 AND first < quota) AS first_slot, CAST((SELECT sum(greatest(0, least(size, quota - e * source_size - first))) FROM range(3) AS t(e)) AS BIGINT) AS taken
 FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
 """
 

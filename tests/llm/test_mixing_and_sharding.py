@@ -64,19 +64,34 @@ def test_every_run_of_slots_has_the_weights(spark, docs, cells, monkeypatch):
     monkeypatch.setattr(mixing, "CELLS", cells)
     rows = mixing.sized_rows(docs, "doc_id", "source", "text", F.monotonically_increasing_id())
     placed, sources = mixing.placed_documents(rows)
-    total = sources.agg(F.sum("source_size")).first()[0]
-    slots = sorted((r["slot"], r["source_no"], r["rank"]) for r in mixing.slots(spark, sources, total, 16).collect())
-    n = -(-total // 16)
-    assert abs(len(slots) - n) < 20 and all(0 <= s < n for s, _, _ in slots)
-    share = {r["source_no"]: r["target"] / total for r in sources.collect()}
+    quota = {r["source_no"]: r["quota"] for r in sources.collect()}
+    blocks = {s: -(-q // 16) for s, q in quota.items() if q}
+    slots = sorted((r["slot"], r["source_no"], r["rank"]) for r in mixing.slots(spark, sources, 16).collect())
+    n = sum(blocks.values())
+    assert len(slots) == n and len({s for s, *_ in slots}) == n and slots[-1][0] < 8 * n
     for m in (64, 200, n):
         seen = Counter(s for slot, s, _ in slots if slot < m)
-        assert all(abs(seen[s] - m * share[s]) < 8 for s in share)
+        assert all(abs(seen[s] - m * b / n) < 8 for s, b in blocks.items())
+    # the points themselves name each slot's source
+    ends = [sum(blocks[s] for s in sorted(blocks) if s <= x) for x in sorted(blocks)]
+    for slot, source, _ in slots:
+        u = sum((slot >> i & 1) / 2 ** (i + 1) for i in range(40)) * n
+        assert sorted(blocks)[next(i for i, e in enumerate(ends) if u < e)] == source
     ranks = defaultdict(list)
     for _, source, rank in slots:
         ranks[source].append(rank)
-    quota = {r["source_no"]: r["quota"] for r in sources.collect()}
-    assert all(sorted(ranks[s]) == list(range(-(-q // 16))) for s, q in quota.items())
+    assert all(ranks[s] == list(range(-(-q // 16))) for s, q in quota.items())
+
+
+def test_the_points_decide_where_documents_are(spark, docs, monkeypatch):
+    mixed = mixing.mix(docs).collect()
+    begins = {r["doc_id"]: r["first_slot"] for r in mixed if r["first_slot"] is not None}
+    assert set(begins) == {r["doc_id"] for r in mixed if r["taken"]}
+    seen = list(dict.fromkeys(r["doc_id"] for r in mixing.take_mix(docs).collect()))
+    assert [begins[i] for i in seen] == sorted(begins.values()), "rows come in the order of slots"
+    monkeypatch.setattr(mixing, "van_der_corput", lambda n: n / (8 * F.lit(60)))
+    other = mixing.mix(docs).collect()
+    assert {r["doc_id"]: r["first_slot"] for r in other if r["first_slot"] is not None} != begins
 
 
 def test_take_mix_keeps_columns_and_repeats(spark, docs):
