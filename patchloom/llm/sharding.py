@@ -1,9 +1,14 @@
 """Shards with equal row counts by balanced label propagation, which keeps linked documents together.
 
-Documents of equal text are linked through their text's hash. Labels, at first dealt by doc_id, move in rounds until
-every group of linked documents has one: a group wants the shard that most of its members are in among those with
-room for it whole, or else any with room; a shard accepts groups up to its exact count of rows. Documents without links
-don't hold a place against a group: in the end they are swapped into the places that the groups leave.
+Documents of equal text are linked through their text's hash, so n copies have n links and not n squared. Each linked
+document begins with a label (its shard) dealt by doc_id. In every round, a group's votes are counted from the labels that
+its members have by then, joined with the room that all labels leave: it asks for the label of most of its members that has
+room for the rest of them, or else any label with room for all. Moves are accepted by a threshold on a hash of the group,
+which a histogram of the moves asked for (LEVELS counts a shard) sets so that no shard gets more than its room; where not
+even the lowest count fits, the first group is accepted. What moves leaves room where it was. The rounds end when no group
+has two labels, or none that has can move; each lowers the number of cut links. Groups that could not move then leave
+their places and ask for room as a whole, in the same way. Documents without links don't hold a place against a group: in
+the end they are swapped into the places that the groups leave.
 
 Groups that fill much of a shard, a bounded number, are placed first, the largest before. Those larger than a shard lie
 side by side over as many shards as they need. A group that fits into no shard's room keeps one label, runs over the
@@ -11,7 +16,8 @@ shard's border, and pushes what follows. So a group is parted only at a border (
 than a shard; cut_groups counts both.
 
 Law `rows`. A null text has no bytes and no links. Repeated rows each have a place. With fewer documents than shards
-some shards stay empty. Reruns agree on input in the same files.
+some shards stay empty; an empty table gives an empty result. Texts are only hashed, however long. Other columns are not
+read, whatever their names, unless they are carried. Ties among votes fall by a hash. Reruns agree on input in the same files.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ from .common import materialize, number_rows
 SHARDS = 40
 #: Groups of more than this part of a shard's rows are placed by the driver; there are fewer than SHARDS times LARGE and a few.
 LARGE = 8
+#: Steps of the threshold by which a shard's moves are accepted.
+LEVELS = 512
 
 
 def _place(group: tuple[int, list[int]], room: list[int]) -> int:
@@ -36,6 +44,29 @@ def _place(group: tuple[int, list[int]], room: list[int]) -> int:
     return label
 
 
+def _accept(asks: DataFrame, room: list[int], turn: int) -> DataFrame | None:
+    """asks (key, want, moves, ...), written, with `accepted`: as many as the room of each label takes, by a hash; None if there are none."""
+    level = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(LEVELS)).cast("int")
+    counts = asks.groupBy("want", level.alias("level")).agg(F.sum("moves").alias("moves"), F.min(F.struct(F.xxhash64("key", F.lit(turn + 1)).alias("draw"), "key")).alias("first"))
+    below, firsts = [0] * len(room), []
+    left = list(room)
+    lines: dict[int, list] = {}
+    for r in counts.collect():  # LEVELS rows a shard at most
+        lines.setdefault(r["want"], []).append(r)
+    for want, rows in lines.items():
+        for r in sorted(rows, key=lambda r: r["level"]):
+            if r["moves"] > left[want]:
+                break
+            left[want] -= r["moves"]
+            below[want] = r["level"] + 1
+        if not below[want]:
+            firsts.append(min(r["first"] for r in rows)["key"])
+    if not lines:
+        return None
+    limit = F.get(F.array(*[F.lit(x) for x in below]), F.col("want"))
+    return asks.withColumn("accepted", (level < limit) | F.col("key").isin(firsts))
+
+
 def propagate(groups: DataFrame, firsts: list[int]) -> tuple[DataFrame, list[int]]:
     """key and label of every group (key, members, votes), and the rows that groups hold of each label.
 
@@ -59,38 +90,78 @@ def propagate(groups: DataFrame, firsts: list[int]) -> tuple[DataFrame, list[int
     placed += [(r["key"], 0) for r in over]
     room = [max(0, b - max(a, taken)) for a, b in zip(firsts, firsts[1:])]
     place(large[len(over) :])
+    whole = list(room)  # for all smaller groups
+
+    def leftover(state: DataFrame) -> list[int]:
+        now = {r["label"]: r["n"] for r in state.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+        return [w - now.get(b, 0) for b, w in enumerate(whole)]
+
+    def counted(state: DataFrame, left: list[int]) -> DataFrame:
+        """Groups with their votes, the label they ask for, if any, and how many members would move to it."""
+        vote = F.struct(F.col("n"), F.xxhash64("key", "label").alias("draw"), F.col("label"))
+        found = state.groupBy("key").agg(F.sum("n").alias("members"), F.sort_array(F.collect_list(vote), asc=False).alias("votes"))
+        rooms = F.array(*[F.lit(x).cast("long") for x in left])
+        own = F.get(F.filter("votes", lambda v: F.get(rooms, v["label"]) >= F.col("members") - v["n"]), F.lit(0))
+        any_ = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda b: F.get(rooms, b) >= F.col("members"))
+        dealt = F.when(F.size(any_) > 0, F.get(any_, F.pmod(F.xxhash64("key", F.lit(turn)), F.size(any_)).cast("int")))
+        return found.withColumn("want", F.coalesce(own["label"], dealt)).withColumn("moves", F.col("members") - F.coalesce(own["n"], F.lit(0)))
 
-    waiting, done, turn = groups.where(F.col("members") * LARGE <= least), [], 0
+    state, settled, turn = materialize(groups.where(F.col("members") * LARGE <= least).select("key", F.inline("votes")).select("key", "label", "n")), [], 0
+    while True:
+        groups_now = materialize(counted(state, leftover(state)))
+        split = F.size("votes") > 1
+        step = _accept(groups_now.where(split & F.col("want").isNotNull()), leftover(state), turn)
+        if step is None:
+            break
+        moved = step.where("accepted").select("key", F.col("want").alias("to"))
+        joined = groups_now.join(materialize(moved), "key", "left")
+        one = lambda label, n: F.array(F.struct(label.cast("int").alias("label"), n.alias("n")))
+        now = F.when(F.col("to").isNotNull(), one(F.col("to"), F.col("members"))).otherwise(F.transform("votes", lambda v: F.struct(v["label"].alias("label"), v["n"].alias("n"))))
+        state = materialize(joined.select("key", F.inline(now)), done_with=[state, groups_now])
+        turn += 1
+    # by chance more groups may have begun whole at a label than it has places: the last ones by a hash leave
+    level = F.pmod(F.xxhash64("key"), F.lit(LEVELS)).cast("int")
+    calm = groups_now.where(~split).select("key", F.get("votes", F.lit(0))["label"].alias("label"), "members", "votes", level.alias("level"))
+    excess = [n - w for n, w in zip(_by_label(calm, shards), whole)]
+    stay = [LEVELS] * shards
+    if any(e > 0 for e in excess):
+        for r in sorted(calm.groupBy("label", "level").agg(F.sum("members").alias("n")).collect(), key=lambda r: -r["level"]):
+            if excess[r["label"]] > 0:
+                excess[r["label"]] -= r["n"]
+                stay[r["label"]] = r["level"]
+    calm = materialize(calm.withColumn("stays", F.col("level") < F.get(F.array(*[F.lit(x) for x in stay]), F.col("label"))))
+    settled.append(calm.where("stays").select("key", "label", "members"))
+    waiting = materialize(groups_now.where(split).select("key", "members", "votes").unionByName(calm.where("not stays").select("key", "members", "votes")))
+    room = [w - n for w, n in zip(whole, _by_label(settled[0], shards))]
     while True:
         rooms = F.array(*[F.lit(x).cast("long") for x in room])
-        wanted = F.filter("votes", lambda v: F.get(rooms, v["label"]) >= F.col("members"))
         any_ = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda b: F.get(rooms, b) >= F.col("members"))
-        dealt = F.when(F.size(any_) > 0, F.get(any_, F.pmod(F.xxhash64("key", F.lit(turn)), F.size(any_)).cast("int")))
-        asking = waiting.withColumn("want", F.coalesce(F.get(wanted, F.lit(0))["label"], dealt))
-        line = W.partitionBy("want").orderBy(F.xxhash64("key", F.lit(turn)), "key").rowsBetween(W.unboundedPreceding, 0)
-        step = materialize(asking.withColumn("accepted", F.coalesce(F.sum("members").over(line) <= F.get(rooms, "want"), F.lit(False))))
-        gains = step.groupBy("want", "accepted").agg(F.sum("members").alias("n")).collect()  # two rows a shard at most
-        waiting = step.where("not accepted").drop("want", "accepted")
-        for r in gains:
-            if r["accepted"]:
-                room[r["want"]] -= r["n"]
-                held[r["want"]] += r["n"]
-        if any(r["accepted"] for r in gains):
-            done.append(step.where("accepted").select("key", F.col("want").alias("label")))
-        else:
-            break
-        if all(r["accepted"] for r in gains):
+        asks = waiting.withColumn("want", F.when(F.size(any_) > 0, F.get(any_, F.pmod(F.xxhash64("key", F.lit(turn)), F.size(any_)).cast("int")))).withColumn("moves", F.col("members"))
+        step = _accept(asks.where("want is not null"), room, turn)
+        if step is None:
             break
+        step = materialize(step)
+        settled.append(step.where("accepted").select("key", F.col("want").alias("label"), "members"))
+        room = [r - n for r, n in zip(room, _by_label(settled[-1], shards))]
+        waiting = materialize(waiting.join(settled[-1].select("key"), "key", "left_anti"))
         turn += 1
+    for part in settled:
+        held = [h + n for h, n in zip(held, _by_label(part, shards))]
     # each is larger than any room left, so there are fewer than shards
     place(sorted(waiting.collect(), key=lambda r: (-r["members"], r["key"])))
     rows = [F.struct(F.lit(k).cast("long").alias("key"), F.lit(label).cast("int").alias("label")) for k, label in placed]
     labels = spark.range(1).select(F.inline(F.array(*rows))) if rows else spark.range(0).select(F.col("id").alias("key"), F.col("id").cast("int").alias("label"))
-    for part in done:
-        labels = labels.unionByName(part)
+    for part in settled:
+        labels = labels.unionByName(part.select("key", F.col("label").cast("int").alias("label")))
     return materialize(labels), held
 
 
+def _by_label(groups: DataFrame, shards: int) -> list[int]:
+    """Members of the groups of each label."""
+    found = {r["label"]: r["n"] for r in groups.groupBy("label").agg(F.sum("members").alias("n")).collect()}
+    return [found.get(b, 0) for b in range(shards)]
+
+
 def _layout(held: list[int], firsts: list[int]) -> tuple[list[int], list[tuple[int, int]]]:
     """Where each label's groups begin, and the runs of places they leave free (first, length)."""
     starts, end = [], 0
@@ -153,4 +224,5 @@ def cut_groups(assigned: DataFrame) -> DataFrame:
 
 
 def op9_balanced_label_shards(spark, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, under the law `rows`."""
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

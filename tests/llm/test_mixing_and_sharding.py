@@ -150,7 +150,7 @@ def test_shards_are_even_and_keep_groups(spark):
     assert sorted(Counter(r["shard"] for r in same).values()) == [5, 5, 5, 5]
 
 
-@pytest.mark.parametrize("sizes", [[50] * 10, [700], [2] * 400, [60] * 30 + [2] * 90, [130] * 15], ids=["ten", "third", "pairs", "crowded", "above a shard"])
+@pytest.mark.parametrize("sizes", [[50] * 10, [700], [2] * 400, [60] * 30 + [2] * 90, [130] * 15, [2] * 1000], ids=["ten", "third", "pairs", "crowded", "above a shard", "all in pairs"])
 def test_groups_are_cut_only_at_borders_or_above_a_shard(spark, sizes):
     texts = [f"group {g}" for g, n in enumerate(sizes) for _ in range(n)]
     texts += [f"own {i}" for i in range(2000 - len(texts))]
@@ -170,6 +170,22 @@ def test_groups_are_cut_only_at_borders_or_above_a_shard(spark, sizes):
     assert sum(len(spread[f"group {g}"]) - 1 for g in range(len(sizes))) <= 19
 
 
+def test_labels_equal_a_plain_propagation(spark, monkeypatch):
+    """Where every label has room, each group ends at the label that most of its members begin with; the draw decides ties."""
+    draw = random.Random(5)
+    votes = {k: Counter(draw.choices(range(6), k=draw.randint(2, 9))) for k in range(80)}
+    rows = [(k, sum(v.values()), [(n, draw.randrange(1000), b) for b, n in v.items()]) for k, v in votes.items()]
+    groups = spark.createDataFrame(rows, "key long, members long, votes array<struct<n:long,draw:long,label:int>>")
+    labels, held = sharding.propagate(groups, [1000 * b for b in range(7)])
+    got = {r["key"]: r["label"] for r in labels.collect()}
+    assert set(got) == set(votes) and all(votes[k][b] == max(votes[k].values()) for k, b in got.items())
+    assert held == [sum(sum(votes[k].values()) for k, x in got.items() if x == b) for b in range(6)]
+    # with tight quotas no shard gets more than its room, and hardly a group is left over
+    tight, held = sharding.propagate(groups, [-(-b * 480 // 6) for b in range(7)])
+    total = sum(sum(v.values()) for v in votes.values())
+    assert tight.count() == 80 and sum(held) == total and max(held) <= 80 + 9
+
+
 def test_pipeline_on_planted_cases(spark, tmp_path):
     draw = random.Random(4)
     vocabulary = [f"word{i}" for i in range(300)]
