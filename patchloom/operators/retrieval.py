@@ -17,6 +17,7 @@ from ..tables import materialize
 
 if TYPE_CHECKING:
     from .lexical_index import LexicalIndex
+    from .vector_index import VectorIndex
 
 # Fixed values.
 K1, B = 1.5, 0.75
@@ -114,12 +115,20 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, changed: DataFrame | None
 
 
 def cosine_distances(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(review_id, seq, chunk_id, distance) of every query and chunk of one repository, by built-in functions."""
+    """(review_id, seq, chunk_id, distance) of every query and chunk of one repository, by built-in functions; 1 for a vector of zeros."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(dot(v, v))
     left = queries.select("review_id", "seq", "repository_id", F.col("vector").alias("q"), norm(F.col("vector")).alias("qn"))
     right = chunks.select("repository_id", F.col("id").alias("chunk_id"), "vector", norm(F.col("vector")).alias("n"))
-    return left.join(right, "repository_id").select("review_id", "seq", "chunk_id", F.round(1 - dot(F.col("q"), F.col("vector")) / (F.col("qn") * F.col("n")), PLACES).alias("distance"))
+    return left.join(right, "repository_id").select("review_id", "seq", "chunk_id", F.round(1 - F.coalesce(F.try_divide(dot(F.col("q"), F.col("vector")), F.col("qn") * F.col("n")), F.lit(0.0)), PLACES).alias("distance"))
+
+
+def with_masks(queries: DataFrame, changed: DataFrame | None) -> DataFrame:
+    """Queries with a vector, and the files that their review changed as `masked`."""
+    asked = queries.where("vector is not null").select("review_id", "seq", "repository_id", "vector")
+    if changed is None:
+        return asked.withColumn("masked", F.lit(None).cast("array<string>"))
+    return asked.join(changed.groupBy("review_id").agg(F.collect_set("file_path").alias("masked")), "review_id", "left")
 
 
 def cosine_topk(chunks: DataFrame, queries: DataFrame, k: int, changed: DataFrame | None = None) -> DataFrame:
@@ -129,13 +138,7 @@ def cosine_topk(chunks: DataFrame, queries: DataFrame, k: int, changed: DataFram
     them and keeps each query's k best; a window takes the k best of all. A review's changed files are masked before.
     Chunks and queries without a vector take no part; a vector of zeros is at distance 1 from all.
     """
-    asked = queries.where("vector is not null").select("review_id", "seq", "repository_id", "vector")
-    masks = F.lit(None).cast("array<string>").alias("masked")
-    if changed is None:
-        asked = asked.select("*", masks)
-    else:
-        asked = asked.join(changed.groupBy("review_id").agg(F.collect_set("file_path").alias("masked")), "review_id", "left")
-    asked = materialize(asked)
+    asked = materialize(with_masks(queries, changed))
     usable = chunks.where("vector is not null").select("repository_id", F.col("id").cast("long").alias("chunk_id"), "file_path", "vector")
     blocks = lambda df, rows, name: df.groupBy("repository_id").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
     grid = materialize(blocks(asked, QUERY_BLOCK, "__rows").join(blocks(usable, CHUNK_BLOCK, "__columns"), "repository_id"))
@@ -143,6 +146,13 @@ def cosine_topk(chunks: DataFrame, queries: DataFrame, k: int, changed: DataFram
     left = asked.join(grid, "repository_id").withColumn("__row", F.pmod(F.xxhash64("review_id", "seq"), F.col("__rows")).cast("int")).withColumn("__column", every("__columns"))
     right = usable.join(grid, "repository_id").withColumn("__column", F.pmod(F.xxhash64("chunk_id"), F.col("__columns")).cast("int")).withColumn("__row", every("__rows"))
 
+    return top_per_query(blockwise(left, right, ["repository_id", "__row", "__column"], k), "distance", k)
+
+
+def blockwise(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(review_id, seq, chunk_id, distance): for each block, named by the keys, the k nearest of its chunks (chunk_id,
+    file_path, vector) for each of its queries (review_id, seq, vector, masked); one task multiplies a block."""
+
     def search(own: pa.Table, block: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         if own.num_rows and block.num_rows:
@@ -158,10 +168,8 @@ def cosine_topk(chunks: DataFrame, queries: DataFrame, k: int, changed: DataFram
                         column += values
         return pa.table(dict(zip(("review_id", "seq", "chunk_id", "distance"), (pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)), strict=True)))
 
-    keys = ["repository_id", "__row", "__column"]
     schema = "review_id long, seq long, chunk_id long, distance double"
-    found = left.select("review_id", F.col("seq").cast("long").alias("seq"), "vector", "masked", *keys).groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, schema)
-    return top_per_query(found, "distance", k)
+    return left.select("review_id", F.col("seq").cast("long").alias("seq"), "vector", "masked", *keys).groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, schema)
 
 
 def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
@@ -223,13 +231,15 @@ def usable_queries(queries: DataFrame) -> DataFrame:
     return cut.withColumn("nth", F.row_number().over(W.partitionBy("review_id").orderBy("seq"))).where(F.col("nth") <= MAX_QUERIES).drop("nth")
 
 
-def retrieve_context(chunks: DataFrame, queries: DataFrame, changed: DataFrame | None = None, k: int = TOP_K, index: LexicalIndex | None = None) -> DataFrame:
+def retrieve_context(chunks: DataFrame, queries: DataFrame, changed: DataFrame | None = None, k: int = TOP_K, index: LexicalIndex | None = None, vectors: VectorIndex | None = None) -> DataFrame:
     """(review_id, chunk_id, score, distance, rank): both searches, fused, re-ranked and cut to k for each review.
 
-    With a stored lexical index of the same chunks, that one is searched, and no chunk is tokenized.
+    With a stored lexical index of the same chunks, that one is searched, and no chunk is tokenized; likewise with one of
+    their vectors.
     """
     used, fetch = usable_queries(queries), max(k, LEAST_FETCH)
-    semantic = ranked(best_per_chunk(cosine_topk(chunks, used.where("vector is not null"), fetch, changed), "distance"), "distance")
+    nearest = vectors.search(used, fetch, changed).hits if vectors else cosine_topk(chunks, used.where("vector is not null"), fetch, changed)
+    semantic = ranked(best_per_chunk(nearest, "distance"), "distance")
     lexical = index.search(used, fetch, changed).hits if index else top_per_query(bm25_scores(chunks, used, changed), "score", fetch, largest=True)
     lexical = ranked(best_per_chunk(lexical, "score", largest=True), "score", largest=True)
     return final_topk(domain_rerank(rrf_fuse(semantic, lexical), chunks), k)

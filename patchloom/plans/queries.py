@@ -15,6 +15,7 @@ from ..functions import findings as ff
 from ..functions import text as ft
 from ..operators import bookkeeping, diffs, indexing, prompts, retrieval, reviews, symbols, verify
 from ..operators.lexical_index import LexicalIndex
+from ..operators.vector_index import VectorIndex
 from ..sources import raw, writers
 from ..streaming import lifecycle
 from ..tables import scratch
@@ -421,6 +422,17 @@ def cosine_topk(t: Tables) -> DataFrame:
     return retrieval.cosine_topk(t.vector_chunks, t.vector_queries, retrieval.TOP_K, t.vector_excluded).withColumn("distance", F.round("distance", 6) + 0.0)
 
 
+@query(f"""WITH {_COSINE}, best AS (SELECT *, row_number() OVER (PARTITION BY review_id, seq ORDER BY distance, chunk_id) AS nth FROM dots d
+    WHERE NOT EXISTS (SELECT 1 FROM {{vector_excluded}} x WHERE x.review_id = d.review_id AND x.file_path = d.file_path)) SELECT review_id, seq, chunk_id, round(distance, 6) + CAST(0 AS DOUBLE) AS distance FROM best WHERE nth <= 8""")
+def search_vector_index(t: Tables) -> DataFrame:
+    # half of the repositories are refreshed once more, from other vectors to their own
+    index = VectorIndex(t.spark, scratch(t.spark, "vectors"))
+    index.refresh(t.vector_chunks.withColumn("vector", F.when(F.col("repository_id") % 2 == 0, F.reverse("vector")).otherwise(F.col("vector"))))
+    index.refresh(t.vector_chunks.where("repository_id % 2 = 0"))
+    hits = index.search(t.vector_queries, 8, t.vector_excluded).hits
+    return hits.select("review_id", "seq", "chunk_id", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
 @query("SELECT c.id FROM {chunks} c WHERE NOT EXISTS (SELECT 1 FROM {excluded} x WHERE x.review_id % 20 = c.repository_id AND x.file_path = c.file_path)")
 def exclude_changed_files(t: Tables) -> DataFrame:
     changed = t.excluded.withColumn("repository_id", (F.col("review_id") % 20).cast("int"))
