@@ -5,16 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_validation, truncate_text
+from ..sources.store import Store
+from ..tables import materialize
 
 # Fixed values.
 PATCH_CHARS, CHUNK_CHARS = 6000, 1500
 FINDING_FIELDS = ["file", "start_line", "end_line", "severity", "category", "title", "description", "evidence", "suggested_fix", "confidence"]
 NO_DIFF, NO_DESCRIPTION, NO_CONTEXT, NO_STATIC = "(no textual diff)", "(no description provided)", "(no related context retrieved)", "(no static findings)"
 
+#: Prompts that are asked before their replies are kept.
+PART_PROMPTS = 10_000
+
 
 def joined_in_order(place: str, text: str, between: str) -> Column:
     """The group's texts in order of their places."""
@@ -96,3 +101,32 @@ def run_model(prompts: DataFrame, key: str, load: Callable[[], Callable[[list[st
 
     kind = prompts.schema[key].dataType.simpleString()
     return prompts.select(key, "prompt").mapInArrow(run, f"{key} {kind}, reply string")
+
+
+def reply_store(spark: SparkSession, path: str) -> Store:
+    """The replies kept at `path`: one for each different prompt, by its hash."""
+    return Store(spark, path, {"replies": []})
+
+
+def resumed_model(prompts: DataFrame, key: str, store: Store, load: Callable[[], Callable[[list[str]], list[str]]], batch: int = 16, part: int = PART_PROMPTS) -> DataFrame:
+    """As run_model, but each different prompt is asked once, ever, and its reply kept in the store.
+
+    Prompts without a kept reply are dealt by hash over parts of about `part`; each part's replies are committed when it is
+    done. After a failure, of a task or of the driver, the same call goes on with the parts that are missing, so no more
+    than a part is asked again. A null prompt has a null reply and isn't asked.
+    """
+    asked = prompts.select(key, "prompt").withColumn("prompt_hash", F.sha2("prompt", 256))
+    different = asked.where("prompt is not null").groupBy("prompt_hash").agg(F.first("prompt").alias("prompt"))
+    known = store.read("replies").select("prompt_hash") if store.version() else None
+    missing = materialize(different if known is None else different.join(known, "prompt_hash", "left_anti"))
+    n = missing.count()
+    parts = -(-n // part)
+    for i in range(parts):
+        mine = missing.where(F.pmod(F.xxhash64("prompt_hash"), F.lit(parts)) == i)
+        store.append("replies", run_model(mine.repartition("prompt_hash"), "prompt_hash", load, batch))
+    if not store.version():
+        return asked.select(key, F.lit(None).cast("string").alias("reply"))
+    # the whole store is read once; only the replies asked for go on
+    hashes = asked.select("prompt_hash").distinct()
+    replies = store.read("replies").join(hashes, "prompt_hash", "left_semi").groupBy("prompt_hash").agg(F.first("reply").alias("reply"))
+    return asked.join(materialize(replies), "prompt_hash", "left").select(key, "reply")

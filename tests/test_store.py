@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patchloom import tables
-from patchloom.operators import retrieval
+from patchloom.operators import prompts, retrieval
 from patchloom.operators.lexical_index import LexicalIndex
 from patchloom.sources import writers
 from patchloom.sources.store import Conflict, Store
@@ -148,3 +148,32 @@ def test_refreshes_equal_a_fresh_index(spark, tmp_path):
     # a refresh of a repository leaves the others
     index.refresh(spark.createDataFrame([(0, 1, "a.py", "alone")], CHUNKS))
     assert {(r["repository_id"], r["n"]) for r in index.statistics().collect()} >= {(0, 1), (7, 1)}
+
+
+def test_model_calls_survive_a_failing_task(spark, tmp_path):
+    calls, broken = tmp_path / "calls", tmp_path / "broken"
+    broken.write_text("")
+    calls.mkdir()
+
+    def load():
+        def model(texts):
+            if broken.exists() and "ask 37" in texts:
+                raise RuntimeError("no answer")
+            for x in texts:
+                (calls / f"{x} {random.random()}").write_text("")
+            return [x.upper() for x in texts]
+
+        return model
+
+    asked = spark.createDataFrame([(i, f"ask {i % 60}" if i % 10 else None) for i in range(200)], "id long, prompt string").repartition(3)
+    store = prompts.reply_store(spark, str(tmp_path / "replies"))
+    with pytest.raises(Exception, match="no answer"):
+        prompts.resumed_model(asked, "id", store, load, batch=1, part=8)
+    broken.unlink()
+    got = {r["id"]: r["reply"] for r in prompts.resumed_model(asked, "id", store, load, batch=1, part=8).collect()}
+    assert got == {i: f"ASK {i % 60}" if i % 10 else None for i in range(200)}
+    times = [f.name.rsplit(" ", 1)[0] for f in calls.iterdir()]
+    # each of 54 different prompts once, and those of the part that failed once more at most
+    assert set(times) == {f"ask {i}" for i in range(60) if i % 10} and len(times) <= 54 + 24
+    before = len(times)
+    assert prompts.resumed_model(asked, "id", store, load).count() == 200 and len(list(calls.iterdir())) == before
