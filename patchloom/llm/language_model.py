@@ -5,8 +5,9 @@ size by frequency, about as many classes as words in each; all other words are o
 smoothed count decides. From the ORDER tokens before, their vectors, each times the weights of its distance, add up to
 a query. Its products with the class vectors, and with the vectors of the words in the class, are the scores of the two
 levels. Training is noise-contrastive on both: true targets against classes, and words of the target's class, drawn by
-their counts; every training token is a target. Every task trains on its own documents from one start, and each row of
-weights is averaged over the tasks by how often they used it. Scoring normalises with softmaxes over all classes and
+their counts; every training token is a target. Every trainer, a task, learns from its own documents from one start, and
+each row of weights is averaged over the trainers by how often they used it. As an average of models that have seen little
+is hardly a model, small partitions are joined until a trainer has about TRAINER_TOKENS. Scoring normalises with softmaxes over all classes and
 over all words of the class, in batched matrix products, so that a text's score is a log10 probability.
 
 Counts have no bound, so tasks hold those of at most HEAD_WORDS tokens, all that reach a count which the driver finds
@@ -46,6 +47,8 @@ BATCH, NOISE, RATE = 8192, 16, 0.05
 #: Score matrices have this many entries at most.
 STEP_SCORES = 1 << 20
 PIECES = 64
+#: Training tokens of a trainer on average, at least, as far as there are so many.
+TRAINER_TOKENS = 2_000_000
 
 END = b"\n"  # no word holds white space
 
@@ -372,7 +375,8 @@ def train_model(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") ->
         for piece, (times, rows) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([(rows / times).astype(np.float32).tobytes()], pa.binary())], ["piece", "weights"])
 
-    trained = docs.select(text).mapInArrow(learn, "piece int, weights binary, used binary")
+    trainers = max(1, vocabulary.n // TRAINER_TOKENS)
+    trained = docs.select(text).coalesce(trainers).mapInArrow(learn, "piece int, weights binary, used binary")
     pieces = trained.repartition(PIECES, "piece").mapInArrow(average, "piece int, weights binary").collect()  # one model
     if not pieces:
         return LogBilinear(vocabulary).rows

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from patchloom.llm import language_model as lm
 
@@ -147,3 +148,22 @@ def test_empty_table(spark):
     assert lm.language_model_scores(docs).count() == 0
     only_held = spark.createDataFrame([(i, "a b", 0.5, 1) for i in range(60) if held(i)], DOCS)
     assert {(r["n_known"], r["train_tokens"]) for r in lm.language_model_scores(only_held).collect()} == {(0, 0)}
+
+
+def test_small_partitions_do_not_make_the_model_vanish(spark):
+    draw = random.Random(21)
+    words = [f"v{i}" for i in range(60)]
+    after = {w: draw.sample(words, 3) for w in words}
+
+    def text():
+        out = [draw.choice(words)]
+        while len(out) < 120:
+            out.append(draw.choice(after[out[-1]]))
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(600)], "doc_id long, text string")
+    gain = {}
+    for n in (1, 24):
+        scored = lm.language_model_scores(docs.repartition(n)).where("held_out")
+        gain[n] = scored.select(F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).first()[0]
+    assert gain[1] > 0.15 and abs(gain[24] - gain[1]) < 0.1 * gain[1], gain
