@@ -17,7 +17,7 @@ from ..operators import bookkeeping, diffs, indexing, prompts, retrieval, review
 from ..operators.lexical_index import LexicalIndex
 from ..operators.vector_index import VectorIndex
 from ..sources import raw, writers
-from ..streaming import lifecycle
+from ..streaming import guard, lifecycle
 from ..tables import scratch
 from .fixtures import Tables, oracle
 
@@ -868,6 +868,26 @@ def stream_lifecycle(t: Tables) -> DataFrame:
     return lifecycle.current_state(t.spark.read.parquet(f"{folder}/changes"))
 
 
+@query("""SELECT repository_id, number, CAST(n AS BIGINT) AS seq, reason IS NULL AS accepted, reason FROM (SELECT repository_id, number, n, CASE WHEN number % 19 = 0 AND n < 5 THEN 'no head commit'
+    WHEN n = 2 THEN 'under review' WHEN n = 4 AND number % 3 > 0 AND number % 7 > 0 AND number % 11 > 0 THEN 'already reviewed' END AS reason FROM {stored_pulls}, (VALUES (1), (2), (4), (5), (6)) AS t(n)) x""")
+def stream_guard(t: Tables) -> DataFrame:
+    # asked twice, ended (or closed), asked again, then twice for another head, the second time after the lease; the stream is started twice
+    folder, k = scratch(t.spark, "streams"), F.col("number")
+    pulls = t.stored_pulls.select("repository_id", "number")
+    head = F.when(k % 19 == 0, "").otherwise("a")
+    ended = F.when(k % 11 == 0, "closed").when(k % 3 > 0, "finished").otherwise("failed")
+    steps = [(1, 0, F.lit("request"), head), (2, 10, F.lit("request"), head), (3, 20, ended, head), (4, 30, F.lit("request"), head), (5, 180, F.lit("request"), F.lit("b")), (6, 300, F.lit("request"), F.lit("b"))]
+    schema = "repository_id long, number long, at timestamp, seq long, kind string, head_sha string, force boolean"
+    for some in (steps[:2], steps[2:]):
+        for n, minutes, kind, sha in some:
+            at = F.timestamp_seconds(F.lit(1_700_000_000 + 60 * minutes))
+            rows = pulls.select("repository_id", "number", at.alias("at"), F.lit(n).cast("long").alias("seq"), kind.alias("kind"), sha.alias("head_sha"), (k % 7 == 0).alias("force"))
+            rows.coalesce(1).write.mode("append").parquet(f"{folder}/events")
+        stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/events")
+        guard.follow_requests(stream, f"{folder}/decided", f"{folder}/state").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/decided").select("repository_id", "number", "seq", "accepted", "reason")
+
+
 def queries() -> dict:
     """Name -> callable taking (spark, sf_dir)."""
     return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in QUERIES.items()}

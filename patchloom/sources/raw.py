@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 # Size limit and directories that are skipped anywhere in a path.
 MAX_SOURCE_BYTES = 500_000
+ARCHIVE_BATCH_BYTES = 8 << 20  # unpacked sources handed on together
 SKIPPED = [".git", ".venv", "venv", "node_modules", "__pycache__", "build", "dist", ".tox", ".mypy_cache", "site-packages"]
 PR = "number bigint, title string, body string, state string, html_url string, updated_at string, user struct<login:string>, head struct<sha:string>, base struct<sha:string,ref:string>, additions int, deletions int, changed_files int"
 PR_FILES = "array<struct<filename:string,status:string,additions:int,deletions:int,patch:string,previous_filename:string>>"
@@ -34,17 +35,26 @@ def expand_archives(archives: DataFrame) -> DataFrame:
     Decoded by replacement, as UTF-8: `source` has U+FFFD for bad bytes. Repartition before heavy work.
     """
 
+    def packed(repo: int, rows: list[tuple]) -> pa.RecordBatch:
+        names, sizes, sources = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([repo] * len(rows), pa.int64()), pa.array(names), pa.array(sizes, pa.int64()), pa.array(sources)], ["repository_id", "path", "size", "source"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for repo, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(blob), mode="r:gz") as archive:
+                rows, held = [], 0
+                # read as a stream, so that only this batch of sources is unpacked
+                with tarfile.open(fileobj=io.BytesIO(blob), mode="r|gz") as archive:
                     for member in archive:
                         if member.isfile() and member.name.endswith(".py") and member.size <= MAX_SOURCE_BYTES:
                             rows.append((member.name, member.size, archive.extractfile(member).read().decode("utf-8", "replace")))
+                            held += member.size
+                            archive.members = []
+                        if held >= ARCHIVE_BATCH_BYTES:
+                            yield packed(repo, rows)
+                            rows, held = [], 0
                 if rows:
-                    names, sizes, sources = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([repo] * len(rows), pa.int64()), pa.array(names), pa.array(sizes, pa.int64()), pa.array(sources)], ["repository_id", "path", "size", "source"])
+                    yield packed(repo, rows)
 
     found = archives.select(F.col("repository_id").cast("long").alias("repository_id"), "content").mapInArrow(run, "repository_id long, path string, size long, source string")
     return usable_sources(found)

@@ -1,12 +1,12 @@
+from datetime import datetime, timedelta
+
 from patchloom.operators.bookkeeping import lifecycle_rollup
-from patchloom.streaming import lifecycle
+from patchloom.streaming import guard, lifecycle
 
 LOG = "review_id long, ts timestamp, seq long, status string, stage string, error string"
 
 
 def test_batches_add_up_to_the_rollup(spark, tmp_path):
-    from datetime import datetime
-
     rows = [(i % 4, datetime(2024, 1, 1, i), i, ["queued", "running", "done"][i % 3], f"st{i}", "e" * 3000 if i == 11 else "") for i in range(12)]
     frame = spark.createDataFrame(rows, LOG)
     for part in (rows[:5], rows[5:]):
@@ -26,3 +26,25 @@ def test_requests_are_guarded_as_they_come(spark, tmp_path):
     guarded.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     got = {(r["number"], r["force"]): (r["accepted"], r["reason"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {(1, False): (False, "already reviewed"), (1, True): (True, None), (2, False): (True, None), (9, True): (False, "no head commit")}
+
+
+def test_one_review_of_a_head_at_a_time(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    schema = "repository_id long, number long, at timestamp, seq long, kind string, head_sha string, force boolean"
+    # (minutes, kind, head, force) and the answer; None for events that aren't requests
+    story = [
+        (0, "request", "a", False, "ok"), (1, "request", "a", False, "under review"), (1, "request", "a", True, "under review"), (2, "request", None, True, "no head commit"),
+        (5, "failed", "a", None, None), (6, "request", "a", False, "ok"), (9, "finished", "a", None, None), (10, "request", "a", False, "already reviewed"), (11, "request", "a", True, "ok"),
+        (12, "request", "b", False, "ok"), (13, "finished", "a", None, None), (14, "request", "b", False, "under review"), (80, "request", "b", False, "ok"),
+        (90, "closed", None, None, None), (91, "request", "a", False, "ok"), (92, "closed", None, None, None),
+    ]
+    rows = [(r, 7, start + timedelta(minutes=m), i, kind, head, force) for r in (1, 2) for i, (m, kind, head, force, _) in enumerate(story)]
+    for a, b in ((0, 2), (2, 7), (7, 12), (12, 16)):  # the stream is started anew for each part
+        part = [r for r in rows if a <= r[3] < b]
+        spark.createDataFrame(part[::-1], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+        guard.follow_requests(spark.readStream.schema(schema).parquet(f"{tmp_path}/events"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = {(r["repository_id"], r["seq"]): r["reason"] or "ok" for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(r, i): s[4] for r in (1, 2) for i, s in enumerate(story) if s[4]}
+    plain = [(m[2], m[3], m[4], m[5], m[6]) for m in rows if m[0] == 1]
+    decided, state = guard.decide(plain, (None, None, None))
+    assert [d[2] or "ok" for d in decided] == [s[4] for s in story if s[4]] and state is None
