@@ -12,7 +12,8 @@ Null and empty texts have no words and are never contaminated; an item without w
 id count as one, and so do those without an id: their passages count like any other, but the list of names leaves them
 out. Repeated documents each get their own row, and so do those without an id. Without items, nothing is contaminated.
 A benchmark of any size gives the same result: more blocks of items, each carried to all rows. A text larger than a
-slice is handled alone, whole.
+slice is handled alone, whole. An empty table gives an empty result. Item names are sorted as strings; of equal longest
+matches at a place one is given. Columns of any other name are not read, or carried unchanged where rows are kept.
 """
 
 from __future__ import annotations
@@ -224,6 +225,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Words, hit words and items of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     names = F.array_join(F.array_sort("item_ids"), ",")  # leaves nulls out

@@ -452,4 +452,5 @@ def language_model_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
 
 def op4_log_bilinear_scores(spark, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document."""
     return language_model_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))

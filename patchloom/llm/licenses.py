@@ -9,6 +9,7 @@ anchor, the longest run of mandatory words, which is found by plain search and c
 Phrases of the base list are counted wherever they stand. Words are a-z, 0-9 and non-ASCII characters after
 lower-casing A-Z. A null or empty text has no words, no places and score 0. Repeated rows get a row each, an empty table
 none. A very long text is scanned alone, whole. Other columns are kept if asked for, whatever they are called.
+A label found several times is listed once; labels are sorted by code point.
 """
 
 from __future__ import annotations
@@ -219,5 +220,6 @@ def scan_licenses(docs: DataFrame, keep: list[str], text: str = "text", base: di
 
 
 def op7_license_templates(spark, sf_dir: str) -> DataFrame:
+    """Phrases, labels and score of every document."""
     found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

@@ -9,6 +9,7 @@ Labels come only from documents whose crc32 (of the doc_id as text) mod 4 is not
 of the bias. Without labels every score is 0.5. Repeated rows get a row each, and count once in training; a doc_id with
 several labels takes the largest. A null doc_id is not held out and has no label. An empty table gives an empty result.
 A very long text is scored alone, whole; in training a document is held as its n-grams only.
+A score equal to the threshold is predicted 1. Columns of any other name are not read.
 """
 
 from __future__ import annotations
@@ -162,6 +163,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, keep: list[str], text: s
 
 
 def op5_ftrl_quality(spark, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     weights = train(labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", MAX_LABELLED))
     scored = score_quality(docs, weights, ["doc_id"])

@@ -2,7 +2,8 @@
 
 A document's own counts decide first (`base_failed`). A host with too many failing documents, after shrinkage,
 takes its other documents with it. Null and empty texts have no words and fail. A null host is a host of its own.
-Repeated rows count each time. An empty table gives an empty result.
+Repeated rows count each time. An empty table gives an empty result. A host whose shrunk rate is the limit itself is kept.
+A very long text is handled alone, whole. Columns of any other name are not read, or carried unchanged where rows are kept.
 """
 
 from __future__ import annotations
@@ -132,5 +133,6 @@ def keep_good(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", tex
 
 
 def op3_host_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -12,7 +12,8 @@ each shard's links and not all its pairs.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows that share a doc_id keep a row each.
 Null doc_ids take part, but are never a component's id unless all its ids are null. An empty table gives an empty one.
-A very long text is handled alone, whole, its shingles in parts.
+A very long text is handled alone, whole, its shingles in parts. A bit that exactly half the shingles set is 0. Columns of
+any other name are not read, or carried unchanged where rows are kept.
 """
 
 from __future__ import annotations
@@ -236,5 +237,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_
 
 
 def op6_simhash_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

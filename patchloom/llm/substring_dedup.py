@@ -17,7 +17,8 @@ Small sides of joins are written before, so that Spark can split a phrase or anc
 Rows are told apart by doc_id and the text's hash: rows of one doc_id are no reference for each other, and each keeps
 or loses its own words. Null and empty texts, and texts of fewer than WINDOW words, keep all words. Copies of a text
 are removed whole but for those of the smallest doc_id. A row with a null doc_id keeps its words and is no reference.
-An empty table gives an empty result. A text larger than a slice is handled alone, whole.
+An empty table gives an empty result. A text larger than a slice is handled alone, whole. Columns of any other name
+are not read.
 """
 
 from __future__ import annotations
@@ -342,4 +343,5 @@ def remove_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def op10_relative_lz_dedup(spark, sf_dir: str) -> DataFrame:
+    """Words, removed words and a digest of the kept ones of every document."""
     return dedup_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -13,7 +13,8 @@ text) mod 4 is not 2; the others are held out. The driver holds the sample's fea
 TIMES * MAX_FEATURES of four bytes if every document had every feature three times, and no text. Null and empty texts have
 no words, so their probabilities are the intercepts'. Without labels all probabilities are 0.5 and nothing is toxic.
 Repeated rows get a row each, and count once in training. An empty table gives an empty result. A very long text is
-handled alone, whole.
+handled alone, whole. Of features with one chi-square the first by code point are taken; a score equal to the threshold is
+not toxic. A doc_id with several labels takes the largest. Columns of any other name are not read.
 """
 
 from __future__ import annotations
@@ -257,6 +258,7 @@ def score_toxicity(docs: DataFrame, model: Chain, keep: list[str], text: str = "
 
 
 def op2_toxicity_chain(spark, sf_dir: str) -> DataFrame:
+    """Probabilities of all categories for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train_chain(labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", MAX_LABELLED))
     scored = score_toxicity(docs, model, ["doc_id"])
