@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all documents that the stage before kept, and its result is written
 as Parquet and read again for the next. All but the last return the columns of documents; the last returns the shard
 manifest.
+
+Rows with null, empty or very long texts, null sources and repeated or null doc_ids pass each stage as its operator says:
+texts without ten words go in the first; of rows that are alike one stays in the second, so later stages see each once;
+ties among these fall to the smallest doc_id. Other columns are carried to the last stage, whatever their names. An empty
+table gives an empty table of each stage.
 """
 
 from __future__ import annotations
