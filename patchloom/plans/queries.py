@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import findings as ff
 from ..functions import text as ft
 from ..operators import bookkeeping, diffs, indexing, prompts, retrieval, reviews, symbols, verify
+from ..operators.embedding_table import EmbeddingTable
 from ..operators.lexical_index import LexicalIndex
 from ..operators.vector_index import VectorIndex
 from ..sources import raw, writers
@@ -340,6 +341,25 @@ def embed_new_chunks(t: Tables) -> DataFrame:
     return new.select("repository_id", "content_hash", F.size("embedding").alias("n"), (F.round(weighed, 2) + 0.0).alias("weighed"))
 
 
+@query("""WITH h AS (SELECT * FROM {hashed} WHERE repository_id IS NOT NULL AND content IS NOT NULL),
+    o AS (SELECT repository_id, content, min(id) AS m FROM h WHERE is_old GROUP BY ALL),
+    n AS (SELECT repository_id, count(*) AS total, count(m) AS reused, CAST(coalesce(sum(m % 97), 0) AS DOUBLE) AS reused_sum FROM h LEFT JOIN o USING (repository_id, content) WHERE is_new GROUP BY ALL)
+    SELECT CAST(repository_id AS BIGINT) AS repository_id, total, reused, total - reused AS embedded, CAST(reused + 384 * (total - reused) AS BIGINT) AS n_values, reused_sum, count(DISTINCT content) AS stored
+    FROM h JOIN n USING (repository_id) WHERE is_old OR is_new GROUP BY ALL""")
+def refresh_embedding_table(t: Tables) -> DataFrame:
+    # the old chunks' embeddings have one value, new ones as many as the embedder makes
+    new, old = _hashed(t)
+    table = EmbeddingTable(t.spark, scratch(t.spark, "embeddings"), buckets=8)
+    before = table.add(indexing.known_embeddings(old))
+    after = table.refresh(new)
+    values = table.attach(new, after).groupBy(F.col("repository_id").cast("bigint").alias("repository_id")).agg(
+        F.sum(F.size("embedding").cast("bigint")).alias("n_values"),
+        F.sum(F.when(F.size("embedding") == 1, F.get("embedding", F.lit(0)).cast("double")).otherwise(0.0)).alias("reused_sum"),
+    )
+    stored = table.read(after).groupBy("repository_id").agg(F.count(F.lit(1)).alias("stored"))
+    return table.stats(new, before).join(values, "repository_id").join(stored, "repository_id")
+
+
 # Retrieval
 
 _TOKENS = r"""flatten(list_transform(regexp_extract_all(%s, '([A-Za-z_][A-Za-z0-9_]*|\p{Nd}+)', 1), lambda x: CASE WHEN contains(x, '_') THEN list_concat([lower(x)], list_filter(string_split(lower(x), '_'), lambda y: y <> '')) ELSE [lower(x)] END))"""
