@@ -58,9 +58,24 @@ IN NO EVENT SHALL <<any 8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONS
 NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 _ZLIB_TEXT = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
 Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
-<<optional>>1. <<end>>The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledg<<any 1>>ment in the product documentation would be appreciated but is not required.
+<<optional>>1. <<end>>The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an <<any 1>> in the product documentation would be appreciated but is not required.
 <<optional>>2. <<end>>Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
-<<optional>>3. <<end>>This notice may not be removed or altered from any source distribution.""".replace("acknowledg<<any 1>>ment", "<<any 1>>")
+<<optional>>3. <<end>>This notice may not be removed or altered from any source distribution."""
+_UNLICENSE_TEXT = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.
+We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors.
+We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE
+OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.<<optional>> For more information, please refer to <<any 4>><<end>>"""
+_BOOST_TEXT = """<<optional>>Boost Software License - Version 1.0 - August 17th, 2003 <<end>>Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software")
+to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part,
+and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT.
+IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE
+OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 
 #: Label and template, or several: whole licences, the one-line notices, and the wording that notices of longer licences
 #: have. What the labels say beyond the base list is the version or the kind of notice; a name ending in -text is a whole licence.
@@ -68,11 +83,16 @@ TEMPLATES = {
     "gpl-3.0": _GPL.format("", "3"),
     "gpl-2.0": _GPL.format("", "2"),
     "lgpl-3.0": _GPL.format(" Lesser", "3"),
+    "lgpl-2.0": _GPL.format(" Library", "2"),
     "lgpl-2.1": _GPL.format(" Lesser", "2.1"),
     "agpl-3.0": _GPL.format(" Affero", "3"),
     "apache-2.0": ("licensed under the Apache License<<optional>> Version<<end>> 2.0", "Apache License Version 2.0 January 2004"),
     "cc-by-nc-4.0": ("licensed under <<optional>>a <<end>><<optional>>the <<end>>CC BY NC 4.0<<optional>> license<<end>>", "Creative Commons Attribution NonCommercial 4.0 International<<optional>> Public<<end>> License"),
     "cc-by-4.0": ("licensed under <<optional>>a <<end>><<optional>>the <<end>>CC BY 4.0<<optional>> license<<end>>", "Creative Commons Attribution 4.0 International<<optional>> Public<<end>> License"),
+    "cc-by-sa-4.0": ("licensed under <<optional>>a <<end>><<optional>>the <<end>>CC BY SA 4.0<<optional>> license<<end>>", "Creative Commons Attribution ShareAlike 4.0 International<<optional>> Public<<end>> License"),
+    "cc0-1.0": ("has waived all copyright and related or neighboring rights to", "licensed under <<optional>>the <<end>>CC0 1.0<<optional>> Universal<<end>>", "Creative Commons<<optional>> Legal Code<<end>> CC0 1.0 Universal"),
+    "mpl-2.0": ("subject to the terms of the Mozilla Public License<<optional>> v<<end>><<optional>> Version<<end>> 2.0", "Mozilla Public License Version 2.0 1. Definitions"),
+    "boost-1.0": "under the Boost Software License<<optional>> Version<<end>> 1.0",
     "mit-notice": "<<any 3>> released under the <<optional>>terms of the <<end>>MIT License",
     "mit-grant": _MIT,
     "mit-text": _MIT_TEXT,
@@ -82,6 +102,8 @@ TEMPLATES = {
     "bsd-3-clause-text": _BSD_TEXT.format("<<optional>>3. <<end>>" + _BSD_3 + ". "),
     "isc-text": _ISC_TEXT,
     "zlib-text": _ZLIB_TEXT,
+    "unlicense-text": _UNLICENSE_TEXT,
+    "boost-1.0-text": _BOOST_TEXT,
 }
 
 

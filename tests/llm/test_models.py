@@ -148,6 +148,21 @@ ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
 WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
 ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
 OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+""" + MIT_REST[MIT_REST.index("THE SOFTWARE IS") :].replace("THE\nAUTHORS OR COPYRIGHT HOLDERS", "THE AUTHORS") + "\n\nFor more information, please refer to <https://unlicense.org/>"
 BSD = """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:"""
 BSD_3 = """3. Neither the name of the copyright holder nor the names of its
@@ -172,6 +187,15 @@ this software without specific prior written permission."""
         ("Apache License\n    Version 2.0, January 2004\n    http://www.apache.org/licenses/", {"apache", "apache-2.0"}),
         ("This work is licensed under a Creative Commons Attribution 4.0 International License.", {"cc-by-4.0"}),
         ("Creative Commons Attribution-NonCommercial 4.0 International Public License", {"cc-by-nc-4.0"}),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this file", {"mpl-2.0"}),
+        ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------", {"mpl-2.0"}),
+        (GPL.format(";", " Library", ";", 2), {"lgpl-2.0"}),
+        ("Creative Commons Attribution-ShareAlike 4.0 International Public License", {"cc-by-sa-4.0"}),
+        ("This text is licensed under CC BY-SA 4.0.", {"cc-by", "cc-by-sa-4.0"}),
+        ("To the extent possible under law, A. Person has waived all copyright and\nrelated or neighboring rights to this work.", {"cc0-1.0"}),
+        ("Creative Commons Legal Code\n\nCC0 1.0 Universal", {"cc0-1.0"}),
+        ("Distributed under the Boost Software License, Version 1.0.", {"boost-1.0"}),
+        (UNLICENSE, {"unlicense-text"}),
         (BSD, {"bsd-grant"}),
         (BSD + "\n1. Redistributions of source code must retain the above copyright notice.\n" + BSD_3, {"bsd-grant", "bsd-3-clause"}),
         ("Released under the MIT License", {"mit", "mit-notice"}),
