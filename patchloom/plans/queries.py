@@ -879,7 +879,10 @@ def resumed_model(t: Tables) -> DataFrame:
 # Streams
 
 
-@query("""SELECT review_id, arg_max(status, (ts, seq)) AS status, arg_max(stage, (ts, seq)) AS stage, min(ts) FILTER (status = 'running') AS started_at, max(ts) FILTER (status IN ('done', 'failed')) AS completed_at, arg_max(error, (ts, seq))[:2000] AS error FROM {lifecycle} GROUP BY review_id""")
+LIFECYCLE_STATE = """SELECT review_id, arg_max(status, (ts, seq)) AS status, arg_max(stage, (ts, seq)) AS stage, min(ts) FILTER (status = 'running') AS started_at, max(ts) FILTER (status IN ('done', 'failed')) AS completed_at, arg_max(error, (ts, seq))[:2000] AS error FROM {lifecycle} GROUP BY review_id"""
+
+
+@query(LIFECYCLE_STATE)
 def stream_lifecycle(t: Tables) -> DataFrame:
     folder = scratch(t.spark, "streams")
     t.lifecycle.write.parquet(f"{folder}/log")
@@ -888,6 +891,17 @@ def stream_lifecycle(t: Tables) -> DataFrame:
     return lifecycle.current_state(t.spark.read.parquet(f"{folder}/changes"))
 
 
+@query(LIFECYCLE_STATE)
+def stream_review_table(t: Tables) -> DataFrame:
+    # each file is a batch, and a version of the stored table
+    folder = scratch(t.spark, "streams")
+    t.lifecycle.write.parquet(f"{folder}/log")
+    log = t.spark.readStream.schema(t.lifecycle.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    store = lifecycle.review_store(t.spark, f"{folder}/reviews")
+    lifecycle.follow_reviews(log, store, f"{folder}/state").awaitTermination()
+    return store.read(lifecycle.REVIEWS)
+
+
 @query("""SELECT repository_id, number, CAST(n AS BIGINT) AS seq, reason IS NULL AS accepted, reason FROM (SELECT repository_id, number, n, CASE WHEN number % 19 = 0 AND n < 5 THEN 'no head commit'
     WHEN n = 2 THEN 'under review' WHEN n = 4 AND number % 3 > 0 AND number % 7 > 0 AND number % 11 > 0 THEN 'already reviewed' END AS reason FROM {stored_pulls}, (VALUES (1), (2), (4), (5), (6)) AS t(n)) x""")
 def stream_guard(t: Tables) -> DataFrame:

@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+import pytest
+
 from patchloom.operators.bookkeeping import lifecycle_rollup
 from patchloom.streaming import guard, lifecycle
 
@@ -18,6 +20,51 @@ def test_batches_add_up_to_the_rollup(spark, tmp_path):
     assert {r["review_id"]: r for r in state.collect()} == want and len(want[3]["error"]) == 2000
 
 
+def test_the_review_table_takes_batches_as_versions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lifecycle, "MERGE_RUNS", 3)
+    monkeypatch.setattr(lifecycle, "MERGE_SHARE", 1e9)  # merging by number alone
+    store, state = lifecycle.review_store(spark, f"{tmp_path}/reviews"), lambda df: {r["review_id"]: r for r in df.collect()}
+    rows, opened = [], {}
+
+    def part(k):
+        new = [(None if i == 4 else (7 * k + i) % 9, datetime(2024, 1, 1, k, i), 10 * k + i, ["queued", "running", "failed", "done"][(k + i) % 4], f"st{k}", f"e{i}") for i in range(5)]
+        rows.extend(new)
+        spark.createDataFrame(new, LOG).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+
+    def follow():
+        log = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
+        lifecycle.follow_reviews(log, store, f"{tmp_path}/state", grace_seconds=3600).awaitTermination()
+
+    for k in range(6):  # a start of the stream for each part
+        part(k)
+        follow()
+        want = state(lifecycle_rollup(spark.createDataFrame(rows, LOG)))
+        assert state(store.read(lifecycle.REVIEWS)) == want and len(store.run_bytes(lifecycle.REVIEWS)) <= 3
+        opened[k] = (store.read(lifecycle.REVIEWS), want)
+    assert all(state(df) == want for df, want in opened.values())  # readers stay with what they opened
+    follow()  # nothing new: no version
+    version = store.version()
+
+    # a run that dies before, and one that dies after its commit, are repeated to the same end
+    part(6)
+    replace = store.replace
+    for late in (False, True):
+
+        def dying(*args, late=late):
+            if late:
+                replace(*args)
+            raise RuntimeError("lost")
+
+        monkeypatch.setattr(store, "replace", dying)
+        with pytest.raises(Exception, match="lost"):
+            follow()
+        assert store.version() == version + late
+    monkeypatch.setattr(store, "replace", replace)
+    follow()
+    assert state(store.read(lifecycle.REVIEWS)) == state(lifecycle_rollup(spark.createDataFrame(rows, LOG)))
+    assert store.read(lifecycle.REVIEWS).count() == 10
+
+
 def test_requests_are_guarded_as_they_come(spark, tmp_path):
     schema = "repository_id long, number long, head_sha string, force boolean"
     spark.createDataFrame([(1, 1, "a", False), (1, 1, "a", True), (1, 2, "b", False), (2, 9, "", True)], schema).write.parquet(f"{tmp_path}/asked")
