@@ -21,14 +21,13 @@ the smoothing alone. A text larger than a slice is handled alone, whole. Other c
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count, islice
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +44,11 @@ SHARED = 2048
 HEAD_WORDS = 300_000
 BATCH, NOISE, RATE = 8192, 16, 0.05
 #: Score matrices have this many entries at most.
-STEP_SCORES = 1 << 20
+STEP_SCORES = 1 << 17
+#: Rows of weights that elementwise products take at once, as rows of WIDTH are too short for numpy; BATCH is a multiple of it.
+TILE = 64
+#: Sums of exponentials below this, or above its inverse, are taken again from the largest score on.
+SMALLEST = 1e-25
 PIECES = 64
 #: Training tokens of a trainer on average, at least, as far as there are so many.
 TRAINER_TOKENS = 2_000_000
@@ -53,9 +56,19 @@ TRAINER_TOKENS = 2_000_000
 END = b"\n"  # no word holds white space
 
 
+def token_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return hash_array(np.array(words, object), categorize=False).view(np.int64)
+
+
 def token_hash(word: bytes) -> int:
-    found = xxhash.xxh64_intdigest(word)
-    return found - (1 << 64) if found >> 63 else found
+    return int(token_hashes([word])[0])
+
+
+def hashed_tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, each document's words and then its end, and where documents begin."""
+    words, bounds = flatten([[*lower_space_words(t), END] for t in texts])
+    return token_hashes(words), bounds
 
 
 def _slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[bytes | None]]:
@@ -70,20 +83,19 @@ def _slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[byte
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token counts of the texts of a task, handed on whenever there are many."""
-    seen: Counter = Counter()
-
-    def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(map(token_hash, seen), pa.int64()), pa.array(seen.values(), pa.int64())], ["token", "c"])
-
-    for texts in _slices(batches, 1 << 20):
-        for text in texts:
-            seen.update(lower_space_words(text))
-        seen[END] += len(texts)
-        if len(seen) > 1_000_000:
-            yield made()
-            seen.clear()
-    if seen:
-        yield made()
+    token, c = np.empty(0, np.int64), np.empty(0, np.int64)
+    for texts in _slices(batches, 4 << 20):
+        found = np.unique(hashed_tokens(texts)[0], return_counts=True)
+        token, c = (np.concatenate(x) for x in zip((token, c), found))
+        by = np.argsort(token, kind="stable")  # two sorted runs
+        token, c = token[by], c[by]
+        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        token, c = token[head], np.add.reduceat(c, head)
+        if len(token) > 1_000_000:
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(c)], ["token", "c"])
+            token, c = token[:0], c[:0]
+    if len(token):
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(c)], ["token", "c"])
 
 
 def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -109,13 +121,27 @@ class Vocabulary:
         #: The target that stands for all words without an output vector.
         self.rest = self.classes * self.per_class
 
+    @cached_property
+    def _starts(self) -> np.ndarray:
+        """Where the tokens with each value of their first 20 bits begin."""
+        return np.searchsorted(self.token, (np.arange(1 << 20) - (1 << 19)) << 44).astype(np.int32)
+
     def ranks(self, tokens: np.ndarray) -> np.ndarray:
         """Each token's rank, or -1 outside of the head."""
         if not len(self.token):
             return np.full(len(tokens), -1)
-        at = np.minimum(np.searchsorted(self.token, tokens), len(self.token) - 1)
+        last = len(self.token) - 1
+        at = np.minimum(self._starts[(tokens >> 44) + (1 << 19)], last)
+        ahead = np.flatnonzero((self.token[at] < tokens) & (at < last))
+        while len(ahead):
+            at[ahead] += 1
+            ahead = ahead[(self.token[at[ahead]] < tokens[ahead]) & (at[ahead] < last)]
         return np.where(self.token[at] == tokens, self.rank[at], -1)
 
+    @cached_property
+    def log_smoothed(self) -> np.ndarray:
+        return np.log10(self.c + 0.5) if len(self.c) else np.full(1, np.log10(0.5))
+
     @property
     def base_mass(self) -> float:
         return self.n + 0.5 * (self.distinct + 1)
@@ -147,28 +173,20 @@ def head_of(counts: DataFrame, most: int | None = None) -> Vocabulary:
 
 
 class Codes:
-    """Codes of words: the rank in the head, or -1, -2, ... for other words, whose hashes are in `tail` in that order."""
+    """Codes of words: the rank in the head, or -1, -2, ... for other words, whose hashes are in `tail` in that order, for the texts coded last."""
 
     def __init__(self, known: Vocabulary):
         self.known = known
-        self.clear()
-
-    def clear(self) -> None:
-        self.seen: defaultdict[bytes, int] = defaultdict(count().__next__)
-        self.code, self.tail = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.tail = np.empty(0, np.int64)
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all tokens, each document's words and then its end, and where documents begin."""
-        if len(self.seen) > 500_000:
-            self.clear()
-        words, bounds = flatten([lower_space_words(t) + [END] for t in texts])
-        places = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
-        fresh = list(islice(self.seen, len(self.code), None))
-        tokens = np.fromiter(map(token_hash, fresh), np.int64, len(fresh))
+        tokens, bounds = hashed_tokens(texts)
         code = self.known.ranks(tokens)
-        code[code < 0] = -1 - len(self.tail) - np.arange((code < 0).sum())
-        self.code, self.tail = np.concatenate([self.code, code]), np.concatenate([self.tail, tokens[code < 0]])
-        return self.code[places], bounds
+        rare = np.flatnonzero(code < 0)
+        self.tail, place = np.unique(tokens[rare], return_inverse=True)
+        code[rare] = -1 - place
+        return code, bounds
 
 
 class LogBilinear:
@@ -197,6 +215,8 @@ class LogBilinear:
         self.rows[self.at_word + known.words :, WIDTH] = -1e4  # places of the last class that no word has
         self.class_chance, self.word_chance = (np.log(NOISE * x).astype(np.float32) for x in (self.class_noise, self.word_noise))
         self.squares = np.full(self.rows.shape, 0.1, np.float32)
+        #: Of class and word vectors; all zero between steps.
+        self.gradient = np.zeros((len(self.rows) - self.at_class, WIDTH + 1), np.float32)
         self.used = np.zeros(len(self.rows))
 
     def layout(self, codes: np.ndarray, bounds: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,25 +234,56 @@ class LogBilinear:
         target[spot] = np.where((codes < 0) | (codes >= self.known.words), self.known.rest, codes)
         return line, target, spot
 
-    def queries(self, near: np.ndarray) -> np.ndarray:
-        """The queries of all places but the first ORDER, from the input vectors of all; the last column is 1."""
+    def distance_tiles(self) -> np.ndarray:
+        """The distance weights, each TILE times in a line."""
+        return np.tile(self.rows[self.at_distance : self.at_class, :WIDTH], TILE)
+
+    def queries(self, near: np.ndarray, tiles: np.ndarray) -> np.ndarray:
+        """The queries of all places but the first ORDER, a multiple of TILE, from the input vectors of all."""
         n = len(near) - ORDER
-        out = np.ones((n, WIDTH + 1), np.float32)
-        query = out[:, :WIDTH]
-        np.multiply(near[ORDER - 1 : -1], self.rows[self.at_distance, :WIDTH], out=query)
+        query = self._tiled(near, 0, n) * tiles[0]
         for i in range(1, ORDER):
-            query += near[ORDER - 1 - i : len(near) - 1 - i] * self.rows[self.at_distance + i, :WIDTH]
+            query += self._tiled(near, i, n) * tiles[i]
+        return query.reshape(n, WIDTH)
+
+    @staticmethod
+    def _tiled(near: np.ndarray, i: int, n: int) -> np.ndarray:
+        """The n input vectors that lie 1 + i places before, TILE of them a row."""
+        return near[ORDER - 1 - i : ORDER - 1 - i + n].reshape(-1, TILE * WIDTH)
+
+    def queries_of(self, line: np.ndarray, spot: np.ndarray) -> np.ndarray:
+        """The queries of these places of the line, a BATCH at a time; the last column is 1."""
+        inputs, tiles = np.ascontiguousarray(self.rows[: self.at_distance, :WIDTH]), self.distance_tiles()
+        out = np.ones((len(spot), WIDTH + 1), np.float32)
+        line = np.concatenate([line, np.full(-(len(line) - ORDER) % TILE, self.pad)])
+        starts = np.arange(ORDER, len(line), BATCH)
+        edge = np.append(np.searchsorted(spot, starts), len(spot))
+        for k, a in enumerate(starts.tolist()):
+            places = spot[edge[k] : edge[k + 1]]
+            out[edge[k] : edge[k + 1], :WIDTH] = self.queries(inputs[line[a - ORDER : a + BATCH]], tiles)[places - a]
         return out
 
-    def _against_noise(self, query: np.ndarray, held: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradients by the queries and by the noise rows; chance: the log of the expected number of each."""
-        false = query @ held.T
-        false -= chance
-        np.negative(false, out=false)
+    def _noise_rows(self, rows: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        """Noise rows, the log of the expected number of each taken off their bias, all with the sign turned."""
+        turned = -self.rows[rows]
+        turned[..., WIDTH] += chance
+        return turned
+
+    def _against_noise(self, query: np.ndarray, turned: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients by the queries (not by their last column) and by the noise rows, of which each block of queries has NOISE of its own."""
+        blocks = [(k, edge[k], edge[k + 1]) for k in np.flatnonzero(np.diff(edge)).tolist()]
+        false = np.empty((len(query), NOISE), np.float32)
+        for k, a, b in blocks:
+            np.matmul(query[a:b], turned[k].T, out=false[a:b])
         np.exp(false, out=false)
         false += 1
-        np.divide(-1, false, out=false)
-        return false @ held, false.T @ query
+        np.reciprocal(false, out=false)
+        d_query, d_noise = np.empty_like(query), np.zeros((len(turned), NOISE, WIDTH + 1), np.float32)
+        for k, a, b in blocks:
+            np.matmul(false[a:b], turned[k], out=d_query[a:b])
+            np.matmul(false[a:b].T, query[a:b], out=d_noise[k])
+        np.negative(d_noise, out=d_noise)
+        return d_query, d_noise
 
     def _for_true(self, query: np.ndarray, own: np.ndarray, chance: np.ndarray, gradient: np.ndarray, first_row: int) -> np.ndarray:
         """Gradient by the queries; that by the rows is added. own: each query's row, in order."""
@@ -253,29 +304,36 @@ class LogBilinear:
         return index[head], np.add.reduceat(rows[by], head, axis=0)
 
     def _ascend(self, rows: np.ndarray, gradient: np.ndarray) -> None:
-        square = self.squares[rows] + gradient**2
+        square = self.squares[rows]
+        square += gradient * gradient
         self.squares[rows] = square
-        self.rows[rows] += RATE * gradient / np.sqrt(square)
+        np.sqrt(square, out=square)
+        np.divide(gradient, square, out=square)
+        square *= RATE
+        self.rows[rows] += square
 
     def step(self, line: np.ndarray, target: np.ndarray, draw: np.random.Generator) -> int:
         """One ascent on the noise-contrastive objective of all targets but the first ORDER places; their number."""
         known = self.known
-        near = self.rows[line, :WIDTH]
-        every = self.queries(near)
         target = target[ORDER:]
         real = np.flatnonzero(target >= 0)
         if not len(real):
             return 0
+        line = np.concatenate([line, np.full(-len(target) % TILE, self.pad)])
+        near, tiles = self.rows[: self.at_distance, :WIDTH][line], self.distance_tiles()
+        every = self.queries(near, tiles)
         own = target[real]
         by = np.argsort(own.astype(np.uint16) if known.rest < 1 << 16 else own, kind="stable")
         real, own = real[by], own[by]
-        query = every[real]
+        query = np.ones((len(real), WIDTH + 1), np.float32)
+        query[:, :WIDTH] = every[real]
         kind = own // known.per_class
-        gradient = np.zeros((len(self.rows) - self.at_class, WIDTH + 1), np.float32)
+        gradient, touched = self.gradient, np.zeros(len(self.gradient), bool)
         # classes
         noise = np.minimum(np.searchsorted(np.cumsum(self.class_noise), draw.random(NOISE), "right"), known.classes)
-        d_query, d_noise = self._against_noise(query, self.rows[self.at_class + noise], self.class_chance[noise])
-        np.add.at(gradient, noise, d_noise)
+        d_query, d_noise = self._against_noise(query, self._noise_rows(self.at_class + noise, self.class_chance[noise])[None], np.array([0, len(query)]))
+        np.add.at(gradient, noise, d_noise[0])
+        touched[noise] = touched[kind] = True
         d_query += self._for_true(query, self.at_class + kind, self.class_chance[kind], gradient, self.at_class)
         # words of the classes, a block of queries each
         inside = int(np.searchsorted(own, known.rest))
@@ -284,32 +342,31 @@ class LogBilinear:
             low, high = (self.cumulated[np.arange(known.classes) * known.per_class + x] for x in (0, known.per_class))
             words = np.searchsorted(self.cumulated, low[:, None] + draw.random((known.classes, NOISE)) * (high - low)[:, None], "right") - 1
             words = np.minimum(words, known.words - 1)
-            held, chance, d_held = self.rows[self.at_word + words], self.word_chance[words], np.zeros((known.classes, NOISE, WIDTH + 1), np.float32)
-            for k in np.flatnonzero(np.diff(edge)).tolist():
-                a, b = edge[k], edge[k + 1]
-                d_part, d_held[k] = self._against_noise(query[a:b], held[k], chance[k])
-                d_query[a:b] += d_part
+            d_part, d_held = self._against_noise(query[:inside], self._noise_rows(self.at_word + words, self.word_chance[words]), edge)
+            d_query[:inside] += d_part
             drawn, d_drawn = self._summed(words.ravel(), d_held.reshape(-1, WIDTH + 1))
             gradient[self.at_word - self.at_class + drawn] += d_drawn
+            touched[self.at_word - self.at_class + drawn] = touched[self.at_word - self.at_class + own[:inside]] = True
             d_query[:inside] += self._for_true(query[:inside], self.at_word + own[:inside], self.word_chance[own[:inside]], gradient, self.at_class)
-        hit = np.flatnonzero(gradient.any(axis=1))
+        hit = np.flatnonzero(touched)
         # back to the input vectors
         back = np.zeros((len(every), WIDTH), np.float32)
         back[real] = d_query[:, :WIDTH]
-        d_near, d_distance = np.zeros_like(near), np.zeros((ORDER, WIDTH + 1), np.float32)
+        d_near, d_distance, back = np.zeros(near.shape, np.float32), np.zeros((ORDER, WIDTH + 1), np.float32), back.reshape(-1, TILE * WIDTH)
         for i in range(ORDER):
-            a, b = ORDER - 1 - i, len(near) - 1 - i
-            d_distance[i, :WIDTH] = np.einsum("ij,ij->j", back, near[a:b])
-            d_near[a:b] += back * self.rows[self.at_distance + i, :WIDTH]
+            d_distance[i, :WIDTH] = (back * self._tiled(near, i, len(every))).sum(axis=0).reshape(TILE, WIDTH).sum(axis=0)
+            part = self._tiled(d_near, i, len(every))
+            part += back * tiles[i]
         used, summed = self._summed(line, d_near)
         d_input = np.zeros((len(used), WIDTH + 1), np.float32)
         d_input[:, :WIDTH] = summed
         d_input[used == self.pad] = 0
         for rows, part in ((used, d_input), (np.arange(self.at_distance, self.at_class), d_distance), (self.at_class + hit, gradient[hit])):
             self._ascend(rows, part)
+        gradient[hit] = 0
         self.used[: self.at_distance] += np.bincount(line, minlength=self.at_distance)
         self.used[self.at_distance : self.at_word] += len(real)
-        self.used[self.at_word + np.arange(known.rest)] += np.bincount(own[:inside], minlength=known.rest)
+        self.used[self.at_word : self.at_word + known.rest] += np.bincount(own[:inside], minlength=known.rest)
         self.used[self.at_class + hit] += 1
         return len(real)
 
@@ -333,12 +390,21 @@ class LogBilinear:
         held = np.ascontiguousarray(self.rows[first : first + n].T)
         out = np.empty(len(query))
         step = max(1, STEP_SCORES // n)
+        block, ones, at = np.empty((min(step, len(query)), n), np.float32), np.ones(n, np.float32), np.arange(step) * n
         for a in range(0, len(query), step):
-            score = query[a : a + step] @ held
-            score -= score.max(axis=1, keepdims=True)
-            mine = score[np.arange(len(score)), own[a : a + step]].astype(float)
-            np.exp(score, out=score)
-            out[a : a + step] = mine - np.log(score.sum(axis=1).astype(float))
+            part = query[a : a + step]
+            score = np.matmul(part, held, out=block[: len(part)])
+            mine = score.reshape(-1)[at[: len(part)] + own[a : a + step]].astype(float)
+            with np.errstate(over="ignore"):
+                total = (np.exp(score, out=score) @ ones).astype(float)
+            out[a : a + step] = mine - np.log(np.maximum(total, SMALLEST))
+            # sums out of float32's reach: from the largest score on
+            far = np.flatnonzero(~((total > SMALLEST) & (total < 1 / SMALLEST)))
+            if len(far):
+                score = part[far] @ held
+                most = score.max(axis=1, keepdims=True)
+                total = np.exp(score - most).sum(axis=1).astype(float)
+                out[a + far] = mine[far] - most[:, 0] - np.log(total)
         return out
 
 
@@ -395,10 +461,10 @@ def head_scores(model: LogBilinear, codes: Codes, texts: list[bytes | None]) ->
     known = model.known
     code, bounds = codes.encode(texts)
     line, target, spot = model.layout(code, bounds, codes.tail)
-    query = model.queries(model.rows[line, :WIDTH])[spot - ORDER]
+    query = model.queries_of(line, spot)
     score = model.log_probability(query, target[spot]) / np.log(10)
     in_head = code >= 0
-    smoothed = np.log10((known.c[np.maximum(code, 0)] if len(known.c) else np.zeros(len(code))) + 0.5)
+    smoothed = known.log_smoothed[np.maximum(code, 0)]
     score += np.where(in_head & (code >= known.words), smoothed - np.log10(known.rest_mass), 0.0)
     base = np.where(in_head, smoothed - np.log10(known.base_mass), 0.0)
     head = bounds[:-1]

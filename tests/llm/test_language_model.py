@@ -1,9 +1,12 @@
+import cProfile
 import math
+import pstats
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +170,86 @@ def test_small_partitions_do_not_make_the_model_vanish(spark):
         scored = lm.language_model_scores(docs.repartition(n)).where("held_out")
         gain[n] = scored.select(F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).first()[0]
     assert gain[1] > 0.15 and abs(gain[24] - gain[1]) < 0.1 * gain[1], gain
+
+
+def test_tokens_cost_no_calls_of_their_own():
+    draw = random.Random(8)
+    texts = [" ".join(f"x{draw.randrange(40_000)}" for _ in range(20_000)).encode() for _ in range(8)]
+    known = vocabulary(t.decode() for t in texts[:4])
+    model, codes = lm.LogBilinear(known), lm.Codes(known)
+    profile = cProfile.Profile()
+    profile.enable()
+    n = lm.learn_texts(model, codes, texts, np.random.default_rng(1))
+    lm.head_scores(model, codes, texts)
+    profile.disable()
+    assert n == 160_008 and pstats.Stats(profile).total_calls < 0.3 * n
+
+
+def test_a_step_follows_the_gradient_of_a_plain_loop(monkeypatch):
+    texts = [t.encode() if t else t for _, t in corpus()[:12]] + [None, b"never seen before", b"w1 w2 w3"]
+    known = vocabulary(t.decode() if t else t for t in texts[:8])
+    model, codes = lm.LogBilinear(known), lm.Codes(known)
+    model.rows[:] = np.random.default_rng(2).normal(0, 0.4, model.rows.shape)
+    model.rows[model.pad] = 0
+    line, target, _ = model.layout(*codes.encode(texts), codes.tail)
+    rows, want = model.rows.astype(float), np.zeros(model.rows.shape)
+    draw = np.random.default_rng(9)
+    kinds = np.minimum(np.searchsorted(np.cumsum(model.class_noise), draw.random(lm.NOISE), "right"), known.classes)
+    low = model.cumulated[np.arange(known.classes) * known.per_class]
+    mass = model.cumulated[(np.arange(known.classes) + 1) * known.per_class] - low
+    inside = np.searchsorted(model.cumulated, low[:, None] + draw.random((known.classes, lm.NOISE)) * mass[:, None], "right") - 1
+    inside = np.minimum(inside, known.words - 1)
+    for t in range(lm.ORDER, len(line)):
+        if target[t] < 0:
+            continue
+        near, weight = rows[line[t - 1 - np.arange(lm.ORDER)], : lm.WIDTH], rows[model.at_distance : model.at_class, : lm.WIDTH]
+        query = np.append((near * weight).sum(axis=0), 1)
+        kind = target[t] // known.per_class
+        pairs = [(model.at_class + kind, model.class_chance[kind], 1)] + [(model.at_class + k, model.class_chance[k], 0) for k in kinds]
+        if target[t] < known.rest:
+            pairs += [(model.at_word + target[t], model.word_chance[target[t]], 1)] + [(model.at_word + w, model.word_chance[w], 0) for w in inside[kind]]
+        back = np.zeros(lm.WIDTH + 1)
+        for row, chance, real in pairs:
+            pull = real - 1 / (1 + math.exp(-(query @ rows[row] - chance)))
+            want[row] += pull * query
+            back += pull * rows[row]
+        for i in range(lm.ORDER):
+            want[line[t - 1 - i], : lm.WIDTH] += back[: lm.WIDTH] * weight[i]
+            want[model.at_distance + i, : lm.WIDTH] += back[: lm.WIDTH] * near[i]
+    want[model.pad] = 0
+    got = np.zeros(model.rows.shape)
+    monkeypatch.setattr(model, "_ascend", lambda rows, gradient: np.add.at(got, rows, gradient))
+    for _ in range(2):  # what a step keeps between calls doesn't reach the next one
+        got[:] = 0
+        assert model.step(line, target, np.random.default_rng(9)) == (target >= 0).sum()
+        assert np.abs(got - want).max() < 1e-3 * np.abs(want).max()
+
+
+def test_sums_out_of_reach_are_exact():
+    known = vocabulary([t for _, t in corpus()])
+    model = lm.LogBilinear(known)
+    query = np.ones((6, lm.WIDTH + 1), np.float32) * np.array([[-40], [-8], [0.1], [1], [8], [40]], np.float32)
+    model.rows[model.at_class : model.at_word, lm.WIDTH] = 5
+    own = np.arange(6) % (known.classes + 1)
+    score = query.astype(float) @ model.rows[model.at_class : model.at_word].astype(float).T
+    most = score.max(axis=1)
+    want = score[np.arange(6), own] - most - np.log(np.exp(score - most[:, None]).sum(axis=1))
+    assert most.max() > 90 and most.min() < -90
+    assert np.allclose(model._log_softmax(query, model.at_class, known.classes + 1, own), want, rtol=1e-4, atol=1e-4)
+
+
+def test_ranks_and_counts_equal_direct():
+    draw = np.random.default_rng(4)
+    ends = np.array([np.iinfo(np.int64).min, -1, 0, 1, np.iinfo(np.int64).max])
+    for token in (draw.integers(-(1 << 63), (1 << 63) - 1, 3000), np.arange(-500, 500) * 3, ends, ends[:0]):
+        token = np.unique(token)
+        rank = draw.permutation(len(token))
+        known = lm.Vocabulary(token, rank, np.ones(len(token), np.int64), len(token), len(token))
+        asked = np.concatenate([token, token[:-1] + 1, draw.integers(-2000, 2000, 500), ends])
+        names = dict(zip(token.tolist(), rank.tolist()))
+        assert known.ranks(asked).tolist() == [names.get(x, -1) for x in asked.tolist()]
+    texts = [["a B b", None, ""], ["b \x0bc\x00 c"], ["", "\u00c4 \u00e4 A"]]
+    found = Counter()
+    for made in lm._count(iter([pa.RecordBatch.from_arrays([pa.array(t, pa.string())], ["text"]) for t in texts])):
+        found.update(dict(zip(*(c.to_pylist() for c in made.columns))))
+    assert found == Counter(lm.token_hash(w) for t in texts for x in t for w in tokens(x))
