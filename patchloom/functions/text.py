@@ -69,10 +69,13 @@ def truncate_text(text: Column, limit: int) -> Column:
 
 
 def excerpt(lines: Column, start: Column, end: Column, pad: int = 4) -> Column:
-    """Numbered lines from pad before start to pad after end, within the file."""
-    low, high = F.greatest(F.lit(1), start - pad), F.least(F.size(lines), end + pad)
-    numbered = F.transform(F.sequence(low, high), lambda i: F.concat(i.cast("string"), F.lit(": "), F.get(lines, i - 1)))
-    return F.when(low <= high, F.array_join(numbered, "\n")).otherwise(F.lit(""))
+    """Numbered lines from pad before start to pad after end, within the file; '' for null lines.
+
+    Lines that aren't a column yet are made once for the row here, and not once for each line that is shown.
+    """
+    low = F.greatest(F.lit(1), start - pad)
+    shown = F.slice(lines, low, F.greatest(end + pad - low + 1, F.lit(0)))
+    return F.coalesce(F.array_join(F.transform(shown, lambda x, i: F.concat((low + i).cast("string"), F.lit(": "), x)), "\n"), F.lit(""))
 
 
 def line_anchor(repo_url: Column, sha: Column, path: Column, start: Column, end: Column) -> Column:
