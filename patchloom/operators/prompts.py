@@ -22,18 +22,21 @@ PART_PROMPTS = 10_000
 
 
 def joined_in_order(place: str, text: str, between: str) -> Column:
-    """The group's texts in order of their places."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col(text).alias("t")))), lambda x: x["t"]), between)
+    """The group's texts in order of their places, without null ones; null if there is no other."""
+    return F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col(text).alias("t")))), lambda x: x["t"]), between), F.lit(""))
 
 
 def _fenced(kind: str, body: Column) -> Column:
     return F.concat(F.lit(f"\n```{kind}\n"), body, F.lit("\n```"))
 
 
-def changed_sections(files: DataFrame) -> DataFrame:
-    """review_id and one text of its files (file_pos, filename, status, symbols, patch), cut before they are gathered."""
+def changed_sections(files: DataFrame, empty_is_none: bool = True) -> DataFrame:
+    """review_id and one text of its files (file_pos, filename, status, symbols, patch), cut before they are gathered.
+
+    NO_DIFF stands for a null patch and, if empty_is_none, for an empty one. A file without a name has no text.
+    """
     names = F.when(F.size("symbols") > 0, F.concat(F.lit(", symbols: "), F.array_join("symbols", ", "))).otherwise(F.lit(""))
-    patch = F.coalesce(F.nullif(F.col("patch"), F.lit("")), F.lit(NO_DIFF))
+    patch = _or(F.col("patch"), NO_DIFF) if empty_is_none else F.coalesce("patch", F.lit(NO_DIFF))
     block = F.concat(F.lit("## "), "filename", F.lit(" ("), "status", names, F.lit(")"), _fenced("diff", truncate_text(patch, PATCH_CHARS)))
     return files.select("review_id", "file_pos", block.alias("block")).groupBy("review_id").agg(joined_in_order("file_pos", "block", "\n\n").alias("changed_sections"))
 
