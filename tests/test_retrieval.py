@@ -68,6 +68,18 @@ def test_cosine_search_equals_direct(spark, monkeypatch, blocks):
         assert np.allclose([d for _, d in got.get((review, seq), [])], [d for d, _ in want], atol=1e-7)
 
 
+def test_cosine_search_meets_keys_of_other_types(spark):
+    draw = np.random.default_rng(2)
+    chunks = spark.createDataFrame([(i, i % 20, "a.py", draw.normal(size=4).tolist()) for i in range(100)], "id long, repository_id int, file_path string, vector array<float>")
+    queries = spark.createDataFrame([(r, 0, r, draw.normal(size=4).tolist()) for r in range(20)], "review_id long, seq int, repository_id long, vector array<float>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several tasks
+    try:
+        got = [(r["review_id"], r["chunk_id"] % 20) for r in retrieval.cosine_topk(chunks, queries, 3).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(got) == [(r, r) for r in range(20) for _ in range(3)]
+
+
 def test_hybrid_is_the_union(spark):
     chunks = spark.createDataFrame([chunk(1, "alpha", "a.py", vector=[1.0, 0.0]), chunk(2, "needle_word", "b.py", vector=[0.0, 1.0]), (3, 0, "other", "c.py", None, 1, 2, False, None)], CHUNKS)
     queries = spark.createDataFrame([(1, 0, 0, "needle_word", [1.0, 0.0])], "review_id long, seq long, repository_id long, text string, vector array<float>")
