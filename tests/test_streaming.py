@@ -95,3 +95,23 @@ def test_one_review_of_a_head_at_a_time(spark, tmp_path):
     plain = [(m[2], m[3], m[4], m[5], m[6]) for m in rows if m[0] == 1]
     decided, state = guard.decide(plain, (None, None, None))
     assert [d[2] or "ok" for d in decided] == [s[4] for s in story if s[4]] and state is None
+
+
+def test_pulls_share_groups_and_are_forgotten_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(guard, "BUCKETS", 2)
+    schema = "repository_id long, number long, at timestamp, seq long, kind string, head_sha string, force boolean"
+    day, large = (lambda n: datetime(2024, 1, 1) + timedelta(days=n)), 2**60 + 1
+    pulls = [(1, n) for n in range(300)] + [(None, large), (large, None)]
+    events = lambda some, n, kind, seq: [(r, p, day(n), seq, kind, "a", None) for r, p in some]
+    batches = [events(pulls, 0, "request", 1) + events(pulls, 1, "finished", 2), events(pulls[:100], 150, "request", 3), events(pulls, 200, "request", 4), events(pulls, 200, "request", 5)]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+        stream = guard.follow_requests(spark.readStream.schema(schema).parquet(f"{tmp_path}/events"), f"{tmp_path}/out", f"{tmp_path}/state")
+        stream.awaitTermination()
+        held = [s["numRowsTotal"] for p in stream.recentProgress for s in p["stateOperators"]]
+        assert max(held) <= 2  # not one row a pull request
+    got = {(r["repository_id"], r["number"], r["seq"]): r["reason"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {(*p, 1): None for p in pulls} | {(*p, 3): "already reviewed" for p in pulls[:100]}
+    # heard of 50 days ago, or not for 199, and then once more
+    want |= {(*p, 4): "already reviewed" if i < 100 else None for i, p in enumerate(pulls)} | {(*p, 5): "already reviewed" if i < 100 else "under review" for i, p in enumerate(pulls)}
+    assert got == want
