@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -30,6 +30,8 @@ MAX_QUERIES, MAX_QUERY_CHARS = 6, 2000
 PLACES = 9
 #: Queries and chunks of a repository that meet in one task at most, on average.
 QUERY_BLOCK, CHUNK_BLOCK = 4096, 8192
+#: The same where each pair is a row of the result, which a task holds for one block at a time.
+PAIR_QUERIES, PAIR_CHUNKS = 512, 2048
 
 
 def exclude_files(chunks: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
@@ -134,13 +136,50 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, changed: DataFrame | None
     return hits.groupBy("review_id", "seq", "chunk_id").agg(F.round(F.sum(part), PLACES).alias("score")).where("score > 0")
 
 
+def half_up(x: Column, places: int) -> Column:
+    """x rounded as DuckDB does it: the double that the multiplication gives, halves away from zero. F.round goes by x's shortest decimals."""
+    return F.signum(x) * F.floor(F.abs(x) * 10.0**places + 0.5) / 10.0**places
+
+
+def _dealt(asked: DataFrame, usable: DataFrame, rows: int, columns: int) -> tuple[DataFrame, DataFrame]:
+    """A repository's queries (review_id, seq) and chunks (chunk_id) dealt over blocks of about so many, each block repeated for every one of the other side."""
+    blocks = lambda df, size, name: df.groupBy("repository_id").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    grid = materialize(blocks(asked, rows, "__rows").join(blocks(usable, columns, "__columns"), "repository_id"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(grid, "repository_id").withColumn("__row", F.pmod(F.xxhash64("review_id", "seq"), F.col("__rows")).cast("int")).withColumn("__column", every("__columns"))
+    right = usable.join(grid, "repository_id").withColumn("__column", F.pmod(F.xxhash64("chunk_id"), F.col("__columns")).cast("int")).withColumn("__row", every("__rows"))
+    return left, right
+
+
 def cosine_distances(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(review_id, seq, chunk_id, distance) of every query and chunk of one repository, by built-in functions; 1 for a vector of zeros."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(dot(v, v))
-    left = queries.select("review_id", "seq", "repository_id", F.col("vector").alias("q"), norm(F.col("vector")).alias("qn"))
-    right = chunks.select("repository_id", F.col("id").alias("chunk_id"), "vector", norm(F.col("vector")).alias("n"))
-    return left.join(right, "repository_id").select("review_id", "seq", "chunk_id", F.round(1 - F.coalesce(F.try_divide(dot(F.col("q"), F.col("vector")), F.col("qn") * F.col("n")), F.lit(0.0)), PLACES).alias("distance"))
+    """(review_id, seq, chunk_id, distance) of every query and chunk of one repository; 1 for a vector of zeros, null without a vector.
+
+    Both are dealt over blocks, and each pair of blocks meets in a task, which multiplies them and holds their pairs only.
+    """
+    asked, usable = queries.select("review_id", "seq", "repository_id", "vector"), chunks.select("repository_id", F.col("id").alias("chunk_id"), "vector")
+    left, right = _dealt(asked, usable, PAIR_QUERIES, PAIR_CHUNKS)
+
+    def multiply(own: pa.Table, block: pa.Table) -> pa.Table:
+        known = [x.column("vector").combine_chunks().is_valid().to_numpy(zero_copy_only=False) for x in (own, block)]
+        distance = np.zeros((own.num_rows, block.num_rows))
+        if known[0].any() and known[1].any():
+            a, b = (_matrix(x.column("vector").filter(pa.array(k))) for x, k in zip((own, block), known, strict=True))
+            norms = np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
+            cosine = np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms != 0)
+            distance[np.ix_(*known)] = np.floor((1 - cosine) * 10.0**PLACES + 0.5) / 10.0**PLACES
+        row, column = pa.array(np.repeat(np.arange(own.num_rows), block.num_rows)), pa.array(np.tile(np.arange(block.num_rows), own.num_rows))
+        ids = {c: own.column(c).combine_chunks().take(row) for c in ("review_id", "seq")}
+        return pa.table(ids | {"chunk_id": block.column("chunk_id").combine_chunks().take(column), "distance": pa.array(distance.ravel(), mask=~np.outer(*known).ravel())})
+
+    schema = T.StructType([left.schema["review_id"], left.schema["seq"], right.schema["chunk_id"]]).add("distance", T.DoubleType())
+    return _cogrouped(left, right, ["review_id", "seq", "vector"], ["chunk_id", "vector"], ["repository_id", "__row", "__column"], multiply, schema)
+
+
+def _cogrouped(left: DataFrame, right: DataFrame, own: list[str], others: list[str], keys: list[str], func: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType | str) -> DataFrame:
+    """The named columns of both sides, met by the keys in their common type: unlike a join, a cogroup doesn't bring them to
+    one, and an int and the same long go to different tasks."""
+    alike = lambda other: [F.coalesce(k, F.lit(None).cast(other.schema[k].dataType)).alias(k) for k in keys]
+    return left.select(*own, *alike(right)).groupBy(*keys).cogroup(right.select(*others, *alike(left)).groupBy(*keys)).applyInArrow(func, schema)
 
 
 def with_masks(queries: DataFrame, changed: DataFrame | None) -> DataFrame:
@@ -160,12 +199,7 @@ def cosine_topk(chunks: DataFrame, queries: DataFrame, k: int, changed: DataFram
     """
     asked = materialize(with_masks(queries, changed))
     usable = chunks.where("vector is not null").select("repository_id", F.col("id").cast("long").alias("chunk_id"), "file_path", "vector")
-    blocks = lambda df, rows, name: df.groupBy("repository_id").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
-    grid = materialize(blocks(asked, QUERY_BLOCK, "__rows").join(blocks(usable, CHUNK_BLOCK, "__columns"), "repository_id"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(grid, "repository_id").withColumn("__row", F.pmod(F.xxhash64("review_id", "seq"), F.col("__rows")).cast("int")).withColumn("__column", every("__columns"))
-    right = usable.join(grid, "repository_id").withColumn("__column", F.pmod(F.xxhash64("chunk_id"), F.col("__columns")).cast("int")).withColumn("__row", every("__rows"))
-
+    left, right = _dealt(asked, usable, QUERY_BLOCK, CHUNK_BLOCK)
     return top_per_query(blockwise(left, right, ["repository_id", "__row", "__column"], k), "distance", k)
 
 
@@ -189,10 +223,8 @@ def blockwise(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> Dat
         return pa.table(dict(zip(("review_id", "seq", "chunk_id", "distance"), (pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)), strict=True)))
 
     schema = "review_id long, seq long, chunk_id long, distance double"
-    # unlike a join, a cogroup doesn't bring its keys to one type, and an int and the same long go to different tasks
-    alike = lambda other: [F.coalesce(k, F.lit(None).cast(other.schema[k].dataType)).alias(k) for k in keys]
-    own = left.select("review_id", F.col("seq").cast("long").alias("seq"), "vector", "masked", *alike(right))
-    return own.groupBy(*keys).cogroup(right.select("chunk_id", "file_path", "vector", *alike(left)).groupBy(*keys)).applyInArrow(search, schema)
+    own = left.withColumn("seq", F.col("seq").cast("long"))
+    return _cogrouped(own, right, ["review_id", "seq", "vector", "masked"], ["chunk_id", "file_path", "vector"], keys, search, schema)
 
 
 def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:

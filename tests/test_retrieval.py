@@ -87,3 +87,32 @@ def test_hybrid_is_the_union(spark):
     assert {r["chunk_id"] for r in got} == {1, 2}
     blank = spark.createDataFrame([(1, 0, 0, "  ", [1.0, 0.0])], queries.schema)
     assert retrieval.retrieve_context(chunks, blank, k=2).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [(512, 2048), (3, 7)], ids=["one pair of blocks", "many"])
+def test_distances_of_all_pairs_by_blocks(spark, monkeypatch, blocks):
+    monkeypatch.setattr(retrieval, "PAIR_QUERIES", blocks[0])
+    monkeypatch.setattr(retrieval, "PAIR_CHUNKS", blocks[1])
+    draw = np.random.default_rng(8)
+    vec = lambda: np.float32(draw.normal(size=6)).tolist()
+    rows = [(i, i % 2, None if i == 7 else [0.0] * 6 if i == 9 else vec()) for i in range(50)]
+    asked = [(i, i % 3, i % 2, None if i == 3 else vec()) for i in range(20)] + [(99, 0, 5, vec())]
+    found = retrieval.cosine_distances(spark.createDataFrame(rows, "id long, repository_id int, vector array<float>"), spark.createDataFrame(asked, "review_id long, seq long, repository_id long, vector array<float>"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("FlatMapCoGroupsInArrow")[0] and "lambda" not in plan  # no row of a pair before its distance
+    got = {(r["review_id"], r["chunk_id"]): r["distance"] for r in found.collect()}
+    assert set(got) == {(q, i) for q, _, own, _ in asked for i, repo, _ in rows if own == repo}
+    for q, _, own, a in asked:
+        for i, repo, b in rows:
+            if own == repo:
+                cosine = None if a is None or b is None else np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)) if any(b) else 0
+                assert got[q, i] is None if cosine is None else abs(got[q, i] - 1 + cosine) < 1e-8
+
+
+def test_halves_are_rounded_as_the_sql_does(spark):
+    import duckdb
+
+    values = [k / 10**9 for k in range(500, 2 * 10**9, 3_333_000)] + [-0.0000005, 0.0, 1.0, 36199.640467465]
+    want = [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6)", [x]).fetchone()[0] for x in values]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in values], "x double").coalesce(1).select(retrieval.half_up(F.col("x"), 6)).collect()]
+    assert got == want
